@@ -158,7 +158,7 @@ def _index_long(freq: str, name: str, max_len: int = 40, keep_key: bool = False)
   WHERE length(f.query) >= 1),
 {name} AS (
   SELECT prefix, rank, pos, query, count, score{key} FROM (
-    SELECT *, CAST(row_number() OVER (PARTITION BY prefix, rank ORDER BY metric DESC, query_norm) AS INTEGER) AS pos
+    SELECT *, CAST(row_number() OVER (PARTITION BY prefix, rank ORDER BY metric DESC, query) AS INTEGER) AS pos
     FROM {name}_cands WHERE NOT suffix(prefix, ' '))
   WHERE pos <= 10)"""
 
@@ -179,7 +179,7 @@ def _direct_answers(freq: str, keys: str, name: str) -> str:
   SELECT prefix, rank, pos, query, count, score FROM (
     SELECT k.prefix, k.rank, f.display AS query, f.count, f.score,
       CAST(row_number() OVER (PARTITION BY k.prefix, k.rank ORDER BY
-        CASE WHEN k.rank = 'recent' THEN f.score ELSE CAST(f.count AS DOUBLE) END DESC, f.query) AS INTEGER) AS pos
+        CASE WHEN k.rank = 'recent' THEN f.score ELSE CAST(f.count AS DOUBLE) END DESC, f.display) AS INTEGER) AS pos
     FROM (SELECT DISTINCT prefix, rank FROM {keys} WHERE prefix <> '') k
     JOIN {freq} f ON starts_with(f.query, k.prefix))
   WHERE pos <= 10)"""
@@ -290,8 +290,8 @@ sampled AS (
     q["prefix_index_parts"] = _with(*_PARTS_FREQ, _index_long("freq", "idx")) + " SELECT * FROM idx"
     q["prefix_index_documents"] = _with(*_DOCS_FREQ, _index_long("freq", "idx")) + " SELECT * FROM idx"
     q["suggest_prefix_parts"] = parts + """
-      SELECT CAST(row_number() OVER (ORDER BY count DESC, query) AS INTEGER) AS pos, display AS query, count, score
-      FROM (SELECT * FROM freq WHERE starts_with(query, 'hot') ORDER BY count DESC, query LIMIT 10)"""
+      SELECT CAST(row_number() OVER (ORDER BY count DESC, display) AS INTEGER) AS pos, display AS query, count, score
+      FROM (SELECT * FROM freq WHERE starts_with(query, 'hot') ORDER BY count DESC, display LIMIT 10)"""
 
     answers_tail = """
       SELECT k.prefix, k.rank, k.n_requests,
@@ -310,18 +310,18 @@ sampled AS (
 
     live = _with(*_PARTS_FREQ, _EVENTS, _DELTAS, *_LIVE)
     q["trending_count"] = live + """
-      SELECT CAST(row_number() OVER (ORDER BY count DESC, query) - 1 AS INTEGER) AS pos, display AS query,
+      SELECT CAST(row_number() OVER (ORDER BY count DESC, display) - 1 AS INTEGER) AS pos, display AS query,
              count, round(score, 6) AS score
-      FROM (SELECT * FROM live ORDER BY count DESC, query LIMIT 50)"""
+      FROM (SELECT * FROM live ORDER BY count DESC, display LIMIT 50)"""
     q["trending_recent"] = live + """
-      SELECT CAST(row_number() OVER (ORDER BY score DESC, query) - 1 AS INTEGER) AS pos, display AS query,
+      SELECT CAST(row_number() OVER (ORDER BY score DESC, display) - 1 AS INTEGER) AS pos, display AS query,
              count, round(score, 6) AS score
-      FROM (SELECT * FROM live ORDER BY score DESC, query LIMIT 6)"""
+      FROM (SELECT * FROM live ORDER BY score DESC, display LIMIT 6)"""
     q["rank_movement"] = live + """,
-rec AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, query) - 1 AS INTEGER) AS pos, display AS query, count, score
-        FROM (SELECT * FROM live ORDER BY score DESC, query LIMIT 6)),
-cnt AS (SELECT CAST(row_number() OVER (ORDER BY count DESC, query) - 1 AS INTEGER) AS pos_count, display AS query
-        FROM (SELECT * FROM live ORDER BY count DESC, query LIMIT 50))
+rec AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, display) - 1 AS INTEGER) AS pos, display AS query, count, score
+        FROM (SELECT * FROM live ORDER BY score DESC, display LIMIT 6)),
+cnt AS (SELECT CAST(row_number() OVER (ORDER BY count DESC, display) - 1 AS INTEGER) AS pos_count, display AS query
+        FROM (SELECT * FROM live ORDER BY count DESC, display LIMIT 50))
       SELECT r.pos, r.query, r.count, round(r.score, 6) AS score, c.pos_count, c.pos_count - r.pos AS delta,
         CASE WHEN c.pos_count - r.pos > 0 THEN '▲' || CAST(c.pos_count - r.pos AS VARCHAR)
              WHEN c.pos_count - r.pos < 0 THEN '▼' || CAST(r.pos - c.pos_count AS VARCHAR)

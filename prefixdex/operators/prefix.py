@@ -2,10 +2,13 @@
 lookup (O12), index lookup with fall-through (O15), trending (O16), affected
 prefixes (O25) and the exact incremental refresh (O26).
 
-Every ranking orders by the rank's metric descending, then by the normalized
-query ascending, so results are deterministic. The ``query`` of a suggestion
-is the display text; the normalized key travels as ``query_norm`` where an
-operator needs it.
+Every ranking orders by the rank's metric descending, then by the display
+text ascending (the reference leaves ties unordered; the display is unique per
+normalized query, so this makes every list deterministic). The ``query`` of a
+suggestion is the display text. Exploded candidate rows carry only the
+display, count and score — not the normalized key as well — which halves the
+width of the rows sorted before the shuffle; the key is re-derived
+(``normalize(display)``) where an operator needs it.
 """
 
 from __future__ import annotations
@@ -58,15 +61,15 @@ def _top_k(cands: DataFrame, k: int) -> DataFrame:
     """Top-k per (prefix, rank). ``row_number() <= k`` lets Catalyst insert a
     WindowGroupLimit on both sides of the shuffle, so a hot prefix ships at
     most k rows per map task."""
-    w = Window.partitionBy("prefix", "rank").orderBy(
-        rank_metric("rank").desc(), F.col("query_norm").asc()
-    )
+    w = Window.partitionBy("prefix", "rank").orderBy(rank_metric("rank").desc(), F.col("query").asc())
     return cands.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
 def _candidates(freq: DataFrame, ranks: Sequence[str]) -> DataFrame:
+    """``_key`` (normalized query, cut into prefixes and then dropped),
+    ``query`` (display), ``count``, ``score``, ``rank``."""
     return freq.select(
-        F.col("query").alias("query_norm"),
+        F.col("query").alias("_key"),
         F.col("display").alias("query"),
         "count",
         "score",
@@ -74,19 +77,21 @@ def _candidates(freq: DataFrame, ranks: Sequence[str]) -> DataFrame:
     )
 
 
+def _explode_candidates(
+    freq: DataFrame, ranks: Sequence[str], max_len: int, lengths: Sequence[int] | None = None
+) -> DataFrame:
+    return explode_prefixes(_candidates(freq, ranks), "_key", max_len, lengths).drop("_key")
+
+
 def build_index_long(
     freq: DataFrame,
     k: int = SUGGEST_LIMIT,
     max_len: int = MAX_INDEXED_PREFIX,
     ranks: Sequence[str] = RANKS,
-    keep_key: bool = False,
 ) -> DataFrame:
     """O13 in long form: ``prefix, rank, pos, query, count, score`` for every
     prefix of length 1..max_len of every query, both ranks, top k each."""
-    exploded = explode_prefixes(_candidates(freq, ranks), "query_norm", max_len)
-    top = _top_k(exploded, k)
-    cols = [*LONG_COLUMNS, "query_norm"] if keep_key else list(LONG_COLUMNS)
-    return top.select(*cols)
+    return _top_k(_explode_candidates(freq, ranks, max_len), k).select(*LONG_COLUMNS)
 
 
 def to_index(long_df: DataFrame, computed_at: Column | None = None) -> DataFrame:
@@ -135,10 +140,10 @@ def suggest_one(freq: DataFrame, prefix: str, rank: str = "count", k: int = SUGG
     metric = F.col("score") if r == "recent" else F.col("count")
     top = (
         freq.filter(has_prefix("query", p))
-        .orderBy(metric.desc(), F.col("query").asc())
+        .orderBy(metric.desc(), F.col("display").asc())
         .limit(k)
     )
-    w = Window.orderBy(metric.desc(), F.col("query").asc())  # ≤ k rows
+    w = Window.orderBy(metric.desc(), F.col("display").asc())  # ≤ k rows
     return top.select(
         F.row_number().over(w).alias("pos"), F.col("display").alias("query"), "count", "score"
     )
@@ -159,8 +164,8 @@ def trending(freq: DataFrame, rank: str = "count", limit=6) -> DataFrame:
     """Global top-N (TakeOrderedAndProject: each task keeps N rows)."""
     n = clamp_trending_limit(limit)
     metric = F.col("score") if rank == "recent" else F.col("count")
-    top = freq.orderBy(metric.desc(), F.col("query").asc()).limit(n)
-    w = Window.orderBy(metric.desc(), F.col("query").asc())  # ≤ 50 rows
+    top = freq.orderBy(metric.desc(), F.col("display").asc()).limit(n)
+    w = Window.orderBy(metric.desc(), F.col("display").asc())  # ≤ 50 rows
     return top.select(
         (F.row_number().over(w) - 1).alias("pos"),
         F.col("display").alias("query"),
@@ -200,10 +205,13 @@ def bulk_suggest(
     Returns ``prefix, rank, n_requests, status, suggestions`` with status
     ``skip`` (empty prefix) or ``miss`` (computed; empty array if nothing
     matches)."""
+    # The keys feed a size check and the main job: materialize them once.
+    keys = keys.checkpoint(eager=True)
     live = keys.filter(F.col("prefix") != "")
-    lengths = [r[0] for r in live.select(F.length("prefix").alias("n")).distinct().collect()]
-    n_keys = live.limit(broadcast_max_rows + 1).count()
-    cands = explode_prefixes(_candidates(freq, RANKS), "query_norm", max_len=1 << 30, lengths=lengths)
+    by_len = live.groupBy(F.length("prefix").alias("n")).count().collect()  # ≤ 512 rows
+    lengths = [r["n"] for r in by_len]
+    n_keys = sum(r["count"] for r in by_len)
+    cands = _explode_candidates(freq, RANKS, max_len=1 << 30, lengths=lengths)
     if n_keys <= broadcast_max_rows:
         wanted = F.broadcast(live.select("prefix", "rank"))
         top = _top_k(cands.join(wanted, ["prefix", "rank"], "left_semi"), k)
@@ -239,11 +247,13 @@ def lookup(
     Keys and index rows are both unique per (prefix, rank), so the joins have
     no skewed key."""
     fresh = index.filter(is_fresh("computed_at", ttl_seconds, now)).select("prefix", "rank", "suggestions")
-    live = keys.filter(F.col("prefix") != "")
-    hits = live.join(fresh, ["prefix", "rank"], "inner").select(
+    # One pass over the index; the result (≤ one row per key) is reused twice.
+    probed = keys.join(fresh, ["prefix", "rank"], "left").checkpoint(eager=True)
+    hit = F.col("suggestions").isNotNull() & (F.col("prefix") != "")
+    hits = probed.filter(hit).select(
         "prefix", "rank", "n_requests", F.lit("hit").alias("status"), "suggestions"
     )
-    missing = keys.join(hits.select("prefix", "rank"), ["prefix", "rank"], "left_anti")
+    missing = probed.filter(~hit).select("prefix", "rank", "n_requests")
     return hits.unionByName(bulk_suggest(freq, missing, k))
 
 
@@ -282,8 +292,8 @@ def refresh_index_long(
     k: int = SUGGEST_LIMIT,
     max_len: int = MAX_INDEXED_PREFIX,
 ) -> DataFrame:
-    """O26, exact incremental refresh of a long-form index (with
-    ``query_norm``) after ``changed_queries`` (one column ``query``) received
+    """O26, exact incremental refresh of a long-form index after
+    ``changed_queries`` (one column ``query``, normalized) received
     non-negative deltas that are already in ``new_freq``.
 
     Counts only grow and recency scores are compared landmark-scaled, so an
@@ -291,20 +301,16 @@ def refresh_index_long(
     of an affected prefix is therefore top-k(old list without the changed
     queries ∪ the changed queries' new rows); unaffected prefixes keep their
     rows. No base-table rescan: the work is proportional to the change."""
-    changed = changed_queries.select(F.col("query").alias("query_norm")).distinct()
-    changed_rows = new_freq.join(
-        changed.withColumnRenamed("query_norm", "query"), "query", "left_semi"
-    )
-    fresh_cands = explode_prefixes(_candidates(changed_rows, RANKS), "query_norm", max_len)
+    changed = changed_queries.select("query").distinct()
+    changed_rows = new_freq.join(changed, "query", "left_semi")
+    fresh_cands = _explode_candidates(changed_rows, RANKS, max_len)
     affected = fresh_cands.select("prefix").distinct()
-    old_kept = old_long.join(changed, "query_norm", "left_anti")
-    old_affected = old_kept.join(affected, "prefix", "left_semi")
-    untouched = old_long.join(affected, "prefix", "left_anti")
-    recomputed = _top_k(
-        old_affected.select("prefix", "rank", "query_norm", "query", "count", "score").unionByName(
-            fresh_cands.select("prefix", "rank", "query_norm", "query", "count", "score")
-        ),
-        k,
+    old_affected = old_long.join(affected, "prefix", "left_semi")
+    # A suggestion's normalized key is normalize(display); drop the changed ones.
+    old_kept = old_affected.withColumn("_key", normalize(F.col("query"))).join(
+        changed.withColumnRenamed("query", "_key"), "_key", "left_anti"
     )
-    cols = [*LONG_COLUMNS, "query_norm"]
-    return untouched.select(*cols).unionByName(recomputed.select(*cols))
+    untouched = old_long.join(affected, "prefix", "left_anti")
+    cols = ["prefix", "rank", "query", "count", "score"]
+    recomputed = _top_k(old_kept.select(*cols).unionByName(fresh_cands.select(*cols)), k)
+    return untouched.select(*LONG_COLUMNS).unionByName(recomputed.select(*LONG_COLUMNS))

@@ -198,9 +198,9 @@ def q_affected_prefixes(spark, d):
 def q_incremental_index(spark, d):
     base = freq_parts(spark, d)
     deltas = event_totals(spark, d)
-    old = prefix.build_index_long(base, keep_key=True)
+    old = prefix.build_index_long(base)
     new_freq = frequency.upsert(base, deltas)
-    return prefix.refresh_index_long(old, new_freq, deltas.select("query")).select(*prefix.LONG_COLUMNS)
+    return prefix.refresh_index_long(old, new_freq, deltas.select("query"))
 
 
 def q_decay_step(spark, d):

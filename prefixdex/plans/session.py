@@ -31,6 +31,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
@@ -69,5 +70,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores
+    (one large Parquet row group is read by one task) before per-row work
+    that multiplies rows. A scan that is already split (the normal case for
+    large inputs) is returned unchanged, so no shuffle is added at scale."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def bench_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))

@@ -21,9 +21,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefixdex.plans.session import spread
+
+# Tables whose rows are multiplied or parsed per row downstream.
+_SPREAD = {"documents", "events", "lineitem", "orders", "pages", "conversations"}
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in _SPREAD else df
 
 
 def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

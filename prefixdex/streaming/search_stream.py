@@ -62,7 +62,7 @@ def seed_tables(freq: DataFrame, freq_root: str, index_root: str | None = None)
     if index_root:
         spark = freq.sparkSession
         base = store.read_version(spark, freq_root, 0)
-        store.write_version(build_index_long(base, keep_key=True), index_root, 0, sort_col="prefix")
+        store.write_version(build_index_long(base), index_root, 0, sort_col="prefix")
 
 
 def apply_batch(
