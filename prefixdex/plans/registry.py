@@ -294,7 +294,7 @@ def q_stream_frequency(spark, d):
     )
     q = ss.run_search_stream(spark, stream, f_root, f"{root}/_checkpoint", ANCHOR, i_root, decay.DECAY_FACTOR, DAY)
     q.awaitTermination()
-    out = store.read_version(spark, f_root)
+    out = ss.read_frequency(spark, f_root)
     return _round(out.withColumnRenamed("score", "score_scaled"), "score_scaled")
 
 

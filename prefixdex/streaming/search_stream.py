@@ -2,12 +2,20 @@
 recency score (O30s).
 
 Each micro-batch is one flush: its events are aggregated per normalized query
-(O22), added to the frequency table (O24) and the affected prefixes of the
-index are recomputed exactly (O25/O26). The micro-batch writes version
-``batch_id + 1`` of both tables; a version that is already committed is
-skipped, so a batch replayed after a failure changes nothing. Together with
-the stream checkpoint this is effectively-once, where the reference loses the
-buffer on a crash.
+(O22) and the affected prefixes of the index are recomputed exactly
+(O25/O26). Writes are proportional to the change, never to the table:
+
+* ``<root>/base/v=<n>`` — a compacted table covering batches ``< n``
+  (``v=0`` is the ingested table);
+* ``<root>/delta/v=<b>`` — what micro-batch ``b`` changed: per-query deltas for
+  the frequency table, complete new lists of the affected (prefix, rank) keys
+  for the index.
+
+Readers merge the newest base with the deltas after it (frequency: sum per
+query; index: the newest list per key). A batch whose deltas are committed is
+skipped, so a batch replayed after a failure changes nothing (effectively
+once, where the reference loses its buffer on a crash). ``compact`` folds the
+deltas into a new base every ``compact_every`` batches.
 
 Recency uses forward decay: the table stores ``Σ delta · f^−(tick − L)`` and a
 reader multiplies by ``f^(tick_now − L)``, so no decay job rewrites the table
@@ -16,19 +24,22 @@ and late events land on the right tick.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefixdex.functions.predicates import validate
 from prefixdex.functions.text import normalize, ws_trim
 from prefixdex.operators.decay import DECAY_FACTOR, DECAY_INTERVAL_SECONDS, landmark_weight
 from prefixdex.operators.events import tick_of
-from prefixdex.operators.prefix import build_index_long, refresh_index_long
+from prefixdex.operators.frequency import FREQUENCY_COLUMNS
+from prefixdex.operators.prefix import LONG_COLUMNS, affected_prefixes, build_index_long, refresh_index_long
 from prefixdex.sources import store
 
+COMPACT_EVERY = 50
+
 
 def accepted(events: DataFrame, query: str = "query") -> DataFrame:
-    """Validated search events (O21) with their normalized key."""
+    """Validated search events (O21) with a non-empty normalized text."""
     return events.filter(validate(F.col(query), "trimmed").isNull()).filter(normalize(F.col(query)) != "")
 
 
@@ -40,7 +51,7 @@ def batch_deltas(
     landmark: int = 0,
 ) -> DataFrame:
     """``query, display, delta, g``: per-query event count and its
-    landmark-scaled recency contribution."""
+    landmark-scaled recency contribution (one partial aggregation)."""
     tick = tick_of("ts", anchor, decay_interval_seconds)
     e = batch.select(
         normalize(F.col("query")).alias("query"),
@@ -55,14 +66,84 @@ def batch_deltas(
     )
 
 
+# ------------------------------------------------------------------ layout
+def _base(root: str) -> str:
+    return f"{root.rstrip('/')}/base"
+
+
+def _delta(root: str) -> str:
+    return f"{root.rstrip('/')}/delta"
+
+
+def _deltas(spark: SparkSession, root: str, lo: int, hi: int | None = None) -> DataFrame | None:
+    """Committed deltas with ``lo <= batch < hi`` (each carries ``batch``)."""
+    bs = [b for b in store.committed_versions(spark, _delta(root)) if b >= lo and (hi is None or b < hi)]
+    if not bs:
+        return None
+    return spark.read.parquet(*[store.version_path(_delta(root), b) for b in bs])
+
+
+def _base_version(spark: SparkSession, root: str, before: int | None = None) -> int:
+    vs = [v for v in store.committed_versions(spark, _base(root)) if before is None or v <= before]
+    if not vs:
+        raise FileNotFoundError(f"no base version under {root}")
+    return vs[-1]
+
+
 def seed_tables(freq: DataFrame, freq_root: str, index_root: str | None = None) -> None:
-    """Version 0: the ingested frequency table (score = count, i.e. every
-    row is stamped at the landmark) and its index."""
-    store.write_version(freq.select("query", "display", "count", "score"), freq_root, 0)
+    """Base version 0: the ingested table (score = count, i.e. every row is
+    stamped at the landmark) and its index."""
+    store.write_version(freq.select(*FREQUENCY_COLUMNS), _base(freq_root), 0)
     if index_root:
         spark = freq.sparkSession
-        base = store.read_version(spark, freq_root, 0)
-        store.write_version(build_index_long(base), index_root, 0, sort_col="prefix")
+        base = store.read_version(spark, _base(freq_root), 0)
+        store.write_version(build_index_long(base), _base(index_root), 0, sort_col="prefix")
+
+
+def read_frequency(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+    """Current frequency table (merge on read): newest base plus the deltas
+    of later batches (``< upto`` when given). The base display wins; a new
+    query takes the display of its earliest batch."""
+    v = _base_version(spark, root, upto)
+    base = store.read_version(spark, _base(root), v)
+    d = _deltas(spark, root, v, upto)
+    if d is None:
+        return base
+    old = base.select("query", F.lit(-1).cast("bigint").alias("_src"), "display", "count", "score")
+    new = d.select(
+        "query",
+        F.col("batch").cast("bigint").alias("_src"),
+        "display",
+        F.col("delta").cast("bigint").alias("count"),
+        F.col("g").alias("score"),
+    )
+    return (
+        old.unionByName(new)
+        .groupBy("query")
+        .agg(F.min_by("display", "_src").alias("display"), F.sum("count").alias("count"), F.sum("score").alias("score"))
+        .select(*FREQUENCY_COLUMNS)
+    )
+
+
+def read_index(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+    """Current long-form index: for each (prefix, rank) the rows of the newest
+    version that holds it. The window spans ≤ k rows per version of one key."""
+    v = _base_version(spark, root, upto)
+    base = store.read_version(spark, _base(root), v).withColumn("batch", F.lit(-1).cast("bigint"))
+    d = _deltas(spark, root, v, upto)
+    if d is None:
+        return base.drop("batch")
+    u = base.unionByName(d.withColumn("batch", F.col("batch").cast("bigint")))
+    newest = F.max("batch").over(Window.partitionBy("prefix", "rank"))
+    return u.withColumn("_newest", newest).filter(F.col("batch") == F.col("_newest")).select(*LONG_COLUMNS)
+
+
+def compact(spark: SparkSession, freq_root: str, index_root: str | None, upto: int) -> None:
+    """Fold the deltas of batches ``< upto`` into base version ``upto``."""
+    if not store.is_committed(spark, _base(freq_root), upto):
+        store.write_version(read_frequency(spark, freq_root, upto), _base(freq_root), upto)
+    if index_root and not store.is_committed(spark, _base(index_root), upto):
+        store.write_version(read_index(spark, index_root, upto), _base(index_root), upto, sort_col="prefix")
 
 
 def apply_batch(
@@ -74,31 +155,37 @@ def apply_batch(
     anchor: str,
     factor: float = DECAY_FACTOR,
     decay_interval_seconds: float = DECAY_INTERVAL_SECONDS,
+    compact_every: int = COMPACT_EVERY,
 ) -> bool:
     """One flush. Returns False when the batch was already applied or empty."""
-    from prefixdex.operators.frequency import upsert
-
-    version = batch_id + 1
-    if store.is_committed(spark, freq_root, version) and (
-        index_root is None or store.is_committed(spark, index_root, version)
-    ):
+    done_f = store.is_committed(spark, _delta(freq_root), batch_id)
+    done_i = index_root is None or store.is_committed(spark, _delta(index_root), batch_id)
+    if done_f and done_i:
         return False
-    prev = max(v for v in store.committed_versions(spark, freq_root) if v < version)
-    deltas = batch_deltas(batch, anchor, factor, decay_interval_seconds).persist()
-    try:
+    deltas = batch_deltas(batch, anchor, factor, decay_interval_seconds).withColumn(
+        "batch", F.lit(batch_id).cast("bigint")
+    )
+    if not done_f:
+        deltas = deltas.checkpoint(eager=True)  # used by both writes below
         if deltas.limit(1).count() == 0:
             return False
-        old = store.read_version(spark, freq_root, prev)
-        if not store.is_committed(spark, freq_root, version):
-            store.write_version(upsert(old, deltas, score_delta="g"), freq_root, version)
-        if index_root:
-            new_freq = store.read_version(spark, freq_root, version)
-            iprev = max(v for v in store.committed_versions(spark, index_root) if v < version)
-            old_idx = store.read_version(spark, index_root, iprev)
-            new_idx = refresh_index_long(old_idx, new_freq, deltas.select("query"))
-            store.write_version(new_idx, index_root, version, sort_col="prefix")
-    finally:
-        deltas.unpersist()
+        store.write_version(deltas, _delta(freq_root), batch_id)
+    deltas = store.read_version(spark, _delta(freq_root), batch_id)
+    if not done_i:
+        changed = deltas.select("query")
+        # New rows of the changed queries only: base ⋉ changed merged with the
+        # deltas up to this batch; the old lists of the affected prefixes.
+        new_rows = read_frequency(spark, freq_root, batch_id + 1).join(changed, "query", "left_semi")
+        old_index = read_index(spark, index_root, batch_id)
+        refreshed = refresh_index_long(old_index, new_rows, changed)
+        # keep only the recomputed keys: the affected prefixes of this batch
+        affected = affected_prefixes(changed).select("prefix", "rank")
+        out = refreshed.join(affected, ["prefix", "rank"], "left_semi").withColumn(
+            "batch", F.lit(batch_id).cast("bigint")
+        )
+        store.write_version(out, _delta(index_root), batch_id, sort_col="prefix")
+    if compact_every and (batch_id + 1) % compact_every == 0:
+        compact(spark, freq_root, index_root, batch_id + 1)
     return True
 
 
@@ -112,13 +199,16 @@ def run_search_stream(
     factor: float = DECAY_FACTOR,
     decay_interval_seconds: float = DECAY_INTERVAL_SECONDS,
     processing_time: str | None = None,
+    compact_every: int = COMPACT_EVERY,
 ):
     """Start the stream (``availableNow`` unless ``processing_time`` such
     as ``"2 seconds"`` is given). ``events`` is a streaming DataFrame with
-    ``event_id, ts, query``; ``freq_root`` must hold version 0."""
+    ``event_id, ts, query``; ``freq_root`` must hold base version 0."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(spark, batch, batch_id, freq_root, index_root, anchor, factor, decay_interval_seconds)
+        apply_batch(
+            spark, batch, batch_id, freq_root, index_root, anchor, factor, decay_interval_seconds, compact_every
+        )
 
     w = accepted(events).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
@@ -143,5 +233,9 @@ def recency_stream(
 
 
 def scores_at(scaled: DataFrame, now_tick: int, factor: float = DECAY_FACTOR, landmark: int = 0, col: str = "g") -> DataFrame:
-    """Read-time score from landmark-scaled values."""
+    """Read-time score from landmark-scaled values; with update-mode output
+    appended per batch (``batch`` column), the newest row per query wins."""
+    if "batch" in scaled.columns:
+        newest = F.max("batch").over(Window.partitionBy("query"))
+        scaled = scaled.withColumn("_n", newest).filter(F.col("batch") == F.col("_n")).drop("_n")
     return scaled.withColumn("score", F.col(col) * F.lit(float(factor) ** (now_tick - landmark)))

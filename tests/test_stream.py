@@ -30,21 +30,28 @@ def test_stream_equals_batch_and_replay_is_noop(spark, tmp_path):
     _write_events(spark, src + "/p2", rows2)
     q = ss.run_search_stream(spark, stream, f_root, str(tmp_path / "cp"), ANCHOR, i_root, 0.9, 86400)
     q.awaitTermination()
-    got = {r.query: (r.display, r["count"]) for r in store.read_version(spark, f_root).collect()}
+    got = {r.query: (r.display, r["count"]) for r in ss.read_frequency(spark, f_root).collect()}
     assert got == {"iphone 15": ("iphone 15", 202), "yoga mat": ("yoga mat", 31), "new thing": ("new thing", 2)}
     # landmark-scaled score: base + Σ 0.9^-tick (day ticks)
-    sc = {r.query: r.score for r in store.read_version(spark, f_root).collect()}
+    sc = {r.query: r.score for r in ss.read_frequency(spark, f_root).collect()}
     assert abs(sc["new thing"] - (1 + 0.9 ** -1)) < 1e-9
     # incremental index equals a rebuild of the final table
-    idx = store.read_version(spark, i_root)
-    rebuilt = prefix.build_index_long(store.read_version(spark, f_root))
+    idx = ss.read_index(spark, i_root)
+    rebuilt = prefix.build_index_long(ss.read_frequency(spark, f_root))
     cols = list(prefix.LONG_COLUMNS)
     assert sorted(idx.select(*cols).collect()) == sorted(rebuilt.select(*cols).collect())
     # replaying an applied batch changes nothing
-    v = store.latest_version(spark, f_root)
+    applied = store.committed_versions(spark, f_root + "/delta")
+    last = applied[-1]
     batch = spark.createDataFrame(rows2, schema)
-    assert ss.apply_batch(spark, batch, v - 1, f_root, i_root, ANCHOR) is False
-    assert store.latest_version(spark, f_root) == v
+    assert ss.apply_batch(spark, batch, last, f_root, i_root, ANCHOR) is False
+    assert {r.query: r["count"] for r in ss.read_frequency(spark, f_root).collect()}["iphone 15"] == 202
+    # compaction folds the deltas into a new base with the same content
+    ss.compact(spark, f_root, i_root, last + 1)
+    assert store.committed_versions(spark, f_root + "/base") == [0, last + 1]
+    assert sorted(ss.read_frequency(spark, f_root).collect()) == sorted(
+        ss.read_frequency(spark, f_root, upto=last + 1).collect())
+    assert sorted(ss.read_index(spark, i_root).select(*cols).collect()) == sorted(rebuilt.select(*cols).collect())
 
 
 def test_recency_stream_update_mode(spark, tmp_path):
