@@ -55,7 +55,8 @@ def personalized_merge(
     ``global_long``: ``prefix, pos, query, count, score`` for normalized
     prefixes. Output ``user_id, typed, pos, query, count, score,
     personalized``; a history entry found in the global list takes its text
-    and numbers from there."""
+    and numbers from there. ``requests`` and ``global_long`` are each read
+    twice: pass materialized tables when they are costly to derive."""
     req = requests.select("user_id", "typed").distinct().withColumn(
         "_p", history_key(F.col("typed"))
     ).withColumn("prefix", normalize(F.col("typed")))
@@ -67,7 +68,13 @@ def personalized_merge(
     h = history.select("user_id", F.col("pos").alias("_hpos"), F.col("q").alias("_hq")).withColumn(
         "_k", F.lower(F.col("_hq"))
     )
-    hm = req.join(h, "user_id").filter(F.col("_k").startswith(F.col("_p")))
+    # starts-with as an equi-join: each (≤ cap per user) history text is cut
+    # into its prefixes, so a request meets only the entries it matches
+    # instead of all of its user's entries.
+    hp = h.withColumn(
+        "_p", F.explode(F.expr("transform(sequence(1, greatest(length(_k), 1)), i -> substring(_k, 1, i))"))
+    )
+    hm = req.join(hp, ["user_id", "_p"])
     hm = hm.join(g, ["prefix", "_k"], "left").select(
         "user_id",
         "typed",

@@ -272,10 +272,11 @@ def q_user_history(spark, d):
 
 def q_personalized_merge(spark, d):
     ev = accepted_events(spark, d)
-    req = tables.keystrokes(ev).select("user_id", "typed").distinct()
+    # requests and global answers each feed two branches of the merge
+    req = tables.keystrokes(ev).select("user_id", "typed").distinct().checkpoint(eager=True)
     keys = prefix.request_keys(req.select("typed"), "typed", None)
     glob = prefix.answers_long(prefix.bulk_suggest(freq_parts(spark, d), keys)).filter(F.col("pos").isNotNull())
-    return history.personalized_merge(req, _history(spark, d), glob)
+    return history.personalized_merge(req, _history(spark, d), glob.checkpoint(eager=True))
 
 
 def q_stream_frequency(spark, d):
