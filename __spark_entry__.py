@@ -494,4 +494,16 @@ gm AS (
       WHERE pos <= 10"""
     q["stream_frequency"] = _with(*_PARTS_FREQ, _EVENTS, _DELTAS, _upsert("freq", "deltas", "upserted", "g")) + """
       SELECT query, display, count, round(score, 6) AS score_scaled FROM upserted"""
+    q["payloads_parts"] = _with(*_PARTS_FREQ, _index_long("freq", "idx")) + """
+      SELECT prefix, rank, 'sug:' || rank || ':' || prefix AS key,
+             to_json(list(struct_pack(query := query, count := count, score := score) ORDER BY pos)) AS payload,
+             CAST(count(*) AS INTEGER) AS n
+      FROM idx GROUP BY prefix, rank"""
+    q["recency_stream"] = q["recency_scores"]
+    q["window_activity_stream"] = _with(*_PARTS_FREQ, _EVENTS) + f"""
+      SELECT tick AS window_tick, count(*) AS events, count(DISTINCT nq) AS distinct_queries
+      FROM (SELECT {_tick("ts", 21600)} AS tick, {_norm("query")} AS nq FROM accepted WHERE {_norm("query")} <> '')
+      WHERE (tick + 1) * CAST(21600000000 AS BIGINT) + epoch_us({_ANCHOR})
+            <= (SELECT epoch_us(max(ts)) FROM accepted) - CAST(21600000000 AS BIGINT)
+      GROUP BY tick"""
     return q

@@ -279,6 +279,80 @@ def q_personalized_merge(spark, d):
     return history.personalized_merge(req, _history(spark, d), glob.checkpoint(eager=True))
 
 
+def q_payloads_parts(spark, d):
+    """Cache key and serialized list per index entry; ``n`` decodes the
+    payload again."""
+    from prefixdex.functions.keys import from_payload, to_payload
+
+    idx = prefix.build_index(freq_parts(spark, d))
+    payload = to_payload("suggestions")
+    return idx.select(
+        "prefix",
+        "rank",
+        cache_key("prefix", "rank").alias("key"),
+        payload.alias("payload"),
+        F.size(from_payload(payload)).alias("n"),
+    )
+
+
+def _event_stream(spark, d):
+    """The events file read as a stream, each event a search for its part's
+    name (stream-static join with ``part``)."""
+    raw = spark.readStream.schema(tables.load(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parq*")
+    part = tables.load(spark, d, "part").select("p_partkey", "p_name")
+    n_parts = part.select(F.count(F.lit(1))).scalar()
+    return raw.join(part, (raw.event_id % n_parts) == part.p_partkey).select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("p_name").alias("query")
+    )
+
+
+def q_recency_stream(spark, d):
+    """O30s: update-mode streaming aggregation of landmark-scaled scores,
+    appended per micro-batch; read back as the newest row per query."""
+    from prefixdex.streaming import search_stream as ss
+
+    root = work_dir(spark, "recency-stream")
+    agg = ss.recency_stream(_event_stream(spark, d), ANCHOR, decay.DECAY_FACTOR, DAY)
+
+    def sink(df, batch_id):
+        df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(f"{root}/out")
+
+    q = (
+        agg.writeStream.outputMode("update")
+        .foreachBatch(sink)
+        .option("checkpointLocation", f"{root}/_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    out = ss.scores_at(spark.read.parquet(f"{root}/out"), now_tick(spark, d, DAY), decay.DECAY_FACTOR)
+    return _round(out.select("query", "events", "score"), "score")
+
+
+def q_window_activity_stream(spark, d):
+    """Event-time windows of 6 h with a 6 h watermark: events and distinct
+    queries per window, emitted once the watermark has passed the window."""
+    from prefixdex.streaming import search_stream as ss
+
+    root = work_dir(spark, "window-activity")
+    out = ss.window_activity(_event_stream(spark, d), "6 hours", "6 hours")
+    q = (
+        out.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    res = spark.read.parquet(f"{root}/out")
+    return res.select(
+        events.tick_of(F.col("window.start"), ANCHOR, FLUSH_INTERVAL).alias("window_tick"),
+        "events",
+        "distinct_queries",
+    )
+
+
 def q_stream_frequency(spark, d):
     """O28 end to end: the events file read as a stream, applied by
     ``foreachBatch`` to a versioned frequency table and prefix index."""
@@ -287,12 +361,7 @@ def q_stream_frequency(spark, d):
     root = work_dir(spark, "stream-frequency")
     f_root, i_root = f"{root}/frequency", f"{root}/index"
     ss.seed_tables(freq_parts(spark, d), f_root, i_root)
-    raw = spark.readStream.schema(tables.load(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parq*")
-    part = tables.load(spark, d, "part").select("p_partkey", "p_name")
-    n_parts = part.select(F.count(F.lit(1))).scalar()
-    stream = raw.join(part, (raw.event_id % n_parts) == part.p_partkey).select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("p_name").alias("query")
-    )
+    stream = _event_stream(spark, d)
     q = ss.run_search_stream(spark, stream, f_root, f"{root}/_checkpoint", ANCHOR, i_root, decay.DECAY_FACTOR, DAY)
     q.awaitTermination()
     out = ss.read_frequency(spark, f_root)
@@ -337,4 +406,7 @@ QUERIES = {
     "user_history": q_user_history,
     "personalized_merge": q_personalized_merge,
     "stream_frequency": q_stream_frequency,
+    "payloads_parts": q_payloads_parts,
+    "recency_stream": q_recency_stream,
+    "window_activity_stream": q_window_activity_stream,
 }

@@ -232,6 +232,19 @@ def recency_stream(
     return e.groupBy("query").agg(F.count(F.lit(1)).alias("events"), F.sum("_w").alias("g"))
 
 
+def window_activity(events: DataFrame, window: str = "6 hours", lateness: str = "6 hours") -> DataFrame:
+    """Per event-time window: ``window, events, distinct_queries`` (the writes
+    one flush per window would make). Two chained stateful aggregations in
+    append mode; the watermark bounds the state, and a window is emitted once
+    the watermark passes its end, so a late event within ``lateness`` still
+    counts in its own window."""
+    e = accepted(events).select("ts", normalize(F.col("query")).alias("query")).withWatermark("ts", lateness)
+    per_q = e.groupBy(F.window("ts", window).alias("w"), "query").agg(F.count(F.lit(1)).alias("n"))
+    return per_q.groupBy(F.window(F.window_time("w"), window).alias("window")).agg(
+        F.sum("n").alias("events"), F.count(F.lit(1)).alias("distinct_queries")
+    )
+
+
 def scores_at(scaled: DataFrame, now_tick: int, factor: float = DECAY_FACTOR, landmark: int = 0, col: str = "g") -> DataFrame:
     """Read-time score from landmark-scaled values; with update-mode output
     appended per batch (``batch`` column), the newest row per query wins."""

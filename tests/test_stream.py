@@ -70,3 +70,28 @@ def test_recency_stream_update_mode(spark, tmp_path):
     got = {r.query: r for r in ss.scores_at(spark.read.parquet(out), now_tick=2).collect()}
     want_a = sum(0.9 ** (2 - (i % 3)) for i in range(9) if i % 2)
     assert got["a"].events == 4 and abs(got["a"].score - want_a) < 1e-9
+
+
+def test_window_activity_late_data(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    src = str(tmp_path / "ev")
+    schema = "event_id bigint, ts timestamp, query string"
+    stream = spark.readStream.schema(schema).parquet(src + "/*")
+    out = ss.window_activity(stream, "1 hour", "1 hour")
+    cp, path = str(tmp_path / "cp"), str(tmp_path / "out")
+
+    def run():
+        q = out.writeStream.outputMode("append").format("parquet").option("path", path).option(
+            "checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    h = lambda x: t0 + dt.timedelta(hours=x)
+    one_file = lambda path, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    one_file(src + "/p1", [(1, h(0.1), "a"), (2, h(0.2), "A"), (3, h(1.5), "b"), (4, h(2.5), "c")])
+    run()
+    # The watermark is now 1.5 h: window [0,1) is closed and a 0.5 h event is
+    # dropped; a 2.1 h event is late but its window [2,3) is still open.
+    one_file(src + "/p2", [(5, h(0.5), "z"), (6, h(2.1), "c"), (7, h(5.0), "d")])
+    run()
+    got = {(r.window.start.hour, r.events, r.distinct_queries) for r in spark.read.parquet(path).collect()}
+    assert got == {(0, 2, 1), (1, 1, 1), (2, 2, 1)}
