@@ -17,7 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from prefixdex.operators import decay, frequency, prefix  # noqa: E402
 from prefixdex.plans import registry  # noqa: E402
-from prefixdex.plans.session import build_session  # noqa: E402
+from prefixdex.plans.session import build_session, work_dir  # noqa: E402
+from prefixdex.sources import store  # noqa: E402
 
 
 def _decay_documents(spark, d):
@@ -29,6 +30,56 @@ def _full_rebuild(spark, d):
     return prefix.build_index_long(frequency.upsert(base, registry.event_totals(spark, d)))
 
 
+class Stored:
+    """The document frequency table and its index written once (untimed), as
+    a deployed index would be; the change is every search event."""
+
+    def __init__(self, spark, d):
+        root = work_dir(spark, "bench-stored")
+        self.freq_path, self.index_path = f"{root}/freq", f"{root}/index"
+        store.write_version(registry.freq_documents(spark, d), self.freq_path, 0)
+        freq = store.read_version(spark, self.freq_path, 0)
+        store.write_version(prefix.build_index_long(freq), self.index_path, 0, sort_col="prefix")
+        self.deltas = registry.event_totals(spark, d).checkpoint(eager=True)
+
+    def incremental(self, spark, d):
+        freq = store.read_version(spark, self.freq_path, 0)
+        changed = self.deltas.select("query")
+        new_rows = frequency.upsert(freq.join(changed, "query", "left_semi"), self.deltas)
+        old = store.read_version(spark, self.index_path, 0)
+        return prefix.refresh_lists(old, new_rows, changed)
+
+    def rebuild(self, spark, d):
+        freq = store.read_version(spark, self.freq_path, 0)
+        return prefix.build_index_long(frequency.upsert(freq, self.deltas))
+
+    def decay(self, spark, d):
+        return decay.decay_step(store.read_version(spark, self.freq_path, 0))
+
+
+def _ring_figures(spark):
+    """The published ring figures: 20,000 generated keys over 3 nodes, then a
+    4th node (fixed input; reported, not timed)."""
+    from prefixdex.operators import ring
+
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+    def b36(n):
+        s = ""
+        while True:
+            n, r = divmod(n, 36)
+            s = digits[r] + s
+            if n == 0:
+                return s
+
+    keys = spark.createDataFrame([("sug:" + b36((i * 2654435761) % (1 << 32))[:4],) for i in range(20000)], "key string")
+    three = ring.ring_table(spark, ["redis-0", "redis-1", "redis-2"])
+    four = ring.ring_table(spark, ["redis-0", "redis-1", "redis-2", "redis-3"])
+    bal = {r.node: r.share_pct for r in ring.node_balance(ring.assign_owner(keys, "key", three)).collect()}
+    remap = ring.remap_report(keys, "key", three, four, ["redis-3"]).first()
+    return {"ring_share_pct": dict(sorted(bal.items())), "remap_pct": remap.moved_pct, "remap_elsewhere": remap.moved_elsewhere}
+
+
 HEADLINE = {
     "ingest_documents": registry.q_frequency_documents,
     "index_build_documents": registry.q_prefix_index_documents,
@@ -55,12 +106,23 @@ def main() -> None:
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus))
     registry.freq_parts(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times: dict[str, float] = {}
-    for name, fn in HEADLINE.items():
+    jobs = dict(HEADLINE)
+    if not only or any(n.endswith("_stored") for n in only):
+        stored = Stored(spark, sf_dir)
+        jobs.update(
+            {
+                "incremental_refresh_stored": stored.incremental,
+                "full_rebuild_stored": stored.rebuild,
+                "decay_step_stored": stored.decay,
+            }
+        )
+    for name, fn in jobs.items():
         if only and name not in only:
             continue
         t0 = time.perf_counter()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+    figures = _ring_figures(spark) if not only else {}
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(
         json.dumps(
@@ -71,6 +133,7 @@ def main() -> None:
                 "queries": times,
                 "sf": sf,
                 "cpus": cpus,
+                "figures": figures,
             }
         )
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from prefixdex.functions.keys import RANKS, cache_key, parse_rank, rank_metric
 from prefixdex.functions.predicates import has_prefix, is_fresh
 from prefixdex.functions.text import normalize, normalize_literal
-from prefixdex.plans.session import BROADCAST_MAX_ROWS
+from prefixdex.plans.session import BROADCAST_MAX_ROWS, broadcast_if_small
 
 # List length and the longest indexed prefix.
 SUGGEST_LIMIT = 10
@@ -285,32 +285,52 @@ def affected_prefixes(
     ).withColumn("key", cache_key("prefix", "rank"))
 
 
-def refresh_index_long(
+def refresh_lists(
     old_long: DataFrame,
-    new_freq: DataFrame,
+    new_rows: DataFrame,
     changed_queries: DataFrame,
     k: int = SUGGEST_LIMIT,
     max_len: int = MAX_INDEXED_PREFIX,
 ) -> DataFrame:
-    """O26, exact incremental refresh of a long-form index after
-    ``changed_queries`` (one column ``query``, normalized) received
-    non-negative deltas that are already in ``new_freq``.
+    """O26, exact incremental refresh: the new lists (long form) of exactly
+    the (prefix, rank) keys a change can alter, given the old long-form index,
+    the changed queries (column ``query``, normalized; non-negative deltas) and
+    their new frequency rows (``new_rows`` may hold more rows; only the changed
+    ones are used).
 
     Counts only grow and recency scores are compared landmark-scaled, so an
     unchanged query outside a prefix's top-k can never enter it. The new list
     of an affected prefix is therefore top-k(old list without the changed
-    queries ∪ the changed queries' new rows); unaffected prefixes keep their
-    rows. No base-table rescan: the work is proportional to the change."""
+    queries ∪ the changed queries' new rows). The old index is only filtered
+    (map side, against the broadcast affected prefixes when their count is
+    small); the rest of the work is proportional to the change."""
     changed = changed_queries.select("query").distinct()
-    changed_rows = new_freq.join(changed, "query", "left_semi")
+    changed_rows = new_rows.join(changed, "query", "left_semi")
     fresh_cands = _explode_candidates(changed_rows, RANKS, max_len)
-    affected = fresh_cands.select("prefix").distinct()
+    affected = broadcast_if_small(fresh_cands.select("prefix").distinct().checkpoint(eager=True))
     old_affected = old_long.join(affected, "prefix", "left_semi")
     # A suggestion's normalized key is normalize(display); drop the changed ones.
     old_kept = old_affected.withColumn("_key", normalize(F.col("query"))).join(
         changed.withColumnRenamed("query", "_key"), "_key", "left_anti"
     )
-    untouched = old_long.join(affected, "prefix", "left_anti")
     cols = ["prefix", "rank", "query", "count", "score"]
     recomputed = _top_k(old_kept.select(*cols).unionByName(fresh_cands.select(*cols)), k)
-    return untouched.select(*LONG_COLUMNS).unionByName(recomputed.select(*LONG_COLUMNS))
+    return recomputed.select(*LONG_COLUMNS)
+
+
+def refresh_index_long(
+    old_long: DataFrame,
+    new_freq: DataFrame,
+    changed_queries: DataFrame,
+    k: int = SUGGEST_LIMIT,
+    max_len: int = MAX_INDEXED_PREFIX,
+) -> DataFrame:
+    """The whole index after a change: untouched keys keep their rows, the
+    affected keys get :func:`refresh_lists`. (A stored index only needs the
+    refreshed lists written; see the streaming sink.)"""
+    lists = refresh_lists(old_long, new_freq, changed_queries, k, max_len)
+    affected = broadcast_if_small(
+        affected_prefixes(changed_queries, "query", max_len).select("prefix").distinct()
+    )
+    untouched = old_long.join(affected, "prefix", "left_anti")
+    return untouched.select(*LONG_COLUMNS).unionByName(lists)

@@ -32,7 +32,7 @@ from prefixdex.functions.text import normalize, ws_trim
 from prefixdex.operators.decay import DECAY_FACTOR, DECAY_INTERVAL_SECONDS, landmark_weight
 from prefixdex.operators.events import tick_of
 from prefixdex.operators.frequency import FREQUENCY_COLUMNS
-from prefixdex.operators.prefix import LONG_COLUMNS, affected_prefixes, build_index_long, refresh_index_long
+from prefixdex.operators.prefix import LONG_COLUMNS, build_index_long, refresh_lists
 from prefixdex.sources import store
 
 COMPACT_EVERY = 50
@@ -177,12 +177,7 @@ def apply_batch(
         # deltas up to this batch; the old lists of the affected prefixes.
         new_rows = read_frequency(spark, freq_root, batch_id + 1).join(changed, "query", "left_semi")
         old_index = read_index(spark, index_root, batch_id)
-        refreshed = refresh_index_long(old_index, new_rows, changed)
-        # keep only the recomputed keys: the affected prefixes of this batch
-        affected = affected_prefixes(changed).select("prefix", "rank")
-        out = refreshed.join(affected, ["prefix", "rank"], "left_semi").withColumn(
-            "batch", F.lit(batch_id).cast("bigint")
-        )
+        out = refresh_lists(old_index, new_rows, changed).withColumn("batch", F.lit(batch_id).cast("bigint"))
         store.write_version(out, _delta(index_root), batch_id, sort_col="prefix")
     if compact_every and (batch_id + 1) % compact_every == 0:
         compact(spark, freq_root, index_root, batch_id + 1)
