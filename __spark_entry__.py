@@ -23,17 +23,23 @@ from prefixdex.plans.session import ensure_checkpoint_dir  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+def _prepare(spark: SparkSession) -> None:
+    """Ticks and event-time windows are defined on UTC wall-clock time."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: top-10 suggestions of every prefix (length 1..40) under both
     rankings, for the frequency table built from all document lines."""
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     return registry.q_prefix_index_documents(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_checkpoint_dir(spark)
+            _prepare(spark)
             return fn(spark, sf_dir)
 
         run.__name__ = fn.__name__

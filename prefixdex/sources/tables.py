@@ -60,12 +60,13 @@ def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``event_id, ts (TIMESTAMP), user_id, event_type, value, query``."""
+    """``event_id, ts, user_id, event_type, value, query`` (``ts`` keeps the
+    stored wall-clock type; ticks are computed in UTC)."""
     part = load(spark, sf_dir, "part").select("p_partkey", "p_name")
     n_parts = part.select(F.count(F.lit(1))).scalar()
     events = load(spark, sf_dir, "events").select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         "user_id",
         "event_type",
         "value",
