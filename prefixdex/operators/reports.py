@@ -78,9 +78,9 @@ def rolling_latency(
     rows."""
     o = with_ordinal(log, list(order), [group], out="_i")
     chunk = F.floor(F.col("_i") / samples).cast("bigint")
-    own = o.withColumn("_c", chunk).withColumn("_own", F.lit(True))
-    ctx = o.withColumn("_c", chunk + 1).withColumn("_own", F.lit(False))
-    u = own.unionByName(ctx)
+    # each row is its own chunk's target and the next chunk's context
+    u = o.withColumn("_own_c", chunk).withColumn("_c", F.explode(F.array(chunk, chunk + 1)))
+    u = u.withColumn("_own", F.col("_c") == F.col("_own_c")).drop("_own_c")
     w = Window.partitionBy(group, "_c").orderBy("_i").rowsBetween(-(samples - 1), 0)
     u = u.withColumn("_s", F.array_sort(F.collect_list(value).over(w)))
     n = F.size("_s")
