@@ -32,7 +32,8 @@ from prefixdex.functions.text import normalize, ws_trim
 from prefixdex.operators.decay import DECAY_FACTOR, DECAY_INTERVAL_SECONDS, landmark_weight
 from prefixdex.operators.events import tick_of
 from prefixdex.operators.frequency import FREQUENCY_COLUMNS
-from prefixdex.operators.prefix import LONG_COLUMNS, build_index_long, refresh_lists
+from prefixdex.operators.prefix import LONG_COLUMNS, affected_prefixes, build_index_long, refresh_lists
+from prefixdex.plans.session import broadcast_if_small
 from prefixdex.sources import store
 
 COMPACT_EVERY = 50
@@ -100,15 +101,30 @@ def seed_tables(freq: DataFrame, freq_root: str, index_root: str | None = None)
         store.write_version(build_index_long(base), _base(index_root), 0, sort_col="prefix")
 
 
-def read_frequency(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+def _only(df: DataFrame, keys: DataFrame | None, col: str) -> DataFrame:
+    """Restrict a stored branch to ``keys`` before any merge: Catalyst does
+    not push a semi-join below the merge aggregate/window, so the filter is
+    applied to each branch here (map side when the key set is small)."""
+    if keys is None:
+        return df
+    return df.join(keys, col, "left_semi")
+
+
+def read_frequency(
+    spark: SparkSession, root: str, upto: int | None = None, only: DataFrame | None = None
+) -> DataFrame:
     """Current frequency table (merge on read): newest base plus the deltas
-    of later batches (``< upto`` when given). The base display wins; a new
-    query takes the display of its earliest batch."""
+    of later batches (``< upto`` when given), optionally only for the queries
+    in ``only`` (column ``query``). The base display wins; a new query takes
+    the display of its earliest batch."""
+    if only is not None:
+        only = broadcast_if_small(only.select("query").distinct())
     v = _base_version(spark, root, upto)
-    base = store.read_version(spark, _base(root), v)
+    base = _only(store.read_version(spark, _base(root), v), only, "query")
     d = _deltas(spark, root, v, upto)
     if d is None:
         return base
+    d = _only(d, only, "query")
     old = base.select("query", F.lit(-1).cast("bigint").alias("_src"), "display", "count", "score")
     new = d.select(
         "query",
@@ -125,14 +141,21 @@ def read_frequency(spark: SparkSession, root: str, upto: int | None = None) -> D
     )
 
 
-def read_index(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+def read_index(
+    spark: SparkSession, root: str, upto: int | None = None, prefixes: DataFrame | None = None
+) -> DataFrame:
     """Current long-form index: for each (prefix, rank) the rows of the newest
-    version that holds it. The window spans ≤ k rows per version of one key."""
+    version that holds it, optionally only for ``prefixes`` (column
+    ``prefix``). The window spans ≤ k rows per version of one key."""
+    if prefixes is not None:
+        prefixes = broadcast_if_small(prefixes.select("prefix").distinct())
     v = _base_version(spark, root, upto)
-    base = store.read_version(spark, _base(root), v).withColumn("batch", F.lit(-1).cast("bigint"))
+    base = _only(store.read_version(spark, _base(root), v), prefixes, "prefix")
+    base = base.withColumn("batch", F.lit(-1).cast("bigint"))
     d = _deltas(spark, root, v, upto)
     if d is None:
         return base.drop("batch")
+    d = _only(d, prefixes, "prefix")
     u = base.unionByName(d.withColumn("batch", F.col("batch").cast("bigint")))
     newest = F.max("batch").over(Window.partitionBy("prefix", "rank"))
     return u.withColumn("_newest", newest).filter(F.col("batch") == F.col("_newest")).select(*LONG_COLUMNS)
@@ -173,10 +196,12 @@ def apply_batch(
     deltas = store.read_version(spark, _delta(freq_root), batch_id)
     if not done_i:
         changed = deltas.select("query")
-        # New rows of the changed queries only: base ⋉ changed merged with the
-        # deltas up to this batch; the old lists of the affected prefixes.
-        new_rows = read_frequency(spark, freq_root, batch_id + 1).join(changed, "query", "left_semi")
-        old_index = read_index(spark, index_root, batch_id)
+        # New rows of the changed queries only (base ⋉ changed merged with the
+        # deltas up to this batch) and the old lists of the affected prefixes:
+        # the stored tables are only filtered, never merged in full.
+        new_rows = read_frequency(spark, freq_root, batch_id + 1, only=changed)
+        affected = affected_prefixes(changed).select("prefix").distinct().checkpoint(eager=True)
+        old_index = read_index(spark, index_root, batch_id, prefixes=affected)
         out = refresh_lists(old_index, new_rows, changed).withColumn("batch", F.lit(batch_id).cast("bigint"))
         store.write_version(out, _delta(index_root), batch_id, sort_col="prefix")
     if compact_every and (batch_id + 1) % compact_every == 0:
