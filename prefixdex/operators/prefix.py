@@ -247,7 +247,11 @@ def lookup(
     Keys and index rows are both unique per (prefix, rank), so the joins have
     no skewed key."""
     fresh = index.filter(is_fresh("computed_at", ttl_seconds, now)).select("prefix", "rank", "suggestions")
-    # One pass over the index; the result (≤ one row per key) is reused twice.
+    # The index is filtered to the requested keys first (map side when the
+    # key set is small), then joined; the result (≤ one row per key) is
+    # reused twice, so it is materialized once.
+    wanted = broadcast_if_small(keys.select("prefix", "rank"))
+    fresh = fresh.join(wanted, ["prefix", "rank"], "left_semi")
     probed = keys.join(fresh, ["prefix", "rank"], "left").checkpoint(eager=True)
     hit = F.col("suggestions").isNotNull() & (F.col("prefix") != "")
     hits = probed.filter(hit).select(

@@ -121,9 +121,13 @@ def routing_report(keys: DataFrame, ring: DataFrame, index: DataFrame, fresh: Co
     (fresh) list for the key, MISS otherwise."""
     from prefixdex.functions.keys import cache_key
 
-    k = keys.select("prefix", "rank").distinct().withColumn("key", cache_key("prefix", "rank"))
-    owned = assign_owner(k, "key", ring)
+    from prefixdex.plans.session import broadcast_if_small
+
+    k = keys.select("prefix", "rank").distinct().checkpoint(eager=True)
+    owned = assign_owner(k.withColumn("key", cache_key("prefix", "rank")), "key", ring)
     idx = index if fresh is None else index.filter(fresh)
+    # only the index rows of the asked keys (map side when the key set is small)
+    idx = idx.join(broadcast_if_small(k), ["prefix", "rank"], "left_semi")
     present = idx.select("prefix", "rank").withColumn("_present", F.lit(True))
     return owned.join(present, ["prefix", "rank"], "left").select(
         "prefix",
