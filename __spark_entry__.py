@@ -506,6 +506,7 @@ gm AS (
              CAST(count(*) AS INTEGER) AS n
       FROM idx GROUP BY prefix, rank"""
     q["recency_stream"] = q["recency_scores"]
+    q["ingest_csv_parts"] = q["frequency_parts"]
     q["window_activity_stream"] = _with(*_PARTS_FREQ, _EVENTS) + f"""
       SELECT tick AS window_tick, count(*) AS events, count(DISTINCT nq) AS distinct_queries
       FROM (SELECT {_tick("ts", 21600)} AS tick, {_norm("query")} AS nq FROM accepted WHERE {_norm("query")} <> '')

@@ -63,3 +63,17 @@ def test_versioned_store(spark, tmp_path):
     assert store.read_version(spark, root).count() == 1
     assert store.read_version(spark, root, 0).count() == 2
     assert store.dataset_size(df).first().dataset_size == 2
+
+
+def test_ingest_job_samples_in_file_order(spark, tmp_path):
+    from prefixdex.plans.ingest import ingest_catalog
+
+    header = "asin,title,imgUrl,productURL,stars,reviews,price,listPrice,category_id,isBestSeller,boughtInLastMonth\n"
+    rows = [f"A{i},Item {i % 4},,,4,{i},,,,,\n" for i in range(1, 11)] + ["B1,,,,4,5,,,,,\n"]
+    p = tmp_path / "c.csv"
+    p.write_text(header + "".join(rows))
+    freq, profile = ingest_catalog(spark, str(p), str(tmp_path / "freq"), sample_every=3)
+    got = {r.query: r["count"] for r in freq.collect()}
+    assert got == {"item 3": 3, "item 2": 6, "item 1": 9}  # rows 3, 6, 9 of the qualifying ones
+    pr = profile.first()
+    assert (pr.rows_read, pr.qualifying, pr.kept, pr.unique_queries) == (11, 10, 3, 3)
