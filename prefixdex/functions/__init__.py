@@ -8,12 +8,13 @@ from prefixdex.functions.text import (
     short_name,
     ws_trim,
 )
-from prefixdex.functions.keys import cache_key, hash32, parse_rank, rank_metric
+from prefixdex.functions.keys import cache_key, from_payload, hash32, parse_rank, rank_metric, to_payload
 from prefixdex.functions.predicates import has_prefix, is_fresh, validate
 
 __all__ = [
     "WHITESPACE_CLASS",
     "cache_key",
+    "from_payload",
     "has_prefix",
     "hash32",
     "history_key",
@@ -23,6 +24,7 @@ __all__ = [
     "parse_rank",
     "rank_metric",
     "short_name",
+    "to_payload",
     "validate",
     "ws_trim",
 ]
