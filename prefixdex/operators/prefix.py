@@ -211,6 +211,11 @@ def bulk_suggest(
     by_len = live.groupBy(F.length("prefix").alias("n")).count().collect()  # ≤ 512 rows
     lengths = [r["n"] for r in by_len]
     n_keys = sum(r["count"] for r in by_len)
+    empty = F.array().cast(SUGGESTION_TYPE)
+    if not lengths:  # only blank requests
+        return keys.select(
+            "prefix", "rank", "n_requests", F.lit("skip").alias("status"), empty.alias("suggestions")
+        )
     cands = _explode_candidates(freq, RANKS, max_len=1 << 30, lengths=lengths)
     if n_keys <= broadcast_max_rows:
         wanted = F.broadcast(live.select("prefix", "rank"))
@@ -218,7 +223,6 @@ def bulk_suggest(
     else:
         top = _top_k(cands, k).join(live.select("prefix", "rank"), ["prefix", "rank"], "left_semi")
     answers = to_index(top.select(*LONG_COLUMNS)).drop("computed_at")
-    empty = F.array().cast(SUGGESTION_TYPE)
     answered = live.join(answers, ["prefix", "rank"], "left").select(
         "prefix",
         "rank",

@@ -128,3 +128,12 @@ def test_trending(spark):
     freq = seed_freq(spark, SEED)
     got = [r.query for r in prefix.trending(freq, "count", 2).orderBy("pos").collect()]
     assert got == ["iphone 15", "iphone charger"]
+
+
+def test_only_blank_requests(spark):
+    freq = seed_freq(spark, SEED)
+    got = _lists(prefix.bulk_suggest(freq, _keys(spark, ["  ", "\t"])))
+    assert got == {("", "count", "skip"): []}
+    idx = prefix.build_index(freq)
+    got = _lists(prefix.lookup(idx, freq, _keys(spark, [" "])))
+    assert got == {("", "count", "skip"): []}
