@@ -372,9 +372,9 @@ named AS (SELECT query, {name} AS nm FROM freq)
 cur AS (SELECT * FROM flushed WHERE tick = {_NOW_FLUSH}),
 last_chunk AS (SELECT tick, flush_no FROM cur GROUP BY 1, 2 HAVING count(*) < 50),
 pend AS (
-  SELECT first({_wtrim("query")} ORDER BY ts, event_id) AS q, count(*) AS n
+  SELECT {_norm("query")} AS q, count(*) AS n
   FROM cur c WHERE EXISTS (SELECT 1 FROM last_chunk l WHERE l.tick = c.tick AND l.flush_no = c.flush_no)
-  GROUP BY {_norm("query")})
+  GROUP BY 1)
       SELECT q, n, sum(n) OVER () AS pending_events, count(*) OVER () AS pending_queries FROM pend"""
     upd = _with(*_PARTS_FREQ, _EVENTS, _DELTAS, _upsert("freq", "deltas", "upserted"))
     q["upsert_events"] = upd + " SELECT query, display, count, score FROM upserted"

@@ -93,14 +93,15 @@ def write_stats(summary: DataFrame, batch_size: int = BATCH_SIZE, interval_secon
 
 def pending_view(flushed: DataFrame, now_tick: Column, batch_size: int = BATCH_SIZE) -> DataFrame:
     """The events still in the buffer at ``now_tick``: those of the
-    current tick's last, incomplete flush. Returns ``q, n`` per pending query
-    plus ``pending_events`` and ``pending_queries`` on every row (the buffer
-    holds < batch_size events, so the window below is tiny)."""
+    current tick's last, incomplete flush. Returns ``q`` (the buffer key, i.e.
+    the normalized query), ``n`` per pending query plus ``pending_events`` and
+    ``pending_queries`` on every row (the buffer holds < batch_size events, so
+    the window below is tiny)."""
     cur = flushed.filter(F.col("tick") == now_tick)
     last = cur.groupBy("tick", "flush_no").agg(F.count(F.lit(1)).alias("n_ev"))
     last = last.filter(F.col("n_ev") < batch_size)
     pending = cur.join(last, ["tick", "flush_no"], "left_semi")
-    per_q = event_deltas(pending).select(F.col("display").alias("q"), F.col("delta").alias("n"))
+    per_q = event_deltas(pending).select(F.col("query").alias("q"), F.col("delta").alias("n"))
     w = Window.partitionBy(F.lit(0))
     return per_q.withColumn("pending_events", F.sum("n").over(w)).withColumn(
         "pending_queries", F.count(F.lit(1)).over(w)

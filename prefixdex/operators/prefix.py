@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefixdex.functions.keys import RANKS, cache_key, parse_rank, rank_metric
-from prefixdex.functions.predicates import has_prefix, is_fresh
+from prefixdex.functions.predicates import has_prefix, is_fresh, validate
 from prefixdex.functions.text import normalize, normalize_literal
 from prefixdex.plans.session import BROADCAST_MAX_ROWS, broadcast_if_small
 
@@ -176,10 +176,14 @@ def trending(freq: DataFrame, rank: str = "count", limit=6) -> DataFrame:
 
 def request_keys(requests: DataFrame, prefix: str = "prefix", rank: str | None = "rank") -> DataFrame:
     """Requests → distinct ``prefix, rank, n_requests`` (normalized prefix;
-    empty prefixes are kept and later answered with ``skip``)."""
+    empty prefixes are kept and later answered with ``skip``). Requests whose
+    raw text is longer than 512 characters are rejected as the suggest
+    endpoint does (see :func:`validate`), which also bounds the number of
+    distinct prefix lengths :func:`bulk_suggest` collects."""
     r = parse_rank(F.col(rank)) if rank else F.lit("count")
     return (
-        requests.select(normalize(F.col(prefix)).alias("prefix"), r.alias("rank"))
+        requests.filter(validate(F.col(prefix), "raw").isNull())
+        .select(normalize(F.col(prefix)).alias("prefix"), r.alias("rank"))
         .groupBy("prefix", "rank")
         .agg(F.count(F.lit(1)).alias("n_requests"))
     )

@@ -58,10 +58,12 @@ def test_affected_prefix_lengths(spark):
 
 def test_incremental_refresh_equals_rebuild(spark):
     rnd = random.Random(7)
-    vocab = ["red plate", "red pen", "re do", "blue rod", "blue", "b", "rod red", "red plates"]
-    freq = seed_freq(spark, [(v, rnd.randint(1, 5)) for v in vocab[:5]])
+    long_a = "red plate with a very long name that goes past forty characters"
+    long_b = "red plate with a very long name that goes past forty chars too"
+    vocab = ["red plate", "red pen", "re do", "blue rod", "blue", "b", "rod red", "red plates", long_a, long_b]
+    freq = seed_freq(spark, [(v, rnd.randint(1, 5)) for v in vocab[:5] + [long_a]])
     index = prefix.build_index_long(freq, k=3)
-    for step in range(4):
+    for step in range(5):
         batch = [rnd.choice(vocab) for _ in range(rnd.randint(1, 6))]
         deltas = frequency.event_deltas(_events(spark, batch, start=T0 + dt.timedelta(days=step)))
         freq = frequency.upsert(freq, deltas).checkpoint()
@@ -85,8 +87,8 @@ def test_ordinal_matches_row_number_under_skew(spark):
 
 
 def test_pending_view(spark):
-    ev = _events(spark, ["a", "b", "a"] + ["c"] * 50, step_seconds=1)
+    ev = _events(spark, ["a", "b", "a"] + ["C  c"] * 50, step_seconds=1)
     flushed = events.assign_flushes(ev, "2024-01-01 00:00:00", interval_seconds=3600)
     rows = events.pending_view(flushed, F.lit(0)).collect()
-    assert {(r.q, r.n) for r in rows} == {("c", 3)}
+    assert {(r.q, r.n) for r in rows} == {("c c", 3)}  # the buffer key is normalized
     assert {(r.pending_events, r.pending_queries) for r in rows} == {(3, 1)}

@@ -137,3 +137,8 @@ def test_only_blank_requests(spark):
     idx = prefix.build_index(freq)
     got = _lists(prefix.lookup(idx, freq, _keys(spark, [" "])))
     assert got == {("", "count", "skip"): []}
+
+
+def test_overlong_requests_are_rejected(spark):
+    keys = _keys(spark, ["x" * 513, "ok"])
+    assert sorted(r.prefix for r in keys.collect()) == ["ok"]
