@@ -505,6 +505,9 @@ gm AS (
              to_json(list(struct_pack(query := query, count := count, score := score) ORDER BY pos)) AS payload,
              CAST(count(*) AS INTEGER) AS n
       FROM idx GROUP BY prefix, rank"""
+    q["stream_index"] = _with(
+        *_PARTS_FREQ, _EVENTS, _DELTAS, _upsert("freq", "deltas", "upserted", "g"), _index_long("upserted", "idx")
+    ) + " SELECT prefix, rank, pos, query, count, round(score, 6) AS score FROM idx"
     q["recency_stream"] = q["recency_scores"]
     q["ingest_csv_parts"] = q["frequency_parts"]
     q["window_activity_stream"] = _with(*_PARTS_FREQ, _EVENTS) + f"""

@@ -369,21 +369,37 @@ def q_ingest_csv_parts(spark, d):
     return freq
 
 
-def q_stream_frequency(spark, d):
+def _run_search_stream(spark, d):
     """O28 end to end: the events file read as a stream, applied by
-    ``foreachBatch`` to a versioned frequency table and prefix index."""
+    ``foreachBatch`` to the stored frequency table and prefix index."""
     from prefixdex.streaming import search_stream as ss
 
-    root = work_dir(spark, "stream-frequency")
+    root = work_dir(spark, "search-stream")
     f_root, i_root = f"{root}/frequency", f"{root}/index"
     ss.seed_tables(freq_parts(spark, d), f_root, i_root)
     stream = _event_stream(spark, d)
     q = ss.run_search_stream(spark, stream, f_root, f"{root}/_checkpoint", ANCHOR, i_root, decay.DECAY_FACTOR, DAY)
     q.awaitTermination()
+    return f_root, i_root
+
+
+def q_stream_frequency(spark, d):
+    from prefixdex.streaming import search_stream as ss
+
+    f_root, _ = _run_search_stream(spark, d)
     out = ss.read_frequency(spark, f_root)
     return _round(out.withColumnRenamed("score", "score_scaled"), "score_scaled")
 
 
+def q_stream_index(spark, d):
+    """The index the stream maintained incrementally (landmark-scaled
+    recency); equals a full rebuild of the final table."""
+    from prefixdex.streaming import search_stream as ss
+
+    _, i_root = _run_search_stream(spark, d)
+    return _round(ss.read_index(spark, i_root), "score")
+
+
 QUERIES = {
     "frequency_parts": q_frequency_parts,
     "frequency_documents": q_frequency_documents,
@@ -422,6 +438,7 @@ QUERIES = {
     "user_history": q_user_history,
     "personalized_merge": q_personalized_merge,
     "stream_frequency": q_stream_frequency,
+    "stream_index": q_stream_index,
     "payloads_parts": q_payloads_parts,
     "ingest_csv_parts": q_ingest_csv_parts,
     "recency_stream": q_recency_stream,
