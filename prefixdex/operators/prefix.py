@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from prefixdex.functions.keys import RANKS, cache_key, parse_rank, rank_metric
 from prefixdex.functions.predicates import has_prefix, is_fresh, validate
 from prefixdex.functions.text import normalize, normalize_literal
-from prefixdex.plans.session import BROADCAST_MAX_ROWS, broadcast_if_small
+from prefixdex.plans.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, broadcast_if_small
 
 # List length and the longest indexed prefix.
 SUGGEST_LIMIT = 10
@@ -201,7 +201,7 @@ def bulk_suggest(
     The starts-with join is rewritten to an equi-join: each query is cut only
     at the prefix lengths that occur among the keys (≤ 512 distinct values by
     request validation), then joined on the prefix. When the keys are few
-    (count checked) they are broadcast and the top-k window sees candidates
+    (rows and bytes checked) they are broadcast and the top-k window sees candidates
     without a shuffle first, so its partial limit applies on the map side.
     Otherwise the top-k is computed for every prefix at those lengths and
     joined to the keys afterwards, so no prefix's candidates meet in one task.
@@ -212,16 +212,21 @@ def bulk_suggest(
     # The keys feed a size check and the main job: materialize them once.
     keys = keys.checkpoint(eager=True)
     live = keys.filter(F.col("prefix") != "")
-    by_len = live.groupBy(F.length("prefix").alias("n")).count().collect()  # ≤ 512 rows
+    by_len = (
+        live.groupBy(F.length("prefix").alias("n"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("prefix") + 16).alias("bytes"))
+        .collect()
+    )  # ≤ 512 rows: request validation bounds the prefix length
     lengths = [r["n"] for r in by_len]
-    n_keys = sum(r["count"] for r in by_len)
+    n_keys = sum(r["rows"] for r in by_len)
+    key_bytes = sum(r["bytes"] for r in by_len)
     empty = F.array().cast(SUGGESTION_TYPE)
     if not lengths:  # only blank requests
         return keys.select(
             "prefix", "rank", "n_requests", F.lit("skip").alias("status"), empty.alias("suggestions")
         )
     cands = _explode_candidates(freq, RANKS, max_len=1 << 30, lengths=lengths)
-    if n_keys <= broadcast_max_rows:
+    if n_keys <= broadcast_max_rows and key_bytes <= BROADCAST_MAX_BYTES:
         wanted = F.broadcast(live.select("prefix", "rank"))
         top = _top_k(cands.join(wanted, ["prefix", "rank"], "left_semi"), k)
     else:

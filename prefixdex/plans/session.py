@@ -14,9 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have to be broadcast. The sides we broadcast are narrow
-# (a few short columns), so this stays well below the driver/executor limits.
+# Bounds for a side to be broadcast: rows and (measured) bytes.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 128 << 20
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "prefixdex") -> SparkSession:
@@ -63,11 +63,30 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small (row count checked);
-    otherwise the join stays a shuffle join that AQE may still convert."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def measure(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[int, int]:
+    """(rows, bytes) of ``df``, counting at most ``max_rows + 1`` rows; bytes
+    are the string/binary payload plus 8 per other column."""
+    from pyspark.sql import types as T
+
+    width = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)))
+        else:
+            width.append(F.lit(8))
+    row_bytes = sum(width[1:], width[0]) if width else F.lit(0)
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes).alias("b")).first()
+    return int(r["n"]), int(r["b"] or 0)
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
+) -> DataFrame:
+    """Broadcast hint only when the side is proven small (rows and bytes
+    measured); otherwise the join stays a shuffle join that AQE may still
+    convert at run time."""
+    n, b = measure(df, max_rows)
+    return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -24,3 +24,17 @@ def test_owner_join_is_broadcast(spark):
     keys = spark.createDataFrame([("k1",), ("k2",)], "key string")
     df = ring.assign_owner(keys, "key", ring.ring_table(spark, ["a", "b"]))
     assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() or "BroadcastHashJoin" in _plan(df)
+
+
+def test_broadcast_only_when_measured_small(spark):
+    from pyspark.sql import functions as F
+
+    from prefixdex.plans.session import broadcast_if_small, measure
+
+    df = spark.createDataFrame([("abc", 1), ("de", 2)], "s string, n int")
+    assert measure(df) == (2, 3 + 8 + 2 + 8)
+    small = broadcast_if_small(df)
+    big = broadcast_if_small(df, max_bytes=10)
+    probe = spark.range(3).withColumn("n", F.col("id").cast("int"))
+    assert "BroadcastHashJoin" in probe.join(small, "n")._jdf.queryExecution().executedPlan().toString()
+    assert "ResolvedHint (strategy=broadcast)" not in big._jdf.queryExecution().analyzed().toString()
