@@ -302,6 +302,14 @@ def affected_prefixes(
     ).withColumn("key", cache_key("prefix", "rank"))
 
 
+def invalidate(index: DataFrame, affected: DataFrame) -> DataFrame:
+    """O26, plain form (what a cache-aside deployment does): drop the index
+    entries of the affected ``prefix, rank`` keys; later lookups of those keys
+    miss and are computed directly (:func:`lookup`)."""
+    keys = broadcast_if_small(affected.select("prefix", "rank").distinct())
+    return index.join(keys, ["prefix", "rank"], "left_anti")
+
+
 def refresh_lists(
     old_long: DataFrame,
     new_rows: DataFrame,

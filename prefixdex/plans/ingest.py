@@ -3,14 +3,16 @@
 One shuffle on the normalized query for the aggregation and one range
 repartition for the sorted write. The table is written to a new version
 directory and becomes visible when its commit marker is written, so readers
-of the previous version are never disturbed (full refresh)."""
+of the previous version are never disturbed (full refresh). The load counters
+are collected with ``Observation`` by the jobs that already read the data,
+so the profile costs no extra pass over the catalog."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from prefixdex.operators.frequency import build_frequency, load_profile
+from prefixdex.operators.frequency import build_frequency
 from prefixdex.sources import catalog, store
 
 
@@ -21,18 +23,40 @@ def ingest_catalog(
     sample_every: int = 1,
     version: int | None = None,
     multiline: bool = True,
+    min_unique: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Returns (the committed frequency table, the one-row load profile)."""
     raw = catalog.read_catalog(spark, csv_path, multiline=multiline)
-    raw = raw.withColumn("ordinal", F.struct("_file", "_block", "_row"))
     # file order (path, split start, position in the split) is the ordinal
     # that "first display" and 1-in-N sampling refer to
-    raw = raw.checkpoint(eager=True)
-    good, _ = catalog.qualify(raw)
-    kept = catalog.sample_every(good, sample_every, ["_file", "_block", "_row"])
-    freq = build_frequency(kept)
+    raw = raw.withColumn("ordinal", F.struct("_file", "_block", "_row"))
+    seen = Observation("catalog")
+    classified = catalog.classify(raw).observe(
+        seen,
+        F.count(F.lit(1)).alias("rows_read"),
+        F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("qualifying"),
+    )
+    classified = classified.checkpoint(eager=True)  # positions must not move on a retry
+    good = classified.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    kept_obs = Observation("kept")
+    kept = catalog.sample_every(good, sample_every, ["_file", "_block", "_row"]).observe(
+        kept_obs, F.count(F.lit(1)).alias("kept")
+    )
     latest = store.latest_version(spark, root)
     v = version if version is not None else (0 if latest is None else latest + 1)
-    store.write_version(freq, root, v)
+    store.write_version(build_frequency(kept), root, v)
     committed = store.read_version(spark, root, v)
-    return committed, load_profile(raw, kept, committed)
+    c, k = seen.get, kept_obs.get
+    f = committed.agg(
+        F.count(F.lit(1)).alias("unique_queries"), F.min("count").alias("min_count"), F.max("count").alias("max_count")
+    )
+    profile = f.select(
+        F.lit(c["rows_read"]).cast("bigint").alias("rows_read"),
+        F.lit(c["qualifying"]).cast("bigint").alias("qualifying"),
+        F.lit(k["kept"]).cast("bigint").alias("kept"),
+        "unique_queries",
+        "min_count",
+        "max_count",
+        (F.col("unique_queries") < F.lit(min_unique)).alias("below_minimum"),
+    )
+    return committed, profile

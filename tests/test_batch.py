@@ -92,3 +92,15 @@ def test_pending_view(spark):
     rows = events.pending_view(flushed, F.lit(0)).collect()
     assert {(r.q, r.n) for r in rows} == {("c c", 3)}  # the buffer key is normalized
     assert {(r.pending_events, r.pending_queries) for r in rows} == {(3, 1)}
+
+
+def test_plain_invalidation_then_lookup_misses(spark):
+    freq = seed_freq(spark, [("iphone 15", 200), ("yoga mat", 30)])
+    index = prefix.build_index(freq)
+    deltas = frequency.event_deltas(_events(spark, ["iphone 15"]))
+    index2 = prefix.invalidate(index, prefix.affected_prefixes(deltas))
+    left = {(r.prefix, r.rank) for r in index2.collect()}
+    assert ("iphone", "count") not in left and ("yoga", "recent") in left
+    keys = prefix.request_keys(spark.createDataFrame([("iphone", "count"), ("yoga", "count")], "prefix string, rank string"))
+    status = {r.prefix: r.status for r in prefix.lookup(index2, frequency.upsert(freq, deltas), keys).collect()}
+    assert status == {"iphone": "miss", "yoga": "hit"}
