@@ -509,6 +509,7 @@ gm AS (
         *_PARTS_FREQ, _EVENTS, _DELTAS, _upsert("freq", "deltas", "upserted", "g"), _index_long("upserted", "idx")
     ) + " SELECT prefix, rank, pos, query, count, round(score, 6) AS score FROM idx"
     q["recency_stream"] = q["recency_scores"]
+    q["prefix_index_documents_split"] = q["prefix_index_documents"]
     q["ingest_csv_parts"] = q["frequency_parts"]
     q["window_activity_stream"] = _with(*_PARTS_FREQ, _EVENTS) + f"""
       SELECT tick AS window_tick, count(*) AS events, count(DISTINCT nq) AS distinct_queries

@@ -83,6 +83,7 @@ def _ring_figures(spark):
 HEADLINE = {
     "ingest_documents": registry.q_frequency_documents,
     "index_build_documents": registry.q_prefix_index_documents,
+    "index_build_documents_split": registry.q_prefix_index_documents_split,
     "index_build_parts": registry.q_prefix_index_parts,
     "bulk_suggest_keystrokes": registry.q_bulk_suggest_keystrokes,
     "index_lookup_keystrokes": registry.q_index_lookup_keystrokes,

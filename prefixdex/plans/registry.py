@@ -112,6 +112,12 @@ def q_prefix_index_documents(spark, d):
     return prefix.build_index_long(freq_documents(spark, d))
 
 
+def q_prefix_index_documents_split(spark, d):
+    """The flagship in the form chosen for large inputs (shared prefixes
+    through the shuffle, unshared ones emitted in place)."""
+    return prefix.build_index_long(freq_documents(spark, d), split_shared=True)
+
+
 def q_suggest_prefix_parts(spark, d):
     return prefix.suggest_one(freq_parts(spark, d), SUGGEST_PREFIX, "count")
 
@@ -409,6 +415,7 @@ QUERIES = {
     "sample_every_parts": q_sample_every_parts,
     "prefix_index_parts": q_prefix_index_parts,
     "prefix_index_documents": q_prefix_index_documents,
+    "prefix_index_documents_split": q_prefix_index_documents_split,
     "suggest_prefix_parts": q_suggest_prefix_parts,
     "bulk_suggest_keystrokes": q_bulk_suggest_keystrokes,
     "index_lookup_keystrokes": q_index_lookup_keystrokes,

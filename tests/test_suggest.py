@@ -97,11 +97,13 @@ def test_index_equals_brute_force_with_ties(spark, seed):
         rows[normalize_literal(q)] = (normalize_literal(q), q.title() if rnd.random() < 0.3 else q, rnd.randint(1, 4), float(rnd.randint(1, 4)))
     data = list(rows.values())
     freq = spark.createDataFrame(data, "query string, display string, count bigint, score double")
-    got = {}
-    for r in prefix.build_index_long(freq, k=3, max_len=5).collect():
-        got.setdefault((r.prefix, r.rank), []).append((r.pos, r.query))
-    got = {k: [q for _, q in sorted(v)] for k, v in got.items()}
-    assert got == _brute_force(data, k=3, max_len=5)
+    want = _brute_force(data, k=3, max_len=5)
+    for split in (False, True):
+        got = {}
+        for r in prefix.build_index_long(freq, k=3, max_len=5, split_shared=split).collect():
+            got.setdefault((r.prefix, r.rank), []).append((r.pos, r.query))
+        got = {k: [q for _, q in sorted(v)] for k, v in got.items()}
+        assert got == want
 
 
 def test_bulk_equals_one_by_one(spark):
@@ -142,3 +144,14 @@ def test_only_blank_requests(spark):
 def test_overlong_requests_are_rejected(spark):
     keys = _keys(spark, ["x" * 513, "ok"])
     assert sorted(r.prefix for r in keys.collect()) == ["ok"]
+
+
+def test_split_index_across_neighbour_chunks(spark, monkeypatch):
+    """Neighbours that fall in different chunks of the sorted order."""
+    monkeypatch.setattr(prefix, "NEIGHBOUR_CHUNK", 3)
+    rows = [(f"q{i:02d} tail", i % 4 + 1) for i in range(20)] + [("q0", 9), ("zz top", 2), ("zz", 1)]
+    freq = seed_freq(spark, rows)
+    cols = ["prefix", "rank", "pos", "query", "count", "score"]
+    a = prefix.build_index_long(freq, k=2, split_shared=True).select(*cols).collect()
+    b = prefix.build_index_long(freq, k=2, split_shared=False).select(*cols).collect()
+    assert sorted(a) == sorted(b)
