@@ -100,31 +100,35 @@ def _lcp(a: Column, b: Column, max_len: int) -> Column:
 
 
 def with_shared_length(freq: DataFrame, max_len: int = MAX_INDEXED_PREFIX) -> DataFrame:
-    """Add ``_shared``: the longest common prefix (≤ max_len) of each query
-    with its predecessor or successor in sorted order.
+    """Add ``_shared``, an upper bound (≤ max_len) of the longest common
+    prefix of each query with its predecessor or successor in sorted order.
 
     Queries sharing a prefix are contiguous in sorted order, so any longer
-    prefix of a query belongs to that query alone. Neighbours come from an
-    exact global ordinal (:func:`with_ordinal`, range partitioned, so no hot
-    range lands in one task) and a window over chunks of ``NEIGHBOUR_CHUNK``
-    ordinals, each chunk seeing the last row of the previous chunk and the
-    first row of the next one."""
-    from prefixdex.operators.ordinal import with_ordinal
-
-    o = with_ordinal(freq, ["query"], out="_i")
-    c, r = F.floor(F.col("_i") / NEIGHBOUR_CHUNK), F.col("_i") % NEIGHBOUR_CHUNK
-    copies = F.array(
-        c,
-        F.when(r == NEIGHBOUR_CHUNK - 1, c + 1),  # last row: context for the next chunk
-        F.when(r == 0, c - 1),  # first row: context for the previous chunk
+    prefix of a query belongs to that query alone. The table is
+    range-partitioned on the query (no hot range in one task) and sorted in
+    each partition; neighbours are looked up with a window over chunks of
+    ``NEIGHBOUR_CHUNK`` consecutive rows of a partition. A row at a chunk edge
+    lacks one neighbour and counts as fully shared — an over-estimate only
+    sends more of its prefixes through the exact top-k path."""
+    spark = freq.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mid = F.monotonically_increasing_id()
+    tagged = (
+        freq.repartitionByRange(n, "query")
+        .sortWithinPartitions("query")
+        .withColumn("_pid", F.shiftright(mid, 33))
+        .withColumn("_pos", mid.bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    u = o.withColumn("_own", c).withColumn("_c", F.explode(F.filter(copies, lambda x: x.isNotNull())))
-    w = Window.partitionBy("_c").orderBy("_i")  # ≤ NEIGHBOUR_CHUNK + 2 rows each
+    w = Window.partitionBy("_pid", "_chunk").orderBy("_pos")  # ≤ NEIGHBOUR_CHUNK rows each
     q = F.col("query")
-    u = u.withColumn("_prev", F.lag(q).over(w)).withColumn("_next", F.lead(q).over(w))
-    u = u.filter(F.col("_c") == F.col("_own"))
-    shared = F.greatest(_lcp(q, F.col("_prev"), max_len), _lcp(q, F.col("_next"), max_len))
-    return u.withColumn("_shared", shared).drop("_i", "_own", "_c", "_prev", "_next")
+    t = tagged.withColumn("_chunk", F.floor(F.col("_pos") / NEIGHBOUR_CHUNK))
+    t = t.withColumn("_prev", F.lag(q).over(w)).withColumn("_next", F.lead(q).over(w))
+    edge = F.lit(max_len)
+    shared = F.greatest(
+        F.when(F.col("_prev").isNull(), edge).otherwise(_lcp(q, F.col("_prev"), max_len)),
+        F.when(F.col("_next").isNull(), edge).otherwise(_lcp(q, F.col("_next"), max_len)),
+    )
+    return t.withColumn("_shared", shared).drop("_pid", "_pos", "_chunk", "_prev", "_next")
 
 
 # Input size from which the index build first separates shared prefixes.
