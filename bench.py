@@ -25,11 +25,6 @@ def _decay_documents(spark, d):
     return decay.decay_step(registry.freq_documents(spark, d))
 
 
-def _full_rebuild(spark, d):
-    base = registry.freq_parts(spark, d)
-    return prefix.build_index_long(frequency.upsert(base, registry.event_totals(spark, d)))
-
-
 class Stored:
     """The document frequency table and its index written once (untimed), as
     a deployed index would be; the change is every search event."""
@@ -87,8 +82,6 @@ HEADLINE = {
     "index_build_parts": registry.q_prefix_index_parts,
     "bulk_suggest_keystrokes": registry.q_bulk_suggest_keystrokes,
     "index_lookup_keystrokes": registry.q_index_lookup_keystrokes,
-    "incremental_index": registry.q_incremental_index,
-    "full_rebuild_index": _full_rebuild,
     "recency_scores": registry.q_recency_scores,
     "decay_step_documents": _decay_documents,
     "flush_summary": registry.q_flush_summary,
@@ -123,7 +116,16 @@ def main() -> None:
         t0 = time.perf_counter()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
-    figures = _ring_figures(spark) if not only else {}
+    figures = {}
+    if not only:
+        figures = _ring_figures(spark)
+        st = registry.q_batch_stats(spark, sf_dir).first()
+        figures["batch_write_reduction"] = {
+            "events": st.total_events,
+            "db_writes": st.total_db_writes,
+            "flushes": st.flushes,
+            "writes_saved_pct": st.writes_saved_pct,
+        }
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(
         json.dumps(
