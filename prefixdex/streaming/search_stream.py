@@ -180,7 +180,7 @@ def apply_batch(
     decay_interval_seconds: float = DECAY_INTERVAL_SECONDS,
     compact_every: int = COMPACT_EVERY,
 ) -> bool:
-    """One flush. Returns False when the batch was already applied or empty."""
+    """One flush. Returns False when the batch was already applied."""
     done_f = store.is_committed(spark, _delta(freq_root), batch_id)
     done_i = index_root is None or store.is_committed(spark, _delta(index_root), batch_id)
     if done_f and done_i:
@@ -189,9 +189,8 @@ def apply_batch(
         "batch", F.lit(batch_id).cast("bigint")
     )
     if not done_f:
-        deltas = deltas.checkpoint(eager=True)  # used by both writes below
-        if deltas.limit(1).count() == 0:
-            return False
+        # written once, then read back by the index refresh (the micro-batch
+        # itself is consumed a single time)
         store.write_version(deltas, _delta(freq_root), batch_id)
     deltas = store.read_version(spark, _delta(freq_root), batch_id)
     if not done_i:
