@@ -361,6 +361,7 @@ def lookup(
 
     Keys and index rows are both unique per (prefix, rank), so the joins have
     no skewed key."""
+    keys = keys.checkpoint(eager=True)  # measured, probed and passed on: derive once
     fresh = index.filter(is_fresh("computed_at", ttl_seconds, now)).select("prefix", "rank", "suggestions")
     # The index is filtered to the requested keys first (map side when the
     # key set is small), then joined; the result (≤ one row per key) is
