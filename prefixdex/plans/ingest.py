@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from prefixdex.operators.frequency import build_frequency
+from prefixdex.operators.ordinal import with_ordinal
 from prefixdex.sources import catalog, store
 
 
@@ -30,18 +31,21 @@ def ingest_catalog(
     # file order (path, split start, position in the split) is the ordinal
     # that "first display" and 1-in-N sampling refer to
     raw = raw.withColumn("ordinal", F.struct("_file", "_block", "_row"))
+    classified = catalog.classify(raw).withColumn("_ok", F.col("reject_reason").isNull())
+    keep = F.col("_ok")
+    if catalog.check_sample_interval(sample_every) != 1:
+        # 1-in-N over the qualifying rows: positions are counted within the
+        # qualifying / rejected groups, so rejects need no separate pass
+        classified = with_ordinal(classified, ["_file", "_block", "_row"], ["_ok"], out="_pos")
+        keep = keep & ((F.col("_pos") + 1) % sample_every == 0)
+    # Counters ride on the rows as they flow into the write, exactly once
+    # (positions are recomputed identically if a task is retried).
     seen = Observation("catalog")
-    classified = catalog.classify(raw).observe(
-        seen,
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("qualifying"),
+    observed = classified.observe(
+        seen, F.count(F.lit(1)).alias("rows_read"), F.count(F.when(F.col("_ok"), 1)).alias("qualifying")
     )
-    classified = classified.checkpoint(eager=True)  # positions must not move on a retry
-    good = classified.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     kept_obs = Observation("kept")
-    kept = catalog.sample_every(good, sample_every, ["_file", "_block", "_row"]).observe(
-        kept_obs, F.count(F.lit(1)).alias("kept")
-    )
+    kept = observed.filter(keep).observe(kept_obs, F.count(F.lit(1)).alias("kept"))
     latest = store.latest_version(spark, root)
     v = version if version is not None else (0 if latest is None else latest + 1)
     store.write_version(build_frequency(kept), root, v)

@@ -84,11 +84,17 @@ def qualify(df: DataFrame, title: str = "title", reviews: str = "reviews") -> tu
     return good, bad
 
 
+def check_sample_interval(n) -> int:
+    """The 1-in-N interval must be an integer ≥ 1."""
+    if not isinstance(n, int) or isinstance(n, bool) or n < 1:
+        raise ValueError(f"sample interval must be a positive integer, got {n!r}")
+    return n
+
+
 def sample_every(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
     """Keep rows N, 2N, 3N, … (1-based) in ``order_cols`` order. N must be an
     integer ≥ 1; N = 1 keeps everything without any extra job."""
-    if not isinstance(n, int) or isinstance(n, bool) or n < 1:
-        raise ValueError(f"sample interval must be a positive integer, got {n!r}")
+    check_sample_interval(n)
     if n == 1:
         return df
     with_pos = with_ordinal(df, order_cols, out="_pos")

@@ -77,3 +77,12 @@ def test_ingest_job_samples_in_file_order(spark, tmp_path):
     assert got == {"item 3": 3, "item 2": 6, "item 1": 9}  # rows 3, 6, 9 of the qualifying ones
     pr = profile.first()
     assert (pr.rows_read, pr.qualifying, pr.kept, pr.unique_queries) == (11, 10, 3, 3)
+
+
+def test_sample_interval_must_be_positive_integer(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1,)], "ordinal long")
+    for bad in (0, -1, 2.5, True):
+        with pytest.raises(ValueError):
+            catalog.sample_every(df, bad, ["ordinal"])
