@@ -375,7 +375,7 @@ pend AS (
   SELECT {_norm("query")} AS q, count(*) AS n
   FROM cur c WHERE EXISTS (SELECT 1 FROM last_chunk l WHERE l.tick = c.tick AND l.flush_no = c.flush_no)
   GROUP BY 1)
-      SELECT q, n, sum(n) OVER () AS pending_events, count(*) OVER () AS pending_queries FROM pend"""
+      SELECT q, n, CAST(sum(n) OVER () AS BIGINT) AS pending_events, count(*) OVER () AS pending_queries FROM pend"""
     upd = _with(*_PARTS_FREQ, _EVENTS, _DELTAS, _upsert("freq", "deltas", "upserted"))
     q["upsert_events"] = upd + " SELECT query, display, count, score FROM upserted"
     q["affected_prefixes"] = _with(*_PARTS_FREQ, _EVENTS, _DELTAS) + """
@@ -502,7 +502,8 @@ gm AS (
       SELECT query, display, count, round(score, 6) AS score_scaled FROM upserted"""
     q["payloads_parts"] = _with(*_PARTS_FREQ, _index_long("freq", "idx")) + """
       SELECT prefix, rank, 'sug:' || rank || ':' || prefix AS key,
-             to_json(list(struct_pack(query := query, count := count, score := score) ORDER BY pos)) AS payload,
+             CAST(to_json(list(struct_pack(query := query, count := count, score := score) ORDER BY pos)) AS VARCHAR)
+               AS payload,
              CAST(count(*) AS INTEGER) AS n
       FROM idx GROUP BY prefix, rank"""
     q["stream_index"] = _with(
