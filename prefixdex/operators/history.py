@@ -97,10 +97,14 @@ def personalized_merge(
         "score",
         F.lit(False).alias("personalized"),
     )
-    gm = gm.join(hm.select("user_id", "typed", "_k"), ["user_id", "typed", "_k"], "left_anti")
+    # One shuffle on the request serves both windows: the case-insensitive
+    # dedupe (history first) and the final order/cap (≤ cap + limit rows each).
+    both = hm.unionByName(gm).repartition("user_id", "typed")
+    first = Window.partitionBy("user_id", "typed", "_k").orderBy("_src", "_ord")
     w = Window.partitionBy("user_id", "typed").orderBy("_src", "_ord")
     return (
-        hm.unionByName(gm)
+        both.withColumn("_first", F.row_number().over(first))
+        .filter(F.col("_first") == 1)
         .withColumn("pos", F.row_number().over(w))
         .filter(F.col("pos") <= limit)
         .select("user_id", "typed", "pos", "query", "count", "score", "personalized")
