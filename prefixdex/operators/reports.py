@@ -37,10 +37,16 @@ def rank_movement(freq: DataFrame, recent_limit: int = 6, count_limit: int = 50)
 def suggestion_movement(index_long: DataFrame) -> DataFrame:
     """O17 for suggestion lists: per prefix, how many places each entry of
     the ``recent`` list sits above its place in the ``count`` list (only
-    upward moves are marked). Joins on the unique (prefix, query)."""
-    rec = index_long.filter(F.col("rank") == "recent").select("prefix", "query", F.col("pos").alias("pos_recent"))
-    cnt = index_long.filter(F.col("rank") == "count").select("prefix", "query", F.col("pos").alias("pos_count"))
-    j = rec.join(cnt, ["prefix", "query"], "left")
+    upward moves are marked). One pass: both positions of a (prefix, query)
+    come from one partial aggregation (≤ 2 rows per key), not a self-join."""
+    j = (
+        index_long.groupBy("prefix", "query")
+        .agg(
+            F.min(F.when(F.col("rank") == "recent", F.col("pos"))).alias("pos_recent"),
+            F.min(F.when(F.col("rank") == "count", F.col("pos"))).alias("pos_count"),
+        )
+        .filter(F.col("pos_recent").isNotNull())
+    )
     d = F.col("pos_count") - F.col("pos_recent")
     return j.select(
         "prefix", "query", "pos_recent", "pos_count",
