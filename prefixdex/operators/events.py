@@ -56,20 +56,23 @@ def assign_flushes(
 def flush_summary(flushed: DataFrame, max_len: int = MAX_INDEXED_PREFIX) -> DataFrame:
     """Per flush: ``tick, flush_no, events, db_writes, invalidations`` —
     writes are the distinct queries, invalidations the distinct (prefix, rank)
-    keys requested. Every group is one flush (≤ batch_size events)."""
-    deltas = event_deltas(flushed, keys=("tick", "flush_no"))
-    writes = deltas.groupBy("tick", "flush_no").agg(
-        F.sum("delta").alias("events"), F.count(F.lit(1)).alias("db_writes")
+    keys requested. Every group is one flush (≤ batch_size events).
+
+    One pass: each (flush, query) delta is cut into its prefixes; a normalized
+    query has exactly one prefix of length 1, which carries its event count,
+    so events, writes and distinct prefixes come from two chained
+    aggregations without a second pass or a join."""
+    deltas = event_deltas(flushed, keys=("tick", "flush_no")).select("tick", "flush_no", "query", "delta")
+    x = explode_prefixes(deltas, "query", max_len)
+    first = F.length("prefix") == 1
+    per_prefix = x.groupBy("tick", "flush_no", "prefix").agg(
+        F.sum(F.when(first, F.col("delta")).otherwise(0)).alias("_events"),
+        F.count(F.when(first, 1)).alias("_writes"),
     )
-    inval = (
-        explode_prefixes(deltas.select("tick", "flush_no", "query"), "query", max_len)
-        .select("tick", "flush_no", "prefix")
-        .distinct()
-        .groupBy("tick", "flush_no")
-        .agg((F.count(F.lit(1)) * len(RANKS)).alias("invalidations"))
-    )
-    return writes.join(inval, ["tick", "flush_no"], "left").select(
-        "tick", "flush_no", "events", "db_writes", F.coalesce("invalidations", F.lit(0)).alias("invalidations")
+    return per_prefix.groupBy("tick", "flush_no").agg(
+        F.sum("_events").cast("bigint").alias("events"),
+        F.sum("_writes").cast("bigint").alias("db_writes"),
+        (F.count(F.lit(1)) * len(RANKS)).alias("invalidations"),
     )
 
 
