@@ -123,9 +123,11 @@ def q_suggest_prefix_parts(spark, d):
 
 
 def _keystroke_keys(spark, d):
+    """Every keystroke asks for both rankings: aggregate the keystrokes first,
+    then give each distinct prefix both ranks (same counts, half the rows)."""
     ks = tables.keystrokes(accepted_events(spark, d))
-    both = ks.select("typed", F.explode(F.array(F.lit("count"), F.lit("recent"))).alias("rank"))
-    return prefix.request_keys(both, "typed", "rank")
+    keys = prefix.request_keys(ks.select("typed"), "typed", None)
+    return keys.select("prefix", F.explode(F.array(F.lit("count"), F.lit("recent"))).alias("rank"), "n_requests")
 
 
 def q_bulk_suggest_keystrokes(spark, d):
