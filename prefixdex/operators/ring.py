@@ -25,8 +25,9 @@ MAX_RING_ROWS = 1_000_000
 
 
 def ring_table(spark: SparkSession, nodes: Sequence[str], vnodes: int = VNODES) -> DataFrame:
-    """``node, vnode, hash, ord`` for every virtual node, sorted by hash.
-    Adding a node twice changes nothing; an empty ring is an error."""
+    """``node, vnode, hash, ord`` for every virtual node (``ord`` is the
+    insertion order, which breaks ties between equal hashes). Adding a node
+    twice changes nothing; an empty ring is an error."""
     uniq = list(dict.fromkeys(nodes))
     if not uniq:
         raise ValueError("hash ring is empty")
@@ -39,7 +40,7 @@ def ring_table(spark: SparkSession, nodes: Sequence[str], vnodes: int = VNODES)
         "vnode",
         hash32(F.concat(F.col("node"), F.lit("#"), F.col("vnode").cast("string"))).alias("hash"),
         (F.col("node_ord") * vnodes + F.col("vnode")).alias("ord"),
-    ).orderBy("hash", "ord")
+    )
 
 
 def ring_buckets(ring: DataFrame) -> DataFrame:
