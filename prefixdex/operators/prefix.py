@@ -135,8 +135,10 @@ def with_shared_length(freq: DataFrame, max_len: int = MAX_INDEXED_PREFIX) -> Da
 SPLIT_SHARED_MIN_BYTES = 1 << 30
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the files a DataFrame reads (``inputFiles``)."""
+def input_bytes(df: DataFrame, stop_at: int | None = None) -> int:
+    """Total size of the files a DataFrame reads (``inputFiles``); stops
+    summing once ``stop_at`` is reached, so a large input costs a few file
+    lookups on the driver, not one per file."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -144,6 +146,8 @@ def input_bytes(df: DataFrame) -> int:
     for f in df.inputFiles():
         p = jvm.org.apache.hadoop.fs.Path(f)
         total += p.getFileSystem(conf).getFileStatus(p).getLen()
+        if stop_at is not None and total >= stop_at:
+            break
     return total
 
 
@@ -169,7 +173,7 @@ def build_index_long(
     quarters on the document catalog), which the split form saves at the cost
     of a few passes over the (40× smaller) frequency table."""
     if split_shared is None:
-        split_shared = input_bytes(freq) >= SPLIT_SHARED_MIN_BYTES
+        split_shared = input_bytes(freq, SPLIT_SHARED_MIN_BYTES) >= SPLIT_SHARED_MIN_BYTES
     if not split_shared:
         return _top_k(_explode_candidates(freq, ranks, max_len), k).select(*LONG_COLUMNS)
     # one row per query; feeds both branches below, so materialize it once
