@@ -151,7 +151,8 @@ def q_trending_recent(spark, d):
 
 
 def q_rank_movement(spark, d):
-    return _round(reports.rank_movement(live_parts(spark, d)), "score")
+    live = live_parts(spark, d).checkpoint(eager=True)  # read by both top lists
+    return _round(reports.rank_movement(live), "score")
 
 
 def q_suggestion_movement(spark, d):
@@ -203,8 +204,9 @@ def q_affected_prefixes(spark, d):
 
 
 def q_incremental_index(spark, d):
-    base = freq_parts(spark, d)
-    deltas = event_totals(spark, d)
+    # both feed the old index, the upsert and the refresh: derive once
+    base = freq_parts(spark, d).checkpoint(eager=True)
+    deltas = event_totals(spark, d).checkpoint(eager=True)
     old = prefix.build_index_long(base)
     new_freq = frequency.upsert(base, deltas)
     return prefix.refresh_index_long(old, new_freq, deltas.select("query"))
