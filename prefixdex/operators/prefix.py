@@ -1,6 +1,7 @@
-"""Prefix top-k: the flagship index (O13), one-prefix lookup (O9), bulk
-lookup (O12), index lookup with fall-through (O15), trending (O16), affected
-prefixes (O25) and the exact incremental refresh (O26).
+"""Prefix top-k: the flagship index (O13, direct and split forms, array and
+long layouts), one-prefix lookup (O9), bulk lookup (O12), index lookup with
+fall-through (O15), trending (O16), affected prefixes (O25), plain
+invalidation and the exact incremental refresh (O26).
 
 Every ranking orders by the rank's metric descending, then by the display
 text ascending (the reference leaves ties unordered; the display is unique per
