@@ -393,6 +393,34 @@ def _run_search_stream(spark, d):
     return f_root, i_root
 
 
+def q_hit_rate_daily_stream(spark, d):
+    """Serving log as a stream (events file → responses → owning node, a
+    stream-static broadcast join with the ring): daily hit rate per node."""
+    from prefixdex.streaming import search_stream as ss
+
+    root = work_dir(spark, "hit-rate-stream")
+    raw = spark.readStream.schema(tables.load(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parq*")
+    part = tables.load(spark, d, "part").select("p_partkey", "p_name")
+    n_parts = part.select(F.count(F.lit(1))).scalar()
+    ev = raw.join(part, (raw.event_id % n_parts) == part.p_partkey).select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
+        F.col("p_name").alias("query"),
+    )
+    log = tables.serving_log(ev).withColumn("key", cache_key(normalize(F.col("q")), F.col("rank")))
+    log = ring.assign_owner(log, "key", _ring(spark))
+    log = log.withColumn("node", F.when(F.col("cache") == "skip", F.lit("")).otherwise(F.col("node")))
+    out = ss.hit_rate_stream(log, "1 day", "1 day")
+    q = (
+        out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    res = spark.read.parquet(f"{root}/out")
+    return res.select(
+        events.tick_of(F.col("window.start"), ANCHOR, DAY).alias("day"), "node", "hits", "misses", "skips", "hit_rate"
+    )
+
+
 def q_stream_frequency(spark, d):
     from prefixdex.streaming import search_stream as ss
 
@@ -454,4 +482,5 @@ QUERIES = {
     "ingest_csv_parts": q_ingest_csv_parts,
     "recency_stream": q_recency_stream,
     "window_activity_stream": q_window_activity_stream,
+    "hit_rate_daily_stream": q_hit_rate_daily_stream,
 }

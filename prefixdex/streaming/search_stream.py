@@ -264,6 +264,24 @@ def window_activity(events: DataFrame, window: str = "6 hours", lateness: str =
     )
 
 
+def hit_rate_stream(log: DataFrame, window: str = "1 day", lateness: str = "1 day", by: tuple[str, ...] = ("node",)) -> DataFrame:
+    """O37 over event time: per window (and ``by``) the hits, misses, skips
+    and rounded hit rate of a serving-log stream, emitted once the watermark
+    has passed the window."""
+    agg = (
+        log.withWatermark("ts", lateness)
+        .groupBy(F.window("ts", window).alias("window"), *by)
+        .agg(
+            F.count(F.when(F.col("cache") == "hit", 1)).alias("hits"),
+            F.count(F.when(F.col("cache") == "miss", 1)).alias("misses"),
+            F.count(F.when(F.col("cache") == "skip", 1)).alias("skips"),
+        )
+    )
+    total = F.col("hits") + F.col("misses")
+    rate = F.when(total > 0, F.round(F.col("hits") * 100.0 / total, 0).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return agg.withColumn("hit_rate", rate)
+
+
 def scores_at(scaled: DataFrame, now_tick: int, factor: float = DECAY_FACTOR, landmark: int = 0, col: str = "g") -> DataFrame:
     """Read-time score from landmark-scaled values; with update-mode output
     appended per batch (``batch`` column), the newest row per query wins."""
