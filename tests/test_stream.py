@@ -95,3 +95,27 @@ def test_window_activity_late_data(spark, tmp_path):
     run()
     got = {(r.window.start.hour, r.events, r.distinct_queries) for r in spark.read.parquet(path).collect()}
     assert got == {(0, 2, 1), (1, 1, 1), (2, 2, 1)}
+
+
+def test_hit_rate_stream_windows(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "ts timestamp, node string, cache string"
+    src, out, cp = str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "cp")
+    h = lambda x: t0 + dt.timedelta(hours=x)
+    stream = spark.readStream.schema(schema).parquet(src + "/*")
+    agg = ss.hit_rate_stream(stream, "1 hour", "1 hour")
+
+    def run():
+        q = agg.writeStream.outputMode("append").format("parquet").option("path", out).option(
+            "checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{name}")
+    put("a", [(h(0.1), "n1", "hit"), (h(0.2), "n1", "hit"), (h(0.3), "n1", "miss"), (h(0.4), "n1", "skip"), (h(2.5), "n1", "hit")])
+    run()
+    # watermark 1.5 h: window [0,1) is closed, the 0.9 h miss is dropped;
+    # the 1.8 h hit is late but its window [1,2) is still open
+    put("b", [(h(0.9), "n1", "miss"), (h(1.8), "n1", "hit"), (h(5.0), "n1", "miss")])
+    run()
+    got = {(r.window.start.hour, r.hits, r.misses, r.skips, r.hit_rate) for r in spark.read.parquet(out).collect()}
+    assert got == {(0, 2, 1, 1, 67), (1, 1, 0, 0, 100), (2, 1, 0, 0, 100)}
