@@ -437,6 +437,11 @@ def refresh_lists(
     queries ∪ the changed queries' new rows). The old index is only filtered
     (map side, against the broadcast affected prefixes when their count is
     small); the rest of the work is proportional to the change."""
+    return _refresh(old_long, new_rows, changed_queries, k, max_len)[0]
+
+
+def _refresh(old_long, new_rows, changed_queries, k, max_len) -> tuple[DataFrame, DataFrame]:
+    """(refreshed lists of the affected keys, the affected prefixes)."""
     changed = changed_queries.select("query").distinct()
     changed_rows = new_rows.join(changed, "query", "left_semi")
     fresh_cands = _explode_candidates(changed_rows, RANKS, max_len)
@@ -448,7 +453,7 @@ def refresh_lists(
     )
     cols = ["prefix", "rank", "query", "count", "score"]
     recomputed = _top_k(old_kept.select(*cols).unionByName(fresh_cands.select(*cols)), k)
-    return recomputed.select(*LONG_COLUMNS)
+    return recomputed.select(*LONG_COLUMNS), affected
 
 
 def refresh_index_long(
@@ -461,9 +466,6 @@ def refresh_index_long(
     """The whole index after a change: untouched keys keep their rows, the
     affected keys get :func:`refresh_lists`. (A stored index only needs the
     refreshed lists written; see the streaming sink.)"""
-    lists = refresh_lists(old_long, new_freq, changed_queries, k, max_len)
-    affected = broadcast_if_small(
-        affected_prefixes(changed_queries, "query", max_len).select("prefix").distinct()
-    )
+    lists, affected = _refresh(old_long, new_freq, changed_queries, k, max_len)
     untouched = old_long.join(affected, "prefix", "left_anti")
     return untouched.select(*LONG_COLUMNS).unionByName(lists)
