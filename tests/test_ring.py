@@ -81,3 +81,21 @@ def test_delete_batches_cover_all_keys(spark):
     flat = [k for r in b for k in r["keys"]]
     assert sorted(flat) == sorted(set(keys))
     assert all(r.n_keys == len(r["keys"]) for r in b)
+
+
+def test_routing_report_hit_and_miss(spark):
+    from conftest import seed_freq
+    from prefixdex.operators import prefix
+
+    freq = seed_freq(spark, [("iphone 15", 5), ("yoga", 2)])
+    index = prefix.invalidate(prefix.build_index(freq), spark.createDataFrame([("yoga", "count")], "prefix string, rank string"))
+    keys = spark.createDataFrame([("iphone", "count"), ("yoga", "count"), ("zzz", "recent")], "prefix string, rank string")
+    r = ring.ring_table(spark, ["a", "b", "c"])
+    got = {(x.prefix, x.rank): (x.key, x.status) for x in ring.routing_report(keys, r, index).collect()}
+    assert got == {
+        ("iphone", "count"): ("sug:count:iphone", "HIT"),
+        ("yoga", "count"): ("sug:count:yoga", "MISS"),
+        ("zzz", "recent"): ("sug:recent:zzz", "MISS"),
+    }
+    owners = _owners(spark, ["a", "b", "c"], [k for k, _ in got.values()])
+    assert {x.key: x.node for x in ring.routing_report(keys, r, index).collect()} == owners

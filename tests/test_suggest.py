@@ -155,3 +155,11 @@ def test_split_index_across_neighbour_chunks(spark, monkeypatch):
     a = prefix.build_index_long(freq, k=2, split_shared=True).select(*cols).collect()
     b = prefix.build_index_long(freq, k=2, split_shared=False).select(*cols).collect()
     assert sorted(a) == sorted(b)
+
+
+def test_array_and_long_index_round_trip(spark):
+    freq = seed_freq(spark, SEED)
+    long = prefix.build_index_long(freq)
+    back = prefix.index_to_long(prefix.to_index(long))
+    cols = list(prefix.LONG_COLUMNS)
+    assert sorted(back.select(*cols).collect()) == sorted(long.select(*cols).collect())
