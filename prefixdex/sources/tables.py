@@ -49,14 +49,10 @@ def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``title, reviews, ordinal`` — every line of every document, in
-    (doc_id, line) order; ``ordinal`` is ``doc_id * 2^20 + line``."""
+    (doc_id, line) order; ``ordinal`` is the struct ``(doc_id, line)``."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "title"))
-    return lines.select(
-        "title",
-        F.lit("1").alias("reviews"),
-        (F.col("doc_id") * F.lit(1 << 20) + F.col("line_no")).alias("ordinal"),
-    )
+    return lines.select("title", F.lit("1").alias("reviews"), F.struct("doc_id", "line_no").alias("ordinal"))
 
 
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
