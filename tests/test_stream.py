@@ -119,3 +119,22 @@ def test_hit_rate_stream_windows(spark, tmp_path):
     run()
     got = {(r.window.start.hour, r.hits, r.misses, r.skips, r.hit_rate) for r in spark.read.parquet(out).collect()}
     assert got == {(0, 2, 1, 1, 67), (1, 1, 0, 0, 100), (2, 1, 0, 0, 100)}
+
+
+def test_replay_after_partial_failure(spark, tmp_path):
+    """A batch whose frequency delta was committed but whose index delta was
+    not (crash in between): the replay writes only the index delta."""
+    t0 = dt.datetime(2024, 1, 1)
+    base = seed_freq(spark, [("iphone 15", 200), ("ipad", 7)])
+    f_root, i_root = str(tmp_path / "freq"), str(tmp_path / "idx")
+    ss.seed_tables(base, f_root, i_root)
+    batch = spark.createDataFrame([(1, t0, "ipad"), (2, t0, "iphone 16")], "event_id bigint, ts timestamp, query string")
+    assert ss.apply_batch(spark, batch, 0, f_root, None, ANCHOR, 0.9, 86400)  # index step "lost"
+    assert store.committed_versions(spark, i_root + "/delta") == []
+    assert ss.apply_batch(spark, batch, 0, f_root, i_root, ANCHOR, 0.9, 86400)  # replay
+    assert ss.apply_batch(spark, batch, 0, f_root, i_root, ANCHOR, 0.9, 86400) is False
+    counts = {r.query: r["count"] for r in ss.read_frequency(spark, f_root).collect()}
+    assert counts == {"iphone 15": 200, "ipad": 8, "iphone 16": 1}
+    cols = list(prefix.LONG_COLUMNS)
+    rebuilt = prefix.build_index_long(ss.read_frequency(spark, f_root))
+    assert sorted(ss.read_index(spark, i_root).select(*cols).collect()) == sorted(rebuilt.select(*cols).collect())
