@@ -521,6 +521,14 @@ daily AS (SELECT *, {_tick("ts", 86400)} AS day FROM logged)
       WHERE (day + 1) * CAST(86400000000 AS BIGINT) + epoch_us({_ANCHOR})
             <= (SELECT epoch_us(max(ts)) FROM events) - CAST(86400000000 AS BIGINT)
       GROUP BY day, node2"""
+    q["hit_rate_by_rank"] = _with(*_PARTS_FREQ, _EVENTS, _SERVING.rstrip(",")) + """
+      SELECT rank, count(*) FILTER (WHERE cache = 'hit') AS hits,
+             count(*) FILTER (WHERE cache = 'miss') AS misses, count(*) FILTER (WHERE cache = 'skip') AS skips,
+             CASE WHEN count(*) FILTER (WHERE cache IN ('hit', 'miss')) > 0
+                  THEN CAST(round(count(*) FILTER (WHERE cache = 'hit') * 100.0
+                                  / count(*) FILTER (WHERE cache IN ('hit', 'miss'))) AS BIGINT)
+                  ELSE 0 END AS hit_rate
+      FROM serving GROUP BY rank"""
     q["recency_stream"] = q["recency_scores"]
     q["prefix_index_documents_split"] = q["prefix_index_documents"]
     q["ingest_csv_parts"] = q["frequency_parts"]

@@ -266,6 +266,10 @@ def q_hit_rate_by_node(spark, d):
     return reports.hit_rate(_serving_log(spark, d), ("node",))
 
 
+def q_hit_rate_by_rank(spark, d):
+    return reports.hit_rate(tables.serving_log(tables.search_events(spark, d)), ("rank",))
+
+
 def q_rolling_latency(spark, d):
     r = reports.rolling_latency(_serving_log(spark, d), "node")
     return r.select("node", "event_id", "last", "p50", "p95", "samples")
@@ -473,6 +477,7 @@ QUERIES = {
     "delete_batches_documents": q_delete_batches_documents,
     "routing_keystrokes": q_routing_keystrokes,
     "hit_rate_by_node": q_hit_rate_by_node,
+    "hit_rate_by_rank": q_hit_rate_by_rank,
     "rolling_latency": q_rolling_latency,
     "user_history": q_user_history,
     "personalized_merge": q_personalized_merge,
