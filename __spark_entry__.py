@@ -20,6 +20,15 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from prefixdex.plans import registry  # noqa: E402
 from prefixdex.plans.session import ensure_checkpoint_dir  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline
+    from prefixdex.llm import oracle as llm_oracle
+    from prefixdex.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "prefixdex.llm"):
+        raise
+    corpus_pipeline = llm_oracle = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -45,7 +54,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         run.__name__ = fn.__name__
         return run
 
-    return {name: wrap(fn) for name, fn in registry.QUERIES.items()}
+    found = {name: wrap(fn) for name, fn in registry.QUERIES.items()}
+    if llm_queries is not None:
+        found |= {name: wrap(fn) for name, fn in llm_queries.QUERIES.items()}
+        found["pipeline"] = wrap(corpus_pipeline.run)
+    return found
 
 
 # --------------------------------------------------------------------------
@@ -532,6 +545,10 @@ daily AS (SELECT *, {_tick("ts", 86400)} AS day FROM logged)
     q["recency_stream"] = q["recency_scores"]
     q["prefix_index_documents_split"] = q["prefix_index_documents"]
     q["ingest_csv_parts"] = q["frequency_parts"]
+    if llm_oracle is not None:
+        q |= llm_oracle.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL is not None:
+            q["pipeline"] = corpus_pipeline.ORACLE_SQL
     q["window_activity_stream"] = _with(*_PARTS_FREQ, _EVENTS) + f"""
       SELECT tick AS window_tick, count(*) AS events, count(DISTINCT nq) AS distinct_queries
       FROM (SELECT {_tick("ts", 21600)} AS tick, {_norm("query")} AS nq FROM accepted WHERE {_norm("query")} <> '')
