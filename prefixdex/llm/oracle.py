@@ -23,6 +23,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+ORACLE_SQL["op5_substring_dedup"] = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+first AS (SELECT win, min(doc_id) AS low FROM windows GROUP BY win HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS pos FROM windows JOIN first USING (win) WHERE low < doc_id),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+left_ AS (
+  SELECT e.doc_id, count(*) AS n_words, count(g.pos) AS n_removed,
+         string_agg(word, ' ' ORDER BY e.pos) FILTER (WHERE g.pos IS NULL) AS kept
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.pos = e.pos GROUP BY e.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_ USING (doc_id)"""
+
 ORACLE_SQL["op8_exact_dedup"] = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
