@@ -1,3 +1,5 @@
+"""Texts and fixtures shared by the tests of this folder."""
+
 import random
 
 import pytest
@@ -5,6 +7,17 @@ import pytest
 WORDS = "the of and to in that with for was are on by be this from have not they which one".split()
 
 
+def prose(seed: int, n: int) -> str:
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        if rng.random() < 0.4:
+            out.append(rng.choice(WORDS))
+        else:
+            out.append("".join(rng.choice(["ta", "ri", "lo", "men", "su", "k", "ed", "vo"]) for _ in range(rng.randint(1, 4))))
+    return " ".join(out)
+
+
 @pytest.fixture(scope="session")
 def make_docs(spark):
     """A table of documents from (doc_id, text, ...) rows."""
@@ -16,14 +29,6 @@ def make_docs(spark):
     return make
 
 
-def prose(seed: int, n: int) -> str:
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        out.append(rng.choice(WORDS) if rng.random() < 0.4 else "".join(rng.choice(["ta", "ri", "lo", "men", "su", "k", "ed", "vo"]) for _ in range(rng.randint(1, 4))))
-    return " ".join(out)
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """Null, empty, blank, very long, tied and repeated rows."""

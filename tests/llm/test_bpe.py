@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from llm_fixtures import make_docs, odd_rows  # noqa: F401
 
 from prefixdex.llm import bpe
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from llm_fixtures import make_docs, odd_rows  # noqa: F401
 
 from prefixdex.llm import exact_dedup as E
 

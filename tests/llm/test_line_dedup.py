@@ -1,6 +1,7 @@
 import re
 
 from pyspark.sql import functions as F
+from llm_fixtures import make_docs, odd_rows  # noqa: F401
 
 from prefixdex.llm import cuckoo
 from prefixdex.llm import line_dedup as L

@@ -2,6 +2,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from llm_fixtures import make_docs, odd_rows  # noqa: F401
 
 from prefixdex.llm import quality as Q
 
