@@ -174,14 +174,15 @@ def dropped_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame, shards
     spread = 1 + total // (shards * PROBE_ROWS)
     asked = maybe_repeated(lines.select(_digest(F.col("k")).alias("key"), "doc_id", "pos"), filters, shards, spread)
     exact = counts.where(F.col("n_docs") >= min_docs).select("key", "holder")
-    return asked.join(exact, "key").where(F.col("doc_id") != F.col("holder")).select("doc_id", "pos").distinct()
+    return asked.join(exact.hint("merge"), "key").where(F.col("doc_id") != F.col("holder")).select("doc_id", "pos").distinct()
 
 
 def clean(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` with their lines without the dropped ones: the columns of ``docs``
     plus n_lines, n_dropped and kept_text."""
     gone = dropped.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("pos").alias("__gone"))
-    with_lines = docs.withColumn("__id", _id()).join(gone, "__id", "left").withColumn("__lines", _lines())
+    # What is dropped grows with the documents, so it is never broadcast.
+    with_lines = docs.withColumn("__id", _id()).join(gone.hint("merge"), "__id", "left").withColumn("__lines", _lines())
     positions = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.transform(positions, lambda p: F.get("__lines", p)), "\n")
