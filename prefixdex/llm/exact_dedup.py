@@ -135,7 +135,7 @@ def _chunks(docs: DataFrame, groups: DataFrame, primes, bases) -> DataFrame:
                 )
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(prints, f"{_FP}, norm binary, text_sha256 string")
-    found = found.join(groups.select("fp_a", "fp_b", "n_bytes"), ["fp_a", "fp_b", "n_bytes"], "left_semi")
+    found = found.join(groups.select("fp_a", "fp_b", "n_bytes").hint("merge"), ["fp_a", "fp_b", "n_bytes"], "left_semi")
     return found.select("fp_a", "fp_b", "n_bytes", "norm", "text_sha256").mapInArrow(
         cut, f"{_FP}, text_sha256 string, chunk_no int, chunk binary"
     )
@@ -200,4 +200,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     norm = F.sha2(F.translate(text, " \t\n\x0b\x0c\r", "").cast("binary"), 256)
     keyed = docs.withColumn("__id", ident).withColumn("__sha", norm).withColumn("__points", F.length(text).cast("long"))
-    return keyed.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
+    return keyed.join(kept.hint("merge"), key, "left_semi").dropDuplicates(key).drop(*key)
