@@ -138,13 +138,41 @@ accepted AS (
   SELECT * FROM search_events
   WHERE length({_wtrim("coalesce(query, '')")}) BETWEEN 1 AND 512)"""
 
+_LINES = """
+line_catalog AS (
+  SELECT u.line AS title, CASE d.lang WHEN 'en' THEN '1' WHEN 'de' THEN '1.5' WHEN 'fr' THEN 'n/a' WHEN 'es' THEN '0' END AS reviews,
+         d.doc_id * 1048576 + (u.pos - 1) AS ordinal
+  FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(line, pos))"""
+_LINES_FREQ = [_LINES, _classified("line_catalog", "line_classified"), _freq("line_classified", "freq")]
+
+_LINE_EVENTS = f"""
+line_of AS (
+  SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, l.lines[CAST(e.event_id // n.n % len(l.lines) AS BIGINT) + 1] AS line
+  FROM events e, (SELECT count(*) AS n FROM documents) n,
+       (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) l
+  WHERE l.doc_id = e.event_id % n.n),
+search_events AS (
+  SELECT event_id, ts, user_id, event_type, value,
+         CASE event_type WHEN 'error' THEN '  ' WHEN 'signup' THEN repeat(line, 1 + 512 // greatest(length(line), 1))
+           WHEN 'purchase' THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE line END AS query
+  FROM line_of),
+accepted AS (
+  SELECT * FROM search_events
+  WHERE length({_wtrim("coalesce(query, '')")}) BETWEEN 1 AND 512)"""
+
+_TYPED = """
+typed_requests AS (
+  SELECT user_id, CASE WHEN event_type = 'signup' THEN query ELSE substr(query, 1, 1 + event_id % 60) END AS typed,
+         CASE WHEN event_type IN ('click', 'purchase') THEN 'recent' ELSE 'count' END AS rank
+  FROM {src})"""
+
 _NOW_DAY = f"(SELECT {_tick('max(ts)', 86400)} FROM events)"
 _NOW_FLUSH = f"(SELECT {_tick('max(ts)', 21600)} FROM events)"
 
 _DELTAS = f"""
 deltas AS (
   SELECT {_norm("query")} AS query, first({_wtrim("query")} ORDER BY ts, event_id) AS display,
-         count(*) AS delta, sum(pow({_F}, -{_tick("ts", 86400)})) AS g
+         count(*) AS delta, sum(pow({_F}, {_NOW_DAY} - {_tick("ts", 86400)})) AS g
   FROM accepted WHERE {_norm("query")} <> '' GROUP BY 1)"""
 
 
@@ -158,10 +186,10 @@ def _upsert(base: str, deltas: str, name: str, score_delta: str = "delta") -> st
 
 
 _LIVE = [
-    _upsert("freq", "deltas", "merged", "g"),
     f"""
-live AS (
-  SELECT query, display, count, score * pow({_F}, {_NOW_DAY}) AS score FROM merged)""",
+aged AS (
+  SELECT query, display, count, score * pow({_F}, {_NOW_DAY}) AS score FROM freq)""",
+    _upsert("aged", "deltas", "live", "g"),
 ]
 
 
@@ -312,6 +340,45 @@ sampled AS (
       SELECT CAST(row_number() OVER (ORDER BY count DESC, display) AS INTEGER) AS pos, display AS query, count, score
       FROM (SELECT * FROM freq WHERE starts_with(query, 'hot') ORDER BY count DESC, display LIMIT 10)"""
 
+    q["catalog_rejects_lines"] = (
+        _with(_LINES, _classified("line_catalog", "c"))
+        + " SELECT coalesce(reject_reason, 'ok') AS reason, count(*) AS n_rows FROM c GROUP BY 1"
+    )
+    q["search_validation_lines"] = _with(_LINE_EVENTS) + f"""
+      SELECT event_id, CASE WHEN length({_wtrim("coalesce(query, '')")}) = 0 THEN 'required'
+                            WHEN length({_wtrim("coalesce(query, '')")}) > 512 THEN 'exceeds 512 chars' END AS error
+      FROM search_events"""
+    line_deltas = f"""
+deltas AS (
+  SELECT {_norm("query")} AS query, first({_wtrim("query")} ORDER BY ts, event_id) AS display, count(*) AS delta
+  FROM accepted WHERE {_norm("query")} <> '' GROUP BY 1)"""
+    q["upsert_lines"] = _with(*_LINES_FREQ, _LINE_EVENTS, line_deltas, _upsert("freq", "deltas", "upserted")) + """
+      SELECT query, display, count, score FROM upserted"""
+    line_keys = f"""
+keys AS (
+  SELECT {_norm("typed")} AS prefix, rank, CASE WHEN length(typed) > 512 THEN 'exceeds 512 chars' END AS reason,
+         count(*) AS n_requests
+  FROM typed_requests GROUP BY 1, 2, 3),
+asked AS (SELECT *, 'sug:' || rank || ':' || prefix AS key FROM keys WHERE prefix <> '' AND reason IS NULL)"""
+    line_lookup = _with(
+        *_LINES_FREQ, _LINE_EVENTS, _TYPED.format(src="search_events"), line_keys, _direct_answers("freq", "asked", "ans"),
+        _ring(_NODES, "ring"), _owner("asked", "key", "ring", "owned"),
+        """
+lists AS (SELECT prefix, rank, count(*) AS n, arg_min(query, pos) AS first FROM ans GROUP BY 1, 2),
+indexed AS (SELECT *, length(prefix) <= 40 AND length(prefix) % 5 <> 0 AS fresh FROM lists)""",
+    )
+    served = """
+      SELECT k.prefix, k.rank, k.n_requests,
+             CASE WHEN k.reason IS NOT NULL THEN 'error' WHEN k.prefix = '' THEN 'skip' {hit} ELSE 'miss' END AS status,
+             k.reason, o.node, CAST(coalesce(i.n, 0) AS INTEGER) AS n, i.first AS first
+      FROM keys k LEFT JOIN owned o ON o.prefix = k.prefix AND o.rank = k.rank AND k.reason IS NULL
+      LEFT JOIN indexed i ON i.prefix = k.prefix AND i.rank = k.rank AND k.reason IS NULL"""
+    q["lookup_lines"] = line_lookup + served.format(hit="WHEN i.fresh THEN 'hit'")
+    q["lookup_twice_lines"] = line_lookup + served.format(hit="WHEN true THEN 'hit'")
+    q["routing_lines"] = line_lookup + """
+      SELECT o.prefix, o.rank, o.key, o.node, CASE WHEN i.fresh THEN 'HIT' ELSE 'MISS' END AS status
+      FROM owned o LEFT JOIN indexed i ON i.prefix = o.prefix AND i.rank = o.rank"""
+
     answers_tail = """
       SELECT k.prefix, k.rank, k.n_requests,
              CASE WHEN k.prefix = '' THEN 'skip' ELSE {status} END AS status,
@@ -427,6 +494,18 @@ pend AS (
              count(*) FILTER (WHERE old <> new AND new <> 'redis-3') AS moved_elsewhere,
              round(count(*) FILTER (WHERE old <> new) * 100.0 / count(*), 2) AS moved_pct
       FROM own_b"""
+    q["remap_remove_node_documents"] = _with(
+        *_DOCS_FREQ,
+        doc_keys,
+        _ring((*_NODES, "redis-3"), "ring_a"),
+        _ring(_NODES, "ring_b"),
+        _owner("doc_keys", "key", "ring_a", "own_a", "old"),
+        _owner("own_a", "key", "ring_b", "own_b", "new"),
+    ) + """
+      SELECT count(*) AS keys, count(*) FILTER (WHERE old <> new) AS moved,
+             count(*) FILTER (WHERE old <> new AND old <> 'redis-3') AS moved_elsewhere,
+             round(count(*) FILTER (WHERE old <> new) * 100.0 / count(*), 2) AS moved_pct
+      FROM own_b"""
     q["delete_batches_documents"] = _with(
         *_DOCS_FREQ,
         """
@@ -511,17 +590,44 @@ gm AS (
         SELECT *, CAST(row_number() OVER (PARTITION BY user_id, typed ORDER BY src, ord) AS INTEGER) AS pos
         FROM (SELECT * FROM hm UNION ALL SELECT * FROM gm))
       WHERE pos <= 10"""
-    q["stream_frequency"] = _with(*_PARTS_FREQ, _EVENTS, _DELTAS, _upsert("freq", "deltas", "upserted", "g")) + """
-      SELECT query, display, count, round(score, 6) AS score_scaled FROM upserted"""
+    keystrokes_asked = """
+req AS (
+  SELECT DISTINCT e.user_id, substr(e.query, 1, t.i) AS typed
+  FROM accepted e, unnest(range(1, greatest(length(e.query), 1) + 1)) AS t(i)
+  WHERE length(substr(e.query, 1, t.i)) > 0),"""
+    lines = ",".join([*_LINES_FREQ, _LINE_EVENTS, _TYPED.format(src="accepted")])
+    q["personalized_merge_lines"] = (
+        q["personalized_merge"]
+        .replace(",".join([*_PARTS_FREQ, _EVENTS]), lines)
+        .replace(keystrokes_asked, "req AS (SELECT DISTINCT user_id, typed FROM typed_requests),")
+    )
+    q["stream_frequency"] = live + """
+      SELECT query, display, count, round(score, 6) AS score FROM live"""
     q["payloads_parts"] = _with(*_PARTS_FREQ, _index_long("freq", "idx")) + """
       SELECT prefix, rank, 'sug:' || rank || ':' || prefix AS key,
              CAST(to_json(list(struct_pack(query := query, count := count, score := score) ORDER BY pos)) AS VARCHAR)
                AS payload,
              CAST(count(*) AS INTEGER) AS n
       FROM idx GROUP BY prefix, rank"""
-    q["stream_index"] = _with(
-        *_PARTS_FREQ, _EVENTS, _DELTAS, _upsert("freq", "deltas", "upserted", "g"), _index_long("upserted", "idx")
+    q["stream_index"] = _with(*_PARTS_FREQ, _EVENTS, _DELTAS, *_LIVE, _index_long("live", "idx")) + """
+      SELECT prefix, rank, pos, query, count, round(score, 6) AS score FROM idx"""
+    now_minute = f"(SELECT {_tick('max(ts)', 60)} FROM events)"
+    q["recency_scores_minutes"] = _with(*_PARTS_FREQ, _EVENTS) + f"""
+      SELECT {_norm("query")} AS query, count(*) AS events,
+             round(sum(pow({_F}, {now_minute} - {_tick("ts", 60)})), 6) AS score
+      FROM accepted WHERE {_norm("query")} <> '' GROUP BY 1"""
+    minutes = f"""
+deltas AS (
+  SELECT {_norm("query")} AS query, first({_wtrim("query")} ORDER BY ts, event_id) AS display,
+         count(*) AS delta, sum(pow({_F}, {now_minute} - {_tick("ts", 60)})) AS g
+  FROM accepted WHERE {_norm("query")} <> '' GROUP BY 1),
+aged AS (SELECT query, display, count, score * pow({_F}, {now_minute}) AS score FROM freq)"""
+    q["stream_index_minutes"] = _with(
+        *_PARTS_FREQ, _EVENTS, minutes, _upsert("aged", "deltas", "live", "g"), _index_long("live", "idx")
     ) + " SELECT prefix, rank, pos, query, count, round(score, 6) AS score FROM idx"
+    q["pending_stream"] = _with(*_PARTS_FREQ, _EVENTS) + f"""
+      SELECT {_norm("query")} AS q, count(*) AS n FROM accepted
+      WHERE {_norm("query")} <> '' AND {_tick("ts", 21600)} = {_NOW_FLUSH} GROUP BY 1"""
     q["hit_rate_daily_stream"] = serving + f""",
 daily AS (SELECT *, {_tick("ts", 86400)} AS day FROM logged)
       SELECT day, node2 AS node, count(*) FILTER (WHERE cache = 'hit') AS hits,
@@ -530,10 +636,7 @@ daily AS (SELECT *, {_tick("ts", 86400)} AS day FROM logged)
                   THEN CAST(round(count(*) FILTER (WHERE cache = 'hit') * 100.0
                                   / count(*) FILTER (WHERE cache IN ('hit', 'miss'))) AS BIGINT)
                   ELSE 0 END AS hit_rate
-      FROM daily
-      WHERE (day + 1) * CAST(86400000000 AS BIGINT) + epoch_us({_ANCHOR})
-            <= (SELECT epoch_us(max(ts)) FROM events) - CAST(86400000000 AS BIGINT)
-      GROUP BY day, node2"""
+      FROM daily GROUP BY day, node2"""
     q["hit_rate_by_rank"] = _with(*_PARTS_FREQ, _EVENTS, _SERVING.rstrip(",")) + """
       SELECT rank, count(*) FILTER (WHERE cache = 'hit') AS hits,
              count(*) FILTER (WHERE cache = 'miss') AS misses, count(*) FILTER (WHERE cache = 'skip') AS skips,
@@ -545,6 +648,7 @@ daily AS (SELECT *, {_tick("ts", 86400)} AS day FROM logged)
     q["recency_stream"] = q["recency_scores"]
     q["prefix_index_documents_split"] = q["prefix_index_documents"]
     q["ingest_csv_parts"] = q["frequency_parts"]
+    q["ingest_profile_parts"] = q["load_profile_parts"]
     if llm_oracle is not None:
         q |= llm_oracle.ORACLE_SQL
         if corpus_pipeline.ORACLE_SQL is not None:
@@ -552,7 +656,5 @@ daily AS (SELECT *, {_tick("ts", 86400)} AS day FROM logged)
     q["window_activity_stream"] = _with(*_PARTS_FREQ, _EVENTS) + f"""
       SELECT tick AS window_tick, count(*) AS events, count(DISTINCT nq) AS distinct_queries
       FROM (SELECT {_tick("ts", 21600)} AS tick, {_norm("query")} AS nq FROM accepted WHERE {_norm("query")} <> '')
-      WHERE (tick + 1) * CAST(21600000000 AS BIGINT) + epoch_us({_ANCHOR})
-            <= (SELECT epoch_us(max(ts)) FROM accepted) - CAST(21600000000 AS BIGINT)
       GROUP BY tick"""
     return q

@@ -2,9 +2,11 @@
 
 The reference multiplies every ``score`` by ``f`` each tick and adds a
 search's delta at flush time. Over an event log the same value has a closed
-form, ``score(now) = Σ delta · f^(tick_now − tick_event)``, and in forward-decay
-form (Cormode et al., ICDE 2009) ``f^(tick_now − L) · Σ delta · f^−(tick − L)``:
-the inner sum never changes once written, so ranking needs no table rewrite.
+form, ``score(now) = Σ delta · f^(tick_now − tick_event)``. Every weight is at
+most 1, so the sum is finite at any tick length and over any period (an event
+so old that its weight underflows counts 0, as it does after that many
+multiplications). Stored scores carry the tick they are taken at, their
+``landmark``, and are moved to a later one by ``rescaled``.
 """
 
 from __future__ import annotations
@@ -24,36 +26,23 @@ def decay_step(freq: DataFrame, factor: float = DECAY_FACTOR, steps: int = 1) ->
     return freq.withColumn("score", F.col("score") * F.lit(float(factor) ** int(steps)))
 
 
-def landmark_weight(tick: Column, landmark: int = 0, factor: float = DECAY_FACTOR) -> Column:
-    """f^−(tick − L): one event's forward-decay weight."""
-    return F.pow(F.lit(float(factor)), -(tick - F.lit(landmark)))
+def weight(tick: Column, at: Column, factor: float = DECAY_FACTOR) -> Column:
+    """f^(at − tick): what an event of ``tick`` counts at tick ``at``."""
+    return F.pow(F.lit(float(factor)), at - tick)
 
 
-def recency_scores(
-    events: DataFrame,
-    tick: Column,
-    now_tick: Column,
-    factor: float = DECAY_FACTOR,
-    landmark: int = 0,
-) -> DataFrame:
+def rescaled(score: Column, landmark: Column, at: Column, factor: float = DECAY_FACTOR) -> Column:
+    """A score taken at ``landmark``, moved to tick ``at``."""
+    return score * weight(landmark, at, factor)
+
+
+def recency_scores(events: DataFrame, tick: Column, now_tick: Column, factor: float = DECAY_FACTOR) -> DataFrame:
     """``query, events, score`` at ``now_tick`` from an event log
     (``query`` raw text, one delta per event). One partial aggregation on the
     normalized query."""
-    e = events.select(normalize(F.col("query")).alias("query"), tick.alias("_tick")).filter(
+    e = events.select(normalize(F.col("query")).alias("query"), tick.alias("_tick"), now_tick.alias("_now")).filter(
         F.col("query") != ""
     )
-    g = e.groupBy("query").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.sum(landmark_weight(F.col("_tick"), landmark, factor)).alias("_g"),
-    )
-    return g.select(
-        "query",
-        "events",
-        (F.col("_g") * F.pow(F.lit(float(factor)), now_tick - F.lit(landmark))).alias("score"),
+    return e.groupBy("query").agg(
+        F.count(F.lit(1)).alias("events"), F.sum(weight(F.col("_tick"), F.col("_now"), factor)).alias("score")
     )
-
-
-def relandmark(scaled: Column, old_landmark: int, new_landmark: int, factor: float = DECAY_FACTOR) -> Column:
-    """Move landmark-scaled values to a later landmark before they overflow
-    (at f = 0.9 a double overflows after ~6,700 ticks)."""
-    return scaled * F.lit(float(factor) ** (new_landmark - old_landmark))

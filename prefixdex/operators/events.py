@@ -43,10 +43,10 @@ def assign_flushes(
     interval_seconds: float = FLUSH_INTERVAL_SECONDS,
     batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
-    """Add ``tick``, ``flush_no`` (within the tick) to accepted events
-    (``ts``, ``event_id``, ``query``). Events whose normalized text is empty
-    are not buffered and get no flush."""
-    e = events.filter(normalize(F.col("query")) != "").withColumn(
+    """``ts, event_id, query, tick, flush_no`` (within the tick) of accepted
+    events. Events whose normalized text is empty are not buffered and get no
+    flush. Only these columns are carried through the ordinals."""
+    e = events.select("ts", "event_id", "query").filter(normalize(F.col("query")) != "").withColumn(
         "tick", tick_of("ts", anchor, interval_seconds)
     )
     e = with_ordinal(e, ["ts", "event_id"], ["tick"], out="_pos")

@@ -55,57 +55,39 @@ def personalized_merge(
     ``global_long``: ``prefix, pos, query, count, score`` for normalized
     prefixes. Output ``user_id, typed, pos, query, count, score,
     personalized``; a history entry found in the global list takes its text
-    and numbers from there. ``requests`` and ``global_long`` are each read
-    twice: pass materialized tables when they are costly to derive."""
-    req = requests.select("user_id", "typed").distinct().withColumn(
-        "_p", history_key(F.col("typed"))
-    ).withColumn("prefix", normalize(F.col("typed")))
+    and numbers from there.
+
+    Both lists are bounded (≤ 50 entries of a user, ≤ k of a prefix), so they are
+    joined as arrays, one row per user and one per prefix: a request stays one
+    row until its merged list is done, a much-asked prefix or user is a skewed
+    join key with one row on the other side (which AQE splits), and no text is
+    cut into its prefixes."""
+    req = requests.select("user_id", "typed").distinct()
+    req = req.withColumn("_p", history_key(F.col("typed"))).withColumn("prefix", normalize(F.col("typed")))
     req = req.filter(F.col("_p") != "")  # blank input shows the recent view instead
-    g = global_long.select(
-        "prefix", F.col("pos").alias("_gpos"), F.col("query").alias("_gq"), "count", "score"
-    ).withColumn("_k", F.lower(F.col("_gq")))
+    listed = global_long.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("pos", "query", "count", "score"))).alias("_g"))
+    own = history.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("_h"))
+    both = req.join(listed, "prefix", "left").join(own, "user_id", "left")
+    both = both.withColumn("_h", F.filter("_h", lambda x: F.lower(x["q"]).startswith(F.col("_p"))))
 
-    h = history.select("user_id", F.col("pos").alias("_hpos"), F.col("q").alias("_hq")).withColumn(
-        "_k", F.lower(F.col("_hq"))
-    )
-    # starts-with as an equi-join: each (≤ cap per user) history text is cut
-    # into its prefixes, so a request meets only the entries it matches
-    # instead of all of its user's entries.
-    hp = h.withColumn(
-        "_p", F.explode(F.expr("transform(sequence(1, greatest(length(_k), 1)), i -> substring(_k, 1, i))"))
-    )
-    hm = req.join(hp, ["user_id", "_p"])
-    hm = hm.join(g, ["prefix", "_k"], "left").select(
-        "user_id",
-        "typed",
-        "_k",
-        F.lit(0).alias("_src"),
-        F.col("_hpos").alias("_ord"),
-        F.coalesce(F.col("_gq"), F.col("_hq")).alias("query"),
-        "count",
-        "score",
-        F.lit(True).alias("personalized"),
-    )
-    gm = req.join(g, "prefix").select(
-        "user_id",
-        "typed",
-        "_k",
-        F.lit(1).alias("_src"),
-        F.col("_gpos").alias("_ord"),
-        F.col("_gq").alias("query"),
-        "count",
-        "score",
-        F.lit(False).alias("personalized"),
+    def from_list(x):
+        """The history entry, with the text and numbers of its twin in the list."""
+        twin = F.get(F.filter("_g", lambda y: F.lower(y["query"]) == F.lower(x["q"])), F.lit(0))
+        return F.struct(
+            F.coalesce(twin["query"], x["q"]).alias("query"), twin["count"].alias("count"), twin["score"].alias("score"),
+            F.lit(True).alias("personalized"),
+        )
+
+    mine = F.transform("_h", from_list)
+    named = F.coalesce(F.transform("_h", lambda x: F.lower(x["q"])), F.array().cast("array<string>"))
+    rest = F.transform(
+        F.filter("_g", lambda y: ~F.array_contains(F.col("_named"), F.lower(y["query"]))),
+        lambda y: F.struct(y["query"].alias("query"), y["count"].alias("count"), y["score"].alias("score"), F.lit(False).alias("personalized")),
     )
-    # One shuffle on the request serves both windows: the case-insensitive
-    # dedupe (history first) and the final order/cap (≤ cap + limit rows each).
-    both = hm.unionByName(gm).repartition("user_id", "typed")
-    first = Window.partitionBy("user_id", "typed", "_k").orderBy("_src", "_ord")
-    w = Window.partitionBy("user_id", "typed").orderBy("_src", "_ord")
+    none = F.array().cast("array<struct<query:string,count:bigint,score:double,personalized:boolean>>")
+    merged = F.slice(F.concat(F.coalesce(mine, none), F.coalesce(rest, none)), 1, limit)
     return (
-        both.withColumn("_first", F.row_number().over(first))
-        .filter(F.col("_first") == 1)
-        .withColumn("pos", F.row_number().over(w))
-        .filter(F.col("pos") <= limit)
-        .select("user_id", "typed", "pos", "query", "count", "score", "personalized")
+        both.withColumn("_named", named)
+        .select("user_id", "typed", F.posexplode(merged).alias("_i", "_e"))
+        .select("user_id", "typed", (F.col("_i") + 1).alias("pos"), "_e.query", "_e.count", "_e.score", "_e.personalized")
     )

@@ -6,10 +6,10 @@ invalidation and the exact incremental refresh (O26).
 Every ranking orders by the rank's metric descending, then by the display
 text ascending (the reference leaves ties unordered; the display is unique per
 normalized query, so this makes every list deterministic). The ``query`` of a
-suggestion is the display text. Exploded candidate rows carry only the
-display, count and score — not the normalized key as well — which halves the
-width of the rows sorted before the shuffle; the key is re-derived
-(``normalize(display)``) where an operator needs it.
+suggestion is the display text. Exploded candidates carry no text but their
+prefix: the table is sorted by display once, and a number in that order stands
+for the display in the ranking and brings text and counts back to the rows that
+are in a list.
 """
 
 from __future__ import annotations
@@ -59,16 +59,60 @@ def explode_prefixes(
 
 
 def _top_k(cands: DataFrame, k: int) -> DataFrame:
-    """Top-k per (prefix, rank). ``row_number() <= k`` lets Catalyst insert a
-    WindowGroupLimit on both sides of the shuffle, so a hot prefix ships at
-    most k rows per map task."""
+    """Top-k per (prefix, rank) of rows with their text (an index refresh's few)."""
     w = Window.partitionBy("prefix", "rank").orderBy(rank_metric("rank").desc(), F.col("query").asc())
     return cands.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
+# Prefixes short enough to be hot, and the groups their candidates are dealt into.
+SHORT_PREFIX = 2
+SHORT_GROUPS = 32
+
+
+def _numbered(freq: DataFrame) -> DataFrame:
+    """``query, display, count, score, _ord``: ``_ord`` ascends with the display. It
+    depends on the physical order, so the rows are written before it is used."""
+    n = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = freq.select("query", "display", "count", "score").repartitionByRange(n, "display").sortWithinPartitions("display")
+    return rows.withColumn("_ord", F.monotonically_increasing_id()).checkpoint(eager=True)
+
+
+def _narrow(numbered: DataFrame, ranks: Sequence[str], *more: str) -> DataFrame:
+    """``_key`` (normalized query, cut into prefixes and then dropped), ``rank``,
+    ``_m`` (the rank's metric), ``_ord``: nothing as wide as the display."""
+    entries = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), _metric(r).alias("m")) for r in ranks])).alias("e")
+    rows = numbered.select(F.col("query").alias("_key"), "_ord", *more, entries)
+    return rows.select("_key", "_ord", *more, F.col("e.rank").alias("rank"), F.col("e.m").alias("_m"))
+
+
+def _metric(rank: str) -> Column:
+    return F.col("score" if rank == "recent" else "count").cast("double")
+
+
+def _top_numbers(cands: DataFrame, k: int) -> DataFrame:
+    """``prefix, rank, pos, _ord`` of the top-k per (prefix, rank). ``row_number() <= k``
+    lets Catalyst insert a WindowGroupLimit on both sides of the shuffle, so a
+    prefix ships at most k rows per map task; the short prefixes, which every
+    map task has, are first cut to k in each of some groups."""
+    best = [F.col("_m").desc(), F.col("_ord").asc()]
+    short = F.length("prefix") <= SHORT_PREFIX
+    grouped = cands.filter(short).withColumn("_group", F.pmod("_ord", F.lit(SHORT_GROUPS)))
+    first = Window.partitionBy("prefix", "rank", "_group").orderBy(*best)
+    grouped = grouped.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).drop("_n", "_group")
+    w = Window.partitionBy("prefix", "rank").orderBy(*best)
+    both = cands.filter(~short).unionByName(grouped)
+    return both.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("prefix", "rank", "pos", "_ord")
+
+
+def _with_text(top: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Text and numbers of the rows in a list (broadcast when the table is measured
+    small, else an equi-join on the unique number)."""
+    texts = broadcast_if_small(numbered.select("_ord", F.col("display").alias("query"), "count", "score"))
+    return top.join(texts, "_ord").select(*LONG_COLUMNS)
+
+
 def _candidates(freq: DataFrame, ranks: Sequence[str]) -> DataFrame:
-    """``_key`` (normalized query, cut into prefixes and then dropped),
-    ``query`` (display), ``count``, ``score``, ``rank``."""
+    """``_key`` (normalized query), ``query`` (display), ``count``, ``score``, ``rank``."""
     return freq.select(
         F.col("query").alias("_key"),
         F.col("display").alias("query"),
@@ -132,73 +176,48 @@ def with_shared_length(freq: DataFrame, max_len: int = MAX_INDEXED_PREFIX) -> Da
     return t.withColumn("_shared", shared).drop("_pid", "_pos", "_chunk", "_prev", "_next")
 
 
-# Input size from which the index build first separates shared prefixes.
-SPLIT_SHARED_MIN_BYTES = 1 << 30
-
-
-def input_bytes(df: DataFrame, stop_at: int | None = None) -> int:
-    """Total size of the files a DataFrame reads (``inputFiles``); stops
-    summing once ``stop_at`` is reached, so a large input costs a few file
-    lookups on the driver, not one per file."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-        if stop_at is not None and total >= stop_at:
-            break
-    return total
-
-
 def build_index_long(
     freq: DataFrame,
     k: int = SUGGEST_LIMIT,
     max_len: int = MAX_INDEXED_PREFIX,
     ranks: Sequence[str] = RANKS,
-    split_shared: bool | None = None,
+    split_shared: bool = False,
 ) -> DataFrame:
     """O13 in long form: ``prefix, rank, pos, query, count, score`` for every
     prefix of length 1..max_len of every query, both ranks, top k each.
 
-    Direct form: every candidate (query × prefix × rank) goes through the
-    top-k window (partial limit, one shuffle, final limit).
+    Direct form: every candidate (query × prefix × rank), as a prefix, a metric
+    and a number, goes through the top-k window (partial limit, one shuffle,
+    final limit); texts are joined to the rows that are in a list.
 
-    Split form (``split_shared``; by default when the inputs reach
-    ``SPLIT_SHARED_MIN_BYTES``): only prefixes a query shares with another
+    Split form (``split_shared``, the caller's choice; equal results): only prefixes a query shares with another
     query — at most its longest common prefix with a sorted neighbour — go
     through the top-k shuffle; the longer ones are its alone, so their
     one-entry lists are emitted where the query is, with no shuffle or sort.
     On text-like queries most of the ≤ 40 prefixes are unshared (three
     quarters on the document catalog), which the split form saves at the cost
     of a few passes over the (40× smaller) frequency table."""
-    if split_shared is None:
-        split_shared = input_bytes(freq, SPLIT_SHARED_MIN_BYTES) >= SPLIT_SHARED_MIN_BYTES
+    numbered = _numbered(freq)
     if not split_shared:
-        return _top_k(_explode_candidates(freq, ranks, max_len), k).select(*LONG_COLUMNS)
+        cands = explode_prefixes(_narrow(numbered, ranks), "_key", max_len).drop("_key")
+        return _with_text(_top_numbers(cands, k), numbered)
     # one row per query; feeds both branches below, so materialize it once
-    f = with_shared_length(freq.select("query", "display", "count", "score"), max_len).checkpoint(eager=True)
-    cands = f.select(
-        F.col("query").alias("_key"),
-        F.col("display").alias("query"),
-        "count",
-        "score",
-        "_shared",
-        F.explode(F.array(*[F.lit(r) for r in ranks])).alias("rank"),
-    ).filter(F.length("_key") >= 1)
+    f = with_shared_length(numbered.filter(F.length("query") >= 1), max_len).checkpoint(eager=True)
     top = F.least(F.length("_key"), F.lit(max_len))
 
-    def cut(lo: Column, hi: Column) -> DataFrame:
+    def cut(cands: DataFrame, lo: Column, hi: Column) -> DataFrame:
         # prefixes of length lo..hi (none when hi < lo), not ending in a space
-        lens = F.filter(F.sequence(F.lit(1), top), lambda n: (n >= lo) & (n <= hi))
-        e = cands.withColumn("_plen", F.explode(lens))
+        e = cands.withColumn("_plen", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
         e = e.withColumn("prefix", F.col("_key").substr(F.lit(1), F.col("_plen")))
         return e.filter(~F.col("prefix").endswith(" ")).drop("_plen", "_key", "_shared")
 
-    shared = _top_k(cut(F.lit(1), F.col("_shared")), k).select(*LONG_COLUMNS)
-    alone = cut(F.col("_shared") + 1, top).withColumn("pos", F.lit(1)).select(*LONG_COLUMNS)
-    return shared.unionByName(alone)
+    shared = cut(_narrow(f, ranks, "_shared"), F.lit(1), F.least(F.col("_shared"), top))
+    cands = f.select(
+        F.col("query").alias("_key"), F.col("display").alias("query"), "count", "score", "_shared",
+        F.explode(F.array(*[F.lit(r) for r in ranks])).alias("rank"),
+    )
+    alone = cut(cands, F.col("_shared") + 1, top).withColumn("pos", F.lit(1)).select(*LONG_COLUMNS)
+    return _with_text(_top_numbers(shared, k), f).unionByName(alone)
 
 
 def to_index(long_df: DataFrame, computed_at: Column | None = None) -> DataFrame:
@@ -267,12 +286,12 @@ def clamp_trending_limit(limit) -> int:
     return int(min(max(v, 1.0), 50.0))
 
 
-def trending(freq: DataFrame, rank: str = "count", limit=6) -> DataFrame:
-    """Global top-N (TakeOrderedAndProject: each task keeps N rows)."""
-    n = clamp_trending_limit(limit)
+def trending(freq: DataFrame, rank: str = "count", limit: int = 6) -> DataFrame:
+    """Global top-N for any N (TakeOrderedAndProject: each task keeps N
+    rows). Limits of requests are parsed by :func:`clamp_trending_limit`."""
     metric = F.col("score") if rank == "recent" else F.col("count")
-    top = freq.orderBy(metric.desc(), F.col("display").asc()).limit(n)
-    w = Window.orderBy(metric.desc(), F.col("display").asc())  # ≤ 50 rows
+    top = freq.orderBy(metric.desc(), F.col("display").asc()).limit(int(limit))
+    w = Window.orderBy(metric.desc(), F.col("display").asc())  # ≤ limit rows
     return top.select(
         (F.row_number().over(w) - 1).alias("pos"),
         F.col("display").alias("query"),
@@ -282,20 +301,32 @@ def trending(freq: DataFrame, rank: str = "count", limit=6) -> DataFrame:
 
 
 def request_keys(requests: DataFrame, prefix: str = "prefix", rank: str | None = "rank") -> DataFrame:
-    """Requests → distinct ``prefix, rank, n_requests`` (normalized prefix;
-    empty prefixes are kept and later answered with ``skip``). Requests whose
-    raw text is longer than 512 characters are rejected as the suggest
-    endpoint does (see :func:`validate`), which also bounds the number of
-    distinct prefix lengths :func:`bulk_suggest` collects."""
+    """Requests → distinct ``prefix, rank, n_requests, reason`` (normalized prefix;
+    empty prefixes are kept and later answered with ``skip``). ``reason`` is null for
+    accepted requests; a raw text longer than 512 characters has one and is
+    answered with ``error``, as the suggest endpoint does (see :func:`validate`).
+    Accepted prefixes have ≤ 512 characters, which bounds the number of
+    distinct lengths :func:`bulk_suggest` collects."""
     r = parse_rank(F.col(rank)) if rank else F.lit("count")
     return (
-        requests.filter(validate(F.col(prefix), "raw").isNull())
-        .select(normalize(F.col(prefix)).alias("prefix"), r.alias("rank"))
-        .groupBy("prefix", "rank")
+        requests.select(normalize(F.col(prefix)).alias("prefix"), r.alias("rank"), validate(F.col(prefix), "raw").alias("reason"))
+        .groupBy("prefix", "rank", "reason")
         .agg(F.count(F.lit(1)).alias("n_requests"))
     )
 
 
+def _without_list(keys: DataFrame) -> DataFrame:
+    """Answers of the keys that are not looked up: ``error`` or ``skip``."""
+    status = F.when(F.col("reason").isNotNull(), F.lit("error")).otherwise(F.lit("skip"))
+    return keys.filter(F.col("reason").isNotNull() | (F.col("prefix") == "")).select(
+        "prefix", "rank", "n_requests", status.alias("status"), F.array().cast(SUGGESTION_TYPE).alias("suggestions"), "reason"
+    )
+
+
+def _with_reason(keys: DataFrame) -> DataFrame:
+    return keys if "reason" in keys.columns else keys.withColumn("reason", F.lit(None).cast("string"))
+
+
 def bulk_suggest(
     freq: DataFrame,
     keys: DataFrame,
@@ -313,12 +344,12 @@ def bulk_suggest(
     Otherwise the top-k is computed for every prefix at those lengths and
     joined to the keys afterwards, so no prefix's candidates meet in one task.
 
-    Returns ``prefix, rank, n_requests, status, suggestions`` with status
-    ``skip`` (empty prefix) or ``miss`` (computed; empty array if nothing
-    matches)."""
+    Returns ``prefix, rank, n_requests, status, suggestions, reason`` with status
+    ``skip`` (empty prefix), ``error`` (rejected, with the reason) or ``miss``
+    (computed; empty array if nothing matches)."""
     # The keys feed a size check and the main job: materialize them once.
-    keys = keys.checkpoint(eager=True)
-    live = keys.filter(F.col("prefix") != "")
+    keys = _with_reason(keys).checkpoint(eager=True)
+    live = keys.filter((F.col("prefix") != "") & F.col("reason").isNull())
     by_len = (
         live.groupBy(F.length("prefix").alias("n"))
         .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("prefix") + 16).alias("bytes"))
@@ -328,28 +359,25 @@ def bulk_suggest(
     n_keys = sum(r["rows"] for r in by_len)
     key_bytes = sum(r["bytes"] for r in by_len)
     empty = F.array().cast(SUGGESTION_TYPE)
-    if not lengths:  # only blank requests
-        return keys.select(
-            "prefix", "rank", "n_requests", F.lit("skip").alias("status"), empty.alias("suggestions")
-        )
-    cands = _explode_candidates(freq, RANKS, max_len=1 << 30, lengths=lengths)
+    if not lengths:  # only blank or rejected requests
+        return _without_list(keys)
+    numbered = _numbered(freq)
+    cands = explode_prefixes(_narrow(numbered, RANKS), "_key", max_len=1 << 30, lengths=lengths).drop("_key")
     if n_keys <= broadcast_max_rows and key_bytes <= BROADCAST_MAX_BYTES:
         wanted = F.broadcast(live.select("prefix", "rank"))
-        top = _top_k(cands.join(wanted, ["prefix", "rank"], "left_semi"), k)
+        top = _top_numbers(cands.join(wanted, ["prefix", "rank"], "left_semi"), k)
     else:
-        top = _top_k(cands, k).join(live.select("prefix", "rank"), ["prefix", "rank"], "left_semi")
-    answers = to_index(top.select(*LONG_COLUMNS)).drop("computed_at")
+        top = _top_numbers(cands, k).join(live.select("prefix", "rank"), ["prefix", "rank"], "left_semi")
+    answers = to_index(_with_text(top, numbered)).drop("computed_at")
     answered = live.join(answers, ["prefix", "rank"], "left").select(
         "prefix",
         "rank",
         "n_requests",
         F.lit("miss").alias("status"),
         F.coalesce(F.col("suggestions"), empty).alias("suggestions"),
+        "reason",
     )
-    skipped = keys.filter(F.col("prefix") == "").select(
-        "prefix", "rank", "n_requests", F.lit("skip").alias("status"), empty.alias("suggestions")
-    )
-    return answered.unionByName(skipped)
+    return answered.unionByName(_without_list(keys))
 
 
 def lookup(
@@ -359,27 +387,47 @@ def lookup(
     ttl_seconds: int = 300,
     now: Column | None = None,
     k: int = SUGGEST_LIMIT,
+    ring: DataFrame | None = None,
 ) -> DataFrame:
     """Serve keys from fresh index rows (``hit``); the rest (stale,
     absent, or longer than the indexed prefixes) are computed by
-    :func:`bulk_suggest` (``miss``); empty prefixes are ``skip``.
+    :func:`bulk_suggest` (``miss``); empty prefixes are ``skip``, rejected requests
+    ``error``. With a ``ring``, ``node`` is the owner of each key that was looked
+    up. :func:`write_back` gives the index rows that the misses add.
 
     Keys and index rows are both unique per (prefix, rank), so the joins have
     no skewed key."""
-    keys = keys.checkpoint(eager=True)  # measured, probed and passed on: derive once
+    keys = _with_reason(keys).checkpoint(eager=True)  # measured, probed and passed on: derive once
     fresh = index.filter(is_fresh("computed_at", ttl_seconds, now)).select("prefix", "rank", "suggestions")
     # The index is filtered to the requested keys first (map side when the
     # key set is small), then joined; the result (≤ one row per key) is
     # reused twice, so it is materialized once.
-    wanted = broadcast_if_small(keys.select("prefix", "rank"))
+    wanted = broadcast_if_small(keys.filter(F.col("reason").isNull()).select("prefix", "rank"))
     fresh = fresh.join(wanted, ["prefix", "rank"], "left_semi")
     probed = keys.join(fresh, ["prefix", "rank"], "left").checkpoint(eager=True)
-    hit = F.col("suggestions").isNotNull() & (F.col("prefix") != "")
+    hit = F.col("suggestions").isNotNull() & (F.col("prefix") != "") & F.col("reason").isNull()
     hits = probed.filter(hit).select(
-        "prefix", "rank", "n_requests", F.lit("hit").alias("status"), "suggestions"
+        "prefix", "rank", "n_requests", F.lit("hit").alias("status"), "suggestions", "reason"
     )
-    missing = probed.filter(~hit).select("prefix", "rank", "n_requests")
-    return hits.unionByName(bulk_suggest(freq, missing, k))
+    missing = probed.filter(~hit).select("prefix", "rank", "n_requests", "reason")
+    out = hits.unionByName(bulk_suggest(freq, missing, k))
+    if ring is None:
+        return out
+    from prefixdex.operators.ring import assign_owner
+
+    owned = assign_owner(out.withColumn("_key", cache_key("prefix", "rank")), "_key", ring).drop("_key")
+    return owned.withColumn("node", F.when(F.col("status").isin("hit", "miss"), F.col("node")))
+
+
+def write_back(index: DataFrame, answers: DataFrame, now: Column | None = None) -> DataFrame:
+    """The index after the misses of :func:`lookup` are stored: one row for each
+    computed list (empty lists too, so that a prefix without a match is a hit
+    the next time), stamped ``now``, instead of a stale row of the same key."""
+    now = F.current_timestamp() if now is None else now
+    computed = answers.filter(F.col("status") == "miss").select("prefix", "rank", "suggestions", now.alias("computed_at"))
+    computed = computed.checkpoint(eager=True)  # read twice; the misses are not computed again
+    kept = index.select("prefix", "rank", "suggestions", "computed_at").join(computed, ["prefix", "rank"], "left_anti")
+    return kept.unionByName(computed)
 
 
 def answers_long(answers: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def rank_movement(freq: DataFrame, recent_limit: int = 6, count_limit: int = 50)
     arrow text and the bar width ``max(8, score / max(scores, 1) · 100)``."""
     recent = trending(freq, "recent", recent_limit)
     by_count = trending(freq, "count", count_limit).select("query", F.col("pos").alias("pos_count"))
-    j = recent.join(by_count, "query", "left")  # both sides ≤ 50 rows
+    j = recent.join(by_count, "query", "left")  # both sides hold a top list
     d = F.col("pos_count") - F.col("pos")
     arrow = (
         F.when(d > 0, F.concat(F.lit(UP), d.cast("string")))
@@ -74,15 +74,16 @@ def rolling_latency(
     value: str = "latency_ms",
     samples: int = LATENCY_SAMPLES,
 ) -> DataFrame:
-    """For every sample, ``last, p50, p95`` over the latest ``samples``
-    values of its group (``sorted[min(n−1, floor(p·n))]``, no interpolation).
+    """For every sample (``group``, ``order`` and ``value`` columns), ``last, p50,
+    p95`` over the latest ``samples`` values of its group
+    (``sorted[min(n−1, floor(p·n))]``, no interpolation).
 
     A group may hold a third of all rows, so the window is not partitioned by
     the group alone: rows are numbered per group (:func:`with_ordinal`), cut
     into chunks of ``samples`` rows, and each chunk is windowed together with a
     copy of the previous chunk — every window partition holds ≤ 2·samples
     rows."""
-    o = with_ordinal(log, list(order), [group], out="_i")
+    o = with_ordinal(log.select(group, *order, value), list(order), [group], out="_i")
     chunk = F.floor(F.col("_i") / samples).cast("bigint")
     # each row is its own chunk's target and the next chunk's context
     u = o.withColumn("_own_c", chunk).withColumn("_c", F.explode(F.array(chunk, chunk + 1)))

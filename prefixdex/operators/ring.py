@@ -3,10 +3,9 @@ balance, O35 remap, O36 routing report, O38 delete batches).
 
 A key is owned by the first virtual node whose hash is ≥ the key's hash,
 wrapping to the first virtual node. The ring is turned into half-open
-intervals ``(lo, hi]`` and cut on the 256 values of the hash's top byte, so
-the owner lookup is a broadcast equi-join on the byte plus a range check. The
-ring has ``nodes × vnodes`` rows (a parameter, not data), which bounds the
-broadcast.
+intervals ``(lo, hi]`` and cut into buckets of the hash space, as many as fit the
+ring's size, so the owner lookup is an equi-join on the bucket plus a range
+check, broadcast when the measured ring is small.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from prefixdex.functions.keys import hash32
 # Fixed value: virtual nodes per node.
 VNODES = 150
 HASH_SPACE = 1 << 32
-MAX_RING_ROWS = 1_000_000
 
 
 def ring_table(spark: SparkSession, nodes: Sequence[str], vnodes: int = VNODES) -> DataFrame:
@@ -31,8 +29,6 @@ def ring_table(spark: SparkSession, nodes: Sequence[str], vnodes: int = VNODES)
     uniq = list(dict.fromkeys(nodes))
     if not uniq:
         raise ValueError("hash ring is empty")
-    if len(uniq) * vnodes > MAX_RING_ROWS:
-        raise ValueError("ring too large to broadcast")
     base = spark.createDataFrame([(n, i) for i, n in enumerate(uniq)], "node string, node_ord int")
     v = base.select("node", "node_ord", F.explode(F.sequence(F.lit(0), F.lit(vnodes - 1))).alias("vnode"))
     return v.select(
@@ -43,8 +39,14 @@ def ring_table(spark: SparkSession, nodes: Sequence[str], vnodes: int = VNODES)
     )
 
 
-def ring_buckets(ring: DataFrame) -> DataFrame:
-    """Owner intervals ``(lo, hi]`` split on the hash's top byte:
+def bucket_shift(virtual_nodes: int) -> int:
+    """Bits below a bucket of the hash space: 256 buckets for small rings, then
+    about one for each virtual node, so a key meets a few intervals only."""
+    return 32 - min(24, max(8, (virtual_nodes - 1).bit_length()))
+
+
+def ring_buckets(ring: DataFrame, shift: int = 24) -> DataFrame:
+    """Owner intervals ``(lo, hi]`` split on the hash without its ``shift`` low bits:
     ``bucket, lo, hi, node``. Equal hashes keep the earliest-added entry."""
     first = ring.groupBy("hash").agg(F.min_by("node", "ord").alias("node"))
     w = Window.orderBy("hash")  # the ring is small (nodes × vnodes rows)
@@ -65,17 +67,20 @@ def ring_buckets(ring: DataFrame) -> DataFrame:
         "hi",
         "node",
         F.explode(
-            F.sequence(F.shiftright(F.col("lo") + 1, 24), F.shiftright(F.col("hi"), 24))
+            F.sequence(F.shiftright(F.col("lo") + 1, shift), F.shiftright(F.col("hi"), shift))
         ).alias("bucket"),
     )
 
 
 def assign_owner(keys: DataFrame, key: str, ring: DataFrame, out: str = "node") -> DataFrame:
     """Add ``out`` = owning node of ``key``."""
-    b = ring_buckets(ring).withColumnRenamed("node", out)
-    h = keys.withColumn("_h", hash32(F.col(key))).withColumn("_b", F.shiftright(F.col("_h"), 24))
+    from prefixdex.plans.session import broadcast_if_small
+
+    shift = bucket_shift(ring.count())
+    b = broadcast_if_small(ring_buckets(ring, shift).withColumnRenamed("node", out))
+    h = keys.withColumn("_h", hash32(F.col(key))).withColumn("_b", F.shiftright(F.col("_h"), shift))
     cond = (F.col("_b") == F.col("bucket")) & (F.col("_h") > F.col("lo")) & (F.col("_h") <= F.col("hi"))
-    return h.join(F.broadcast(b), cond, "inner").drop("_h", "_b", "bucket", "lo", "hi")
+    return h.join(b, cond, "inner").drop("_h", "_b", "bucket", "lo", "hi")
 
 
 def node_balance(owned: DataFrame, node: str = "node") -> DataFrame:
@@ -85,14 +90,26 @@ def node_balance(owned: DataFrame, node: str = "node") -> DataFrame:
     return per.withColumn("share_pct", F.round(F.col("keys") * 100.0 / total, 1))
 
 
-def remap_report(keys: DataFrame, key: str, before: DataFrame, after: DataFrame, new_nodes: Sequence[str] = ()) -> DataFrame:
+def remap_report(
+    keys: DataFrame,
+    key: str,
+    before: DataFrame,
+    after: DataFrame,
+    new_nodes: Sequence[str] = (),
+    removed_nodes: Sequence[str] = (),
+) -> DataFrame:
     """Owners under two rings, computed in one pass (two broadcast
     joins, no join of keys with keys): ``keys, moved, moved_pct,
-    moved_elsewhere`` where *elsewhere* = to a node not in ``new_nodes``."""
+    moved_elsewhere`` where *elsewhere* = between nodes that are in both rings:
+    neither to one of ``new_nodes`` nor from one of ``removed_nodes``."""
     a = assign_owner(keys.select(F.col(key).alias("_k")), "_k", before, "_old")
     ab = assign_owner(a, "_k", after, "_new")
     moved = F.col("_old") != F.col("_new")
-    elsewhere = moved & ~F.col("_new").isin(*new_nodes) if new_nodes else moved
+    elsewhere = moved
+    if new_nodes:
+        elsewhere = elsewhere & ~F.col("_new").isin(*new_nodes)
+    if removed_nodes:
+        elsewhere = elsewhere & ~F.col("_old").isin(*removed_nodes)
     out = ab.agg(
         F.count(F.lit(1)).alias("keys"),
         F.count(F.when(moved, 1)).alias("moved"),
@@ -107,8 +124,9 @@ def delete_batches(owned: DataFrame, key: str = "key", node: str = "node", batch
 
     A node owns about 1/n of all keys, so one list per node would be an
     unbounded group; the keys of a node are spread over
-    ``ceil(keys/batch_size)`` batches by their hash."""
-    d = owned.select(F.col(key).alias("key"), F.col(node).alias("node")).distinct()
+    ``ceil(keys/batch_size)`` batches by their hash. The owned keys are made
+    once, in the shared folder, and read for the counts and for the batches."""
+    d = owned.select(F.col(key).alias("key"), F.col(node).alias("node")).distinct().checkpoint(eager=True)
     per = d.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(batch_size)).alias("_nb"))
     # one row per node: bounded by the ring size
     d = d.join(F.broadcast(per), "node").withColumn("batch", F.pmod(hash32("key"), F.col("_nb")))
@@ -117,6 +135,16 @@ def delete_batches(owned: DataFrame, key: str = "key", node: str = "node", batch
     )
 
 
+def invalidation_counts(owned: DataFrame, index: DataFrame, fresh: Column | None = None) -> DataFrame:
+    """Per node the keys asked to be deleted and those that the index held:
+    ``node, requested, deleted`` (``owned``: ``prefix, rank, node``)."""
+    held = (index if fresh is None else index.filter(fresh)).select("prefix", "rank", F.lit(True).alias("_held"))
+    asked = owned.select("prefix", "rank", "node").distinct()
+    return asked.join(held, ["prefix", "rank"], "left").groupBy("node").agg(
+        F.count(F.lit(1)).alias("requested"), F.count("_held").alias("deleted")
+    )
+
+
 def routing_report(keys: DataFrame, ring: DataFrame, index: DataFrame, fresh: Column | None = None) -> DataFrame:
     """``prefix, rank, key, node, status`` with HIT when the index holds a
     (fresh) list for the key, MISS otherwise."""

@@ -56,20 +56,19 @@ def now_tick(spark: SparkSession, d: str, interval: int):
 
 
 def event_totals(spark: SparkSession, d: str) -> DataFrame:
-    """``query, display, delta, g`` over all accepted events (day ticks)."""
+    """``query, display, delta, g`` over all accepted events, ``g`` at the last
+    event's day."""
     from prefixdex.streaming.search_stream import batch_deltas
 
-    return batch_deltas(accepted_events(spark, d), ANCHOR, decay.DECAY_FACTOR, DAY)
+    return batch_deltas(accepted_events(spark, d), ANCHOR, now_tick(spark, d, DAY), decay.DECAY_FACTOR, DAY)
 
 
 def live_parts(spark: SparkSession, d: str) -> DataFrame:
     """Part frequency ingested at the anchor, plus every search: ``count``
     all-time, ``score`` decayed daily up to the last event's day."""
-    g = event_totals(spark, d)
-    merged = frequency.upsert(freq_parts(spark, d), g, score_delta="g")
-    return merged.withColumn(
-        "score", F.col("score") * F.pow(F.lit(decay.DECAY_FACTOR), now_tick(spark, d, DAY))
-    )
+    base = freq_parts(spark, d)
+    base = base.withColumn("score", decay.rescaled(F.col("score"), F.lit(0), now_tick(spark, d, DAY)))
+    return frequency.upsert(base, event_totals(spark, d), score_delta="g")
 
 
 # ---------------------------------------------------------------- jobs
@@ -219,8 +218,14 @@ def q_decay_step(spark, d):
 def q_recency_scores(spark, d):
     ev = accepted_events(spark, d)
     tick = events.tick_of("ts", ANCHOR, DAY)
-    nt = F.lit(now_tick(spark, d, DAY))
-    return _round(decay.recency_scores(ev, tick, nt), "score")
+    return _round(decay.recency_scores(ev, tick, now_tick(spark, d, DAY)), "score")
+
+
+def q_recency_scores_minutes(spark, d):
+    """The reference's own 60 s tick over the whole log."""
+    ev = accepted_events(spark, d)
+    tick = events.tick_of("ts", ANCHOR, decay.DECAY_INTERVAL_SECONDS)
+    return _round(decay.recency_scores(ev, tick, now_tick(spark, d, decay.DECAY_INTERVAL_SECONDS)), "score")
 
 
 def _ring(spark, nodes=NODES):
@@ -243,6 +248,12 @@ def q_remap_add_node_documents(spark, d):
     return ring.remap_report(_document_keys(spark, d), "key", _ring(spark), _ring(spark, (*NODES, NEW_NODE)), [NEW_NODE])
 
 
+def q_remap_remove_node_documents(spark, d):
+    return ring.remap_report(
+        _document_keys(spark, d), "key", _ring(spark, (*NODES, NEW_NODE)), _ring(spark), removed_nodes=[NEW_NODE]
+    )
+
+
 def q_delete_batches_documents(spark, d):
     keys = prefix.affected_prefixes(freq_documents(spark, d))
     owned = ring.assign_owner(keys, "key", _ring(spark))
@@ -308,65 +319,59 @@ def q_payloads_parts(spark, d):
     )
 
 
-def _event_stream(spark, d):
-    """The events file read as a stream, each event a search for its part's
-    name (stream-static join with ``part``)."""
-    raw = spark.readStream.schema(tables.load(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parq*")
+def _event_stream(spark, d, source: str | None = None, options: dict | None = None):
+    """The events file (or ``source``) read as a stream, each event a search for its
+    part's name (stream-static join with ``part``)."""
+    source = source or f"{d.rstrip('/')}/events.parq*"
+    raw = spark.readStream.schema(tables.load(spark, d, "events").schema).options(**(options or {})).parquet(source)
     part = tables.load(spark, d, "part").select("p_partkey", "p_name")
-    n_parts = part.select(F.count(F.lit(1))).scalar()
+    n_parts = part.count()  # a literal: a micro-batch plan has no scalar subqueries
     return raw.join(part, (raw.event_id % n_parts) == part.p_partkey).select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("p_name").alias("query")
     )
 
 
+def _tick_now(spark, d, interval: int) -> int:
+    return tables.load(spark, d, "events").select(events.tick_of(F.max("ts"), ANCHOR, interval)).first()[0]
+
+
 def q_recency_stream(spark, d):
-    """O30s: update-mode streaming aggregation of landmark-scaled scores,
-    appended per micro-batch; read back as the newest row per query."""
+    """O30s: update-mode streaming aggregation, one version per micro-batch; read
+    back as the newest row per query and span of ticks."""
     from prefixdex.streaming import search_stream as ss
 
     root = work_dir(spark, "recency-stream")
     agg = ss.recency_stream(_event_stream(spark, d), ANCHOR, decay.DECAY_FACTOR, DAY)
-
-    def sink(df, batch_id):
-        df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(f"{root}/out")
-
-    q = (
-        agg.writeStream.outputMode("update")
-        .foreachBatch(sink)
-        .option("checkpointLocation", f"{root}/_checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    out = ss.scores_at(spark.read.parquet(f"{root}/out"), now_tick(spark, d, DAY), decay.DECAY_FACTOR)
-    return _round(out.select("query", "events", "score"), "score")
+    ss.write_updates(agg, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    out = ss.scores_at(ss.read_updates(spark, f"{root}/out"), _tick_now(spark, d, DAY), decay.DECAY_FACTOR)
+    return _round(out, "score")
 
 
 def q_window_activity_stream(spark, d):
-    """Event-time windows of 6 h with a 6 h watermark: events and distinct
-    queries per window, emitted once the watermark has passed the window."""
+    """Event-time windows of 6 h with a 6 h watermark: events and distinct queries
+    of every window, those still open at the end included."""
     from prefixdex.streaming import search_stream as ss
 
     root = work_dir(spark, "window-activity")
-    out = ss.window_activity(_event_stream(spark, d), "6 hours", "6 hours")
-    q = (
-        out.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{root}/out")
-        .option("checkpointLocation", f"{root}/_checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    res = spark.read.parquet(f"{root}/out")
-    return res.select(
-        events.tick_of(F.col("window.start"), ANCHOR, FLUSH_INTERVAL).alias("window_tick"),
-        "events",
-        "distinct_queries",
+    counts = ss.window_queries(_event_stream(spark, d), "6 hours", "6 hours")
+    ss.write_updates(counts, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    newest = ss.newest_updates(ss.read_updates(spark, f"{root}/out"), "window", "query")
+    return ss.window_activity(newest).select(
+        events.tick_of(F.col("window.start"), ANCHOR, FLUSH_INTERVAL).alias("window_tick"), "events", "distinct_queries"
     )
 
 
-def q_ingest_csv_parts(spark, d):
+def q_pending_stream(spark, d):
+    """O42 as a stream: the queries in the buffer when the log ends."""
+    from prefixdex.streaming import search_stream as ss
+
+    root = work_dir(spark, "pending-stream")
+    counts = ss.pending_stream(_event_stream(spark, d), ANCHOR, FLUSH_INTERVAL)
+    ss.write_updates(counts, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    return ss.pending_at(ss.read_updates(spark, f"{root}/out"), _tick_now(spark, d, FLUSH_INTERVAL))
+
+
+def _ingest_parts(spark, d):
     """O1–O8 end to end: the part catalog written as a product CSV (all
     eleven text columns), then read, qualified, aggregated, written to the
     versioned store and scanned back."""
@@ -376,23 +381,38 @@ def q_ingest_csv_parts(spark, d):
     cat = tables.part_catalog(spark, d)
     cols = {c: F.lit(None).cast("string") for c in catalog.CATALOG_COLUMNS}
     cols.update({"asin": F.col("ordinal").cast("string"), "title": F.col("title"), "reviews": F.col("reviews")})
-    # one file in part-key order, so file order is the catalog order
-    csv = cat.orderBy("ordinal").select(*[cols[c].alias(c) for c in catalog.CATALOG_COLUMNS])
-    csv.coalesce(1).write.option("header", "true").option("escape", '"').csv(f"{root}/catalog")
-    freq, _profile = ingest_catalog(spark, f"{root}/catalog", f"{root}/frequency")
-    return freq
+    out = cat.select(*[cols[c].alias(c) for c in catalog.CATALOG_COLUMNS], "ordinal")
+    catalog.write_catalog(out, f"{root}/catalog", "ordinal", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return ingest_catalog(spark, f"{root}/catalog", f"{root}/frequency")
 
 
-def _run_search_stream(spark, d):
+def q_ingest_csv_parts(spark, d):
+    return _ingest_parts(spark, d)[0]
+
+
+def q_ingest_profile_parts(spark, d):
+    """The load profile that the ingest job's own pass has counted."""
+    return _ingest_parts(spark, d)[1]
+
+
+def _run_search_stream(spark, d, interval: int = DAY, batches: int = 1, compact_every: int = 50):
     """O28 end to end: the events file read as a stream, applied by
-    ``foreachBatch`` to the stored frequency table and prefix index."""
+    ``foreachBatch`` to the stored frequency table and prefix index. With more
+    ``batches``, the events are first dealt into as many files by time, one for
+    each micro-batch."""
     from prefixdex.streaming import search_stream as ss
 
     root = work_dir(spark, "search-stream")
     f_root, i_root = f"{root}/frequency", f"{root}/index"
     ss.seed_tables(freq_parts(spark, d), f_root, i_root)
-    stream = _event_stream(spark, d)
-    q = ss.run_search_stream(spark, stream, f_root, f"{root}/_checkpoint", ANCHOR, i_root, decay.DECAY_FACTOR, DAY)
+    source, options = f"{d.rstrip('/')}/events.parq*", {}
+    if batches > 1:
+        source, options = f"{root}/events", {"maxFilesPerTrigger": 1}
+        tables.load(spark, d, "events").repartitionByRange(batches, "ts").write.parquet(source)
+    stream = _event_stream(spark, d, source, options)
+    q = ss.run_search_stream(
+        spark, stream, f_root, f"{root}/_checkpoint", ANCHOR, i_root, decay.DECAY_FACTOR, interval, compact_every=compact_every
+    )
     q.awaitTermination()
     return f_root, i_root
 
@@ -405,7 +425,7 @@ def q_hit_rate_daily_stream(spark, d):
     root = work_dir(spark, "hit-rate-stream")
     raw = spark.readStream.schema(tables.load(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parq*")
     part = tables.load(spark, d, "part").select("p_partkey", "p_name")
-    n_parts = part.select(F.count(F.lit(1))).scalar()
+    n_parts = part.count()  # a literal: a micro-batch plan has no scalar subqueries
     ev = raw.join(part, (raw.event_id % n_parts) == part.p_partkey).select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         F.col("p_name").alias("query"),
@@ -414,12 +434,8 @@ def q_hit_rate_daily_stream(spark, d):
     log = ring.assign_owner(log, "key", _ring(spark))
     log = log.withColumn("node", F.when(F.col("cache") == "skip", F.lit("")).otherwise(F.col("node")))
     out = ss.hit_rate_stream(log, "1 day", "1 day")
-    q = (
-        out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
-        .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    res = spark.read.parquet(f"{root}/out")
+    ss.write_updates(out, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    res = ss.newest_updates(ss.read_updates(spark, f"{root}/out"), "window", "node")
     return res.select(
         events.tick_of(F.col("window.start"), ANCHOR, DAY).alias("day"), "node", "hits", "misses", "skips", "hit_rate"
     )
@@ -429,20 +445,108 @@ def q_stream_frequency(spark, d):
     from prefixdex.streaming import search_stream as ss
 
     f_root, _ = _run_search_stream(spark, d)
-    out = ss.read_frequency(spark, f_root)
-    return _round(out.withColumnRenamed("score", "score_scaled"), "score_scaled")
+    return _round(ss.read_frequency(spark, f_root, at=_tick_now(spark, d, DAY)), "score")
 
 
 def q_stream_index(spark, d):
-    """The index the stream maintained incrementally (landmark-scaled
-    recency); equals a full rebuild of the final table."""
+    """The index the stream maintained incrementally, scores at the last event's
+    day; equals a full rebuild of the final table."""
     from prefixdex.streaming import search_stream as ss
 
     _, i_root = _run_search_stream(spark, d)
-    return _round(ss.read_index(spark, i_root), "score")
+    return _round(ss.read_index(spark, i_root, at=_tick_now(spark, d, DAY)), "score")
+
+
+def q_stream_index_minutes(spark, d):
+    """60 s ticks, ten micro-batches and two compactions on the way."""
+    from prefixdex.streaming import search_stream as ss
+
+    _, i_root = _run_search_stream(spark, d, decay.DECAY_INTERVAL_SECONDS, batches=10, compact_every=4)
+    return _round(ss.read_index(spark, i_root, at=_tick_now(spark, d, decay.DECAY_INTERVAL_SECONDS)), "score")
+
+
+# ------------------------------------------------------------ document lines
+# Searches for document lines against a table that holds the English ones only:
+# hits, misses, blank and over-long requests, new queries and rejected rows.
+NOW = "2024-03-01 00:00:00"  # of the lookups; every fifth prefix length is stale by then
+
+
+def freq_lines(spark, d):
+    return frequency.frequency_from_catalog(tables.line_catalog(spark, d))
+
+
+def _accepted_lines(spark, d):
+    return events.split_valid(tables.line_events(spark, d))[0]
+
+
+def q_catalog_rejects_lines(spark, d):
+    c = catalog.classify(tables.line_catalog(spark, d))
+    return c.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_search_validation_lines(spark, d):
+    from prefixdex.functions.predicates import validate
+
+    return tables.line_events(spark, d).select("event_id", validate(F.col("query"), "trimmed").alias("error"))
+
+
+def q_upsert_lines(spark, d):
+    return frequency.upsert(freq_lines(spark, d), frequency.event_deltas(_accepted_lines(spark, d)))
+
+
+def _line_lookup(spark, d):
+    """(index, table, keys, now): the index of the stored table, part of it stale."""
+    f = freq_lines(spark, d).checkpoint(eager=True)
+    now = F.lit(NOW).cast("timestamp")
+    age = F.when(F.length("prefix") % 5 == 0, F.lit(3600)).otherwise(F.lit(60))
+    index = prefix.build_index(f).withColumn("computed_at", now - F.make_interval(secs=age))
+    req = tables.typed_requests(tables.line_events(spark, d))
+    return index.checkpoint(eager=True), f, prefix.request_keys(req, "typed", "rank").checkpoint(eager=True), now
+
+
+def _served(ans):
+    return ans.select(
+        "prefix", "rank", "n_requests", "status", "reason", "node",
+        F.size("suggestions").alias("n"), F.get("suggestions", F.lit(0))["query"].alias("first"),
+    )
+
+
+def q_lookup_lines(spark, d):
+    index, f, keys, now = _line_lookup(spark, d)
+    return _served(prefix.lookup(index, f, keys, TTL_SECONDS, now, ring=_ring(spark)))
+
+
+def q_lookup_twice_lines(spark, d):
+    """The second lookup, after the first one's misses were written back."""
+    index, f, keys, now = _line_lookup(spark, d)
+    stored = prefix.write_back(index, prefix.lookup(index, f, keys, TTL_SECONDS, now), now)
+    return _served(prefix.lookup(stored, f, keys, TTL_SECONDS, now, ring=_ring(spark)))
+
+
+def q_routing_lines(spark, d):
+    from prefixdex.functions.predicates import is_fresh
+
+    index, _, keys, now = _line_lookup(spark, d)
+    asked = keys.filter((F.col("prefix") != "") & F.col("reason").isNull())
+    return ring.routing_report(asked, _ring(spark), index, is_fresh("computed_at", TTL_SECONDS, now))
+
+
+def q_personalized_merge_lines(spark, d):
+    ev = _accepted_lines(spark, d)
+    req = tables.typed_requests(ev).select("user_id", "typed").distinct().checkpoint(eager=True)
+    keys = prefix.request_keys(req.select("typed"), "typed", None)
+    glob = prefix.answers_long(prefix.bulk_suggest(freq_lines(spark, d), keys)).filter(F.col("pos").isNotNull())
+    return history.personalized_merge(req, history.user_history(ev), glob)
 
 
 QUERIES = {
+    "catalog_rejects_lines": q_catalog_rejects_lines,
+    "search_validation_lines": q_search_validation_lines,
+    "upsert_lines": q_upsert_lines,
+    "lookup_lines": q_lookup_lines,
+    "lookup_twice_lines": q_lookup_twice_lines,
+    "routing_lines": q_routing_lines,
+    "personalized_merge_lines": q_personalized_merge_lines,
     "frequency_parts": q_frequency_parts,
     "frequency_documents": q_frequency_documents,
     "catalog_rejects_parts": q_catalog_rejects_parts,
@@ -474,6 +578,7 @@ QUERIES = {
     "key_owner_documents": q_key_owner_documents,
     "node_balance_documents": q_node_balance_documents,
     "remap_add_node_documents": q_remap_add_node_documents,
+    "remap_remove_node_documents": q_remap_remove_node_documents,
     "delete_batches_documents": q_delete_batches_documents,
     "routing_keystrokes": q_routing_keystrokes,
     "hit_rate_by_node": q_hit_rate_by_node,
@@ -485,7 +590,11 @@ QUERIES = {
     "stream_index": q_stream_index,
     "payloads_parts": q_payloads_parts,
     "ingest_csv_parts": q_ingest_csv_parts,
+    "ingest_profile_parts": q_ingest_profile_parts,
     "recency_stream": q_recency_stream,
+    "recency_scores_minutes": q_recency_scores_minutes,
+    "stream_index_minutes": q_stream_index_minutes,
+    "pending_stream": q_pending_stream,
     "window_activity_stream": q_window_activity_stream,
     "hit_rate_daily_stream": q_hit_rate_daily_stream,
 }

@@ -43,15 +43,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and versioned tables.
 
-    Read from ``spark.checkpoint.dir`` (or an already-set context dir); only
-    when neither is set (local tests) fall back to a folder under the
-    warehouse directory, which on a cluster is shared storage as well."""
+    Read from ``spark.checkpoint.dir`` (or an already-set context dir). Only a
+    local master (tests, the bench) falls back to a folder under the warehouse
+    directory; a cluster without the setting is an error, since executors and
+    driver do not share local folders."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(base)
     return sc._jsc.sc().getCheckpointDir().get()

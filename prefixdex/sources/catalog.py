@@ -39,9 +39,11 @@ def read_catalog(spark: SparkSession, path: str, multiline: bool = True) -> Data
     """Header CSV, all columns STRING. Quoted fields may contain quotes and
     newlines; short rows get nulls, extra fields are dropped (PERMISSIVE).
 
-    ``_ordinal_key`` records the file order (file, split start, position in the
-    task), which the first-display rule and the 1-in-N sample depend on. A
-    multi-line CSV cannot be split, so convert it once to Parquet at scale."""
+    ``_file``, ``_block`` and ``_row`` (file, split start, position in the task) record
+    the file order, which the first-display rule and the 1-in-N sample depend
+    on. A file with line breaks in its fields is read by one task (``multiline``),
+    so a large catalog is a folder of many files; without line breaks the files
+    are split as well."""
     df = (
         spark.read.schema(CATALOG_SCHEMA)
         .option("header", "true")
@@ -99,3 +101,11 @@ def sample_every(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
         return df
     with_pos = with_ordinal(df, order_cols, out="_pos")
     return with_pos.filter((F.col("_pos") + 1) % n == 0).drop("_pos")
+
+
+def write_catalog(df: DataFrame, path: str, order_col: str, files: int) -> None:
+    """Write ``df`` (with the catalog's columns and ``order_col``) as a folder of
+    header CSVs whose names follow ``order_col``: range-partitioned and sorted in
+    many tasks, so the file order is the row order."""
+    ordered = df.repartitionByRange(files, order_col).sortWithinPartitions(order_col)
+    ordered.select(*CATALOG_COLUMNS).write.option("header", "true").option("escape", '"').csv(path)

@@ -4,8 +4,7 @@
 Parquet has no MERGE, so every change writes a new version directory
 ``<root>/v=<version>``; a version is visible once its ``_SUCCESS`` marker is
 there (written last by the Parquet committer), so readers never see half a
-write. A streaming batch writes version ``batch_id + 1``; replaying a batch
-whose version is already committed is a no-op (exactly-once sink).
+write. A streaming batch writes version ``batch_id``; replaying a batch whose version is already committed is a no-op (exactly-once sink).
 """
 
 from __future__ import annotations

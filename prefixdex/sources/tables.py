@@ -12,6 +12,10 @@ size grows with them:
   part ``event_id mod |part|``.
 * ``keystrokes``: the prefixes a user typed before each search, one request
   per keystroke.
+* ``line_catalog``: every line of every document, ``reviews`` by the document's
+  language, so that all reject reasons occur.
+* ``line_events``: one search per event for a line of a document: lines that the
+  line catalog lacks, long, blank, over-long and upper-case ones.
 * ``serving_log``: one suggest response per event: cache status from the
   event type, latency from ``value``.
 """
@@ -55,6 +59,50 @@ def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("title", F.lit("1").alias("reviews"), F.struct("doc_id", "line_no").alias("ordinal"))
 
 
+# The text in ``reviews`` of a line, by its document's language.
+LINE_REVIEWS = {"en": "1", "de": "1.5", "fr": "n/a", "es": "0"}
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def line_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``title, reviews, ordinal`` — every line of every document in (doc_id, line)
+    order; only English lines have a usable review count."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    reviews = F.lit(None).cast("string")
+    for lang, text in LINE_REVIEWS.items():
+        reviews = F.when(F.col("lang") == lang, F.lit(text)).otherwise(reviews)
+    lines = docs.select("doc_id", reviews.alias("reviews"), F.posexplode(F.split("text", "\n")).alias("line_no", "title"))
+    return lines.select("title", "reviews", F.struct("doc_id", "line_no").alias("ordinal"))
+
+
+def line_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, ts, user_id, event_type, value, query``: event e searches for line
+    ``e div n`` (around) of document ``e mod n``; errors search for blanks, sign-ups
+    for the line repeated beyond 512 characters, purchases in capitals."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    n = load(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
+    events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", n.alias("_n"))
+    both = events.join(docs, (F.col("event_id") % F.col("_n")) == F.col("doc_id"))
+    line = F.get("lines", F.expr("cast((event_id div _n) % size(lines) as int)"))
+    both = both.withColumn("_line", line)
+    text = (
+        F.when(F.col("event_type") == "error", F.lit("  "))
+        .when(F.col("event_type") == "signup", F.expr("repeat(_line, cast(1 + 512 div greatest(length(_line), 1) as int))"))
+        .when(F.col("event_type") == "purchase", F.translate("_line", _LETTERS, _LETTERS.upper()))
+        .otherwise(F.col("_line"))
+    )
+    return both.select("event_id", "ts", "user_id", "event_type", "value", text.alias("query"))
+
+
+def typed_requests(events: DataFrame) -> DataFrame:
+    """``user_id, typed, rank``: what was typed of each search when the list was asked
+    for, 1 to 60 characters, or the whole text of a sign-up."""
+    cut = F.expr("substring(query, 1, cast(1 + event_id % 60 as int))")
+    typed = F.when(F.col("event_type") == "signup", F.col("query")).otherwise(cut)
+    rank = F.when(F.col("event_type").isin("click", "purchase"), F.lit("recent")).otherwise(F.lit("count"))
+    return events.select("user_id", typed.alias("typed"), rank.alias("rank"))
+
+
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, ts, user_id, event_type, value, query`` (``ts`` keeps the
     stored wall-clock type; ticks are computed in UTC)."""

@@ -17,19 +17,21 @@ skipped, so a batch replayed after a failure changes nothing (effectively
 once, where the reference loses its buffer on a crash). ``compact`` folds the
 deltas into a new base every ``compact_every`` batches.
 
-Recency uses forward decay: the table stores ``Σ delta · f^−(tick − L)`` and a
-reader multiplies by ``f^(tick_now − L)``, so no decay job rewrites the table
-and late events land on the right tick.
+Recency needs no job that rewrites the table: every version's scores are taken
+at its ``landmark``, the newest tick that its batch or an earlier one has seen,
+which rotates with each batch. A reader moves all scores to one tick (the
+newest landmark, or the tick asked for) while merging, so weights never exceed
+1 but for late events, and those land on the right tick.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefixdex.functions.predicates import validate
 from prefixdex.functions.text import normalize, ws_trim
-from prefixdex.operators.decay import DECAY_FACTOR, DECAY_INTERVAL_SECONDS, landmark_weight
+from prefixdex.operators.decay import DECAY_FACTOR, DECAY_INTERVAL_SECONDS, rescaled, weight
 from prefixdex.operators.events import tick_of
 from prefixdex.operators.frequency import FREQUENCY_COLUMNS
 from prefixdex.operators.prefix import LONG_COLUMNS, affected_prefixes, build_index_long, refresh_lists
@@ -47,18 +49,18 @@ def accepted(events: DataFrame, query: str = "query") -> DataFrame:
 def batch_deltas(
     batch: DataFrame,
     anchor: str,
+    at: Column,
     factor: float = DECAY_FACTOR,
     decay_interval_seconds: float = DECAY_INTERVAL_SECONDS,
-    landmark: int = 0,
 ) -> DataFrame:
-    """``query, display, delta, g``: per-query event count and its
-    landmark-scaled recency contribution (one partial aggregation)."""
+    """``query, display, delta, g``: per-query event count and its recency
+    contribution at tick ``at`` (one partial aggregation)."""
     tick = tick_of("ts", anchor, decay_interval_seconds)
     e = batch.select(
         normalize(F.col("query")).alias("query"),
         ws_trim(F.col("query")).alias("display"),
         F.struct("ts", "event_id").alias("_at"),
-        landmark_weight(tick, landmark, factor).alias("_w"),
+        weight(tick, at, factor).alias("_w"),
     )
     return e.groupBy("query").agg(
         F.min_by("display", "_at").alias("display"),
@@ -91,14 +93,29 @@ def _base_version(spark: SparkSession, root: str, before: int | None = None) ->
     return vs[-1]
 
 
-def seed_tables(freq: DataFrame, freq_root: str, index_root: str | None = None) -> None:
-    """Base version 0: the ingested table (score = count, i.e. every row is
-    stamped at the landmark) and its index."""
-    store.write_version(freq.select(*FREQUENCY_COLUMNS), _base(freq_root), 0)
+def _marked(df: DataFrame, landmark: int) -> DataFrame:
+    return df.withColumn("landmark", F.lit(int(landmark)).cast("bigint"))
+
+
+def newest_landmark(spark: SparkSession, root: str, upto: int | None = None) -> int:
+    """The newest landmark of the versions a reader merges (``landmark`` is one
+    value in a base version and one in each delta)."""
+    v = _base_version(spark, root, upto)
+    marks = store.read_version(spark, _base(root), v).select("landmark").limit(1)
+    d = _deltas(spark, root, v, upto)
+    if d is not None:
+        marks = marks.unionByName(d.select("landmark"))
+    return marks.agg(F.max("landmark")).first()[0] or 0
+
+
+def seed_tables(freq: DataFrame, freq_root: str, index_root: str | None = None, landmark: int = 0) -> None:
+    """Base version 0: the ingested table (score = count, taken at ``landmark``)
+    and its index."""
+    store.write_version(_marked(freq.select(*FREQUENCY_COLUMNS), landmark), _base(freq_root), 0)
     if index_root:
         spark = freq.sparkSession
         base = store.read_version(spark, _base(freq_root), 0)
-        store.write_version(build_index_long(base), _base(index_root), 0, sort_col="prefix")
+        store.write_version(_marked(build_index_long(base), landmark), _base(index_root), 0, sort_col="prefix")
 
 
 def _only(df: DataFrame, keys: DataFrame | None, col: str) -> DataFrame:
@@ -111,30 +128,37 @@ def _only(df: DataFrame, keys: DataFrame | None, col: str) -> DataFrame:
 
 
 def read_frequency(
-    spark: SparkSession, root: str, upto: int | None = None, only: DataFrame | None = None
+    spark: SparkSession,
+    root: str,
+    upto: int | None = None,
+    only: DataFrame | None = None,
+    at: int | None = None,
+    factor: float = DECAY_FACTOR,
 ) -> DataFrame:
-    """Current frequency table (merge on read): newest base plus the deltas
-    of later batches (``< upto`` when given), optionally only for the queries
-    in ``only`` (column ``query``). The base display wins; a new query takes
-    the display of its earliest batch."""
+    """Current frequency table (merge on read) with its scores at tick ``at``
+    (default: the newest landmark): newest base plus the deltas of later batches
+    (``< upto`` when given), optionally only for the queries in ``only`` (column
+    ``query``). The base display wins; a new query takes the display of its
+    earliest batch."""
+    at_tick = F.lit(newest_landmark(spark, root, upto) if at is None else int(at))
     if only is not None:
         only = broadcast_if_small(only.select("query").distinct())
     v = _base_version(spark, root, upto)
-    base = _only(store.read_version(spark, _base(root), v), only, "query")
+    score = rescaled(F.col("score"), F.col("landmark"), at_tick, factor).alias("score")
+    old = _only(store.read_version(spark, _base(root), v), only, "query").select("query", "display", "count", score)
     d = _deltas(spark, root, v, upto)
     if d is None:
-        return base
-    d = _only(d, only, "query")
-    old = base.select("query", F.lit(-1).cast("bigint").alias("_src"), "display", "count", "score")
-    new = d.select(
+        return old
+    new = _only(d, only, "query").select(
         "query",
         F.col("batch").cast("bigint").alias("_src"),
         "display",
         F.col("delta").cast("bigint").alias("count"),
-        F.col("g").alias("score"),
+        rescaled(F.col("g"), F.col("landmark"), at_tick, factor).alias("score"),
     )
     return (
-        old.unionByName(new)
+        old.withColumn("_src", F.lit(-1).cast("bigint"))
+        .unionByName(new)
         .groupBy("query")
         .agg(F.min_by("display", "_src").alias("display"), F.sum("count").alias("count"), F.sum("score").alias("score"))
         .select(*FREQUENCY_COLUMNS)
@@ -142,31 +166,40 @@ def read_frequency(
 
 
 def read_index(
-    spark: SparkSession, root: str, upto: int | None = None, prefixes: DataFrame | None = None
+    spark: SparkSession,
+    root: str,
+    upto: int | None = None,
+    prefixes: DataFrame | None = None,
+    at: int | None = None,
+    factor: float = DECAY_FACTOR,
 ) -> DataFrame:
-    """Current long-form index: for each (prefix, rank) the rows of the newest
-    version that holds it, optionally only for ``prefixes`` (column
-    ``prefix``). The window spans ≤ k rows per version of one key."""
+    """Current long-form index with its scores at tick ``at`` (default: the newest
+    landmark): for each (prefix, rank) the rows of the newest version that holds
+    it, optionally only for ``prefixes`` (column ``prefix``). The window spans ≤ k
+    rows per version of one key."""
+    at_tick = F.lit(newest_landmark(spark, root, upto) if at is None else int(at))
     if prefixes is not None:
         prefixes = broadcast_if_small(prefixes.select("prefix").distinct())
     v = _base_version(spark, root, upto)
-    base = _only(store.read_version(spark, _base(root), v), prefixes, "prefix")
-    base = base.withColumn("batch", F.lit(-1).cast("bigint"))
+    rows = _only(store.read_version(spark, _base(root), v), prefixes, "prefix")
     d = _deltas(spark, root, v, upto)
-    if d is None:
-        return base.drop("batch")
-    d = _only(d, prefixes, "prefix")
-    u = base.unionByName(d.withColumn("batch", F.col("batch").cast("bigint")))
-    newest = F.max("batch").over(Window.partitionBy("prefix", "rank"))
-    return u.withColumn("_newest", newest).filter(F.col("batch") == F.col("_newest")).select(*LONG_COLUMNS)
+    if d is not None:
+        d = _only(d, prefixes, "prefix")
+        u = rows.withColumn("batch", F.lit(-1).cast("bigint")).unionByName(d.withColumn("batch", F.col("batch").cast("bigint")))
+        newest = F.max("batch").over(Window.partitionBy("prefix", "rank"))
+        rows = u.withColumn("_newest", newest).filter(F.col("batch") == F.col("_newest"))
+    return rows.withColumn("score", rescaled(F.col("score"), F.col("landmark"), at_tick, factor)).select(*LONG_COLUMNS)
 
 
-def compact(spark: SparkSession, freq_root: str, index_root: str | None, upto: int) -> None:
-    """Fold the deltas of batches ``< upto`` into base version ``upto``."""
+def compact(spark: SparkSession, freq_root: str, index_root: str | None, upto: int, factor: float = DECAY_FACTOR) -> None:
+    """Fold the deltas of batches ``< upto`` into base version ``upto``, all scores
+    at the newest landmark."""
     if not store.is_committed(spark, _base(freq_root), upto):
-        store.write_version(read_frequency(spark, freq_root, upto), _base(freq_root), upto)
+        at = newest_landmark(spark, freq_root, upto)
+        store.write_version(_marked(read_frequency(spark, freq_root, upto, at=at, factor=factor), at), _base(freq_root), upto)
     if index_root and not store.is_committed(spark, _base(index_root), upto):
-        store.write_version(read_index(spark, index_root, upto), _base(index_root), upto, sort_col="prefix")
+        at = newest_landmark(spark, index_root, upto)
+        store.write_version(_marked(read_index(spark, index_root, upto, at=at, factor=factor), at), _base(index_root), upto, sort_col="prefix")
 
 
 def apply_batch(
@@ -180,31 +213,42 @@ def apply_batch(
     decay_interval_seconds: float = DECAY_INTERVAL_SECONDS,
     compact_every: int = COMPACT_EVERY,
 ) -> bool:
-    """One flush. Returns False when the batch was already applied."""
+    """One flush. Returns False when the batch was already applied. A compaction
+    that a crash has left out is made up for on the replay."""
+    applied = _apply(spark, batch, batch_id, freq_root, index_root, anchor, factor, decay_interval_seconds)
+    if compact_every and (batch_id + 1) % compact_every == 0:
+        compact(spark, freq_root, index_root, batch_id + 1, factor)
+    return applied
+
+
+def _apply(spark, batch, batch_id, freq_root, index_root, anchor, factor, decay_interval_seconds) -> bool:
     done_f = store.is_committed(spark, _delta(freq_root), batch_id)
     done_i = index_root is None or store.is_committed(spark, _delta(index_root), batch_id)
     if done_f and done_i:
         return False
-    deltas = batch_deltas(batch, anchor, factor, decay_interval_seconds).withColumn(
-        "batch", F.lit(batch_id).cast("bigint")
-    )
     if not done_f:
+        # The landmark rotates with the batch and never goes back.
+        last = batch.agg(F.max(tick_of("ts", anchor, decay_interval_seconds))).first()[0]
+        before = newest_landmark(spark, freq_root, batch_id)
+        landmark = before if last is None else max(before, last)
+        deltas = batch_deltas(batch, anchor, F.lit(landmark), factor, decay_interval_seconds)
         # written once, then read back by the index refresh (the micro-batch
         # itself is consumed a single time)
-        store.write_version(deltas, _delta(freq_root), batch_id)
+        marked = _marked(deltas.withColumn("batch", F.lit(batch_id).cast("bigint")), landmark)
+        store.write_version(marked, _delta(freq_root), batch_id)
     deltas = store.read_version(spark, _delta(freq_root), batch_id)
     if not done_i:
         changed = deltas.select("query")
+        at = newest_landmark(spark, freq_root, batch_id + 1)
         # New rows of the changed queries only (base ⋉ changed merged with the
-        # deltas up to this batch) and the old lists of the affected prefixes:
-        # the stored tables are only filtered, never merged in full.
-        new_rows = read_frequency(spark, freq_root, batch_id + 1, only=changed)
+        # deltas up to this batch) and the old lists of the affected prefixes,
+        # all at this batch's landmark: the stored tables are only filtered,
+        # never merged in full.
+        new_rows = read_frequency(spark, freq_root, batch_id + 1, only=changed, at=at, factor=factor)
         affected = affected_prefixes(changed).select("prefix").distinct().checkpoint(eager=True)
-        old_index = read_index(spark, index_root, batch_id, prefixes=affected)
+        old_index = read_index(spark, index_root, batch_id, prefixes=affected, at=at, factor=factor)
         out = refresh_lists(old_index, new_rows, changed).withColumn("batch", F.lit(batch_id).cast("bigint"))
-        store.write_version(out, _delta(index_root), batch_id, sort_col="prefix")
-    if compact_every and (batch_id + 1) % compact_every == 0:
-        compact(spark, freq_root, index_root, batch_id + 1)
+        store.write_version(_marked(out, at), _delta(index_root), batch_id, sort_col="prefix")
     return True
 
 
@@ -234,40 +278,96 @@ def run_search_stream(
     return w.start()
 
 
+#: Ticks of one span of streaming recency state: f^−1024 is far from overflow.
+SPAN_TICKS = 1024
+
+
 def recency_stream(
     events: DataFrame,
     anchor: str,
     factor: float = DECAY_FACTOR,
     decay_interval_seconds: float = DECAY_INTERVAL_SECONDS,
-    landmark: int = 0,
+    span_ticks: int = SPAN_TICKS,
 ) -> DataFrame:
     """O30s as a plain streaming aggregation (update mode): per normalized
-    query the event count and the landmark-scaled score. State is one row per
-    distinct query, i.e. the table itself; no custom state code."""
+    query and span of ``span_ticks`` ticks the event count and the score at the
+    span's last tick, so every weight is at most 1. State is one row per query
+    and span it was searched in; no custom state code."""
     tick = tick_of("ts", anchor, decay_interval_seconds)
+    span = F.floor(tick / F.lit(span_ticks)).cast("bigint")
     e = accepted(events).select(
-        normalize(F.col("query")).alias("query"), landmark_weight(tick, landmark, factor).alias("_w")
+        normalize(F.col("query")).alias("query"), span.alias("span"), weight(tick, (span + 1) * span_ticks - 1, factor).alias("_w")
     )
-    return e.groupBy("query").agg(F.count(F.lit(1)).alias("events"), F.sum("_w").alias("g"))
+    return e.groupBy("query", "span").agg(F.count(F.lit(1)).alias("events"), F.sum("_w").alias("g"))
 
 
-def window_activity(events: DataFrame, window: str = "6 hours", lateness: str = "6 hours") -> DataFrame:
-    """Per event-time window: ``window, events, distinct_queries`` (the writes
-    one flush per window would make). Two chained stateful aggregations in
-    append mode; the watermark bounds the state, and a window is emitted once
-    the watermark passes its end, so a late event within ``lateness`` still
-    counts in its own window."""
+def scores_at(updates: DataFrame, now_tick: int, factor: float = DECAY_FACTOR, span_ticks: int = SPAN_TICKS) -> DataFrame:
+    """``query, events, score`` at ``now_tick`` from the updates of
+    :func:`recency_stream`, a ``batch`` column telling which of a (query, span)'s
+    updates is the newest (aggregated, so a much-searched query's updates meet
+    in partial maxima, not in one window)."""
+    newest = updates.groupBy("query", "span").agg(F.max_by(F.struct("events", "g"), "batch").alias("u"))
+    at_end = (F.col("span") + 1) * span_ticks - 1
+    score = rescaled(F.col("u.g"), at_end, F.lit(int(now_tick)), factor)
+    return newest.groupBy("query").agg(F.sum("u.events").alias("events"), F.sum(score).alias("score"))
+
+
+def write_updates(updates: DataFrame, root: str, checkpoint: str):
+    """Start an update-mode query whose batch b becomes version b of ``root``: a
+    replayed batch replaces its own version, so nothing is counted twice."""
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        store.write_version(df.withColumn("batch", F.lit(batch_id).cast("bigint")), root, batch_id, sort_col=df.columns[0])
+
+    w = updates.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return w.trigger(availableNow=True).start()
+
+
+def read_updates(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(*[store.version_path(root, v) for v in store.committed_versions(spark, root)])
+
+
+def newest_updates(updates: DataFrame, *keys: str) -> DataFrame:
+    """The newest update of every key: windows still open as they stand now."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_u"))
+    return newest.select(*keys, "_u.*")
+
+
+def window_queries(events: DataFrame, window: str = "6 hours", lateness: str = "6 hours") -> DataFrame:
+    """Per event-time window and query the searches so far, for update mode: the
+    watermark bounds the state, windows that are still open are reported with
+    every batch, and a late event within ``lateness`` counts in its own window."""
     e = accepted(events).select("ts", normalize(F.col("query")).alias("query")).withWatermark("ts", lateness)
-    per_q = e.groupBy(F.window("ts", window).alias("w"), "query").agg(F.count(F.lit(1)).alias("n"))
-    return per_q.groupBy(F.window(F.window_time("w"), window).alias("window")).agg(
-        F.sum("n").alias("events"), F.count(F.lit(1)).alias("distinct_queries")
+    return e.groupBy(F.window("ts", window).alias("window"), "query").agg(F.count(F.lit(1)).alias("n"))
+
+
+def window_activity(counts: DataFrame) -> DataFrame:
+    """``window, events, distinct_queries`` (the writes one flush per window would
+    make) from the newest :func:`window_queries`."""
+    return counts.groupBy("window").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("distinct_queries"))
+
+
+def pending_stream(events: DataFrame, anchor: str, interval_seconds: float, lateness: str = "6 hours") -> DataFrame:
+    """O42 as a stream (update mode): per buffer interval and query the searches
+    not yet flushed by the timer; ``pending_at`` reads the open interval."""
+    e = accepted(events).withWatermark("ts", lateness)
+    tick = tick_of("ts", anchor, interval_seconds).alias("tick")
+    return e.groupBy(F.window("ts", f"{int(interval_seconds)} seconds").alias("window"), tick, normalize(F.col("query")).alias("q")).agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 
+def pending_at(updates: DataFrame, now_tick: int) -> DataFrame:
+    """``q, n`` of the interval that is open at ``now_tick``."""
+    return newest_updates(updates, "tick", "q").filter(F.col("tick") == int(now_tick)).select("q", "n")
+
+
 def hit_rate_stream(log: DataFrame, window: str = "1 day", lateness: str = "1 day", by: tuple[str, ...] = ("node",)) -> DataFrame:
     """O37 over event time: per window (and ``by``) the hits, misses, skips
-    and rounded hit rate of a serving-log stream, emitted once the watermark
-    has passed the window."""
+    and rounded hit rate of a serving-log stream. In append mode a window is
+    emitted once the watermark has passed it; in update mode
+    (:func:`write_updates`) open windows are reported with every batch."""
     agg = (
         log.withWatermark("ts", lateness)
         .groupBy(F.window("ts", window).alias("window"), *by)
@@ -280,12 +380,3 @@ def hit_rate_stream(log: DataFrame, window: str = "1 day", lateness: str = "1 da
     total = F.col("hits") + F.col("misses")
     rate = F.when(total > 0, F.round(F.col("hits") * 100.0 / total, 0).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     return agg.withColumn("hit_rate", rate)
-
-
-def scores_at(scaled: DataFrame, now_tick: int, factor: float = DECAY_FACTOR, landmark: int = 0, col: str = "g") -> DataFrame:
-    """Read-time score from landmark-scaled values; with update-mode output
-    appended per batch (``batch`` column), the newest row per query wins."""
-    if "batch" in scaled.columns:
-        newest = F.max("batch").over(Window.partitionBy("query"))
-        scaled = scaled.withColumn("_n", newest).filter(F.col("batch") == F.col("_n")).drop("_n")
-    return scaled.withColumn("score", F.col(col) * F.lit(float(factor) ** (now_tick - landmark)))

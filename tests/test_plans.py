@@ -38,13 +38,3 @@ def test_broadcast_only_when_measured_small(spark):
     probe = spark.range(3).withColumn("n", F.col("id").cast("int"))
     assert "BroadcastHashJoin" in probe.join(small, "n")._jdf.queryExecution().executedPlan().toString()
     assert "ResolvedHint (strategy=broadcast)" not in big._jdf.queryExecution().analyzed().toString()
-
-
-def test_input_bytes_stops_early(spark, tmp_path):
-    from prefixdex.operators.prefix import input_bytes
-
-    for i in range(3):
-        spark.range(10).write.parquet(str(tmp_path / f"p{i}"))
-    df = spark.read.parquet(str(tmp_path / "p*"))
-    full = input_bytes(df)
-    assert full > 0 and input_bytes(df, stop_at=1) < full

@@ -99,3 +99,28 @@ def test_routing_report_hit_and_miss(spark):
     }
     owners = _owners(spark, ["a", "b", "c"], [k for k, _ in got.values()])
     assert {x.key: x.node for x in ring.routing_report(keys, r, index).collect()} == owners
+
+
+def test_removed_node_moves_only_its_keys(spark):
+    keys = _keys(spark, [f"k{i}" for i in range(5000)])
+    before, after = ring.ring_table(spark, ["a", "b", "c", "d"]), ring.ring_table(spark, ["a", "b", "c"])
+    owned = {r.node: r["keys"] for r in ring.node_balance(ring.assign_owner(keys, "key", before)).collect()}
+    r = ring.remap_report(keys, "key", before, after, removed_nodes=["d"]).first()
+    assert r.moved == owned["d"] > 0 and r.moved_elsewhere == 0
+
+
+@pytest.mark.parametrize("vnodes", [1, 150, 3000])
+def test_bucket_bits_follow_the_ring(spark, vnodes):
+    assert 8 <= ring.bucket_shift(3 * vnodes) <= 24
+    nodes = ["a", "b", "c"]
+    r = ring.ring_table(spark, nodes, vnodes)
+    keys = [f"key{i}" for i in range(300)]
+    got = {row.key: row.node for row in ring.assign_owner(_keys(spark, keys), "key", r).collect()}
+    assert got == {k: _py_owner(nodes, k, vnodes) for k in keys}
+
+
+def test_requested_and_deleted_counts(spark):
+    owned = spark.createDataFrame([("a", "count", "n1"), ("b", "count", "n1"), ("c", "count", "n2")], "prefix string, rank string, node string")
+    index = spark.createDataFrame([("a", "count"), ("x", "count")], "prefix string, rank string")
+    got = {r.node: (r.requested, r.deleted) for r in ring.invalidation_counts(owned, index).collect()}
+    assert got == {"n1": (2, 1), "n2": (1, 0)}

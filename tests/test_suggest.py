@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import seed_freq
 from prefixdex.functions.text import normalize_literal
-from prefixdex.operators import prefix
+from prefixdex.operators import prefix, ring
 
 SEED = [
     ("iphone charger", 100),
@@ -141,9 +141,42 @@ def test_only_blank_requests(spark):
     assert got == {("", "count", "skip"): []}
 
 
-def test_overlong_requests_are_rejected(spark):
-    keys = _keys(spark, ["x" * 513, "ok"])
-    assert sorted(r.prefix for r in keys.collect()) == ["ok"]
+def test_overlong_requests_are_answered_with_the_reason(spark):
+    freq = seed_freq(spark, SEED)
+    keys = _keys(spark, ["x" * 513, "ok", " " * 600, "ip"])
+    for ans in (prefix.bulk_suggest(freq, keys), prefix.lookup(prefix.build_index(freq), freq, keys)):
+        got = {(r.prefix, r.status in ("hit", "miss"), r.reason, len(r.suggestions) > 0) for r in ans.collect()}
+        assert got == {
+            ("x" * 513, False, "exceeds 512 chars", False), ("", False, "exceeds 512 chars", False), ("ok", True, None, False), ("ip", True, None, True),
+        }
+
+
+def test_a_second_lookup_hits(spark):
+    """Misses are written back, empty answers and over-long prefixes too; a stale
+    row is computed anew and answers carry the owner."""
+    from pyspark.sql import functions as F
+
+    freq = seed_freq(spark, SEED)
+    now = F.lit("2024-01-01 00:10:00").cast("timestamp")
+    index = prefix.build_index(freq).withColumn(
+        "computed_at", F.when(F.col("prefix") == "ip", F.lit("2024-01-01 00:00:00")).otherwise(F.lit("2024-01-01 00:09:00")).cast("timestamp")
+    )
+    nodes = ring.ring_table(spark, ["n1", "n2"])
+    keys = _keys(spark, ["ip", "iph", "zzz", "iphone 15 " + "x" * 40, ""])
+    first = prefix.lookup(index, freq, keys, 300, now, ring=nodes)
+    got = {r.prefix[:9]: (r.status, r.node in ("n1", "n2")) for r in first.collect()}
+    assert got == {"ip": ("miss", True), "iph": ("hit", True), "zzz": ("miss", True), "iphone 15": ("miss", True), "": ("skip", False)}
+    stored = prefix.write_back(index, first, now)
+    assert stored.count() == index.count() + 2
+    second = prefix.lookup(stored, freq, keys, 300, now, ring=nodes)
+    assert {r.prefix[:9]: r.status for r in second.collect()} == {"ip": "hit", "iph": "hit", "zzz": "hit", "iphone 15": "hit", "": "skip"}
+    lists = lambda df: {r.prefix: r.suggestions for r in df.collect()}
+    assert lists(first) == lists(second)
+
+
+def test_trending_takes_any_limit(spark):
+    freq = seed_freq(spark, [(f"q{i:03d}", i + 1) for i in range(80)])
+    assert prefix.trending(freq, "count", 70).count() == 70
 
 
 def test_split_index_across_neighbour_chunks(spark, monkeypatch):
