@@ -30,7 +30,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30  # percent
 MIN_DOCS = 200
-HIGH = 95  # percent
+HIGH = 75  # percent
 SPREAD = 6
 
 _SPACE = " \t\n\x0b\x0c\r"

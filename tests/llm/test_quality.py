@@ -66,7 +66,7 @@ def test_quantiles_are_within_a_percent(make_docs, n):
     values = [317 + 7 * i for i in range(n)]
     m = _measured(make_docs, [("en", "s", v, 0) for v in values])
     q = Q.quantiles(Q.sketches(m), ("lang", "source")).where("rate = 'word_length'").first()
-    for name, p in (("low", 5), ("mid", 50), ("high", 95)):
+    for name, p in (("low", 100 - Q.HIGH), ("mid", 50), ("high", Q.HIGH)):
         exact = sorted(values)[-(-p * n // 100) - 1]
         assert exact * 0.98 <= q[name] <= exact
 
