@@ -32,10 +32,9 @@ def with_ordinal(
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = [*group_cols, *order_cols]
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     tagged = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
+        ranged.sortWithinPartitions(*keys)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright("_mid", 33))
         .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK)))

@@ -72,8 +72,7 @@ SHORT_GROUPS = 32
 def _numbered(freq: DataFrame) -> DataFrame:
     """``query, display, count, score, _ord``: ``_ord`` ascends with the display. It
     depends on the physical order, so the rows are written before it is used."""
-    n = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = freq.select("query", "display", "count", "score").repartitionByRange(n, "display").sortWithinPartitions("display")
+    rows = freq.select("query", "display", "count", "score").repartitionByRange("display").sortWithinPartitions("display")
     return rows.withColumn("_ord", F.monotonically_increasing_id()).checkpoint(eager=True)
 
 
@@ -155,11 +154,9 @@ def with_shared_length(freq: DataFrame, max_len: int = MAX_INDEXED_PREFIX) -> Da
     ``NEIGHBOUR_CHUNK`` consecutive rows of a partition. A row at a chunk edge
     lacks one neighbour and counts as fully shared — an over-estimate only
     sends more of its prefixes through the exact top-k path."""
-    spark = freq.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     mid = F.monotonically_increasing_id()
     tagged = (
-        freq.repartitionByRange(n, "query")
+        freq.repartitionByRange("query")
         .sortWithinPartitions("query")
         .withColumn("_pid", F.shiftright(mid, 33))
         .withColumn("_pos", mid.bitwiseAND(F.lit((1 << 33) - 1)))

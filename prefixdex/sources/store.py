@@ -52,19 +52,23 @@ def write_version(
     df: DataFrame, root: str, version: int, sort_col: str = "query", num_partitions: int | None = None
 ) -> str:
     """Range-partition and sort by ``sort_col`` so prefix scans of one file
-    are served by Parquet min/max statistics (StringStartsWith pushdown)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    are served by Parquet min/max statistics (StringStartsWith pushdown). Without
+    ``num_partitions`` AQE sizes the files: a micro-batch writes few."""
     path = version_path(root, version)
-    (
-        df.repartitionByRange(n, sort_col)
-        .sortWithinPartitions(sort_col)
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+    ranged = df.repartitionByRange(num_partitions, sort_col) if num_partitions else df.repartitionByRange(sort_col)
+    ranged.sortWithinPartitions(sort_col).write.mode("overwrite").parquet(path)
     return path
 
 
+def remove_versions(spark: SparkSession, root: str, below: int) -> None:
+    """Delete the versions before ``below`` (folded into a later one), so that a
+    listing does not grow with the history."""
+    for v in committed_versions(spark, root):
+        if v < below:
+            fs, p = _fs(spark, version_path(root, v))
+            fs.delete(p, True)
+
+
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     v = latest_version(spark, root) if version is None else version
     if v is None:

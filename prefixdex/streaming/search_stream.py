@@ -193,13 +193,23 @@ def read_index(
 
 def compact(spark: SparkSession, freq_root: str, index_root: str | None, upto: int, factor: float = DECAY_FACTOR) -> None:
     """Fold the deltas of batches ``< upto`` into base version ``upto``, all scores
-    at the newest landmark."""
+    at the newest landmark. What the base before it has folded is deleted, once
+    both tables have the new base; readers of the last base are not disturbed."""
+    earlier = _base_version(spark, freq_root, upto - 1)
     if not store.is_committed(spark, _base(freq_root), upto):
         at = newest_landmark(spark, freq_root, upto)
         store.write_version(_marked(read_frequency(spark, freq_root, upto, at=at, factor=factor), at), _base(freq_root), upto)
     if index_root and not store.is_committed(spark, _base(index_root), upto):
         at = newest_landmark(spark, index_root, upto)
         store.write_version(_marked(read_index(spark, index_root, upto, at=at, factor=factor), at), _base(index_root), upto, sort_col="prefix")
+    for root in filter(None, (freq_root, index_root)):
+        store.remove_versions(spark, _base(root), earlier)
+        store.remove_versions(spark, _delta(root), earlier)
+
+
+def _holds(spark: SparkSession, root: str, batch_id: int) -> bool:
+    """Whether the table has the batch, as a delta or in a base."""
+    return store.is_committed(spark, _delta(root), batch_id) or batch_id < _base_version(spark, root)
 
 
 def apply_batch(
@@ -222,8 +232,8 @@ def apply_batch(
 
 
 def _apply(spark, batch, batch_id, freq_root, index_root, anchor, factor, decay_interval_seconds) -> bool:
-    done_f = store.is_committed(spark, _delta(freq_root), batch_id)
-    done_i = index_root is None or store.is_committed(spark, _delta(index_root), batch_id)
+    done_f = _holds(spark, freq_root, batch_id)
+    done_i = index_root is None or _holds(spark, index_root, batch_id)
     if done_f and done_i:
         return False
     if not done_f:

@@ -117,6 +117,22 @@ def test_compaction_is_made_up_for_on_replay(spark, tmp_path):
     assert [r["count"] for r in ss.read_frequency(spark, f_root).collect()] == [8]
 
 
+def test_compaction_deletes_what_the_base_before_has_folded(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    f_root, i_root = str(tmp_path / "freq"), str(tmp_path / "idx")
+    ss.seed_tables(seed_freq(spark, [("ipad", 7)]), f_root, i_root)
+    schema = "event_id bigint, ts timestamp, query string"
+    batches = [spark.createDataFrame([(b, t0 + dt.timedelta(hours=b), "ipad")], schema) for b in range(6)]
+    for b, df in enumerate(batches):
+        assert ss.apply_batch(spark, df, b, f_root, i_root, ANCHOR, 0.9, 86400, compact_every=2)
+    for root in (f_root, i_root):
+        assert store.committed_versions(spark, root + "/base") == [4, 6]
+        assert store.committed_versions(spark, root + "/delta") == [4, 5]
+    # batches that are only in a base by now are not applied again
+    assert [ss.apply_batch(spark, df, b, f_root, i_root, ANCHOR, 0.9, 86400) for b, df in enumerate(batches)] == [False] * 6
+    assert [r["count"] for r in ss.read_frequency(spark, f_root).collect()] == [13]
+
+
 def test_window_activity_late_data(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     src = str(tmp_path / "ev")
