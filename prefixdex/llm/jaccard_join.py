@@ -12,7 +12,9 @@ of at most ``LIMIT`` nodes are compared all with all; larger ones are split
 further, ``DEPTH`` times, and then compared block against block, so that none is
 cut. Comparison of sketches, with a margin of four standard errors, links
 nodes; of each bucket's linked nodes only one star is passed on. Runs are
-repeated, a round at a time, until a round adds less than ``1 - recall`` of links.
+repeated, a round at a time, until the estimated recall is reached: from the
+nodes linked in one run only and in two runs, Chao's estimate tells how many
+no run has linked yet.
 
 The sketch only proposes groups. Within each connected group all pairs are then
 compared exactly, as products of 0/1 matrices of the sets, block against block:
@@ -40,7 +42,10 @@ HASHES = 64
 LOOSE = 38  # of 64 places, four standard errors below 0.8
 LIMIT = 256
 DEPTH = 3
-ROUNDS = (6, 2)  # runs of the first and of each further round
+SKETCH_BLOCK = 1024  # nodes of a block, where a bucket stays large
+SET_BLOCK = 512  # likewise where whole sets are compared
+FOLD = 1 << 19  # alike pairs a task holds before it folds them into stars
+RUNS = 8  # of each round
 RECALL = 0.999
 CELL_ROWS = 20_000
 CELL_BYTES = 8 << 20
@@ -110,16 +115,16 @@ def _places(path: int) -> list[int]:
     return [a % HASHES] + ([b % HASHES] if c / 2**64 < extra else [])
 
 
-def _step(rows: DataFrame) -> DataFrame:
-    """(path, node, sketch) -> (path, node) of the child buckets."""
+def _step(rows: DataFrame, carry: bool) -> DataFrame:
+    """(run, path, node, sketch) -> (run, path, node) of the child buckets, with the
+    sketch where it is to be carried."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path = batch.column(0).to_numpy().view(np.uint64)
-            node = batch.column(1).to_numpy()
-            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
+            path = batch.column(1).to_numpy().view(np.uint64)
+            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, HASHES)
             kinds, back = np.unique(path, return_inverse=True)
             where = [_places(int(p) % (1 << 63)) for p in kinds]
             for turn in (0, 1):
@@ -127,22 +132,27 @@ def _step(rows: DataFrame) -> DataFrame:
                 at = np.flatnonzero(place >= 0)
                 value = sketch[at, place[at]].astype(np.uint64)
                 child = words.mix(words.mix(path[at] + np.uint64(turn)) ^ words.mix(value + (place[at].astype(np.uint64) << np.uint64(32))))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(node[at])], ["path", "node"])
+                same = batch.take(pa.array(at))
+                columns = [same.column(0), pa.array(child.view(np.int64)), same.column(2), same.column(3)]
+                yield pa.RecordBatch.from_arrays(columns[: 3 + carry], ["run", "path", "node", "sketch"][: 3 + carry])
 
-    return rows.select("path", "node", "sketch").mapInArrow(run, "path long, node long")
+    schema = "run int, path long, node long" + ", sketch binary" * carry
+    return rows.select("run", "path", "node", "sketch").mapInArrow(run, schema)
 
 
 def _linked(rows: DataFrame, cells: int) -> DataFrame:
-    """(a, b) stars of the nodes that look alike in each bucket of (path, node, sketch);
-    a cell holds many buckets."""
+    """(run, a, b) stars, around the smallest node, of the nodes that look alike in
+    each bucket of (run, path, node, sketch); a cell holds many buckets."""
 
     def run(rows):
-        path, node = rows["path"].to_numpy(), rows["node"].to_numpy()
+        path, node, turn = rows["path"].to_numpy(), rows["node"].to_numpy(), rows["run"].to_numpy()
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint32).reshape(-1, HASHES)
-        order = np.argsort(path, kind="stable")
-        path, node, sketch = path[order], node[order], sketch[order]
-        a, b, d = [], [], 1
-        at = np.arange(len(path) - 1)
+        order = np.lexsort((node, path))
+        path, node, turn, sketch = path[order], node[order], turn[order], sketch[order]
+        a, b, d, held = [], [], 1, 0
+        everyone = np.arange(len(path))
+        stars = lambda: local(len(path), np.concatenate([everyone[:0], *a]), np.concatenate([everyone[:0], *b]))
+        at = everyone[:-1]
         while len(at):
             at = at[at + d < len(path)]
             at = at[path[at] == path[at + d]]
@@ -150,13 +160,19 @@ def _linked(rows: DataFrame, cells: int) -> DataFrame:
                 x = at[lo : lo + (1 << 14)]
                 alike = x[(sketch[x] == sketch[x + d]).sum(1) >= LOOSE]
                 a.append(alike), b.append(alike + d)
+                held += len(alike)
+                if held > FOLD:
+                    root = stars()
+                    a = [np.flatnonzero(root != everyone)]
+                    b = [root[a[0]]]
+                    held = len(a[0])
             d += 1
-        root = local(len(path), np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]))
-        other = root != np.arange(len(path))
-        return pa.table({"a": node[root[other]], "b": node[other]})
+        root = stars()
+        other = root != everyone
+        return pa.table({"run": turn[other], "a": node[other], "b": node[root[other]]})
 
     cell = F.pmod(F.xxhash64("path"), F.lit(cells)).alias("cell")
-    return rows.select(cell, "path", "node", "sketch").groupBy("cell").applyInArrow(run, "a long, b long").distinct()
+    return rows.select(cell, "run", "path", "node", "sketch").groupBy("cell").applyInArrow(run, "run int, a long, b long")
 
 
 def _blocks(rows: DataFrame, size: int, by: str) -> DataFrame:
@@ -169,48 +185,48 @@ def _blocks(rows: DataFrame, size: int, by: str) -> DataFrame:
 
 def _round(nodes: DataFrame, runs: range) -> DataFrame:
     """Stars found by some runs of the chosen-path tree."""
-    roots = F.array(*[F.lit(int(words.mix(np.array([r + 77], np.uint64))[0] >> np.uint64(2))).cast("long") for r in runs])
-    rows = _step(nodes.select(F.explode(roots).alias("path"), "node", "sketch"))
+    roots = [F.struct(F.lit(r).cast("int").alias("run"), F.lit(int(words.mix(np.array([r + 77], np.uint64))[0] >> np.uint64(2))).cast("long").alias("path")) for r in runs]
+    rows = nodes.select(F.explode(F.array(*roots)).alias("r"), "node", "sketch").select("r.run", "r.path", "node", "sketch")
+    # The first level has every node: its sketch joins those that share a bucket.
+    rows = tables.save(_step(rows, False), "paths")
     small = None
     for depth in range(DEPTH + 1):
-        rows = tables.save(rows.distinct(), "paths")
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         rows = rows.join(sizes.hint("merge"), "path")
-        rows = tables.save(rows.join(nodes.select("node", "sketch").hint("merge"), "node"), "buckets")
-        fits = rows.where(F.col("members") <= LIMIT).select("path", "node", "sketch")
+        if depth == 0:
+            rows = rows.join(nodes.select("node", "sketch").hint("merge"), "node")
+        rows = tables.save(rows, "buckets")
+        fits = rows.where(F.col("members") <= LIMIT).select("run", "path", "node", "sketch")
         small = fits if small is None else small.unionByName(fits)
         rows = rows.where(F.col("members") > LIMIT)
         if rows.isEmpty():
             break
         if depth < DEPTH:
-            rows = _step(rows)
+            rows = tables.save(_step(rows, True), "paths")
         else:
-            pairs = _blocks(rows, LIMIT // 2, "path")
-            small = small.unionByName(pairs.select(F.xxhash64("path", "low", "high").alias("path"), "node", "sketch"))
+            pairs = _blocks(rows, SKETCH_BLOCK, "path")
+            small = small.unionByName(pairs.select("run", F.xxhash64("path", "low", "high").alias("path"), "node", "sketch"))
     return _linked(small, 1 + small.count() // CELL_ROWS)
 
 
+def estimated_recall(stars: DataFrame) -> float:
+    """Share of the nodes with a link that some run has linked, by Chao's estimate
+    of those that none has: ``f1^2 / (2 f2)``, ``f1`` and ``f2`` linked in one and two."""
+    ends = stars.select("run", F.explode(F.array("a", "b")).alias("node"))
+    times = ends.groupBy("node").agg(F.count_distinct("run").alias("runs"))
+    r = times.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("runs") == 1).alias("f1"), F.count_if(F.col("runs") == 2).alias("f2")).first()
+    unseen = r["f1"] ** 2 / (2 * r["f2"]) if r["f2"] else r["f1"] * (r["f1"] - 1) / 2
+    return r["n"] / (r["n"] + unseen) if r["n"] else 1.0
+
+
 def groups(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """(node, label): groups that contain every linked pair, by rounds of runs until
-    a round adds less than ``1 - recall`` of the links known."""
-    done, edges, labels = 0, None, None
-    while True:
-        runs = range(done, done + ROUNDS[0 if labels is None else 1])
-        done = runs.stop
-        found = tables.save(_round(nodes, runs), "stars")
-        if labels is not None:
-            name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-            known = found.join(name("a"), "a", "left").join(name("b"), "b", "left")
-            found = known.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b").distinct()
-            found = tables.save(found, "new_links")
-            new, links = found.count(), labels.where("node <> label").count()
-            if new <= (1 - recall) * links:
-                more = found
-                break
-        edges = found if edges is None else edges.unionByName(found)
-        labels = tables.save(components(edges), "labels")
-        edges = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return tables.save(components(edges.unionByName(more)), "labels") if not more.isEmpty() else labels
+    the estimated recall is reached."""
+    done, stars = 0, None
+    while stars is None or estimated_recall(stars) < recall:
+        found = tables.save(_round(nodes, range(done, done + RUNS)), "stars")
+        stars, done = found if stars is None else stars.unionByName(found), done + RUNS
+    return tables.save(components(stars.select("a", "b")), "labels")
 
 
 def _same(sets: list[np.ndarray]) -> np.ndarray:
@@ -235,9 +251,10 @@ def _same(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, n_links, root) for the nodes of each group (node, label, copies, doc_id,
-    members): rows with a set alike, and the star of the linked nodes. A node that
-    was compared in several blocks has a row for each."""
+    """(node, n_links, root, cells) for the nodes of each group (node, label, copies,
+    doc_id, members): rows with a set alike, and the star, around the smallest, of
+    the linked nodes. ``cells`` is 1 for a group compared at once, whose stars are
+    its classes; a node of a larger group has a row for each pair of blocks."""
 
     def sets(batches):
         for rows, data, offsets in words.parts(batches):
@@ -253,11 +270,11 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def compare(rows):
         label, node, copies = (rows[c].to_numpy() for c in ("label", "node", "copies"))
-        low, high, block = (rows[c].to_numpy() for c in ("low", "high", "block"))
+        low, high, block, members = (rows[c].to_numpy() for c in ("low", "high", "block", "members"))
         body = rows["body"].to_pylist()
-        order = np.lexsort((high, low, label))
+        order = np.lexsort((node, high, low, label))
         cuts = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
-        out = {"node": [], "n_links": [], "root": []}
+        out = {"node": [], "n_links": [], "root": [], "cells": []}
         for at in np.split(order, cuts):
             each = [np.frombuffer(body[i], np.uint64) for i in at]
             size = np.array([len(x) for x in each])
@@ -270,6 +287,7 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
             out["node"].append(node[at])
             out["n_links"].append(like @ copies[at])
             out["root"].append(node[at][local(len(at), a, b)])
+            out["cells"].append(np.full(len(at), 1 if members[at[0]] <= LIMIT else 2))
         return pa.table({k: np.concatenate(v).astype(np.int64) for k, v in out.items()})
 
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), "text")
@@ -281,10 +299,10 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     small = whole.withColumn("block", zero).withColumn("low", zero).withColumn("high", zero)
     small = small.withColumn("cell", F.pmod(F.xxhash64("label"), F.lit(cells)))
-    large = _blocks(full.where(F.col("members") > LIMIT), LIMIT // 2, "label")
+    large = _blocks(full.where(F.col("members") > LIMIT), SET_BLOCK, "label")
     large = large.withColumn("cell", F.xxhash64("label", "low", "high"))
-    both = small.unionByName(large.select(*small.columns)).select("cell", "node", "label", "copies", "block", "low", "high", "body")
-    return both.groupBy("cell").applyInArrow(compare, "node long, n_links long, root long")
+    both = small.unionByName(large.select(*small.columns)).select("cell", "node", "label", "copies", "members", "block", "low", "high", "body")
+    return both.groupBy("cell").applyInArrow(compare, "node long, n_links long, root long, cells long")
 
 
 def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -302,7 +320,10 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     members = tables.save(labels.join(sizes, "label").join(nodes.select("node", "doc_id", "copies"), "node"), "members")
     found = tables.save(links(docs, members), "links")
     counted = found.groupBy("node").agg(F.sum("n_links").alias("linked"))
-    classes = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = found.where("cells = 1").select("node", F.col("root").alias("label"))
+    parts = found.where("cells > 1 and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not parts.isEmpty():
+        classes = classes.unionByName(components(parts))
     named = nodes.select("node", "least_id", "copies").join(counted, "node", "left").join(classes, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     named = tables.save(named.withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1), "named")

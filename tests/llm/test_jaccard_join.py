@@ -65,7 +65,8 @@ def test_near_copies_match_brute_force(make_docs):
 
 
 def test_a_group_larger_than_a_bucket_is_compared_whole(make_docs, monkeypatch):
-    monkeypatch.setattr(J, "LIMIT", 16)
+    for name, value in (("LIMIT", 16), ("SKETCH_BLOCK", 8), ("SET_BLOCK", 8), ("FOLD", 50)):
+        monkeypatch.setattr(J, name, value)
     base = prose(9, 120)
     rows = [(i, changed(base, i, 1 + i % 3)) for i in range(90)] + [(500 + i, prose(700 + i, 60)) for i in range(30)]
     assert collected(J.join(make_docs(rows))) == brute(rows)
