@@ -161,7 +161,9 @@ def smallest_ids(segments: DataFrame, shard_words: int = SHARD_WORDS) -> DataFra
 
 def removed_windows(docs: DataFrame) -> DataFrame:
     """(id, row, windows): the first words of the windows to remove, by row of ``docs``."""
-    segments = tables.save(cut(docs, repeated(docs)), "segments")
+    # A table of its own: the shuffles that found it are gone before the texts move.
+    wanted = tables.save(repeated(docs), "wanted")
+    segments = tables.save(cut(docs, wanted), "segments")
     low = tables.save(smallest_ids(segments), "smallest_ids")
     rows = segments.select("hash", F.xxhash64("body").alias("digest"), "id", "row", "first").join(low.hint("merge"), ["hash", "digest"])
     marked = F.filter(F.transform("low", lambda x, k: F.when(x < F.col("id"), F.col("first") + k)), lambda x: x.isNotNull())
