@@ -41,6 +41,7 @@ DIM = 24
 NOISE = 64
 BATCH = 4096
 RATE = 0.15
+PART_BYTES = 8 << 20  # texts scored together: the more, the fewer distinct contexts
 BUCKET_BYTES = 16 << 20  # text for each bucket of words
 _FLUSH = 2_000_000  # distinct words a task holds before it passes counts on
 _CHUNKS = 16
@@ -107,7 +108,7 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
                     ["bucket", "words", "counts"],
                 )
 
-        for _, data, offsets in words.parts(batches):
+        for _, data, offsets in words.parts(batches, size=PART_BYTES):
             keys, n = np.unique(_scan(data, offsets)[0], return_counts=True)
             held[0].append(keys), held[1].append(n)
             if sum(map(len, held[0])) > _FLUSH:
@@ -275,7 +276,7 @@ def train(docs: DataFrame, symbols: Symbols, dim: int = DIM) -> LogBilinear:
         known, flat = shared.value
         task = TaskContext.get().partitionId()
         trainer = Trainer(LogBilinear(flat.copy(), known.size, dim), known.frequencies(), task)
-        for rows, data, offsets in words.parts(batches):
+        for rows, data, offsets in words.parts(batches, size=PART_BYTES):
             symbol, one, two, _, _ = known.sequence(*_scan(data, offsets), rows.num_rows)
             order = trainer.rng.permutation(len(symbol))
             for lo in range(0, len(symbol), BATCH):
@@ -317,7 +318,7 @@ def _requests(docs: DataFrame, symbols: Symbols, model: LogBilinear, buckets: in
         # What the model's score subtracts for a word within its class.
         share = np.zeros(known.size)
         share[known.other : known.end] = np.log10(known.n_other + 0.1 * (known.v_other + 1))
-        for rows, data, offsets in words.parts(batches):
+        for rows, data, offsets in words.parts(batches, size=PART_BYTES):
             hashed, doc = _scan(data, offsets)
             n = rows.num_rows
             symbol, one, two, of, own = known.sequence(hashed, doc, n)

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from prefixdex.plans.session import work_dir
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: drop shuffle files at its end, and hand texts to Python
+#: in batches of few megabytes.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -16,12 +21,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     files that made them are dropped as soon as the write has ended."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

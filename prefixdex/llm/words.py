@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PART_BYTES = 8 << 20  # texts worked on together
+PART_BYTES = 2 << 20  # texts worked on together
 _CUT = 1 << 20  # bytes hashed together
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2^64
 
