@@ -48,8 +48,9 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
                 break
             given[s] += 1
     while sum(given.values()) > period:
-        largest = max(given, key=lambda s: (given[s] - exact[s] if given[s] > 1 else -1, s))
+        largest = max((s for s in given if given[s] > 1), key=lambda s: (given[s] - exact[s], s))
         given[largest] -= 1
+    assert min(given.values()) >= 1 and sum(given.values()) == period
     return given
 
 

@@ -60,3 +60,10 @@ def test_odd_rows_and_columns(make_docs, odd_rows):
     got = out.collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in docs.collect()} and len(got) >= len(odd_rows)
     assert M.mixed(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[10**6] + [10] * 3, [10**6] + [10] * 5, [3_300_000] + [350_000] * 19 + [500] * 50 + [20]])
+def test_tiny_sources_beside_a_hot_one_keep_a_slot(sizes):
+    given = M.shares({f"s{i}": n**M.ALPHA for i, n in enumerate(sizes)})
+    assert min(given.values()) >= 1 and sum(given.values()) == M.PERIOD
+    assert {s for s, *_ in M.schedule(given)} == set(given)
