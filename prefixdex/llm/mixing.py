@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in a hash order, are dealt into blocks. Weights become
-whole shares of a period of ``period`` slots. Block j of a source with ``share``
-slots a period is released at slot ``floor(j * period / share)`` and is due by
-``ceil((j + 1) * period / share)``; earliest deadline first then gives each slot
-to one released block. After every slot each source has had its weight's part
-of the slots to within less than one block, and all sources are exactly on
-weight at the end of a period, so one period's order holds for all of them:
-the schedule is computed once and joined to the blocks.
+Each source's documents, in a hash order, are dealt into blocks. Weights are whole
+numbers, scaled from the target weights without rounding: a source with ``w`` of
+``whole`` has its block j released at slot ``floor(j * whole / w)`` and due by
+``ceil((j + 1) * whole / w)``; earliest deadline first then gives each slot to one
+released block. After every slot of the whole mixture each source has had its
+weight's part of the slots to within less than one block. With a ``period``, the
+weights are first made whole shares of so many slots.
+
+The driver runs the schedule over its whole length and holds, for each chunk of
+slots, the number of blocks each source has had before it; tasks run the chunks
+again from there, and the slots are joined to the blocks.
 
 The mixture ends when every document has had its turn: no document is left out,
 and a source that runs out begins anew (``epoch`` counts up), as its weight asks
@@ -22,8 +25,12 @@ empty result; further columns are carried along.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefixdex.llm import tables
@@ -31,7 +38,8 @@ from prefixdex.llm import tables
 BLOCK = 8
 PERIOD = 1000
 ALPHA = 0.7
-MAX_SOURCES = 100_000  # the schedule of one period is a list of their blocks
+CHUNK = 1 << 16  # slots that a task schedules at a time
+MAX_SOURCES = 100_000  # the driver schedules their blocks one by one
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -54,24 +62,59 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return given
 
 
-def schedule(given: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of one period, by earliest deadline."""
-    period = sum(given.values())
-    window = lambda s, j: (j * period // given[s], -(-(j + 1) * period // given[s]))
-    waiting = [(0, window(s, 0)[1], s, 0) for s in given]
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers, without rounding."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be above zero: every document has its turn")
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    given = {s: int(w * scale) for s, w in exact.items()}
+    common = math.gcd(*given.values())
+    return {s: w // common for s, w in given.items()}
+
+
+def _blocks(given: dict[str, int], done: dict[str, int], slot: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) from ``slot`` on, by earliest deadline;
+    ``done`` has the blocks of each source before it."""
+    whole = sum(given.values())
+    waiting = [(done[s] * whole // w, -(-(done[s] + 1) * whole // w), s, done[s]) for s, w in given.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(period):
+    while True:
         while waiting and waiting[0][0] <= slot:
             release, deadline, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, j, release))
         deadline, s, j, release = heapq.heappop(ready)
-        out.append((s, j, slot, release, deadline))
-        if j + 1 < given[s]:
-            release, due = window(s, j + 1)
-            heapq.heappush(waiting, (release, due, s, j + 1))
-    return out
+        yield s, j, slot, release, deadline
+        w = given[s]
+        heapq.heappush(waiting, ((j + 1) * whole // w, -(-(j + 2) * whole // w), s, j + 1))
+        slot += 1
+
+
+def schedule(given: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of one period, by earliest deadline."""
+    run = _blocks(given, dict.fromkeys(given, 0), 0)
+    return [next(run) for _ in range(sum(given.values()))]
+
+
+def chunks(given: dict[str, int], need: dict[str, int], size: int = CHUNK) -> tuple[list[tuple[int, int, list[int]]], dict[str, int]]:
+    """(first slot, slots, blocks of each source before) of each chunk of the schedule,
+    up to the slot in which the last source has had its ``need`` of blocks; and the
+    blocks of each source in all."""
+    done, left = dict.fromkeys(given, 0), len(need)
+    size = max(size, 16 * len(given))
+    out: list[tuple[int, int, list[int]]] = []
+    for s, j, slot, _, _ in _blocks(given, done, 0) if given else ():
+        if slot % size == 0:
+            out.append((slot, size, list(done.values())))
+        done[s] = j + 1
+        if done[s] == need[s]:
+            left -= 1
+            if not left:
+                first, _, before = out[-1]
+                out[-1] = (first, slot + 1 - first, before)
+                break
+    return out, done
 
 
 def _numbered(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -92,11 +135,30 @@ def _numbered(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return rows.drop("__part", "__first", "__before", "__at", "__order"), counts.groupBy("__src").agg(F.sum("__n").alias("n"))
 
 
+def _order(spark: SparkSession, given: dict[str, int], pieces: list[tuple[int, int, list[int]]]) -> DataFrame:
+    """The slot of every block, each chunk scheduled in a task."""
+    shared = spark.sparkContext.broadcast(given)
+
+    def run(batches):
+        for rows in batches:
+            for first, n, before in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                part = _blocks(shared.value, dict(zip(shared.value, before, strict=True)), first)
+                for lo in range(0, n, CHUNK):
+                    cols = zip(*(next(part) for _ in range(min(CHUNK, n - lo))), strict=True)
+                    kinds = [pa.string(), *[pa.int64()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["__src", "block", "slot", "release", "deadline"])
+
+    held = spark.createDataFrame(pieces, "first long, n long, before array<long>").repartition(max(1, len(pieces)))
+    return held.mapInArrow(run, "__src string, block long, slot long, release long, deadline long")
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK,
-        period: int = PERIOD, alpha: float = ALPHA, seed: int = 7) -> DataFrame:
+        period: int | None = None, alpha: float = ALPHA, seed: int = 7) -> DataFrame:
     """``docs`` in mixed order, once or more each: their columns plus epoch, block,
     slot, release, deadline and position."""
     spark = docs.sparkSession
+    placed = ["epoch", "block", "slot", "release", "deadline", "position"]
+    docs = docs.drop(*placed)
     rows, totals = _numbered(docs, seed)
     sizes = {r["__src"]: r["n"] for r in totals.limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
@@ -106,30 +168,21 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     else:
         named = {"-" if s is None else f"={s}": w for s, w in weights.items()}
         target = {s: named[s] for s in sizes}
-    given = shares(target, period) if sizes else {}
-    period = sum(given.values())
-    plan = schedule(given)
-    slots: dict[str, list[int]] = {s: [] for s in given}
-    for s, _, slot, _, _ in plan:
-        slots[s].append(slot)
-    last = {s: divmod(-(-n // block) - 1, given[s]) for s, n in sizes.items()}
-    length = max((cycle * period + slots[s][j] + 1 for s, (cycle, j) in last.items()), default=0)
-    cycles, rest = divmod(length, period) if period else (0, 0)
-    per_source = [(s, sizes[s], given[s], block * (cycles * given[s] + sum(x < rest for x in slots[s]))) for s in sizes]
-    sources = spark.createDataFrame(per_source, "__src string, __size long, __share long, __items long")
-    order = spark.createDataFrame(plan, "__src string, __in long, __slot long, __release long, __deadline long")
-
-    # Both are bounded by the period and the sources, whatever the documents.
+    given = {}
+    if sizes:
+        given = whole_weights(target) if period is None else shares(target, period)
+    pieces, done = chunks(given, {s: -(-n // block) for s, n in sizes.items()})
+    sources = spark.createDataFrame([(s, n, block * done[s]) for s, n in sizes.items()], "__src string, __size long, __items long")
+    order = tables.save(_order(spark, given, pieces), "mix_order")
+
+    # The sources are bounded; the order grows with the blocks.
     rows = rows.join(F.broadcast(sources), "__src")
     rows = rows.withColumn("epoch", F.explode(F.expr("sequence(0L, (__items - 1 - __place) div __size)")))
     rows = rows.withColumn("__item", F.col("__place") + F.col("epoch") * F.col("__size"))
     rows = rows.withColumn("block", F.expr(f"__item div {block}"))
-    rows = rows.withColumn("__in", F.expr("block % __share")).withColumn("__start", F.expr(f"block div __share * {max(period, 1)}"))
-    rows = rows.join(F.broadcast(order), ["__src", "__in"])
-    for name in ("slot", "release", "deadline"):
-        rows = rows.withColumn(name, F.col("__start") + F.col(f"__{name}"))
+    rows = rows.join(order.hint("merge"), ["__src", "block"])
     rows = rows.withColumn("position", F.col("slot") * block + F.expr(f"__item % {block}"))
-    return rows.drop("__src", "__in", "__place", "__size", "__share", "__items", "__item", "__start", "__slot", "__release", "__deadline")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *placed)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+from fractions import Fraction
 
 import pytest
 from llm_fixtures import make_docs, odd_rows  # noqa: F401
@@ -67,3 +68,39 @@ def test_tiny_sources_beside_a_hot_one_keep_a_slot(sizes):
     given = M.shares({f"s{i}": n**M.ALPHA for i, n in enumerate(sizes)})
     assert min(given.values()) >= 1 and sum(given.values()) == M.PERIOD
     assert {s for s, *_ in M.schedule(given)} == set(given)
+
+
+def test_sources_keep_to_their_target_weights_over_the_whole_length(make_docs):
+    sizes = {"big": 6000, **{f"s{i}": 2 for i in range(40)}}
+    rows = [(f"{s}-{i}", None, None, s) for s, n in sizes.items() for i in range(n)]
+    out = M.mix(make_docs(rows, "doc_id string, text string, lang string, source string"), block=2).collect()
+    weights = {s: Fraction(n**M.ALPHA) for s, n in sizes.items()}
+    whole = sum(weights.values())
+    blocks, copies = dict.fromkeys(sizes, 0), dict.fromkeys((r[0] for r in rows), 0)
+    assert sorted(r.position for r in out) == list(range(len(out)))
+    for slot, s in enumerate(r.source for r in sorted(out, key=lambda r: r.position)[::2]):
+        # A source is furthest from its weight just before and after it has a slot.
+        assert -1 < blocks[s] - weights[s] / whole * slot
+        blocks[s] += 1
+        assert blocks[s] - weights[s] / whole * (slot + 1) < 1
+    for s, n in blocks.items():
+        assert abs(n - weights[s] / whole * (slot + 1)) < 1
+    for r in out:
+        copies[r.doc_id] += 1
+    for s, _, _, source in rows:
+        assert abs(copies[s] - weights[source] / whole * len(out) / sizes[source]) < 2
+
+
+def test_chunks_go_on_where_the_schedule_stands():
+    given = M.whole_weights({f"s{i}": (1 + i) ** 0.7 for i in range(9)})
+    pieces, done = M.chunks(given, {s: 60 + i for i, s in enumerate(given)}, size=100)
+    run = M._blocks(given, dict.fromkeys(given, 0), 0)
+    for first, n, before in pieces:
+        part = M._blocks(given, dict(zip(given, before, strict=True)), first)
+        assert list(itertools.islice(part, n)) == list(itertools.islice(run, n))
+    assert len(pieces) > 2 and sum(done.values()) == first + n and all(done[s] >= 60 + i for i, s in enumerate(given))
+
+
+def test_a_weight_of_zero_is_refused():
+    with pytest.raises(ValueError):
+        M.whole_weights({"a": 1, "b": 0})
