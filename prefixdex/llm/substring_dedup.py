@@ -14,6 +14,10 @@ word, how many words up to it the index holds (matching statistics, up to 13),
 and the smallest doc_id in the interval of those that reach 13. A document's
 window is removed where that is smaller than its own id.
 
+A hash with more distinct segments than a quarter of a shard (the edges of a passage
+that many documents share) is split by a second content key: its segments are taken
+apart into their distinct windows, each sharded by the hash of its 13 words.
+
 Defined cases: a null or empty text has no words; texts under 13 words have no
 window and stay; windows repeated within one document only stay; rows that
 repeat a doc_id are judged each, and do not count as smaller than each other; a
@@ -26,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefixdex.llm import tables, words
@@ -122,11 +126,35 @@ def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select("id", "row", "text", "places").mapInArrow(run, "hash long, id long, row int, first int, body string")
 
 
+def _windows(segments: DataFrame) -> DataFrame:
+    """(hash, of, k, body, id) of every window of the segments: the digest of its
+    segment, its place in it and its words."""
+    split = segments.select("hash", "id", F.xxhash64("body").alias("of"), F.split("body", " ").alias("words"))
+    rows = split.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - WINDOW)).alias("k"))
+    return rows.select("hash", "of", "k", F.array_join(F.slice("words", F.col("k") + 1, WINDOW), " ").alias("body"), "id")
+
+
 def smallest_ids(segments: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(hash, digest, low): for each window of a distinct segment the smallest id that
-    has it, from the FM-index of the segment's shard."""
+    has it, from the FM-index of the window's shard."""
     distinct = segments.groupBy("hash", "body").agg(F.min("id").alias("id"))
     distinct = tables.save(distinct, "distinct_segments")
+    most = max(1, shard_words // (4 * (WINDOW + 4)))
+    hot = tables.save(distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("hash"), "hot_hashes")
+    if hot.isEmpty():
+        return _indexed(distinct, F.col("hash"), shard_words)
+    # At most one hash in ``most`` segments is hot.
+    low = _indexed(distinct.join(F.broadcast(hot), "hash", "left_anti"), F.col("hash"), shard_words)
+    windows = tables.save(_windows(distinct.join(F.broadcast(hot), "hash", "left_semi")), "hot_windows")
+    alone = _indexed(windows.groupBy("hash", "body").agg(F.min("id").alias("id")), F.xxhash64("body"), shard_words)
+    found = windows.select("hash", "of", "k", F.xxhash64("body").alias("digest")).join(alone.hint("merge"), ["hash", "digest"])
+    found = found.groupBy("hash", "of").agg(F.sort_array(F.collect_list(F.struct("k", F.col("low")[0].alias("low")))).alias("low"))
+    return low.unionByName(found.select("hash", F.col("of").alias("digest"), F.col("low.low").alias("low")))
+
+
+def _indexed(distinct: DataFrame, key: Column, shard_words: int) -> DataFrame:
+    """(hash, digest, low) of distinct segments, from one FM-index for each shard of
+    ``key``; equal windows have equal keys."""
     shards = 1 + distinct.count() * (WINDOW + 4) // shard_words
 
     def run(rows):
@@ -155,7 +183,7 @@ def smallest_ids(segments: DataFrame, shard_words: int = SHARD_WORDS) -> DataFra
         cuts = np.concatenate([[0], np.cumsum(length - WINDOW + 1)]).astype(np.int32)
         return pa.table({"hash": rows["hash"], "digest": rows["digest"], "low": pa.ListArray.from_arrays(pa.array(cuts), pa.array(low))})
 
-    rows = distinct.select(F.pmod("hash", F.lit(shards)).alias("shard"), "hash", "body", "id", F.xxhash64("body").alias("digest"))
+    rows = distinct.select(F.pmod(key, F.lit(shards)).alias("shard"), "hash", "body", "id", F.xxhash64("body").alias("digest"))
     return rows.groupBy("shard").applyInArrow(run, "hash long, digest long, low array<long>")
 
 

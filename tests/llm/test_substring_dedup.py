@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from llm_fixtures import make_docs, odd_rows, prose  # noqa: F401
 
 from prefixdex.llm import substring_dedup as S
@@ -54,6 +55,30 @@ def test_many_shards_match_one(make_docs):
     assert one == many and one
 
 
+def test_a_hot_hash_is_dealt_over_many_shards(make_docs, monkeypatch):
+    passage = prose(5, 40)
+    rows = [(i, f"{prose(1000 + i, 20)} {passage} {prose(5000 + i, 20)}") for i in range(300)]
+    docs = make_docs(rows)
+    segments = S.cut(docs, S.repeated(docs)).localCheckpoint()
+    per_hash = segments.select("hash", "body").distinct().groupBy("hash").count().agg({"count": "max"}).first()[0]
+    assert per_hash > 200  # one hash has most documents' own words at the passage's edge
+    most, indexed = [], S._indexed
+
+    def watched(distinct, key, shard_words):
+        shards = 1 + distinct.count() * (S.WINDOW + 4) // shard_words
+        size = distinct.groupBy(F.pmod(key, F.lit(shards))).agg(F.sum(F.size(F.split("body", " ")) + 1).alias("n"))
+        most.append(size.agg(F.max("n")).first()[0] or 0)
+        return indexed(distinct, key, shard_words)
+
+    monkeypatch.setattr(S, "_indexed", watched)
+    one = {(r.hash, r.digest): r.low for r in S.smallest_ids(segments, shard_words=10**6).collect()}
+    many = {(r.hash, r.digest): r.low for r in S.smallest_ids(segments, shard_words=1000).collect()}
+    assert one == many and one
+    assert most[0] > 4000 and max(most[1:]) < 2000 and len(most) == 3
+    monkeypatch.setattr(S.smallest_ids, "__defaults__", (1000,))
+    assert collected(S.dedup(docs)) == brute(rows)
+
+
 def test_wavelet_matrix_ranks():
     rng = np.random.default_rng(2)
     for kinds in (1, 2, 3, 17, 300):
