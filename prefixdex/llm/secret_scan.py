@@ -1,15 +1,26 @@
 """Secret scans with a random forest that takes out false positives.
 
-A candidate is a run of at least 16 characters ``[A-Za-z0-9+/_=-]`` with a digit in
-it. Labelled findings train a random forest on
+A candidate is
+
+* a value of 8 characters or more, with any punctuation but quotes, that is assigned
+  to a name of credentials, quoted or not;
+* a key of letters or digits after a known prefix;
+* a run of 24 letters or more that changes from small to capital three times;
+* any other run of at least 16 characters ``[A-Za-z0-9+/_=-]`` with a digit in it.
+
+Labelled findings train a random forest on
 
 * the candidate's length and make-up (shares of digits, capitals and hex digits);
 * its character transitions: changes between kinds of characters, and the mean
   log probability of its letter pairs under the corpus's own words;
 * dictionary coverage: the share of its characters in letter runs that are
   frequent words of the corpus;
-* its path: the document's source, and whether it stands in a path or address;
-* its neighbouring words: two before and one after, hashed.
+* its path: the document's source, and whether it stands in a path;
+* its neighbouring words: two before and one after, hashed, without names of
+  credentials.
+
+What the labels of ``label_findings`` are made from (the name, the assignment, the
+quote, the address) is no feature.
 
 The forest's verdict replaces the rule that made the candidate. Everything runs
 as built-in functions and ``pyspark.ml``; the forest is fitted on at most
@@ -31,6 +42,13 @@ from pyspark.sql import functions as F
 from prefixdex.llm import tables
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+NAME = r"(?:token|secret|api[_-]?key|access[_-]?key|private[_-]?key|password|passwd|pwd|credential)"
+#: A name, what stands between it and its value, and the value.
+ASSIGNED = rf"(?i:{NAME}[\w-]{{0,30}}[\"']?[ \t]{{0,8}}(?::=|=>|[=:])[ \t]{{0,8}}[\"']?)"
+VALUE = r"[^\s\"'`<>(){}\[\],;]{8,}"
+PREFIXED = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|gh[opsu]_|github_pat_|glpat-|[sr]k_live_|sk-|xox[abps]-)[A-Za-z0-9_-]{12,}"
+LETTERS = r"(?<![A-Za-z0-9+/_=-])(?=(?:[A-Za-z]*?[a-z][A-Z]){3})[A-Za-z]{24,}(?![A-Za-z0-9+/_=-])"
+ANY = rf"({ASSIGNED})({VALUE})|({PREFIXED}|{CANDIDATE}|{LETTERS})"
 MAX_TRAIN = 20_000
 TREES, DEPTH, SEED = 20, 8, 11
 MIN_COUNT = 20  # of a dictionary word
@@ -44,9 +62,9 @@ _MARK = "\u0001"
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, source, start (code points), candidate, before and after of every
     candidate of every document row."""
-    rows = docs.where(F.col("text").rlike(CANDIDATE)).select(F.col("doc_id").cast("long"), "source", F.translate("text", _MARK, " ").alias("body"))
+    rows = docs.where(F.col("text").rlike(ANY)).select(F.col("doc_id").cast("long"), "source", F.translate("text", _MARK, " ").alias("body"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    marked = F.regexp_replace("body", CANDIDATE, f"{_MARK}$0{_MARK}")
+    marked = F.regexp_replace("body", ANY, f"$1{_MARK}$2$3{_MARK}")
     parts = rows.select("row", "doc_id", "source", F.posexplode(F.split(marked, _MARK, -1)).alias("i", "part"))
     # Texts between candidates are cut to what is looked at, before they are sorted.
     found = F.col("i") % 2 == 1
@@ -91,7 +109,7 @@ def _share(pattern: str) -> Column:
     return F.length(F.regexp_replace(c, pattern, "")) / F.length(c)
 
 
-FEATURES = ["length", "digits", "capitals", "hex", "changes", "pair_logp", "paired", "coverage", "in_path", "in_address", "assigned", "quoted"]
+FEATURES = ["length", "digits", "capitals", "hex", "changes", "pair_logp", "paired", "coverage", "in_path"]
 
 
 def features(found: DataFrame, words: DataFrame, moves: DataFrame) -> DataFrame:
@@ -108,6 +126,7 @@ def features(found: DataFrame, words: DataFrame, moves: DataFrame) -> DataFrame:
     kinds = F.regexp_replace(c, "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x")
     before, after = F.split(F.trim("before"), r"[\s=:\"']+"), F.split(F.trim("after"), r"[\s=:\"']+")
     near = [F.element_at(before, -1), F.try_element_at(before, F.lit(-2)), F.element_at(after, 1)]
+    near = [F.when(~x.rlike(f"(?i){NAME}"), x) for x in near]
     places = F.array(*[F.pmod(F.xxhash64(F.lit(k), F.lower(F.coalesce(x, F.lit("")))), F.lit(HASHED)) for k, x in enumerate(near)])
     rows = rows.select(
         "doc_id", "source", "start", "candidate", "before", "after",
@@ -119,8 +138,6 @@ def features(found: DataFrame, words: DataFrame, moves: DataFrame) -> DataFrame:
         F.least(F.lit(1.0), F.coalesce("covered", F.lit(0)) / F.length(c)).alias("coverage"),
         (F.col("before").rlike(r"[\\/.]$") | c.contains("/")).cast("double").alias("in_path"),
         F.col("before").rlike(r"(?i)(https?://|www\.|@)\S*$").cast("double").alias("in_address"),
-        F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"),
-        F.col("before").rlike(r"[\"']$").cast("double").alias("quoted"),
         places.alias("near"),
         F.pmod(F.xxhash64(F.coalesce("source", F.lit("\u0000"))), F.lit(SOURCES)).alias("place"),
     )
@@ -131,11 +148,12 @@ def features(found: DataFrame, words: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def label_findings(rows: DataFrame) -> DataFrame:
-    """Findings that a precise rule can label: 1 where a quoted value of 20
-    characters or more is assigned to a name of credentials, 0 for digits alone
-    and for what stands in an address. All others have no label and are dropped."""
-    named = F.col("before").rlike(r"(?i)(token|secret|api[_-]?key|password|passwd|credential)\w*\s*[=:]\s*[\"']$")
-    true = named & (F.length("candidate") >= 20)
+    """Findings that a precise rule can label: 1 where a value is assigned to a name
+    of credentials, quoted or not, and has a digit beside a letter or 20 characters
+    or more; 0 for digits alone and for what stands in an address. All others have
+    no label and are dropped."""
+    named = F.col("before").rlike(f"{ASSIGNED}$")
+    true = named & (F.col("candidate").rlike("(?=.*[0-9]).*[A-Za-z]") | (F.length("candidate") >= 20))
     false = F.col("candidate").rlike("^[0-9-]+$") | (F.col("in_address") == 1)
     return rows.withColumn("label", F.when(true, 1.0).when(false, 0.0)).where("label is not null")
 

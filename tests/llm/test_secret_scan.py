@@ -54,3 +54,48 @@ def test_no_python_in_the_plan(make_docs):
     rows = X.features(X.candidates(docs), words, X.transitions(words))
     plan = X.judge(rows, X.train(X.label_findings(rows)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def _planted(n):
+    """(doc_id, text, lang, source) with a secret each, and (doc_id, form, secret)."""
+    rng = np.random.default_rng(9)
+    kinds = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"
+    draw = lambda k, of: "".join(rng.choice(list(of), k))
+    forms = {
+        "quoted": lambda: ('api_key = "', draw(32, "0123456789abcdef"), '"'),
+        "unquoted": lambda: ("API_KEY=", draw(24, kinds + "0123456789") + "7", ""),
+        "yaml short": lambda: ("password: ", draw(9, kinds) + "4", ""),
+        "punctuation": lambda: ("db_password=", f"P@ss{draw(4, kinds)}!{draw(3, '0123456789')}:x", ""),
+        "letters": lambda: ('secret: "', draw(28, kinds), '"'),
+        "letters alone": lambda: ("", "aBcDeF" + draw(26, kinds), ""),
+        "prefix": lambda: ("use ", "ghp_" + draw(36, kinds), ""),
+    }
+    rows, want = [], []
+    for i in range(n):
+        form = list(forms)[i % len(forms)]
+        before, secret, after = forms[form]()
+        digits = "4" + draw(15, "0123456789")
+        rows.append((i, f"{prose(i, 20)} {before}{secret}{after} {prose(i + 1, 5)} {digits} {prose(i, 9)}", "en", f"s{i % 4}"))
+        want.append((i, form, secret))
+    return rows, want
+
+
+def test_secrets_of_every_form_are_found(make_docs):
+    rows, want = _planted(210)
+    out = {(r.doc_id, r.candidate): r.is_secret for r in X.scan(make_docs(rows), min_count=3).collect()}
+    forms = {}
+    for i, form, secret in want:
+        found, kept = forms.setdefault(form, ([], []))
+        found.append((i, secret) in out), kept.append(out.get((i, secret), False))
+    recall = {f: (sum(a) / len(a), sum(b) / len(b)) for f, (a, b) in forms.items()}
+    print("recall of candidates, verdicts:", recall)
+    assert all(a == 1 and b >= 0.9 for a, b in recall.values()), recall
+    assert not any(v for (_, c), v in out.items() if c.isdigit())
+
+
+def test_label_evidence_is_no_feature(make_docs):
+    assert not {"assigned", "quoted", "in_address"} & set(X.FEATURES)
+    docs = make_docs([(1, "x password = 'abcdef0123456789abcdef' y"), (2, "x nothing = 'abcdef0123456789abcdef' y"), (3, "x API_KEY=abcdef0123456789abcdef y")])
+    words = X.dictionary(docs, 1)
+    rows = X.features(X.candidates(docs), words, X.transitions(words))
+    assert {r.doc_id: r.label for r in X.label_findings(rows).collect()} == {1: 1.0, 3: 1.0}
