@@ -104,3 +104,65 @@ FROM b LEFT JOIN limits f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS
 
 
 ORACLE_SQL["op10_quality_rules"] = _quality()
+
+
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = (
+    f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), "
+    r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+)
+_STEP = "CASE WHEN {0} % 2 = 1 THEN xor({0} // 2, 3988292384) ELSE {0} // 2 END"
+
+#: crc32 of each distinct word: a table of byte remainders from the polynomial, then
+#: one step for each byte.
+ORACLE_SQL["op12_importance_resampling"] = f"""
+WITH RECURSIVE steps AS (
+  SELECT i, i AS v, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i)
+  UNION ALL SELECT i, {_STEP.format("v")} AS v, k + 1 AS k FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+f AS (
+  SELECT doc_id, true AS is_doc, unnest({_TERMS}) AS word FROM documents
+  UNION ALL SELECT NULL, false, unnest({_TERMS}) FROM benchmark),
+kinds AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM f)),
+bucketed AS (
+  SELECT word, xor(list_reduce(
+    list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM kinds, crc),
+n AS (SELECT doc_id, is_doc, bucket, count(*) AS n FROM f JOIN bucketed USING (word) GROUP BY ALL),
+counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE is_doc), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT is_doc), 0) AS t FROM n GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts),
+weights AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS whole
+  FROM n JOIN gains USING (bucket) WHERE is_doc GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features,
+         coalesce(CAST(floor(whole::DOUBLE / n_features) AS BIGINT), 0) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+  FROM documents LEFT JOIN weights USING (doc_id)),
+placed AS (
+  SELECT *, weight + noise AS score, n_features >= 20 AS enough FROM scored),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY enough) AS size FROM placed)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= size * 10 // 100 THEN place END AS rank FROM numbered"""
+
+ORACLE_SQL["op13_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+whole AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM d),
+items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM items) GROUP BY doc_id, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM whole) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf GROUP BY term),
+sizes AS (SELECT doc_id, 100 - 90 + (90 * len(terms) * n) // l AS m FROM d, whole),
+gain AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS gain
+  FROM tf JOIN weight USING (term) JOIN sizes USING (doc_id)),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM items JOIN gain USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10"""

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixdex.llm import bpe, exact_dedup, jaccard_join, langid, line_dedup, lm, mixing, quality, secret_scan, substring_dedup, tables
+from prefixdex.llm import (
+    bpe, exact_dedup, jaccard_join, langid, lexical, line_dedup, lm, mixing, packing, quality, resample, secret_scan,
+    substring_dedup, tables,
+)
 from prefixdex.plans.session import ensure_checkpoint_dir
 
 
@@ -74,10 +77,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cut = packing.pieces(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_jaccard_join, op3_byte_bpe, op4_lm_scoring, op5_substring_dedup,
         op6_source_mixing, op7_secret_scan, op8_exact_dedup, op9_language_id, op10_quality_rules,
+        op11_best_fit_packing, op12_importance_resampling, op13_lexical_search,
     )
 }

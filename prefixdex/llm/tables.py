@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from prefixdex.plans.session import work_dir
 
@@ -39,3 +40,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def doc_hash(column: str = "doc_id"):
     """crc32 of the id written as text (null: the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def extended(schema: StructType, **more: str) -> StructType:
+    """The schema with further columns (name: type), as a new object."""
+    extra = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in more.items()))
+    return StructType([*schema.fields, *extra.fields])

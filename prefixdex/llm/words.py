@@ -22,6 +22,11 @@ WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes outside terms: all of ASCII but digits and letters.
+NO_TERM = np.arange(256) < 128
+for _lo, _hi in ("09", "AZ", "az"):
+    NO_TERM[ord(_lo) : ord(_hi) + 1] = False
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -80,12 +85,13 @@ def parts(batches, column: str = "text", size: int = PART_BYTES) -> Iterator[tup
             lo = hi
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end byte of every word, in order."""
+def spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WS) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of every word, in order; ``outside`` marks the bytes that
+    are in none."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~WS[data]
+    inside = ~outside[data]
     edge = offsets[(offsets > 0) & (offsets < n)]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -128,3 +134,34 @@ def runs(hashed: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np
     for k in range(size):
         out = out * _BASE + hashed[k : k + n]
     return mix(out), doc[:n] == doc[size - 1 :]
+
+
+def same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes found at its place in ``other`` (which must
+    reach as far), compared a megabyte at a time."""
+    size = ends - starts
+    out, upto, i = np.ones(len(starts), bool), np.cumsum(size), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _CUT, "right")))
+        n = size[i:j]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(first, n)
+        differ = data[at + np.repeat(starts[i:j], n)] != other[at + np.repeat(begins[i:j], n)]
+        if differ.any():
+            out[i + np.searchsorted(first, np.flatnonzero(differ), "right") - 1] = False
+        i = j
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of every distinct word, and the distinct word of every word. Words
+    are grouped by hash; should two share one, by their bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, kind = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, model = ends - starts, first[kind]
+    if (size == size[model]).all() and same(data, starts, ends, data, starts[model]).all():
+        return first, kind
+    raw, known = data.tobytes(), {}
+    kind = np.array([known.setdefault(raw[s:e], len(known)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.unique(kind, return_index=True)[1], kind
