@@ -71,7 +71,7 @@ def slices(items: DataFrame, most: int = SLICE_BYTES) -> list[DataFrame]:
         dealt = items.withColumn("slice", F.pmod(F.xxhash64("item"), F.lit(parts)))
         r = dealt.groupBy("slice").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"))
         if r.where((F.col("b") > most) & (F.col("n") > 1)).isEmpty():
-            return [dealt.where(F.col("slice") == s).drop("slice") for s in range(parts)]
+            return [dealt.where(F.col("slice") == x["slice"]).drop("slice") for x in r.select("slice").collect()]
         parts = max(2 * parts, -(-size["b"] // most))
     return []
 
