@@ -1,9 +1,10 @@
 """Best-fit packing of documents into token sequences of a fixed size.
 
 A document's tokens are those of a tokenizer file, then an end token. A text is
-cut at white space, and each distinct chunk of a batch is encoded once: the
-tokenizer drops white space and nothing in it looks across. Documents longer
-than a sequence are cut into pieces of its size.
+cut at white space, which the tokenizer drops and does not look across, and chunks
+of plain characters are cut further, as the tokenizer's own pattern would; each
+distinct unit of a batch is encoded once. Documents longer than a sequence are cut
+into pieces of its size.
 
 Pieces are packed by best-fit decreasing: longest first, each into the open
 sequence with the least room that still holds it. A segment tree over the
@@ -26,8 +27,10 @@ are packed in the order of the rows.
 from __future__ import annotations
 
 import functools
+import operator
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefixdex.llm import tables, words
+from prefixdex.llm.bpe import byte_characters
 
 SIZE = 4096
 END = 1
 SHARD = 32_000  # pieces packed in one task, on average
 LOOSE = 4  # a sequence with 1/4 left is packed again
-REMEMBER = 200_000  # chunks that a worker remembers; when full, it starts anew
-LONGEST = 64  # bytes of a chunk that is remembered
+REMEMBER = 300_000  # units that a worker remembers; when full, it starts anew
+LONGEST = 64  # bytes of a unit that is remembered
+PART = 4 << 20  # bytes of text worked on together
 
 
 @functools.lru_cache(maxsize=2)
@@ -52,32 +57,94 @@ def _tokenizer(definition: str):
     return Tokenizer.from_str(definition), {}
 
 
+def _classes() -> np.ndarray:
+    """What the tokenizer's cutting tells apart in a chunk of plain characters: 1 letters,
+    2 digits (cut one by one), 3 other printable ASCII; 0 is for all that is not plain
+    (the apostrophe, which contractions begin with, is not)."""
+    out = np.zeros(256, np.int8)
+    out[33:127] = 3
+    out[ord("'")] = 0
+    for lo, hi, kind in (("a", "z", 1), ("A", "Z", 1), ("0", "9", 2)):
+        out[ord(lo) : ord(hi) + 1] = kind
+    return out
+
+
+_CLASS = _classes()
+_ID = operator.attrgetter("id")
+_LATIN = 0xC3  # first byte of the letters from U+00C0 to U+00FF ...
+_SIGNS = (0x97, 0xB7)  # ... but for two signs
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and plainness of the units that are encoded on their own, and the bytes
+    they are read from. A chunk of plain characters (ASCII and Latin-1 letters) is
+    lower-cased and cut into letters, digits and others, as the tokenizer would; any
+    other chunk is one unit, which the tokenizer normalises and cuts itself."""
+    starts, ends = words.spans(data, offsets)
+    kind, body = _CLASS[data], words.LOWER[data]
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == _LATIN
+    latin = second & (data != _SIGNS[0]) & (data != _SIGNS[1])
+    capital = latin & (data >= 0x80) & (data <= 0x9E)
+    body[capital] += 0x20
+    lead = np.flatnonzero(latin) - 1
+    kind[lead] = kind[lead + 1] = 1
+    special = np.zeros(len(data), bool)  # "<|" may begin a special token
+    special[1:] = (data[1:] == ord("|")) & (data[:-1] == ord("<"))
+    odd = np.flatnonzero((kind == 0) & ~words.WS[data] | special)
+    whole = np.zeros(len(starts), bool)
+    whole[np.searchsorted(starts, odd, "right") - 1] = True
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts[whole]] = 1
+    edge[ends[whole]] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    kind[inside] = 4
+    body[inside] = data[inside]
+    first = np.zeros(len(data) + 1, bool)
+    first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    first[:-1] &= ~words.WS[data]
+    first[starts] = True
+    last = np.zeros(len(data) + 1, bool)  # a unit ends where the next begins, or its chunk ends
+    last[:-1] = first[:-1] & ~words.WS[data]
+    last[starts] = False
+    last[ends] = True
+    first = np.flatnonzero(first[:-1])
+    return first, np.flatnonzero(last), ~inside[first], body
+
+
 class Encoder:
-    """Token ids of texts given as one byte array, by distinct chunks."""
+    """Token ids of texts given as one byte array, by distinct units."""
 
     def __init__(self, definition: str):
         self.tokenizer, self.known = _tokenizer(definition)
-
-    def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        known = self.known
-        missing = [c for c in chunks if c not in known]
-        if not missing:
-            return [known[c] for c in chunks]
-        found = self.tokenizer.encode_batch_fast([c.decode(errors="replace") for c in missing], add_special_tokens=False)
-        fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(missing, found, strict=True)}
-        out = [fresh[c] if c in fresh else known[c] for c in chunks]
-        if len(known) + len(fresh) > REMEMBER:
-            known.clear()
-        known.update({c: v for c, v in fresh.items() if len(c) <= LONGEST} if len(fresh) <= REMEMBER else {})
+        self.model, self.shown = self.tokenizer.model, byte_characters()
+
+    def _encode(self, unit: bytes, plain: bool) -> bytes:
+        if plain:
+            shown = unit.decode("ascii") if unit.isascii() else "".join([self.shown[b] for b in unit])
+            return array("I", map(_ID, self.model.tokenize(shown))).tobytes()
+        return array("I", self.tokenizer.encode(unit.decode(errors="replace"), add_special_tokens=False).ids).tobytes()
+
+    def _ids(self, keys: list[bytes], plain: list[bool]) -> list[bytes]:
+        known, out = self.known, []
+        for k, p in zip(keys, plain, strict=True):
+            ids = known.get(k)
+            if ids is None:
+                ids = self._encode(k, p)
+                if len(k) <= LONGEST:
+                    if len(known) >= REMEMBER:
+                        known.clear()
+                    known[k] = ids
+            out.append(ids)
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (and the last's end)."""
-        starts, ends = words.spans(data, offsets)
-        first, kind = words.distinct(data, starts, ends)
-        raw = data.tobytes()
-        each = self._ids([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        size = np.array([len(x) // 4 for x in each], np.int64)
+        starts, ends, plain, body = units(data, offsets)
+        first, kind = words.distinct(body, starts, ends)
+        raw = body.tobytes()
+        each = self._ids([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], plain[first].tolist())
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), "<u4")
         begin = np.cumsum(size) - size
         n = size[kind] if len(kind) else np.zeros(0, np.int64)
@@ -95,7 +162,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, ids: bo
     def run(batches):
         encoder = Encoder(shared.value)
         last = np.array([end], "<u4").tobytes()
-        for rows, data, offsets in words.parts(batches):
+        for rows, data, offsets in words.parts(batches, size=PART):
             flat, at = encoder.encode(data, offsets)
             row, piece, start, length, crc, body = [], [], [], [], [], []
             for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):

@@ -27,6 +27,8 @@ def test_tokens_are_those_of_the_tokenizer(tokenizer):
     odd = ["", " ", "\n\tit's  IT'S\x0b'lL 've", "<|endoftext|> a<|startoftext|>b <|endof text|>", "é ́e\ń", "a b c　d",
            "ẛ̣ ﬁ İI Σσς", "日本語のテキスト 12３", "x" * 5000, "a1b2--c_d", "🙂🙂‍↔️ z", "\x1c\x1d \x85\x00"]
     kinds = "aB9 \n\t'.-́é 日\x1c<|>ſKÅ"
+    # Every character of one and two bytes (and some more) beside letters, digits and signs.
+    odd += [f"{chr(c)}a{chr(c)}1{chr(c)}{chr(c)}.{chr(c)} É{chr(c)}'S" for c in [*range(0x250), *range(0x300, 0x340), 0x130, 0x1E9E, 0x2126, 0x212B]]
     texts = odd + ["".join(rng.choice(kinds) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [" ".join(odd)]
     raw = [t.encode() for t in texts]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
