@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from prefixdex.llm import words
 
-#: Matches remembered by each worker; when full, the memory starts anew.
+#: Matches remembered by each worker, and their bytes with their ids; when full, the
+#: memory starts anew.
 REMEMBER = 200_000
+REMEMBER_BYTES = 64 << 20
 
 
 def byte_characters() -> list[str]:
@@ -88,10 +90,11 @@ class Codec:
         self.ids = {p: k for k, p in enumerate(self.pieces)}
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, matches: set[str]) -> None:
-        if len(self.known) + len(matches) > REMEMBER:
-            self.known = {}
+        if len(self.known) + len(matches) > REMEMBER or self.held > REMEMBER_BYTES:
+            self.known, self.held = {}, 0
         rest = []
         for m in matches:
             whole = self.ids.get(m.encode())
@@ -102,6 +105,7 @@ class Codec:
         mapped = ["".join([self.table[b] for b in m.encode()]) for m in rest]
         for m, ids in zip(rest, self.processor.encode(mapped, num_threads=1), strict=True):
             self.known[m] = (np.asarray(ids, "<u4") - 1).astype("<u4").tobytes()
+            self.held += len(m) + len(self.known[m])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

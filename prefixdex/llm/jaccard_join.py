@@ -7,23 +7,38 @@ shared with another node with the probability of their Jaccard similarity.
 
 One run of the join walks the chosen-path tree: at each inner bucket a few places
 are sampled (1 / similarity on average, one at least), and a node goes to the
-child bucket named by the path so far, the place and its value there. Buckets
-of at most ``LIMIT`` nodes are compared all with all; larger ones are split
-further, ``DEPTH`` times, and then compared block against block, so that none is
-cut. Comparison of sketches, with a margin of four standard errors, links
-nodes; of each bucket's linked nodes only one star is passed on. Runs are
-repeated, a round at a time, until the estimated recall is reached: from the
-nodes linked in one run only and in two runs, Chao's estimate tells how many
-no run has linked yet.
+child bucket named by the path so far, the place and its value there. Buckets of
+more than ``LIMIT`` nodes are split further, up to ``DEPTH`` times; which ones is found
+by counting, and goes to every task as a list of at most ``SPLITS`` paths, the largest
+first (a bucket that is not on it is only compared as it is). In a bucket, nodes
+whose sketches agree, with a margin of four standard errors, are linked, and only
+one star for each group of linked nodes is passed on. Runs are repeated, a round at
+a time, until the estimated recall is reached: from the nodes linked in one run only
+and in two runs, Chao's estimate tells how many no run has linked yet (nodes, not
+pairs; pairs of the similarity whose sketches agree below the margin are in no estimate).
+
+A bucket that stays large is dealt into blocks of nodes. In each, nodes that nearly
+agree with a leader are folded into it, and leaders are compared with each other, also
+across blocks, by a threshold that their distance to the folded nodes is taken off
+from: as differing places obey the triangle inequality, whatever a comparison of all
+with all would have linked is linked.
 
 The sketch only proposes groups. Within each connected group all pairs are then
-compared exactly, as products of 0/1 matrices of the sets, block against block:
-that gives each node's links of the wanted similarity, and the classes.
+compared exactly, as products of 0/1 matrices of the sets, tile by tile; a group of
+more than ``SET_BYTES`` is dealt into blocks of that size, and each pair of blocks is
+compared in one task. That gives each node's links of the wanted similarity (so a
+group of n different texts costs n^2 / 2 comparisons of sets), and the classes.
+
+Rows are told apart by their id and the md5 of their text; rows that agree in both
+are interchangeable.
 
 Defined cases: null and empty texts have no set: no links and a class of their
 own; rows that repeat a doc_id are documents of their own with the same id; a
 null doc_id is in a class like others, whose id is the smallest that is not
-null; an empty table gives an empty result; further columns are not looked at.
+null; an empty table gives an empty result; texts of any length are read whole;
+further columns are not looked at by ``join`` and kept by ``dedup``, whatever their
+names. Of each class ``dedup`` keeps one row: the smallest id (null last), then the
+smallest md5; of rows that agree in both, any one.
 """
 
 from __future__ import annotations
@@ -35,20 +50,26 @@ from pyspark.sql import functions as F
 
 from prefixdex.llm import tables, words
 from prefixdex.llm.components import components, local
+from prefixdex.plans.session import measure
 
 SHINGLE = 5
 SIMILARITY = (4, 5)
 HASHES = 64
 LOOSE = 38  # of 64 places, four standard errors below 0.8
+TIGHT = 58  # places shared with a leader by the nodes folded into it
 LIMIT = 256
 DEPTH = 3
-SKETCH_BLOCK = 1024  # nodes of a block, where a bucket stays large
-SET_BLOCK = 512  # likewise where whole sets are compared
+SPLITS = 1_000_000  # paths that are split, or dealt into blocks: 16 MB for each task
+BLOCK = 4096  # nodes of a block, where a bucket stays large
+TILE = 512  # sets compared by one matrix product
+SET_BYTES = 8 << 20  # sets of a block, likewise of a group compared at once
 FOLD = 1 << 19  # alike pairs a task holds before it folds them into stars
 RUNS = 8  # of each round
+ROUNDS = 8  # at most: a pair of the similarity meets in one of 64 runs but for 1e-14
 RECALL = 0.999
 CELL_ROWS = 20_000
 CELL_BYTES = 8 << 20
+FEW_ROWS, FEW_BYTES = 500_000, 32 << 20  # members that go to the texts by broadcast
 
 _SEEDS = words.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = words.mix(np.arange(1001, HASHES + 1001, dtype=np.uint64))
@@ -82,8 +103,8 @@ def _keys(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the set, null without one), n (size of the set) and
-    sketch of every row."""
+    """doc_id, digest, node (a hash of the set, null without one), n (size of the set)
+    and sketch of every row."""
 
     def run(batches):
         for rows, data, offsets in words.parts(batches):
@@ -101,112 +122,237 @@ def signatures(docs: DataFrame) -> DataFrame:
             for k, i in enumerate(there):
                 each[i] = sketch[k].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(node, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(each, pa.binary())],
-                ["doc_id", "node", "n", "sketch"],
+                [rows.column(0), rows.column(1), pa.array(node, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(each, pa.binary())],
+                ["doc_id", "digest", "node", "n", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n int, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long"), tables.digest().alias("digest"), "text")
+    return rows.mapInArrow(run, "doc_id long, digest binary, node long, n int, sketch binary")
+
+
+def _children(path: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``path``, child path): each bucket's node ``at`` goes on by one sampled
+    place, or two."""
+    places = np.uint64(HASHES)
+    one, two = words.mix(path) % places, words.mix(path + np.uint64(1)) % places
+    often = words.mix(path + np.uint64(2)) < np.uint64((SIMILARITY[1] / SIMILARITY[0] - 1) * 2**64)
+    of, child = [], []
+    for turn, (place, goes) in enumerate(((one, slice(None)), (two, often & (one != two)))):
+        i = np.arange(len(path))[goes]
+        value = sketch[at[i], place[i]].astype(np.uint64)
+        child.append(words.mix(words.mix(path[i] + np.uint64(turn)) ^ words.mix(value + (place[i] << np.uint64(32)))))
+        of.append(i)
+    return np.concatenate(of), np.concatenate(child)
+
+
+def _find(sorted_paths: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Place of each path in the list, or -1."""
+    if not len(sorted_paths):
+        return np.full(len(path), -1)
+    k = np.minimum(np.searchsorted(sorted_paths, path), len(sorted_paths) - 1)
+    return np.where(sorted_paths[k] == path, k, -1)
+
+
+def walk(sketch: np.ndarray, runs: range, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, run, path, depth) of the buckets that the nodes (rows of ``sketch``) end in,
+    where the buckets of ``split`` (sorted paths) are gone through."""
+    n = len(sketch)
+    at, run = np.tile(np.arange(n), len(runs)), np.repeat(np.array(runs), n)
+    path = words.mix(run.astype(np.uint64) + np.uint64(77)) >> np.uint64(2)
+    out = []
+    for depth in range(DEPTH + 1):
+        of, path = _children(path, at, sketch)
+        at, run = at[of], run[of]
+        on = _find(split, path) >= 0 if depth < DEPTH else np.zeros(len(path), bool)
+        out.append((at[~on], run[~on], path[~on], np.full(int((~on).sum()), depth)))
+        at, run, path = at[on], run[on], path[on]
+        if not len(path):
+            break
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def _places(path: int) -> list[int]:
-    """The sketch places at which a bucket is split."""
-    a, b, c = words.mix(np.array([path, path + 1, path + 2], np.uint64)).tolist()
-    extra = SIMILARITY[1] / SIMILARITY[0] - 1
-    return [a % HASHES] + ([b % HASHES] if c / 2**64 < extra else [])
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _step(rows: DataFrame, carry: bool) -> DataFrame:
-    """(run, path, node, sketch) -> (run, path, node) of the child buckets, with the
-    sketch where it is to be carried."""
+def _crowded(nodes: DataFrame, runs: range, split: np.ndarray) -> DataFrame:
+    """(path, members, depth) of the buckets of more than ``LIMIT`` nodes."""
 
     def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                _, _, path, depth = walk(_sketches(batch.column(0)), runs, split)
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(depth.astype(np.int32))], ["path", "depth"])
+
+    found = nodes.select("sketch").mapInArrow(run, "path long, depth int").groupBy("path")
+    return found.agg(F.count(F.lit(1)).alias("members"), F.max("depth").alias("depth")).where(F.col("members") > LIMIT)
+
+
+def _listed(crowded: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The paths of the ``most`` largest buckets, sorted, and their members."""
+    t = crowded.orderBy(F.col("members").desc(), "path").limit(most).select("path", "members").toArrow()
+    path, members = t["path"].to_numpy().view(np.uint64), t["members"].to_numpy()
+    order = np.argsort(path)
+    return path[order], members[order]
+
+
+def _tree(nodes: DataFrame, runs: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The paths to split, and those that stay crowded all the same with their members."""
+    split = np.zeros(0, np.uint64)
+    while True:
+        crowded = tables.save(_crowded(nodes, runs, split), "crowded")
+        more, _ = _listed(crowded.where(F.col("depth") < DEPTH), SPLITS - len(split))
+        if not len(more):
+            return split, *_listed(crowded, SPLITS)
+        split = np.sort(np.concatenate([split, more]))
+
+
+def _buckets(nodes: DataFrame, runs: range) -> DataFrame:
+    """(run, path, block, blocks, node, sketch) of every node in the bucket it ends in.
+    ``blocks`` is 0 for a bucket compared whole; of the sketch only the low bytes go along."""
+    split, crowded, members = _tree(nodes, runs)
+    size = BLOCK
+    shared = nodes.sparkSession.sparkContext.broadcast((split, crowded, 1 + members // size))
+
+    def run(batches):
+        split, crowded, parts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path = batch.column(1).to_numpy().view(np.uint64)
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, HASHES)
-            kinds, back = np.unique(path, return_inverse=True)
-            where = [_places(int(p) % (1 << 63)) for p in kinds]
-            for turn in (0, 1):
-                place = np.array([w[turn] if len(w) > turn else -1 for w in where])[back]
-                at = np.flatnonzero(place >= 0)
-                value = sketch[at, place[at]].astype(np.uint64)
-                child = words.mix(words.mix(path[at] + np.uint64(turn)) ^ words.mix(value + (place[at].astype(np.uint64) << np.uint64(32))))
-                same = batch.take(pa.array(at))
-                columns = [same.column(0), pa.array(child.view(np.int64)), same.column(2), same.column(3)]
-                yield pa.RecordBatch.from_arrays(columns[: 3 + carry], ["run", "path", "node", "sketch"][: 3 + carry])
-
-    schema = "run int, path long, node long" + ", sketch binary" * carry
-    return rows.select("run", "path", "node", "sketch").mapInArrow(run, schema)
-
-
-def _linked(rows: DataFrame, cells: int) -> DataFrame:
-    """(run, a, b) stars, around the smallest node, of the nodes that look alike in
-    each bucket of (run, path, node, sketch); a cell holds many buckets."""
-
-    def run(rows):
-        path, node, turn = rows["path"].to_numpy(), rows["node"].to_numpy(), rows["run"].to_numpy()
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint32).reshape(-1, HASHES)
-        order = np.lexsort((node, path))
-        path, node, turn, sketch = path[order], node[order], turn[order], sketch[order]
-        a, b, d, held = [], [], 1, 0
-        everyone = np.arange(len(path))
-        stars = lambda: local(len(path), np.concatenate([everyone[:0], *a]), np.concatenate([everyone[:0], *b]))
-        at = everyone[:-1]
-        while len(at):
-            at = at[at + d < len(path)]
-            at = at[path[at] == path[at + d]]
-            for lo in range(0, len(at), 1 << 14):
-                x = at[lo : lo + (1 << 14)]
-                alike = x[(sketch[x] == sketch[x + d]).sum(1) >= LOOSE]
-                a.append(alike), b.append(alike + d)
-                held += len(alike)
-                if held > FOLD:
-                    root = stars()
-                    a = [np.flatnonzero(root != everyone)]
-                    b = [root[a[0]]]
-                    held = len(a[0])
-            d += 1
-        root = stars()
-        other = root != everyone
-        return pa.table({"run": turn[other], "a": node[other], "b": node[root[other]]})
-
-    cell = F.pmod(F.xxhash64("path"), F.lit(cells)).alias("cell")
-    return rows.select(cell, "run", "path", "node", "sketch").groupBy("cell").applyInArrow(run, "run int, a long, b long")
-
-
-def _blocks(rows: DataFrame, size: int, by: str) -> DataFrame:
-    """Rows of a group of ``members`` rows, for each pair of its blocks: ``low`` and
-    ``high`` name the pair, ``block`` the row's own."""
-    count = F.expr(f"members div {size} + 1")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node", by), count)).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    return dealt.withColumn("low", F.least("block", "partner")).withColumn("high", F.greatest("block", "partner")).drop("partner")
+            node, sketch = batch.column(0).to_numpy(), _sketches(batch.column(1))
+            at, turn, path, _ = walk(sketch, runs, split)
+            k = _find(crowded, path)
+            blocks = np.where(k >= 0, parts[k] if len(parts) else 0, 0)
+            block = words.mix(node[at].view(np.uint64) ^ path) % np.maximum(blocks, 1).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(turn.astype(np.int32)), pa.array(path.view(np.int64)), pa.array(block.astype(np.int32)), pa.array(blocks.astype(np.int32)),
+                 pa.array(node[at]), _fixed(sketch.astype(np.uint8)[at])],
+                ["run", "path", "block", "blocks", "node", "sketch"],
+            )
+
+    return nodes.select("node", "sketch").mapInArrow(run, "run int, path long, block int, blocks int, node long, sketch binary")
+
+
+class _Stars:
+    """Links of some nodes, folded into one star for each group as they become many."""
+
+    def __init__(self, n: int, most: int):
+        self.n, self.most, self.held, self.a, self.b = n, most, 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a), self.b.append(b)
+        self.held += len(a)
+        if self.held > self.most:
+            root = self.roots()
+            other = np.flatnonzero(root != np.arange(self.n))
+            self.a, self.b, self.held = [other], [root[other]], len(other)
+
+    def roots(self) -> np.ndarray:
+        return local(self.n, np.concatenate(self.a), np.concatenate(self.b))
+
+
+def _alike(path: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
+    """Smallest member of the group of each node (in the order of ``path``); all pairs of
+    a bucket are compared."""
+    stars, d = _Stars(len(path), most), 1
+    at = np.arange(len(path) - 1)
+    while len(at):
+        at = at[at + d < len(path)]
+        at = at[path[at] == path[at + d]]
+        for lo in range(0, len(at), 1 << 14):
+            x = at[lo : lo + (1 << 14)]
+            x = x[(sketch[x] == sketch[x + d]).sum(1) >= LOOSE]
+            stars.add(x, x + d)
+        d += 1
+    return stars.roots()
+
+
+def _between(stars: _Stars, a: np.ndarray, b: np.ndarray, sketch: np.ndarray, radius: np.ndarray, later: bool) -> None:
+    """Link the leaders ``a`` with the leaders ``b`` (``later``: those after each in the same
+    list) whose nodes may be alike: two nodes of theirs differ by less than the leaders do, by
+    the two radii at most."""
+    for k, x in enumerate(a.tolist()):
+        rest = b[k + 1 :] if later else b
+        near = rest[(sketch[rest] == sketch[x]).sum(1) >= LOOSE - radius[x] - radius[rest]]
+        stars.add(np.full(len(near), x), near)
+
+
+def _folded(sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaders of a block, the differing places of their furthest node, and the root of
+    every node of the block."""
+    stars, left = _Stars(len(sketch), most), np.arange(len(sketch))
+    leaders, radius = [], np.zeros(len(sketch), np.int64)
+    while len(left):
+        same = (sketch[left] == sketch[left[0]]).sum(1)
+        near = same >= TIGHT
+        leaders.append(left[0])
+        radius[left[0]] = HASHES - int(same[near].min())
+        stars.add(left[near], np.full(int(near.sum()), left[0]))
+        left = left[~near]
+    leaders = np.array(leaders)
+    _between(stars, leaders, leaders, sketch, radius, True)
+    return leaders, radius, stars.roots()
+
+
+_FOUND = "run int, a long, b long, path long, block int, blocks int, sketch binary, radius int"
 
 
 def _round(nodes: DataFrame, runs: range) -> DataFrame:
-    """Stars found by some runs of the chosen-path tree."""
-    roots = [F.struct(F.lit(r).cast("int").alias("run"), F.lit(int(words.mix(np.array([r + 77], np.uint64))[0] >> np.uint64(2))).cast("long").alias("path")) for r in runs]
-    rows = nodes.select(F.explode(F.array(*roots)).alias("r"), "node", "sketch").select("r.run", "r.path", "node", "sketch")
-    # The first level has every node: its sketch joins those that share a bucket.
-    rows = tables.save(_step(rows, False), "paths")
-    small = None
-    for depth in range(DEPTH + 1):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        rows = rows.join(sizes.hint("merge"), "path")
-        if depth == 0:
-            rows = rows.join(nodes.select("node", "sketch").hint("merge"), "node")
-        rows = tables.save(rows, "buckets")
-        fits = rows.where(F.col("members") <= LIMIT).select("run", "path", "node", "sketch")
-        small = fits if small is None else small.unionByName(fits)
-        rows = rows.where(F.col("members") > LIMIT)
-        if rows.isEmpty():
-            break
-        if depth < DEPTH:
-            rows = tables.save(_step(rows, True), "paths")
-        else:
-            pairs = _blocks(rows, SKETCH_BLOCK, "path")
-            small = small.unionByName(pairs.select("run", F.xxhash64("path", "low", "high").alias("path"), "node", "sketch"))
-    return _linked(small, 1 + small.count() // CELL_ROWS)
+    """(run, a, b): stars found by some runs of the chosen-path tree."""
+    rows, cells, most = _buckets(nodes, runs), 1 + 5 * len(runs) * nodes.count() // (4 * CELL_ROWS), FOLD
+
+    def stars(turn, node, root, **more):
+        other = np.flatnonzero(root != np.arange(len(root)))
+        none = pa.nulls(len(other))
+        kinds = {"path": pa.int64(), "block": pa.int32(), "blocks": pa.int32(), "sketch": pa.binary(), "radius": pa.int32()}
+        return pa.table({"run": turn[other], "a": node[other], "b": node[root[other]], **{c: none.cast(k) for c, k in kinds.items()}})
+
+    def link(rows):
+        path, node, turn, block, blocks = (rows[c].to_numpy() for c in ("path", "node", "run", "block", "blocks"))
+        order = np.lexsort((node, block, path))
+        path, node, turn, block, blocks = path[order], node[order], turn[order], block[order], blocks[order]
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)[order]
+        whole = np.flatnonzero(blocks == 0)
+        out = [stars(turn[whole], node[whole], _alike(path[whole], sketch[whole], most))]
+        rest = np.flatnonzero(blocks > 0)
+        for at in np.split(rest, np.flatnonzero((np.diff(path[rest]) != 0) | (np.diff(block[rest]) != 0)) + 1):
+            if not len(at):
+                continue
+            leaders, radius, root = _folded(sketch[at], most)
+            out.append(stars(turn[at], node[at], root))
+            if blocks[at[0]] > 1:
+                of = at[leaders]
+                out.append(pa.table({
+                    "run": turn[of], "a": node[of], "b": node[of], "path": path[of], "block": block[of], "blocks": blocks[of],
+                    "sketch": _fixed(sketch[of]), "radius": radius[leaders].astype(np.int32),
+                }))
+        return pa.concat_tables(out)
+
+    def across(rows):
+        block, turn, node, radius = (rows[c].to_numpy() for c in ("block", "run", "a", "radius"))
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        found = _Stars(len(node), most)
+        first = block == block.min()
+        if not first.all():
+            _between(found, np.flatnonzero(first), np.flatnonzero(~first), sketch, radius, False)
+        return stars(turn, node, found.roots()).select(["run", "a", "b"])
+
+    crowded = F.col("blocks") > 0
+    cell = F.when(crowded, -1 - F.pmod(F.xxhash64("path", "block"), F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("path"), F.lit(cells)))
+    found = tables.save(rows.withColumn("cell", cell).groupBy("cell").applyInArrow(link, _FOUND), "linked")
+    out = found.where("sketch is null").select("run", "a", "b")
+    leaders = found.where("sketch is not null")
+    if leaders.isEmpty():
+        return out
+    pairs = leaders.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return out.unionByName(pairs.groupBy("path", "low", "high").applyInArrow(across, "run int, a long, b long"))
 
 
 def estimated_recall(stars: DataFrame) -> float:
@@ -223,114 +369,134 @@ def groups(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """(node, label): groups that contain every linked pair, by rounds of runs until
     the estimated recall is reached."""
     done, stars = 0, None
-    while stars is None or estimated_recall(stars) < recall:
+    while stars is None or (done < RUNS * ROUNDS and estimated_recall(stars) < recall):
         found = tables.save(_round(nodes, range(done, done + RUNS)), "stars")
         stars, done = found if stars is None else stars.unionByName(found), done + RUNS
     return tables.save(components(stars.select("a", "b")), "labels")
 
 
-def _same(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the pairwise intersections, by products of 0/1 matrices over some
-    thousand hashes at a time."""
-    n = len(sets)
+def _shared(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of the sets ``a`` with the sets ``b`` (none: with each
+    other), by products of 0/1 matrices over some thousand hashes at a time."""
+    sets = a + (b or [])
     value = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, place, times = np.unique(value, return_inverse=True, return_counts=True)
-    shared = times[place] > 1
-    place, owner = place[shared], owner[shared]
+    kept = times[place] > 1
+    place, owner = place[kept], owner[kept]
     kinds, place = np.unique(place, return_inverse=True)
-    out = np.zeros((n, n), np.float32)
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
+    out = np.zeros((len(a), len(b or a)), np.float32)
     for lo in range(0, len(kinds), 4096):
-        a, b = np.searchsorted(place, [lo, lo + 4096])
-        m = np.zeros((n, min(4096, len(kinds) - lo)), np.float32)
-        m[owner[a:b], place[a:b] - lo] = 1
-        out += m @ m.T
-    return out
+        i, j = np.searchsorted(place, [lo, lo + 4096])
+        m = np.zeros((len(sets), min(4096, len(kinds) - lo)), np.float32)
+        m[owner[i:j], place[i:j] - lo] = 1
+        out += m[: len(a)] @ (m[len(a) :] if b else m).T
+    return out.astype(np.int64)
+
+
+def _compared(sets: list[np.ndarray], copies: np.ndarray, first: int, tile: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every set, and the root of its group. With ``first`` sets of one block before
+    those of another, only pairs between the two are compared, else all."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    links, stars = np.zeros(n, np.int64), _Stars(n, most)
+    cuts = lambda lo, hi: [(i, min(i + tile, hi)) for i in range(lo, hi, tile)]
+    pairs = [(x, y) for x in cuts(0, first) for y in cuts(first, n)] if first else [(x, y) for x in cuts(0, n) for y in cuts(0, n) if x <= y]
+    for (i, j), (k, m) in pairs:
+        alone = i == k
+        same = _shared(sets[i:j]) if alone else _shared(sets[i:j], sets[k:m])
+        like = SIMILARITY[1] * same >= SIMILARITY[0] * (size[i:j, None] + size[None, k:m] - same)
+        if alone:
+            np.fill_diagonal(like, False)
+        else:
+            links[k:m] += copies[i:j] @ like
+        links[i:j] += like @ copies[k:m]
+        a, b = np.nonzero(like)
+        stars.add(a + i, b + k)
+    return links, stars.roots()
 
 
 def links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, n_links, root, cells) for the nodes of each group (node, label, copies,
-    doc_id, members): rows with a set alike, and the star, around the smallest, of
-    the linked nodes. ``cells`` is 1 for a group compared at once, whose stars are
+    """(node, n_links, root, blocks) for the nodes of each group (node, label, copies, id,
+    digest, blocks): rows with a set alike, and the star, around the smallest, of
+    the linked nodes. Where ``blocks`` is 1 the group is compared at once, and its stars are
     its classes; a node of a larger group has a row for each pair of blocks."""
+    tile, most = TILE, FOLD
 
     def sets(batches):
         for rows, data, offsets in words.parts(batches):
             value, text = _sets(data, offsets)
             n = np.bincount(text, minlength=rows.num_rows)
             first = np.cumsum(n) - n
-            node = _keys(value, first) if len(value) else np.zeros(0, np.int64)
-            wanted = rows.column(rows.schema.get_field_index("node")).to_numpy()
-            at = np.flatnonzero(node == wanted) if len(node) == len(wanted) else np.zeros(0, np.int64)
-            body = [value[first[i] : first[i] + n[i]].tobytes() for i in at]
-            take = rows.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*(take.column(take.schema.get_field_index(c)) for c in ("node", "label", "copies", "members")), pa.array(body, pa.binary())], ["node", "label", "copies", "members", "body"])
+            body = [value[f : f + k].tobytes() for f, k in zip(first.tolist(), n.tolist(), strict=True)]
+            names = ["node", "label", "copies", "blocks"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array(body, pa.binary())], [*names, "body"])
 
     def compare(rows):
-        label, node, copies = (rows[c].to_numpy() for c in ("label", "node", "copies"))
-        low, high, block, members = (rows[c].to_numpy() for c in ("low", "high", "block", "members"))
+        label, node, copies, blocks, block, low, high = (rows[c].to_numpy() for c in ("label", "node", "copies", "blocks", "block", "low", "high"))
         body = rows["body"].to_pylist()
-        order = np.lexsort((node, high, low, label))
+        order = np.lexsort((node, block, high, low, label))
         cuts = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
-        out = {"node": [], "n_links": [], "root": [], "cells": []}
+        out = {"node": [], "n_links": [], "root": [], "blocks": []}
         for at in np.split(order, cuts):
-            each = [np.frombuffer(body[i], np.uint64) for i in at]
-            size = np.array([len(x) for x in each])
-            same = _same(each).astype(np.int64)
-            like = SIMILARITY[1] * same >= SIMILARITY[0] * (size[:, None] + size[None, :] - same)
-            np.fill_diagonal(like, False)
-            if low[at[0]] != high[at[0]]:  # the pairs within a block are compared once, elsewhere
-                like &= block[at][:, None] != block[at][None, :]
-            a, b = np.nonzero(np.triu(like))
-            out["node"].append(node[at])
-            out["n_links"].append(like @ copies[at])
-            out["root"].append(node[at][local(len(at), a, b)])
-            out["cells"].append(np.full(len(at), 1 if members[at[0]] <= LIMIT else 2))
+            across = low[at[0]] != high[at[0]]
+            first = int((block[at] == low[at[0]]).sum()) if across else 0
+            if across and first in (0, len(at)):  # one of the two blocks has no node
+                found, root = np.zeros(len(at), np.int64), np.arange(len(at))
+            else:
+                found, root = _compared([np.frombuffer(body[i], np.uint64) for i in at], copies[at], first, tile, most)
+            for c, v in zip(out, (node[at], found, node[at][root], blocks[at]), strict=True):
+                out[c].append(v)
         return pa.table({k: np.concatenate(v).astype(np.int64) for k, v in out.items()})
 
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), "text")
-    texts = ids.join(members.withColumnRenamed("doc_id", "id").hint("merge"), "id")
-    full = texts.select("text", "node", "label", "copies", "members").mapInArrow(sets, "node long, label long, copies long, members long, body binary")
+    # One row of each node: the texts of few members are found without moving the others.
+    few, n_bytes = measure(members, FEW_ROWS)
+    held = F.broadcast(members) if few <= FEW_ROWS and n_bytes <= FEW_BYTES else members.hint("merge")
+    texts = docs.select(tables.known_id().alias("id"), tables.digest().alias("digest"), "text").join(held, ["id", "digest"])
+    full = texts.select("text", "node", "label", "copies", "blocks").mapInArrow(sets, "node long, label long, copies long, blocks long, body binary")
     full = tables.save(full.dropDuplicates(["node"]), "sets")
-    whole = full.where(F.col("members") <= LIMIT)
-    cells = 1 + (whole.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // CELL_BYTES
-    zero = F.lit(0).cast("long")
-    small = whole.withColumn("block", zero).withColumn("low", zero).withColumn("high", zero)
-    small = small.withColumn("cell", F.pmod(F.xxhash64("label"), F.lit(cells)))
-    large = _blocks(full.where(F.col("members") > LIMIT), SET_BLOCK, "label")
-    large = large.withColumn("cell", F.xxhash64("label", "low", "high"))
-    both = small.unionByName(large.select(*small.columns)).select("cell", "node", "label", "copies", "members", "block", "low", "high", "body")
-    return both.groupBy("cell").applyInArrow(compare, "node long, n_links long, root long, cells long")
-
-
-def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """One row per document row: doc_id, class_id (smallest id of its class),
-    n_links (other rows of the similarity wanted) and class_size."""
+    whole, zero = F.col("blocks") == 1, F.lit(0).cast("long")
+    cells = 1 + (full.where(whole).agg(F.sum(F.octet_length("body"))).first()[0] or 0) // CELL_BYTES
+    small = full.where(whole).select("*", zero.alias("block"), zero.alias("low"), zero.alias("high"), F.pmod(F.xxhash64("label"), F.lit(cells)).alias("cell"))
+    dealt = full.where(~whole).withColumn("block", F.pmod(F.xxhash64("node", "label"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+    both = small.unionByName(dealt.withColumn("cell", F.xxhash64("label", "low", "high")))
+    return both.groupBy("cell").applyInArrow(compare, "node long, n_links long, root long, blocks long")
+
+
+def _classes(docs: DataFrame, recall: float) -> DataFrame:
+    """doc_id, digest, node, label (of its class), class_id, n_links, class_size of every row."""
     rows = tables.save(signatures(docs), "signatures")
-    absent = F.lit(-(1 << 63))
     nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min(F.coalesce("doc_id", absent)).alias("doc_id"), F.min("doc_id").alias("least_id"),
-        F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch"),
+        F.min(F.struct(tables.known_id().alias("id"), "digest")).alias("row"), F.min("doc_id").alias("least_id"),
+        F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
     )
-    nodes = tables.save(nodes, "nodes")
-    labels = groups(nodes, recall)
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    members = tables.save(labels.join(sizes, "label").join(nodes.select("node", "doc_id", "copies"), "node"), "members")
+    nodes = tables.save(nodes.select("node", "row.id", "row.digest", "least_id", "copies", "n", "sketch"), "nodes")
+    labels = groups(nodes, recall).join(nodes.select("node", "id", "digest", "copies", "n"), "node")
+    labels = tables.save(labels, "grouped")
+    sizes = labels.groupBy("label").agg(F.sum(8 * F.col("n").cast("long")).alias("bytes"))
+    members = labels.join(sizes, "label").withColumn("blocks", 1 + F.expr(f"bytes div {SET_BYTES}"))
+    members = tables.save(members.select("node", "label", "copies", "id", "digest", "blocks"), "members")
     found = tables.save(links(docs, members), "links")
     counted = found.groupBy("node").agg(F.sum("n_links").alias("linked"))
-    classes = found.where("cells = 1").select("node", F.col("root").alias("label"))
-    parts = found.where("cells > 1 and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    classes = found.where("blocks = 1").select("node", F.col("root").alias("label"))
+    parts = found.where("blocks > 1 and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not parts.isEmpty():
         classes = classes.unionByName(components(parts))
     named = nodes.select("node", "least_id", "copies").join(counted, "node", "left").join(classes, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     named = tables.save(named.withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1), "named")
     whole = named.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = named.join(whole, "label").select("node", "class_id", "class_size", "n_links")
-    out = rows.select("doc_id", "node").join(named.hint("merge"), "node", "left")
-    return out.select(
+    named = named.join(whole, "label").select("node", "label", "class_id", "class_size", "n_links")
+    return rows.select("doc_id", "digest", "node").join(named.hint("merge"), "node", "left")
+
+
+def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One row per document row: doc_id, class_id (smallest id of its class),
+    n_links (other rows of the similarity wanted) and class_size."""
+    return _classes(docs, recall).select(
         "doc_id",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -339,9 +505,21 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 
 def dedup(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each class the one
-    with the smallest id (rows without words all stay)."""
-    out = join(docs, recall).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    gone = out.select(F.coalesce("__gone", F.lit(-(1 << 63))).alias("__id"))
-    return docs.withColumn("__id", ident).join(gone.hint("merge"), "__id", "left_anti").drop("__id")
+    """The rows of ``docs`` that stay, with all their columns: one of each class (rows
+    without words all stay)."""
+    # A null id as the largest: it comes last.
+    rows = _classes(docs, recall).where("class_size > 1").select("label", tables.known_id(null=(1 << 63) - 1).alias("id"), "digest")
+    rows = tables.save(rows.groupBy("label", "id", "digest").agg(F.count(F.lit(1)).alias("n")), "classes")
+    kept = rows.groupBy("label").agg(F.min(F.struct("id", "digest", "n")).alias("first"))
+    marked = rows.join(kept, "label").withColumn("stays", (F.col("id") == F.col("first.id")) & (F.col("digest") == F.col("first.digest")))
+    marked = tables.save(marked.select("id", "digest", "n", "stays"), "marked")
+    ident, digest = tables.unused(docs, "__id"), tables.unused(docs, "__digest")
+    keyed = docs.withColumn(ident, tables.known_id(null=(1 << 63) - 1)).withColumn(digest, tables.digest())
+    name = lambda rows: rows.select(F.col("id").alias(ident), F.col("digest").alias(digest)).hint("merge")
+    several = marked.where("stays and n > 1")
+    if several.isEmpty():
+        return keyed.join(name(marked.where("not stays")), [ident, digest], "left_anti").drop(ident, digest)
+    # Rows alike in id and text: one of them stays.
+    one = keyed.join(name(several), [ident, digest], "left_semi").dropDuplicates([ident, digest])
+    rest = keyed.join(name(marked.where("not stays or n > 1")), [ident, digest], "left_anti")
+    return rest.unionByName(one).drop(ident, digest)

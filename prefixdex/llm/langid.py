@@ -3,7 +3,8 @@
 Training counts byte trigrams (A-Z in lower case, white space as one space) of
 all labelled texts per language, in a fixed number of hashed bins. A word's
 likelihood under a language is the product of its trigrams' probabilities. A
-document is a mixture: expectation-maximisation over its words estimates the
+document is a mixture: expectation-maximisation over its words (longer ones in pieces of
+``PIECE`` bytes; in a very long text runs of words, so that ``CELLS`` holds all) estimates the
 proportion of each language, and languages are taken out, smallest proportion
 first, as long as the likelihood falls by less than the penalty, half of
 ``log(words)`` times ``weight`` for each language. The largest proportion of the set
@@ -12,8 +13,10 @@ that is left names the document's language and is its score.
 Defined cases: a null text or one without a letter is ``und`` with score 0, and
 so is every text when nothing is labelled; ties go to the first language in
 alphabetical order; rows are independent of each other, so repeated rows get
-equal results; rows with a null language are not learned from; an empty table
-gives an empty result.
+equal results; rows with a null language are not learned from; texts and words of any
+length are read whole; an empty table gives an empty result. ``predict`` does not look at
+further columns, ``keep_known`` keeps them. The model is 128 KB for each language and is
+sent to every task.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from prefixdex.llm import words
 
 BINS_LOG2 = 15
 SMOOTH = 0.5
-MAX_LANGUAGES = 1000  # the model is bins x languages and is sent to every task
+PIECE = 48  # bytes of a word looked at as one observation
+CELLS = 4 << 20  # observations times languages of one text
 STEPS = 10
 WEIGHT = 4.0
 
@@ -80,9 +84,7 @@ class Model:
 
 def fit(counts: DataFrame) -> Model:
     """The model of counted trigrams: at most 2^15 rows for each language."""
-    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
     found = counts.toArrow()
     table = np.zeros((1 << BINS_LOG2, len(languages)))
     column = {lang: k for k, lang in enumerate(languages)}
@@ -91,6 +93,23 @@ def fit(counts: DataFrame) -> Model:
     return Model(languages, np.log(table / table.sum(0)).astype(np.float32))
 
 
+def observations(offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of what is looked at as one: the words, long ones in pieces; runs of
+    these where a text has more than ``CELLS`` for so many languages."""
+    n = -(-(ends - starts) // PIECE)
+    if (n > 1).any():
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        starts, last = np.repeat(starts, n) + within * PIECE, np.repeat(ends, n)
+        ends = np.minimum(starts + PIECE, last)
+    doc = words.owners(offsets, starts)
+    size, most = np.bincount(doc, minlength=len(offsets) - 1), max(1, CELLS // languages)
+    if (size > most).any():
+        place = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+        first = np.flatnonzero(place % (-(-size // most))[doc] == 0)
+        starts, ends = starts[first], ends[np.append(first[1:], len(ends)) - 1]
+    return starts, ends
+
+
 def _word_likelihoods(data, offsets, starts, ends, table) -> np.ndarray:
     """Log-likelihood of every word under every language."""
     out = np.empty((len(starts), table.shape[1]), np.float32)
@@ -169,6 +188,7 @@ def _predictions(batches, languages: list[str], table: np.ndarray, weight: float
     for rows, data, offsets in words.parts(batches, size=size):
         letter = np.array(rows.column(rows.schema.get_field_index("__letter")).to_pylist(), bool)
         starts, ends = words.spans(data, offsets)
+        starts, ends = observations(offsets, starts, ends, max(1, len(languages)))
         if languages:
             logs = _word_likelihoods(data, offsets, starts, ends, table)
             share = infer(logs, words.owners(offsets, starts), rows.num_rows, weight)

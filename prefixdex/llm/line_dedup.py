@@ -19,10 +19,15 @@ the state is the one that the remaining documents alone would give.
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z in lower case,
 held as its 128-bit md5. Keys under ``min_chars`` code points are not looked at.
 
+Rows are told apart by their id and the md5 of their text (rows that agree in both
+have the same lines and lose the same).
+
 Defined cases: a null or empty text is one empty line; each row is a document
 of its own; rows that repeat a doc_id all count, and the lines of each are kept
-where that id is the holder; a null doc_id ranks below every other; an empty
-table gives an empty result.
+where that id is the holder; a null doc_id ranks below every other; lines of any length
+and texts of any number of lines are read whole; ties between holders cannot be, as the
+largest id is one; an empty table gives an empty result; further columns are kept,
+whatever their names, but for n_lines, n_dropped and kept_text, which are the result's own.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefixdex.llm import cuckoo, tables
+from prefixdex.plans.session import broadcast_if_small
 
 MIN_DOCS = 3
 MIN_CHARS = 20
@@ -41,11 +47,6 @@ PROBE_ROWS = 2_000_000  # probed lines for each group, on average
 
 _EDGE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NO_ID = -(1 << 63)
-
-
-def _id():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
 
 
 def _lines():
@@ -63,7 +64,7 @@ def _digest(key):
 def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, doc_id): the distinct line keys of every document row."""
     keys = F.array_distinct(F.transform(_lines(), _key))
-    out = docs.select(_id().alias("doc_id"), F.explode(keys).alias("k")).where(F.length("k") >= min_chars)
+    out = docs.select(tables.known_id().alias("doc_id"), F.explode(keys).alias("k")).where(F.length("k") >= min_chars)
     return out.select(_digest(F.col("k")).alias("key"), "doc_id")
 
 
@@ -109,7 +110,7 @@ def delete(state: tuple[DataFrame, DataFrame], doc_ids: DataFrame) -> tuple[Data
     """(postings, counts) after taking documents out again. Only the keys that
     those documents hold are counted anew."""
     held, counts = state
-    gone = doc_ids.select(_id().alias("doc_id")).distinct()
+    gone = doc_ids.select(tables.known_id().alias("doc_id")).distinct()
     touched = held.join(gone, "doc_id", "left_semi").select("key").distinct()
     left = tables.save(held.join(gone, "doc_id", "left_anti"), "postings")
     anew = reference_counts(left.join(touched, "key", "left_semi"))
@@ -145,17 +146,27 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shar
     return filters.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, "shard int, filter binary")
 
 
-def maybe_repeated(lines: DataFrame, filters: DataFrame, shards: int, spread: int) -> DataFrame:
-    """The rows of ``lines`` (key, doc_id, pos) that their shard's filter may hold.
-    Rows of a shard are dealt over ``spread`` groups by position and document,
+def spreads(counts: DataFrame, shards: int) -> DataFrame:
+    """(shard, spread): the groups over which the lines of a shard are dealt, for those
+    with more documents' lines than a group is to have. At most one row for each
+    ``PROBE_ROWS`` lines."""
+    sized = counts.groupBy(_shard(shards)).agg(F.sum("n_docs").alias("n"))
+    return tables.save(sized.select("shard", F.expr(f"cast(1 + n div {PROBE_ROWS} as int)").alias("spread")).where("spread > 1"), "spreads")
+
+
+def maybe_repeated(lines: DataFrame, filters: DataFrame, shards: int, spread: DataFrame) -> DataFrame:
+    """The rows of ``lines`` (key, doc_id, row, pos) that their shard's filter may hold.
+    Rows of a shard with many are dealt over its ``spread`` groups by row and position,
     each with a copy of the filter, so that a frequent line is not one group."""
-    schema = "key binary, doc_id long, pos int"
-    salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(spread)).cast("int").alias("salt")
-    dealt = lines.select(_shard(shards), salt, _hash().alias("hash"), "key", "doc_id", "pos")
-    copies = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"), "filter")
+    schema = "key binary, doc_id long, row binary, pos int"
+    spread = broadcast_if_small(spread)
+    parts = F.coalesce("spread", F.lit(1))
+    dealt = lines.select(_shard(shards), _hash().alias("hash"), "key", "doc_id", "row", "pos").join(spread, "shard", "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "pos"), parts).cast("int")).drop("spread")
+    copies = filters.join(spread, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "filter")
 
     def run(rows, one):
-        out = rows.select(["key", "doc_id", "pos"])
+        out = rows.select(["key", "doc_id", "row", "pos"])
         if not one.num_rows or not rows.num_rows:
             return out.slice(0, 0)
         made = cuckoo.CuckooFilter.load(one["filter"][0].as_py())
@@ -167,29 +178,34 @@ def maybe_repeated(lines: DataFrame, filters: DataFrame, shards: int, spread: in
 
 def dropped_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame, shards: int,
                   min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, pos) of every line to drop."""
-    lines = docs.select(_id().alias("doc_id"), F.posexplode(_lines()).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", _key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
-    total = counts.agg(F.sum("n_docs")).first()[0] or 0
-    spread = 1 + total // (shards * PROBE_ROWS)
-    asked = maybe_repeated(lines.select(_digest(F.col("k")).alias("key"), "doc_id", "pos"), filters, shards, spread)
+    """(doc_id, row, pos) of every line to drop; row is the md5 of its text."""
+    # The digest is taken before the lines are dealt out, once for each row.
+    rows = docs.select(tables.known_id().alias("doc_id"), tables.digest().alias("row"), "text")
+    lines = rows.select("doc_id", "row", F.posexplode(_lines()).alias("pos", "line"))
+    lines = lines.select("doc_id", "row", "pos", _key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
+    lines = lines.select(_digest(F.col("k")).alias("key"), "doc_id", "row", "pos")
+    asked = maybe_repeated(lines, filters, shards, spreads(counts, shards))
     exact = counts.where(F.col("n_docs") >= min_docs).select("key", "holder")
-    return asked.join(exact.hint("merge"), "key").where(F.col("doc_id") != F.col("holder")).select("doc_id", "pos").distinct()
+    found = asked.join(exact.hint("merge"), "key").where(F.col("doc_id") != F.col("holder"))
+    return found.select("doc_id", "row", "pos").distinct()
 
 
 def clean(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` with their lines without the dropped ones: the columns of ``docs``
     plus n_lines, n_dropped and kept_text."""
-    gone = dropped.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("pos").alias("__gone"))
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    ident, row, missing, every = (tables.unused(docs, c) for c in ("__id", "__row", "__gone", "__lines"))
+    gone = dropped.groupBy(F.col("doc_id").alias(ident), F.col("row").alias(row)).agg(F.collect_list("pos").alias(missing))
     # What is dropped grows with the documents, so it is never broadcast.
-    with_lines = docs.withColumn("__id", _id()).join(gone.hint("merge"), "__id", "left").withColumn("__lines", _lines())
-    positions = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(positions, lambda p: F.get("__lines", p)), "\n")
+    keyed = docs.withColumn(ident, tables.known_id()).withColumn(row, tables.digest())
+    with_lines = keyed.join(gone.hint("merge"), [ident, row], "left").withColumn(every, _lines())
+    positions = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(missing))
+    text = F.when(F.col(missing).isNull(), F.coalesce("text", F.lit(""))).otherwise(
+        F.array_join(F.transform(positions, lambda p: F.get(every, p)), "\n")
     )
-    counted = with_lines.withColumn("n_lines", F.size("__lines").cast("long"))
-    counted = counted.withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return counted.withColumn("kept_text", text).drop("__id", "__gone", "__lines")
+    counted = with_lines.withColumn("n_lines", F.size(every).cast("long"))
+    counted = counted.withColumn("n_dropped", F.coalesce(F.size(missing), F.lit(0)).cast("long"))
+    return counted.withColumn("kept_text", text).drop(ident, row, missing, every)
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -8,18 +8,25 @@ released block. After every slot of the whole mixture each source has had its
 weight's part of the slots to within less than one block. With a ``period``, the
 weights are first made whole shares of so many slots.
 
-The driver runs the schedule over its whole length and holds, for each chunk of
-slots, the number of blocks each source has had before it; tasks run the chunks
-again from there, and the slots are joined to the blocks.
+The driver runs the schedule over its whole length and holds one weight for each
+source and, for each chunk of slots (16 for each source at least), the number of blocks
+each source has had before it; tasks run the chunks again from there, and the slots are
+joined to the blocks.
+
+All of this is done on keys, a hash of each whole row; the rows themselves move once,
+to their places (and once more to be put in order by ``mixed``).
 
 The mixture ends when every document has had its turn: no document is left out,
 and a source that runs out begins anew (``epoch`` counts up), as its weight asks
 for more than it has. Default weights are the sources' sizes to the power
 ``alpha``.
 
-Defined cases: a null source is a source of its own; rows that repeat a doc_id
-are documents of their own; texts are not looked at; an empty table gives an
-empty result; further columns are carried along.
+Defined cases: a null source is a source of its own; rows that repeat a doc_id, a null
+one too, and rows alike in every column are documents of their own; empty and very
+long texts are carried, not looked at; ties in the hash order follow the row's hash; an
+empty table gives an empty result; further columns are carried along, but ``mix`` puts
+its own columns (epoch, block, slot, release, deadline, position) in the place of
+columns of those names, which ``mixed`` keeps.
 """
 
 from __future__ import annotations
@@ -34,12 +41,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefixdex.llm import tables
+from prefixdex.plans.session import broadcast_if_small
 
 BLOCK = 8
 PERIOD = 1000
 ALPHA = 0.7
 CHUNK = 1 << 16  # slots that a task schedules at a time
-MAX_SOURCES = 100_000  # the driver schedules their blocks one by one
+RANGE = 2_000_000  # keys numbered by a task
+PLACED = ["epoch", "block", "slot", "release", "deadline", "position"]
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -117,22 +126,24 @@ def chunks(given: dict[str, int], need: dict[str, int], size: int = CHUNK) -> tu
     return out, done
 
 
-def _numbered(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with each row's place in its source, and the rows of each source.
-    Sources are range-partitioned by hash, so a large one spans many tasks."""
-    spark = docs.sparkSession
+def _numbered(keys: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(__key, __src, __place) of every row of ``keys``, its place in its source, and the
+    rows of each source. Sources are range-partitioned by hash, so a large one spans many
+    tasks."""
+    spark = keys.sparkSession
     name = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col("source")))
-    rows = docs.withColumn("__src", name).withColumn("__order", F.xxhash64(F.lit(seed), "doc_id"))
-    keys = ["__src", "__order", "doc_id"]
-    rows = rows.repartitionByRange(tables.shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
-    rows = tables.save(rows.withColumn("__at", F.monotonically_increasing_id()), "mix")
+    rows = tables.save(keys.select("__key", name.alias("__src"), F.xxhash64(F.lit(seed), "doc_id").alias("__order")), "mix_keys")
+    by = ["__src", "__order", "__key"]
+    ranges = max(tables.shuffle_partitions(spark), 1 + rows.count() // RANGE)
+    rows = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    rows = tables.save(rows.select("__key", "__src", F.monotonically_increasing_id().alias("__at")), "mix")
     part = F.shiftright("__at", 33).alias("__part")
     counts = rows.groupBy("__src", part).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__src").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = tables.save(counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))), "mix_counts")
     rows = rows.withColumn("__part", F.shiftright("__at", 33)).join(counts.select("__src", "__part", "__first", "__before"), ["__src", "__part"])
-    rows = rows.withColumn("__place", F.col("__at") - F.col("__first") + F.col("__before"))
-    return rows.drop("__part", "__first", "__before", "__at", "__order"), counts.groupBy("__src").agg(F.sum("__n").alias("n"))
+    rows = rows.select("__key", "__src", (F.col("__at") - F.col("__first") + F.col("__before")).alias("__place"))
+    return rows, counts.groupBy("__src").agg(F.sum("__n").alias("n"))
 
 
 def _order(spark: SparkSession, given: dict[str, int], pieces: list[tuple[int, int, list[int]]]) -> DataFrame:
@@ -152,17 +163,11 @@ def _order(spark: SparkSession, given: dict[str, int], pieces: list[tuple[int, i
     return held.mapInArrow(run, "__src string, block long, slot long, release long, deadline long")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK,
-        period: int | None = None, alpha: float = ALPHA, seed: int = 7) -> DataFrame:
-    """``docs`` in mixed order, once or more each: their columns plus epoch, block,
-    slot, release, deadline and position."""
-    spark = docs.sparkSession
-    placed = ["epoch", "block", "slot", "release", "deadline", "position"]
-    docs = docs.drop(*placed)
-    rows, totals = _numbered(docs, seed)
-    sizes = {r["__src"]: r["n"] for r in totals.limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+def _positions(keys: DataFrame, weights: dict[str | None, float] | None, block: int, period: int | None, alpha: float, seed: int) -> DataFrame:
+    """(__key, epoch, block, slot, release, deadline, position) of every turn of every row."""
+    spark = keys.sparkSession
+    rows, totals = _numbered(keys, seed)
+    sizes = {r["__src"]: r["n"] for r in totals.collect()}  # one row a source
     if weights is None:
         target = {s: n**alpha for s, n in sizes.items()}
     else:
@@ -175,17 +180,35 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     sources = spark.createDataFrame([(s, n, block * done[s]) for s, n in sizes.items()], "__src string, __size long, __items long")
     order = tables.save(_order(spark, given, pieces), "mix_order")
 
-    # The sources are bounded; the order grows with the blocks.
-    rows = rows.join(F.broadcast(sources), "__src")
+    # The sources are measured; the order grows with the blocks.
+    rows = rows.join(broadcast_if_small(sources), "__src")
     rows = rows.withColumn("epoch", F.explode(F.expr("sequence(0L, (__items - 1 - __place) div __size)")))
     rows = rows.withColumn("__item", F.col("__place") + F.col("epoch") * F.col("__size"))
     rows = rows.withColumn("block", F.expr(f"__item div {block}"))
     rows = rows.join(order.hint("merge"), ["__src", "block"])
     rows = rows.withColumn("position", F.col("slot") * block + F.expr(f"__item % {block}"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *placed)
+    return tables.save(rows.select("__key", *PLACED), "mix_positions")
+
+
+def _placed(rows: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK,
+            period: int | None = None, alpha: float = ALPHA, seed: int = 7) -> DataFrame:
+    """``rows`` (with their __key) once for each turn, with the columns of ``PLACED``."""
+    positions = _positions(rows.select("__key", "doc_id", "source"), weights, block, period, alpha, seed)
+    if not positions.where("epoch = 0").groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["__key"])  # alike in every column: their turns are all in ``positions``
+    return rows.join(positions.hint("merge"), "__key")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` in mixed order, once or more each: their columns plus epoch, block,
+    slot, release, deadline and position. Options: weights, block, period, alpha, seed."""
+    docs = docs.drop(*PLACED)
+    out = _placed(docs.withColumn("__key", tables.row_key(docs)), **options)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *PLACED)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves in mixed order, with their own columns only."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return mix(docs.select("doc_id", "source", whole), **options).orderBy("position").select("__row.*")
+    rows = docs.select("doc_id", "source", whole, tables.row_key(docs).alias("__key"))
+    return _placed(rows, **options).orderBy("position").select("__row.*")

@@ -52,9 +52,7 @@ def _quality() -> str:
     q, rates = quality, quality.RATES
     rate = {r: f"{factor} * {top} // greatest({bottom}, 1)" for r, (top, factor, bottom, _, _) in rates.items()}
     pairs = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {e} AS v FROM good" for r, e in rate.items())
-    quant = f"""min(bin) FILTER (WHERE 100 * upto >= {100 - q.HIGH} * size) AS low,
-      min(bin) FILTER (WHERE 100 * upto >= 50 * size) AS mid, min(bin) FILTER (WHERE 100 * upto >= {q.HIGH} * size) AS high,
-      max(size) AS size"""
+    quant = ", ".join(f"min(bin) FILTER (WHERE 100 * upto >= {p} * size) AS {c}" for c, p in q.QUANTILES.items()) + ", max(size) AS size"
 
     def level(by: str) -> str:
         keys = f"{by}, rate" if by else "rate"
@@ -64,12 +62,12 @@ def _quality() -> str:
 
     limits, tests = [], []
     for r, (_, _, _, least, below) in rates.items():
-        limits.append(f"max(mid + {q.SPREAD} * greatest(high - mid, {least})) FILTER (WHERE rate = '{r}') AS {r}_max")
+        limits.append(f"max(mid + {q.SPREAD} * greatest(high - mid, mid // {q.PART}, {least})) FILTER (WHERE rate = '{r}') AS {r}_max")
         tests.append(f"coalesce({rate[r]} > {r}_max, false)")
         if below:
-            limits.append(f"max(mid - {q.SPREAD} * greatest(mid - low, {least})) FILTER (WHERE rate = '{r}') AS {r}_min")
+            limits.append(f"max(mid - {q.SPREAD} * greatest(mid - low, mid // {q.PART}, {least})) FILTER (WHERE rate = '{r}') AS {r}_min")
             tests.append(f"coalesce({rate[r]} < {r}_min, false)")
-    pick = ", ".join(f"CASE WHEN o.size >= {q.MIN_DOCS} THEN o.{c} WHEN l.size >= {q.MIN_DOCS} THEN l.{c} ELSE a.{c} END AS {c}" for c in ("low", "mid", "high"))
+    pick = ", ".join(f"CASE WHEN o.size >= {q.MIN_DOCS} THEN o.{c} WHEN l.size >= {q.MIN_DOCS} THEN l.{c} ELSE a.{c} END AS {c}" for c in q.QUANTILES)
     return rf"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),

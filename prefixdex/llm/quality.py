@@ -8,15 +8,20 @@ counts. There is one sketch for each language and source; a group with fewer
 than ``min_docs`` documents uses the merged sketch of its language and, if that
 is small too, of all documents.
 
-A rate's upper fence is ``median + spread * max(q - median, least)`` with ``q`` the
-``high`` quantile, and likewise below for the word length; documents outside a
-fence fail, those that fail the fixed base rules fail anyway. The fences are
-then joined to the documents by language and source.
+A rate's upper fence is ``median + spread * width``, and likewise below for the word
+length, where the width is the sketch's own: the distance from the median to the ``high``
+quantile, or a tenth of the median if that is more. (A small floor keeps the fence off the
+median where most documents have the same rate.) So a fence lies below the cutoff of the
+base rules where a group's documents are clean. Documents outside a fence fail, those that
+fail the fixed base rules fail anyway. The fences are then joined to the documents by
+language and source.
 
 Only built-in DataFrame functions are used.
 
-Defined cases: a null text has no words; null language or source is a group of
-its own; repeated rows count each; an empty table gives an empty result.
+Defined cases: a null or empty text has no words; null language or source is a group
+of its own; rows that repeat a doc_id, a null one too, count and are judged each; equal
+rates (ties) share a bin; texts of any length are read whole; an empty table gives an
+empty result; further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -32,16 +37,18 @@ MAX_REPEAT = 30  # percent
 MIN_DOCS = 200
 HIGH = 75  # percent
 SPREAD = 6
+PART = 10  # the least width is this part of the median
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
-#: rate: (numerator, factor, denominator, least spread, has a lower fence)
+#: rate: (numerator, factor, denominator, least width, has a lower fence)
 RATES = {
-    "word_length": ("word_chars", 100, "n_words", 60, True),
-    "symbol_rate": ("n_symbols", 1000, "n_words", 40, False),
-    "dup_line_rate": ("n_dup_lines", 1000, "n_text_lines", 100, False),
-    "repeat_rate": ("n_repeat_words", 1000, "n_words", 50, False),
+    "word_length": ("word_chars", 100, "n_words", 20, True),
+    "symbol_rate": ("n_symbols", 1000, "n_words", 20, False),
+    "dup_line_rate": ("n_dup_lines", 1000, "n_text_lines", 40, False),
+    "repeat_rate": ("n_repeat_words", 1000, "n_words", 30, False),
 }
+QUANTILES = {"low": 100 - HIGH, "mid": 50, "high": HIGH}
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -118,31 +125,29 @@ def merge(*parts: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFr
 
 
 def quantiles(sketch: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """low, middle and high quantile of every group and rate, and its size."""
+    """The three quantiles of every group and rate, and its size."""
     over = Window.partitionBy(*by, "rate")
     up = sketch.withColumn("upto", F.sum("n").over(over.orderBy("bin"))).withColumn("size", F.sum("n").over(over))
     first = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("size"), F.col("bin")))
-    return up.groupBy(*by, "rate").agg(
-        first(100 - HIGH).alias("low"), first(50).alias("mid"), first(HIGH).alias("high"), F.max("size").alias("size")
-    )
+    return up.groupBy(*by, "rate").agg(*[first(q).alias(c) for c, q in QUANTILES.items()], F.max("size").alias("size"))
 
 
 def fences(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row for each language and source: the lowest and highest value allowed
     of every rate."""
     own = quantiles(sketch, ("lang", "source"))
-    wider = quantiles(merge(sketch, by=("lang",)), ("lang",)).select(F.col("lang").alias("l"), F.col("rate").alias("r"), F.struct("low", "mid", "high", "size").alias("lang_q"))
-    every = quantiles(merge(sketch, by=()), ()).select(F.col("rate").alias("e"), F.struct("low", "mid", "high", "size").alias("all_q"))
+    wider = quantiles(merge(sketch, by=("lang",)), ("lang",)).select(F.col("lang").alias("l"), F.col("rate").alias("r"), F.struct(*QUANTILES, "size").alias("lang_q"))
+    every = quantiles(merge(sketch, by=()), ()).select(F.col("rate").alias("e"), F.struct(*QUANTILES, "size").alias("all_q"))
     rows = own.join(wider, own["lang"].eqNullSafe(F.col("l")) & (own["rate"] == F.col("r"))).join(every, F.col("rate") == F.col("e"))
-    chosen = F.when(F.col("size") >= min_docs, F.struct("low", "mid", "high", "size")).when(F.col("lang_q.size") >= min_docs, F.col("lang_q")).otherwise(F.col("all_q"))
+    chosen = F.when(F.col("size") >= min_docs, F.struct(*QUANTILES, "size")).when(F.col("lang_q.size") >= min_docs, F.col("lang_q")).otherwise(F.col("all_q"))
     rows = rows.select("lang", "source", "rate", chosen.alias("q"))
     aggs = []
     for rate, (_, _, _, least, below) in RATES.items():
         is_it = F.col("rate") == rate
-        up = F.col("q.mid") + SPREAD * F.greatest(F.col("q.high") - F.col("q.mid"), F.lit(least))
+        up = F.expr(f"q.mid + {SPREAD} * greatest(q.high - q.mid, q.mid div {PART}, {least})")
         aggs.append(F.max(F.when(is_it, up)).alias(f"{rate}_max"))
         if below:
-            down = F.col("q.mid") - SPREAD * F.greatest(F.col("q.mid") - F.col("q.low"), F.lit(least))
+            down = F.expr(f"q.mid - {SPREAD} * greatest(q.mid - q.low, q.mid div {PART}, {least})")
             aggs.append(F.max(F.when(is_it, down)).alias(f"{rate}_min"))
     return rows.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*aggs)
 

@@ -20,16 +20,18 @@ Labelled findings train a random forest on
   credentials.
 
 What the labels of ``label_findings`` are made from (the name, the assignment, the
-quote, the address) is no feature.
+quote, the address) is no feature, but for words like commit, which are neighbouring
+words.
 
 The forest's verdict replaces the rule that made the candidate. Everything runs
 as built-in functions and ``pyspark.ml``; the forest is fitted on at most
 ``MAX_TRAIN`` labelled findings in hash order, all else covers all documents.
 
 Defined cases: a null or empty text has no findings; a null source is a source
-of its own; rows that repeat a doc_id are scanned each; without labelled
-findings of both kinds there is no forest: score is null and all findings stay;
-an empty table gives an empty result; further columns are not looked at.
+of its own; rows that repeat a doc_id, a null one too, are scanned each, and equal rows
+are judged alike, however often they occur; texts and candidates of any length are read
+whole; without labelled findings of both kinds there is no forest: score is null and all
+findings stay; an empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -49,6 +51,9 @@ VALUE = r"[^\s\"'`<>(){}\[\],;]{8,}"
 PREFIXED = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|gh[opsu]_|github_pat_|glpat-|[sr]k_live_|sk-|xox[abps]-)[A-Za-z0-9_-]{12,}"
 LETTERS = r"(?<![A-Za-z0-9+/_=-])(?=(?:[A-Za-z]*?[a-z][A-Z]){3})[A-Za-z]{24,}(?![A-Za-z0-9+/_=-])"
 ANY = rf"({ASSIGNED})({VALUE})|({PREFIXED}|{CANDIDATE}|{LETTERS})"
+#: What stands before a revision or a checksum; and a UUID.
+SUM = r"(?i)(?:commit|revision|checksum|digest|etag|hash|md5|sha-?[0-9]{0,3})[\s=:\"'#/-]{1,8}$"
+UUID = r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"
 MAX_TRAIN = 20_000
 TREES, DEPTH, SEED = 20, 8, 11
 MIN_COUNT = 20  # of a dictionary word
@@ -115,12 +120,13 @@ FEATURES = ["length", "digits", "capitals", "hex", "changes", "pair_logp", "pair
 def features(found: DataFrame, words: DataFrame, moves: DataFrame) -> DataFrame:
     """``found`` with one column for each feature and the vector of all."""
     c = F.col("candidate")
-    rows = found.withColumn("id", F.xxhash64("doc_id", "start", "candidate", "before", "after"))
-    lowered = F.lower(c)
-    pairs = rows.select("id", F.explode(F.array_distinct(_pairs(lowered))).alias("pair")).where(F.col("pair").rlike("^[a-z]{2}$"))
+    # What depends on the candidate alone is found once for each distinct one.
+    rows = found.withColumn("id", F.unhex(F.md5(c.cast("binary"))))
+    distinct = rows.select("id", F.lower(c).alias("lowered")).dropDuplicates(["id"])
+    pairs = distinct.select("id", F.explode(F.array_distinct(_pairs(F.col("lowered")))).alias("pair")).where(F.col("pair").rlike("^[a-z]{2}$"))
     pairs = pairs.join(F.broadcast(moves), "pair", "left").groupBy("id")
     pairs = pairs.agg(F.avg(F.coalesce("logp", F.lit(-12.0))).alias("pair_logp"), F.count(F.lit(1)).alias("n_pairs"))
-    runs = rows.select("id", F.explode(F.regexp_extract_all(lowered, F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    runs = distinct.select("id", F.explode(F.regexp_extract_all("lowered", F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
     runs = runs.join(words.select("word"), "word").groupBy("id").agg(F.sum(F.length("word")).alias("covered"))
     rows = rows.join(pairs, "id", "left").join(runs, "id", "left")
     kinds = F.regexp_replace(c, "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x")
@@ -150,11 +156,13 @@ def features(found: DataFrame, words: DataFrame, moves: DataFrame) -> DataFrame:
 def label_findings(rows: DataFrame) -> DataFrame:
     """Findings that a precise rule can label: 1 where a value is assigned to a name
     of credentials, quoted or not, and has a digit beside a letter or 20 characters
-    or more; 0 for digits alone and for what stands in an address. All others have
-    no label and are dropped."""
+    or more; 0 for digits alone, for what stands in an address and, where no such name
+    does, for hex digits after a word like commit or checksum and for UUIDs. All others
+    have no label and are dropped."""
     named = F.col("before").rlike(f"{ASSIGNED}$")
     true = named & (F.col("candidate").rlike("(?=.*[0-9]).*[A-Za-z]") | (F.length("candidate") >= 20))
-    false = F.col("candidate").rlike("^[0-9-]+$") | (F.col("in_address") == 1)
+    summed = F.col("before").rlike(SUM) & F.col("candidate").rlike("^[0-9A-Fa-f]+$")
+    false = F.col("candidate").rlike("^[0-9-]+$") | (F.col("in_address") == 1) | (~named & (summed | F.col("candidate").rlike(UUID)))
     return rows.withColumn("label", F.when(true, 1.0).when(false, 0.0)).where("label is not null")
 
 

@@ -37,6 +37,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def digest(column: str = "text"):
+    """md5 of the whole text (null: the empty text). With the id it names a row: rows
+    that agree in both are alike in all that an operator looks at."""
+    return F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))
+
+
+def row_key(df: DataFrame):
+    """md5 of the whole row, by column names: rows with one key are alike in every column."""
+    named = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return F.unhex(F.md5(named.cast("binary")))
+
+
+def known_id(column: str = "doc_id", null: int = -(1 << 63)):
+    """The id as a long that is never null."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(null))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that is no column of ``df``."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def doc_hash(column: str = "doc_id"):
     """crc32 of the id written as text (null: the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

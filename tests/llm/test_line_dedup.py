@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 from llm_fixtures import make_docs, odd_rows  # noqa: F401
 
@@ -44,6 +45,32 @@ def test_matches_brute_force(make_docs, odd_rows):
     assert collected(L.dedup(make_docs(odd_rows))) == brute(odd_rows)
 
 
+OWN = "an own line nobody else has at all"
+
+
+@pytest.mark.parametrize("probe", [2_000_000, 3])
+def test_rows_that_share_an_id_keep_their_own_lines(make_docs, monkeypatch, probe):
+    monkeypatch.setattr(L, "PROBE_ROWS", probe)
+    rows = [(1, LONG), (2, LONG), (9, LONG), (9, OWN), (12, LONG), (None, f"x\n{LONG}"), (None, OWN + "!"), (None, f"{LONG}\n{OWN}?"), (2, LONG)]
+    schema = "doc_id long, text string, __id string, n_lines string, holder string, shard string"
+    out = L.dedup(make_docs([(*r, "i", "n", "h", "s") for r in rows], schema))
+    assert out.columns == ["doc_id", "text", "__id", "holder", "shard", "n_lines", "n_dropped", "kept_text"]
+    assert collected(out) == brute(rows)
+
+
+def test_one_line_in_all_documents_and_a_very_long_text(make_docs, monkeypatch):
+    monkeypatch.setattr(L, "PROBE_ROWS", 900)
+    monkeypatch.setattr(L, "SHARD_KEYS", 2)
+    rows = [(i, f"{LONG}\nthe own line of document number {i}\nshared by some {i % 60} of the documents") for i in range(400)]
+    rows += [(500, "\n".join([LONG, "x" * 3_000_000, *(f"line {i} of a text with very many lines" for i in range(20_000))]))]
+    assert collected(L.dedup(make_docs(rows))) == brute(rows)
+    # The lines of the frequent one's shard are dealt over several groups, the others' are not.
+    counts = L.insert(None, make_docs(rows))[1]
+    shards = L.shards_for(counts)
+    spread = {r.shard: r.spread for r in L.spreads(counts, shards).collect()}
+    assert 1 <= len(spread) < shards / 2
+
+
 def test_empty_table(make_docs):
     assert L.dedup(make_docs([])).count() == 0
 
@@ -64,14 +91,15 @@ def test_deletion_takes_insertion_back(make_docs):
     assert _state(left[1]) == _state(L.insert(None, make_docs([r for r in ROWS if r[0] != 3]))[1])
 
 
-def test_filters_follow_the_counts(make_docs):
+def test_filters_follow_the_counts(make_docs, spark):
     one, both = L.insert(None, make_docs(ROWS[:4])), L.insert(None, make_docs(ROWS))
     filters = L.build_filters(one[1], 2)
     grown = L.update_filters(filters, one[1], both[1], 2)
     shrunk = L.update_filters(grown, both[1], one[1], 2)
     for held, counts in ((grown, both[1]), (shrunk, one[1])):
-        probe = both[1].select("key", F.col("holder").alias("doc_id"), F.lit(0).alias("pos"))
-        found = {bytes(r.key) for r in L.maybe_repeated(probe, held, 2, 3).collect()}
+        probe = both[1].select("key", F.col("holder").alias("doc_id"), F.col("key").alias("row"), F.lit(0).alias("pos"))
+        spread = spark.createDataFrame([(0, 3)], "shard int, spread int")
+        found = {bytes(r.key) for r in L.maybe_repeated(probe, held, 2, spread).collect()}
         assert found == {bytes(r.key) for r in counts.where("n_docs >= 3").collect()}
 
 

@@ -101,6 +101,22 @@ def test_chunks_go_on_where_the_schedule_stands():
     assert len(pieces) > 2 and sum(done.values()) == first + n and all(done[s] >= 60 + i for i, s in enumerate(given))
 
 
+def test_rows_alike_in_every_column_have_a_turn_each(make_docs):
+    rows = [(7, "t", "en", "a")] * 9 + [(None, None, None, None)] * 5 + [(None, "u", None, None), (7, "t", "en", "b")] * 2
+    docs = make_docs(rows)
+    placed = M.mix(docs, block=2).collect()
+    assert sorted(r.position for r in placed) == list(range(len(placed)))
+    first = sorted([(r.doc_id, r.text, r.lang, r.source) for r in placed if r.epoch == 0], key=str)
+    assert first == sorted(rows, key=str)
+
+
+def test_very_many_sources(spark):
+    docs = spark.range(300_000).selectExpr("id as doc_id", "if(id < 100000, 'hot', concat('s', id)) as source")
+    out = M.mix(docs)
+    r = out.selectExpr("count(*)", "count(distinct doc_id)", "count(distinct position)", "max(position)", "count_if(slot < release or slot >= deadline)").first()
+    assert r[1] == 300_000 and r[0] == r[2] and r[4] == 0
+
+
 def test_a_weight_of_zero_is_refused():
     with pytest.raises(ValueError):
         M.whole_weights({"a": 1, "b": 0})

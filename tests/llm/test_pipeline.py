@@ -3,15 +3,18 @@ import re
 
 import corpus_pipeline as C
 import numpy as np
-from test_jaccard_join import brute as near_classes
-from llm_fixtures import make_docs, odd_rows  # noqa: F401
+from test_jaccard_join import kept as near_kept
+from llm_fixtures import make_docs, odd_rows, prose  # noqa: F401
 
 from prefixdex.llm import bpe, queries
 
 
 def test_stages_match_brute_force(spark, make_docs, odd_rows):
     base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    shared = [(10050, prose(60, 90), "en", "a", 1), (10050, prose(61, 90), "en", "a", 2), (10040, prose(61, 90) + " end", "en", "a", 3)]
+    shared += [(None, prose(62 + i % 2, 80) + " end" * (i // 2), "en", "b", 4) for i in range(4)]
     docs = base.unionByName(make_docs(odd_rows).selectExpr("doc_id + 10000 as doc_id", "text", "lang", "source", "n_chars"))
+    docs = docs.unionByName(make_docs(shared))
     rows = [tuple(r) for r in docs.collect()]
     out = []
     for k, (_, stage) in enumerate(C.STAGES):
@@ -30,8 +33,7 @@ def test_stages_match_brute_force(spark, make_docs, odd_rows):
         order = (-len(r[1]), float("inf") if r[0] is None else r[0])
         best[k] = min(best.get(k, (order, r)), (order, r), key=lambda x: x[0])
     assert sorted(exact, key=str) == sorted((r for _, r in best.values()), key=str)
-    first = {r[0] for r in near_classes(exact) if r[0] == r[1]}
-    assert sorted(near, key=str) == sorted((r for r in exact if r[0] in first), key=str)
+    assert sorted(near, key=str) == near_kept(exact)
     assert {r for r in mixed} == set(near)
     path, pattern = queries.tokenizer()
     with open(path, "rb") as f:

@@ -53,6 +53,18 @@ def test_thresholds_follow_the_group(make_docs):
     assert all(out[i].kept for i in range(600))
 
 
+def test_each_rate_rejects_what_the_base_rules_let_pass(make_docs):
+    """In a clean source: 27 % repeated words, half the lines said before, symbols, long words."""
+    clean = [(i, "en", "a", 100, 500 + i % 30, 0, 0, 0, 40) for i in range(400)]
+    bad = [(1000, "en", "a", 100, 510, 0, 0, 27, 40), (1001, "en", "a", 100, 510, 0, 20, 0, 40), (1002, "en", "a", 100, 510, 15, 0, 0, 40),
+           (1003, "en", "a", 100, 900, 0, 0, 0, 40), (1004, "en", "a", 100, 200, 0, 0, 0, 40), (None, "en", "a", 100, 510, 0, 0, 27, 40)]
+    m = make_docs(clean + bad + bad[:1], "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_text_lines long")
+    out = [(r.doc_id, r.failed_rules) for r in Q.judge(m, Q.fences(Q.sketches(m))).collect() if not r.base_failed and not r.kept]
+    assert sorted(out, key=str) == sorted([
+        (1000, ["repeat_rate"]), (1000, ["repeat_rate"]), (1001, ["dup_line_rate"]), (1002, ["symbol_rate"]), (1003, ["word_length"]), (1004, ["word_length"]), (None, ["repeat_rate"]),
+    ], key=str)
+
+
 def test_sketches_merge(make_docs):
     rates = [("en", None if i % 7 == 0 else f"s{i % 3}", 400 + 3 * i, i % 50) for i in range(400)]
     m = _measured(make_docs, rates)

@@ -93,6 +93,47 @@ def test_secrets_of_every_form_are_found(make_docs):
     assert not any(v for (_, c), v in out.items() if c.isdigit())
 
 
+def test_equal_rows_are_judged_alike_however_often_they_occur(make_docs):
+    rows = _rows(60)
+    one = {(r.doc_id, r.start): tuple(r) for r in X.features(X.candidates(make_docs(rows)), *_learned(make_docs(rows))).collect()}
+    more = X.features(X.candidates(make_docs(rows + rows[:5] * 3 + [(None, *r[1:]) for r in rows[:2]] * 2)), *_learned(make_docs(rows))).collect()
+    assert len(more) == len(one) + 3 * 10 + 2 * 4
+    for r in more:
+        assert r.doc_id is None or tuple(r) == one[r.doc_id, r.start]
+        assert r.paired <= 1 and r.coverage <= 1
+
+
+def _learned(docs):
+    words = X.dictionary(docs, 2)
+    return words, X.transitions(words)
+
+
+def test_revisions_checksums_and_uuids_are_taken_out(make_docs):
+    rng = np.random.default_rng(3)
+    draw = lambda k, of="0123456789abcdef": "".join(rng.choice(list(of), k))
+    rows, bad = [], set()
+    for i in range(200):
+        token, plain = draw(40), [f"commit {draw(40)}", f"md5: {draw(32)}", "-".join(map(draw, (8, 4, 4, 4, 12)))][i % 3]
+        rows.append((i, f'{prose(i, 20)} api_key = "{token}" {prose(i + 1, 12)} {plain} {prose(i + 2, 8)}', "en", "a"))
+        bad.add((i, plain.split()[-1]))
+    out = X.scan(make_docs(rows), min_count=3).collect()
+    judged = {(r.doc_id, r.candidate): r.is_secret for r in out}
+    taken = sum(not judged[b] for b in bad) / len(bad)
+    kept = [v for k, v in judged.items() if k not in bad]
+    precision = sum(kept) / (sum(kept) + sum(judged[b] for b in bad))
+    print("false positives taken out:", taken, "secrets kept:", sum(kept) / len(kept), "precision:", precision)
+    assert taken >= 0.95 and sum(kept) / len(kept) >= 0.95
+
+
+def test_candidates_of_every_form_match_brute_force(make_docs):
+    rows, _ = _planted(70)
+    rows += [(900, "Secret_Key := 'a b' pwd=>\"x;yzzzzzzzz\" key=AKIA" + "Q" * 20), (901, "p" * 300_000 + " password: " + "Zz9" * 90_000)]
+    pattern = re.compile(X.ANY.replace("(?i:", "(?i:"))
+    want = [(r[0], m.start(m.lastindex if m[2] is None else 2), m[2] or m[3]) for r in rows for m in pattern.finditer(r[1])]
+    got = [(r.doc_id, r.start, r.candidate) for r in X.candidates(make_docs([r if len(r) == 4 else (*r, "en", "a") for r in rows])).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_label_evidence_is_no_feature(make_docs):
     assert not {"assigned", "quoted", "in_address"} & set(X.FEATURES)
     docs = make_docs([(1, "x password = 'abcdef0123456789abcdef' y"), (2, "x nothing = 'abcdef0123456789abcdef' y"), (3, "x API_KEY=abcdef0123456789abcdef y")])

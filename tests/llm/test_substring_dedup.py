@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from llm_fixtures import make_docs, odd_rows, prose  # noqa: F401
 
 from prefixdex.llm import substring_dedup as S
+from prefixdex.llm import tables
 from prefixdex.llm.fm_index import FMIndex, WaveletMatrix
 
 
@@ -59,7 +60,7 @@ def test_a_hot_hash_is_dealt_over_many_shards(make_docs, monkeypatch):
     passage = prose(5, 40)
     rows = [(i, f"{prose(1000 + i, 20)} {passage} {prose(5000 + i, 20)}") for i in range(300)]
     docs = make_docs(rows)
-    segments = S.cut(docs, S.repeated(docs)).localCheckpoint()
+    segments = tables.save(S.cut(docs, S.repeated(docs)), "test_segments")
     per_hash = segments.select("hash", "body").distinct().groupBy("hash").count().agg({"count": "max"}).first()[0]
     assert per_hash > 200  # one hash has most documents' own words at the passage's edge
     most, indexed = [], S._indexed
@@ -79,6 +80,25 @@ def test_a_hot_hash_is_dealt_over_many_shards(make_docs, monkeypatch):
     assert collected(S.dedup(docs)) == brute(rows)
 
 
+def test_streamed_windows_that_only_share_an_anchor_stay(make_docs):
+    few = prose(8, 6)  # of its own less than a window
+    rows = [(i, f"{prose(100 + i, 12)} {few} {prose(200 + i, 12)}") for i in range(40)] + [(50, prose(100, 12)), (51, f"{prose(103, 12)} {few} {prose(203, 12)} on")]
+    docs = make_docs(rows)
+    segments = tables.save(S.cut(docs, S.repeated(docs)), "test_segments")
+    low = [x for r in S.smallest_ids(segments).collect() for x in r.low]
+    none = np.iinfo(np.int64).max
+    assert low.count(none) > 10 and any(x != none for x in low)
+    # Smallest ids are not streamed, largest ones not indexed.
+    assert segments.where("not streamed").count() and segments.where("not indexed").count()
+    assert collected(S.dedup(docs)) == brute(rows)
+
+
+def test_rows_that_share_an_id(make_docs):
+    passage = prose(3, 30)
+    rows = [(None, f"{prose(300 + i, 20)} {passage} {i}") for i in range(40)] + [(7, f"{passage} a"), (7, f"b {passage}"), (7, f"b {passage}"), (8, passage)]
+    assert collected(S.dedup(make_docs([(*r, "x", 1) for r in rows], "doc_id long, text string, hash string, row int"))) == brute(rows)
+
+
 def test_wavelet_matrix_ranks():
     rng = np.random.default_rng(2)
     for kinds in (1, 2, 3, 17, 300):
