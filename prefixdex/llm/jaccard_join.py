@@ -64,8 +64,8 @@ BLOCK = 4096  # nodes of a block, where a bucket stays large
 TILE = 512  # sets compared by one matrix product
 SET_BYTES = 8 << 20  # sets of a block, likewise of a group compared at once
 FOLD = 1 << 19  # alike pairs a task holds before it folds them into stars
-RUNS = 8  # of each round
-ROUNDS = 8  # at most: a pair of the similarity meets in one of 64 runs but for 1e-14
+RUNS = 2  # of each round
+ROUNDS = 32  # at most: a pair of the similarity meets in one of 64 runs but for 1e-14
 RECALL = 0.999
 CELL_ROWS = 20_000
 CELL_BYTES = 8 << 20
