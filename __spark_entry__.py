@@ -645,6 +645,29 @@ daily AS (SELECT *, {_tick("ts", 86400)} AS day FROM logged)
       FROM serving GROUP BY rank"""
     q["recency_stream"] = q["recency_scores"]
     q["prefix_index_documents_split"] = q["prefix_index_documents"]
+    q["lookup_overlay_lines"] = q["lookup_twice_lines"]
+    q["upsert_store_lines"] = q["upsert_lines"]
+    q["index_store_lines"] = _with(
+        *_LINES_FREQ, _LINE_EVENTS, line_deltas, _upsert("freq", "deltas", "upserted"), _index_long("upserted", "idx")
+    ) + " SELECT * FROM idx"
+    q["bulk_suggest_lines"] = _with(
+        *_LINES_FREQ, _LINE_EVENTS, _TYPED.format(src="search_events"), line_keys, _direct_answers("freq", "asked", "ans")
+    ) + """
+      SELECT k.prefix, k.rank, k.n_requests,
+             CASE WHEN k.reason IS NOT NULL THEN 'error' WHEN k.prefix = '' THEN 'skip' ELSE 'miss' END AS status,
+             a.pos, a.query, a.count, a.score
+      FROM keys k LEFT JOIN ans a ON a.prefix = k.prefix AND a.rank = k.rank AND k.reason IS NULL"""
+    asked = ", ".join(f"('{p}', {_norm(repr(p))})" for p in registry.STORED_PREFIXES)
+    q["suggest_stored_lines"] = _with(*_LINES_FREQ) + f"""
+      SELECT prefix, pos, query, count, score FROM (
+        SELECT p.prefix, f.display AS query, f.count, f.score,
+               CAST(row_number() OVER (PARTITION BY p.prefix ORDER BY f.count DESC, f.display) AS INTEGER) AS pos
+        FROM (VALUES {asked}) AS p(prefix, norm) JOIN freq f ON starts_with(f.query, p.norm))
+      WHERE pos <= 10"""
+    q["flush_stream"] = q["flush_assignment"]
+    q["pending_flush_stream"] = q["pending_view"]
+    q["history_stream"] = q["user_history"]
+    q["trending_stream"] = q["trending_count"]
     q["ingest_csv_parts"] = q["frequency_parts"]
     q["ingest_profile_parts"] = q["load_profile_parts"]
     if llm_oracle is not None:

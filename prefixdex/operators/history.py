@@ -20,22 +20,36 @@ def user_history(events: DataFrame, user: str = "user_id", q: str = "query", cap
     Dedupe is a partial aggregation; the per-user cap is a row_number filter
     that Catalyst turns into a WindowGroupLimit before the shuffle, so even a
     user with a third of all events ships ≤ cap rows per map task."""
-    e = events.select(
-        F.col(user).alias("user_id"),
-        ws_trim(F.col(q)).alias("q"),
-        F.struct("ts", "event_id").alias("_at"),
-    ).filter(F.length("q") > 0)
-    latest = e.groupBy("user_id", history_key(F.col("q")).alias("_k")).agg(
-        F.max_by("q", "_at").alias("q"), F.max("_at").alias("_at")
-    )
     w = Window.partitionBy("user_id").orderBy(F.col("_at").desc())
     return (
-        latest.withColumn("pos", F.row_number().over(w))
+        _latest(entries(events, user, q))
+        .withColumn("pos", F.row_number().over(w))
         .filter(F.col("pos") <= cap)
         .select("user_id", "pos", "q", F.col("_at.ts").alias("ts"))
     )
 
 
+def entries(events: DataFrame, user: str = "user_id", q: str = "query") -> DataFrame:
+    """``user_id, q, _at`` of every search with a text."""
+    e = events.select(F.col(user).alias("user_id"), ws_trim(F.col(q)).alias("q"), F.struct("ts", "event_id").alias("_at"))
+    return e.filter(F.length("q") > 0)
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The newest entry of each user's case-insensitive text."""
+    found = rows.groupBy("user_id", history_key(F.col("q")).alias("_k")).agg(F.max_by("q", "_at").alias("q"), F.max("_at").alias("_at"))
+    return found.drop("_k")
+
+
+def lists(rows: DataFrame, cap: int = HISTORY_MAX) -> DataFrame:
+    """``user_id, entries`` (at most ``cap``, newest first) of entries, old or new: the newest
+    ``cap`` of a list and further searches are those of all the searches."""
+    w = Window.partitionBy("user_id").orderBy(F.col("_at").desc())
+    kept = _latest(rows).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
+    listed = kept.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("_n", "q", "_at"))).alias("_e"))
+    return listed.select("user_id", F.transform("_e", lambda x: F.struct(x["q"].alias("q"), x["_at"].alias("_at"))).alias("entries"))
+
+
 def recent_view(history: DataFrame, n: int = RECENT_VIEW) -> DataFrame:
     """The "recent searches" list: the first ``n`` history entries."""
     return history.filter(F.col("pos") <= n)

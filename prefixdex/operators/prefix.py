@@ -32,13 +32,14 @@ LONG_COLUMNS = ("prefix", "rank", "pos", "query", "count", "score")
 SUGGESTION_TYPE = "array<struct<query:string,count:bigint,score:double>>"
 
 
-def _prefix_lengths_expr(query: Column, max_len: int, lengths: Sequence[int] | None) -> Column:
-    """Lengths at which to cut ``query``: 1..min(len, max_len), or only the
+def _prefix_lengths_expr(query: Column, max_len: int, lengths: Sequence[int] | None, min_len: int = 1) -> Column:
+    """Lengths at which to cut ``query``: min_len..min(len, max_len), or only the
     listed ``lengths`` that fit."""
+    top = F.least(F.length(query), F.lit(max_len))
     if lengths is None:
-        return F.sequence(F.lit(1), F.least(F.length(query), F.lit(max_len)))
+        return F.when(top >= min_len, F.sequence(F.lit(min_len), top))
     arr = F.array(*[F.lit(int(n)) for n in sorted(set(lengths))])
-    return F.filter(arr, lambda n: n <= F.length(query))
+    return F.filter(arr, lambda n: (n >= min_len) & (n <= top))
 
 
 def explode_prefixes(
@@ -46,13 +47,14 @@ def explode_prefixes(
     query: str = "query",
     max_len: int = MAX_INDEXED_PREFIX,
     lengths: Sequence[int] | None = None,
+    min_len: int = 1,
 ) -> DataFrame:
-    """One row per (row, prefix of ``query``) of length 1..min(len, max_len);
+    """One row per (row, prefix of ``query``) of length min_len..min(len, max_len);
     prefixes ending in a space are dropped (a normalized prefix never ends in
     one, so such keys are never asked for)."""
     q = F.col(query)
     out = df.filter(F.length(q) >= 1).withColumn(
-        "_plen", F.explode(_prefix_lengths_expr(q, max_len, lengths))
+        "_plen", F.explode(_prefix_lengths_expr(q, max_len, lengths, min_len))
     )
     out = out.withColumn("prefix", q.substr(F.lit(1), F.col("_plen"))).drop("_plen")
     return out.filter(~F.col("prefix").endswith(" "))
@@ -88,18 +90,23 @@ def _metric(rank: str) -> Column:
     return F.col("score" if rank == "recent" else "count").cast("double")
 
 
-def _top_numbers(cands: DataFrame, k: int) -> DataFrame:
+def _cut(rows: DataFrame, max_len: int, lengths: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the short prefixes and of all others, each cut by itself."""
+    short = explode_prefixes(rows, "_key", min(SHORT_PREFIX, max_len), lengths)
+    return short.drop("_key"), explode_prefixes(rows, "_key", max_len, lengths, SHORT_PREFIX + 1).drop("_key")
+
+
+def _top_numbers(short: DataFrame, long: DataFrame, k: int) -> DataFrame:
     """``prefix, rank, pos, _ord`` of the top-k per (prefix, rank). ``row_number() <= k``
     lets Catalyst insert a WindowGroupLimit on both sides of the shuffle, so a
     prefix ships at most k rows per map task; the short prefixes, which every
     map task has, are first cut to k in each of some groups."""
     best = [F.col("_m").desc(), F.col("_ord").asc()]
-    short = F.length("prefix") <= SHORT_PREFIX
-    grouped = cands.filter(short).withColumn("_group", F.pmod("_ord", F.lit(SHORT_GROUPS)))
+    grouped = short.withColumn("_group", F.pmod("_ord", F.lit(SHORT_GROUPS)))
     first = Window.partitionBy("prefix", "rank", "_group").orderBy(*best)
     grouped = grouped.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).drop("_n", "_group")
     w = Window.partitionBy("prefix", "rank").orderBy(*best)
-    both = cands.filter(~short).unionByName(grouped)
+    both = long.unionByName(grouped)
     return both.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("prefix", "rank", "pos", "_ord")
 
 
@@ -196,8 +203,7 @@ def build_index_long(
     of a few passes over the (40× smaller) frequency table."""
     numbered = _numbered(freq)
     if not split_shared:
-        cands = explode_prefixes(_narrow(numbered, ranks), "_key", max_len).drop("_key")
-        return _with_text(_top_numbers(cands, k), numbered)
+        return _with_text(_top_numbers(*_cut(_narrow(numbered, ranks), max_len), k), numbered)
     # one row per query; feeds both branches below, so materialize it once
     f = with_shared_length(numbered.filter(F.length("query") >= 1), max_len).checkpoint(eager=True)
     top = F.least(F.length("_key"), F.lit(max_len))
@@ -208,13 +214,15 @@ def build_index_long(
         e = e.withColumn("prefix", F.col("_key").substr(F.lit(1), F.col("_plen")))
         return e.filter(~F.col("prefix").endswith(" ")).drop("_plen", "_key", "_shared")
 
-    shared = cut(_narrow(f, ranks, "_shared"), F.lit(1), F.least(F.col("_shared"), top))
+    narrow, most = _narrow(f, ranks, "_shared"), F.least(F.col("_shared"), top)
+    short = cut(narrow, F.lit(1), F.least(most, F.lit(SHORT_PREFIX)))
+    long = cut(narrow, F.lit(SHORT_PREFIX + 1), most)
     cands = f.select(
         F.col("query").alias("_key"), F.col("display").alias("query"), "count", "score", "_shared",
         F.explode(F.array(*[F.lit(r) for r in ranks])).alias("rank"),
     )
     alone = cut(cands, F.col("_shared") + 1, top).withColumn("pos", F.lit(1)).select(*LONG_COLUMNS)
-    return _with_text(_top_numbers(shared, k), f).unionByName(alone)
+    return _with_text(_top_numbers(short, long, k), f).unionByName(alone)
 
 
 def to_index(long_df: DataFrame, computed_at: Column | None = None) -> DataFrame:
@@ -359,12 +367,12 @@ def bulk_suggest(
     if not lengths:  # only blank or rejected requests
         return _without_list(keys)
     numbered = _numbered(freq)
-    cands = explode_prefixes(_narrow(numbered, RANKS), "_key", max_len=1 << 30, lengths=lengths).drop("_key")
+    short, long = _cut(_narrow(numbered, RANKS), 1 << 30, lengths)
     if n_keys <= broadcast_max_rows and key_bytes <= BROADCAST_MAX_BYTES:
         wanted = F.broadcast(live.select("prefix", "rank"))
-        top = _top_numbers(cands.join(wanted, ["prefix", "rank"], "left_semi"), k)
+        top = _top_numbers(*(c.join(wanted, ["prefix", "rank"], "left_semi") for c in (short, long)), k)
     else:
-        top = _top_numbers(cands, k).join(live.select("prefix", "rank"), ["prefix", "rank"], "left_semi")
+        top = _top_numbers(short, long, k).join(live.select("prefix", "rank"), ["prefix", "rank"], "left_semi")
     answers = to_index(_with_text(top, numbered)).drop("computed_at")
     answered = live.join(answers, ["prefix", "rank"], "left").select(
         "prefix",
@@ -427,6 +435,23 @@ def write_back(index: DataFrame, answers: DataFrame, now: Column | None = None)
     return kept.unionByName(computed)
 
 
+def overlay_rows(answers: DataFrame, now: Column | None = None) -> DataFrame:
+    """What the misses of :func:`lookup` add to an index: one row for each computed list, to be
+    appended as a version of its own (:func:`overlaid`), so that a write follows the misses."""
+    now = F.current_timestamp() if now is None else now
+    return answers.filter(F.col("status") == "miss").select("prefix", "rank", "suggestions", now.alias("computed_at"))
+
+
+def overlaid(index: DataFrame, overlay: DataFrame) -> DataFrame:
+    """The index with the newest overlay row of each key instead of its own (overlays are
+    written after the index they lie on; a new index begins without). The index is only
+    filtered, map side while the overlay's keys are measured small."""
+    newest = overlay.groupBy("prefix", "rank").agg(F.max_by(F.struct("suggestions", "computed_at"), "computed_at").alias("_u"))
+    newest = newest.select("prefix", "rank", "_u.suggestions", "_u.computed_at")
+    keys = broadcast_if_small(newest.select("prefix", "rank"))
+    return index.select("prefix", "rank", "suggestions", "computed_at").join(keys, ["prefix", "rank"], "left_anti").unionByName(newest)
+
+
 def answers_long(answers: DataFrame) -> DataFrame:
     """Answers with arrays → one row per suggestion (null ``pos`` when empty)."""
     return answers.select(

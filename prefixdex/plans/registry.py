@@ -342,7 +342,7 @@ def q_recency_stream(spark, d):
 
     root = work_dir(spark, "recency-stream")
     agg = ss.recency_stream(_event_stream(spark, d), ANCHOR, decay.DECAY_FACTOR, DAY)
-    ss.write_updates(agg, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    ss.write_updates(agg, f"{root}/out", f"{root}/_checkpoint", ("query", "span")).awaitTermination()
     out = ss.scores_at(ss.read_updates(spark, f"{root}/out"), _tick_now(spark, d, DAY), decay.DECAY_FACTOR)
     return _round(out, "score")
 
@@ -354,7 +354,7 @@ def q_window_activity_stream(spark, d):
 
     root = work_dir(spark, "window-activity")
     counts = ss.window_queries(_event_stream(spark, d), "6 hours", "6 hours")
-    ss.write_updates(counts, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    ss.write_updates(counts, f"{root}/out", f"{root}/_checkpoint", ("window", "query")).awaitTermination()
     newest = ss.newest_updates(ss.read_updates(spark, f"{root}/out"), "window", "query")
     return ss.window_activity(newest).select(
         events.tick_of(F.col("window.start"), ANCHOR, FLUSH_INTERVAL).alias("window_tick"), "events", "distinct_queries"
@@ -367,7 +367,7 @@ def q_pending_stream(spark, d):
 
     root = work_dir(spark, "pending-stream")
     counts = ss.pending_stream(_event_stream(spark, d), ANCHOR, FLUSH_INTERVAL)
-    ss.write_updates(counts, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    ss.write_updates(counts, f"{root}/out", f"{root}/_checkpoint", ("tick", "q")).awaitTermination()
     return ss.pending_at(ss.read_updates(spark, f"{root}/out"), _tick_now(spark, d, FLUSH_INTERVAL))
 
 
@@ -395,7 +395,57 @@ def q_ingest_profile_parts(spark, d):
     return _ingest_parts(spark, d)[1]
 
 
-def _run_search_stream(spark, d, interval: int = DAY, batches: int = 1, compact_every: int = 50):
+def _files_by_time(spark, d, root: str, batches: int) -> str:
+    """The events dealt into files by time, one for each micro-batch, and the files' own
+    times set in that order, which a stream takes them in."""
+    path = f"{root}/events"
+    tables.load(spark, d, "events").repartitionByRange(batches, "ts").write.parquet(path)
+    fs, p = store._fs(spark, path)
+    files = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
+    for i, f in enumerate(files):
+        fs.setTimes(store._fs(spark, f)[1], 1_700_000_000_000 + 60_000 * i, -1)
+    return path
+
+
+def _user_event_stream(spark, d, source: str):
+    raw = spark.readStream.schema(tables.load(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    part = tables.load(spark, d, "part").select("p_partkey", "p_name")
+    n_parts = part.count()  # a literal: a micro-batch plan has no scalar subqueries
+    return raw.join(part, (raw.event_id % n_parts) == part.p_partkey).select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("p_name").alias("query")
+    )
+
+
+def _flush_stream(spark, d, batches: int = 10):
+    from prefixdex.streaming import flush_stream as fs
+
+    root = work_dir(spark, "flush-stream")
+    source = _files_by_time(spark, d, root, batches)
+    fs.run_flush_stream(spark, _user_event_stream(spark, d, source), root, f"{root}/_checkpoint", ANCHOR, FLUSH_INTERVAL).awaitTermination()
+    return fs.read_flushes(spark, root)
+
+
+def q_flush_stream(spark, d):
+    """O23 over ten micro-batches: flushes by count and timer, numbered across batches."""
+    return _flush_stream(spark, d).select("event_id", "tick", "flush_no")
+
+
+def q_pending_flush_stream(spark, d):
+    """O42 from the flush stream: what is left after the last full flush of the open tick."""
+    return events.pending_view(_flush_stream(spark, d), F.lit(_tick_now(spark, d, FLUSH_INTERVAL)))
+
+
+def q_history_stream(spark, d):
+    """O40 kept over ten micro-batches."""
+    from prefixdex.streaming import flush_stream as fs
+
+    root = work_dir(spark, "history-stream")
+    source = _files_by_time(spark, d, root, 10)
+    fs.run_history_stream(spark, _user_event_stream(spark, d, source), f"{root}/lists", f"{root}/_checkpoint").awaitTermination()
+    return fs.read_history(spark, f"{root}/lists").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _run_search_stream(spark, d, interval: int = DAY, batches: int = 1, compact_every: int = 50, trending: bool = False):
     """O28 end to end: the events file read as a stream, applied by
     ``foreachBatch`` to the stored frequency table and prefix index. With more
     ``batches``, the events are first dealt into as many files by time, one for
@@ -405,16 +455,27 @@ def _run_search_stream(spark, d, interval: int = DAY, batches: int = 1, compact_
     root = work_dir(spark, "search-stream")
     f_root, i_root = f"{root}/frequency", f"{root}/index"
     ss.seed_tables(freq_parts(spark, d), f_root, i_root)
+    t_root = f"{root}/trending" if trending else None
+    if trending:
+        ss.seed_trending(spark, f_root, t_root)
     source, options = f"{d.rstrip('/')}/events.parq*", {}
     if batches > 1:
-        source, options = f"{root}/events", {"maxFilesPerTrigger": 1}
-        tables.load(spark, d, "events").repartitionByRange(batches, "ts").write.parquet(source)
+        source, options = _files_by_time(spark, d, root, batches), {"maxFilesPerTrigger": 1}
     stream = _event_stream(spark, d, source, options)
     q = ss.run_search_stream(
-        spark, stream, f_root, f"{root}/_checkpoint", ANCHOR, i_root, decay.DECAY_FACTOR, interval, compact_every=compact_every
-    )
+        spark, stream, f_root, f"{root}/_checkpoint", ANCHOR, None if trending else i_root, decay.DECAY_FACTOR, interval,
+        compact_every=compact_every, trending_root=t_root,
+    )
     q.awaitTermination()
-    return f_root, i_root
+    return f_root, t_root or i_root
+
+
+def q_trending_stream(spark, d):
+    """O16 kept over ten micro-batches and two compactions."""
+    from prefixdex.streaming import search_stream as ss
+
+    _, t_root = _run_search_stream(spark, d, batches=10, compact_every=4, trending=True)
+    return _round(ss.read_trending(spark, t_root, "count", 50, _tick_now(spark, d, DAY)), "score")
 
 
 def q_hit_rate_daily_stream(spark, d):
@@ -434,7 +495,7 @@ def q_hit_rate_daily_stream(spark, d):
     log = ring.assign_owner(log, "key", _ring(spark))
     log = log.withColumn("node", F.when(F.col("cache") == "skip", F.lit("")).otherwise(F.col("node")))
     out = ss.hit_rate_stream(log, "1 day", "1 day")
-    ss.write_updates(out, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    ss.write_updates(out, f"{root}/out", f"{root}/_checkpoint", ("window", "node")).awaitTermination()
     res = ss.newest_updates(ss.read_updates(spark, f"{root}/out"), "window", "node")
     return res.select(
         events.tick_of(F.col("window.start"), ANCHOR, DAY).alias("day"), "node", "hits", "misses", "skips", "hit_rate"
@@ -468,6 +529,7 @@ def q_stream_index_minutes(spark, d):
 # ------------------------------------------------------------ document lines
 # Searches for document lines against a table that holds the English ones only:
 # hits, misses, blank and over-long requests, new queries and rejected rows.
+STORED_PREFIXES = ("a", "th", "the", "re ", "er", "ED", "on", "in", "wh", "zz")
 NOW = "2024-03-01 00:00:00"  # of the lookups; every fifth prefix length is stale by then
 
 
@@ -523,6 +585,62 @@ def q_lookup_twice_lines(spark, d):
     return _served(prefix.lookup(stored, f, keys, TTL_SECONDS, now, ring=_ring(spark)))
 
 
+def q_lookup_overlay_lines(spark, d):
+    """The second lookup, with the first one's misses in an overlay."""
+    index, f, keys, now = _line_lookup(spark, d)
+    root = work_dir(spark, "overlay")
+    store.write_version(prefix.overlay_rows(prefix.lookup(index, f, keys, TTL_SECONDS, now), now), root, 0, sort_col="prefix")
+    stored = prefix.overlaid(index, store.read_version(spark, root, 0))
+    return _served(prefix.lookup(stored, f, keys, TTL_SECONDS, now, ring=_ring(spark)))
+
+
+def q_bulk_suggest_lines(spark, d):
+    """O12 with more keys than a broadcast takes (here: than none)."""
+    req = tables.typed_requests(tables.line_events(spark, d))
+    keys = prefix.request_keys(req, "typed", "rank")
+    return prefix.answers_long(prefix.bulk_suggest(freq_lines(spark, d), keys, broadcast_max_rows=0))
+
+
+def q_suggest_stored_lines(spark, d):
+    """Some prefixes, each a range scan of the stored, sorted table."""
+    root = work_dir(spark, "suggest-stored")
+    store.write_version(freq_lines(spark, d), root, 0)
+    out = None
+    for p in STORED_PREFIXES:
+        one = prefix.suggest_one(store.read_version(spark, root, 0), p, "count").withColumn("prefix", F.lit(p))
+        out = one if out is None else out.unionByName(one)
+    return out.select("prefix", "pos", "query", "count", "score")
+
+
+def _stored_lines(spark, d) -> str:
+    """The line table and its index, bucketed, after every search for a line in two flushes
+    (by time), the second one applied twice."""
+    from prefixdex.plans import stored
+
+    root = work_dir(spark, "stored-lines")
+    stored.create(freq_lines(spark, d), root)
+    ev = _accepted_lines(spark, d).checkpoint(eager=True)
+    middle = ev.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0] or 0
+    early = F.unix_micros(F.col("ts").cast("timestamp")) < F.lit(int(middle))
+    for version, half in ((1, early), (2, ~early), (2, ~early)):
+        stored.apply_deltas(spark, root, frequency.event_deltas(ev.filter(half)), version)
+    return root
+
+
+def q_upsert_store_lines(spark, d):
+    """O24 in place: only the buckets of the searched queries are rewritten."""
+    from prefixdex.plans import stored
+
+    return stored.read_frequency(spark, _stored_lines(spark, d))
+
+
+def q_index_store_lines(spark, d):
+    """O26 in place: only the buckets of the affected prefixes are read and rewritten."""
+    from prefixdex.plans import stored
+
+    return stored.read_index(spark, _stored_lines(spark, d))
+
+
 def q_routing_lines(spark, d):
     from prefixdex.functions.predicates import is_fresh
 
@@ -545,6 +663,15 @@ QUERIES = {
     "upsert_lines": q_upsert_lines,
     "lookup_lines": q_lookup_lines,
     "lookup_twice_lines": q_lookup_twice_lines,
+    "lookup_overlay_lines": q_lookup_overlay_lines,
+    "bulk_suggest_lines": q_bulk_suggest_lines,
+    "suggest_stored_lines": q_suggest_stored_lines,
+    "upsert_store_lines": q_upsert_store_lines,
+    "index_store_lines": q_index_store_lines,
+    "flush_stream": q_flush_stream,
+    "pending_flush_stream": q_pending_flush_stream,
+    "history_stream": q_history_stream,
+    "trending_stream": q_trending_stream,
     "routing_lines": q_routing_lines,
     "personalized_merge_lines": q_personalized_merge_lines,
     "frequency_parts": q_frequency_parts,

@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prefixdex.functions.keys import RANKS, rank_metric
 from prefixdex.functions.predicates import validate
 from prefixdex.functions.text import normalize, ws_trim
 from prefixdex.operators.decay import DECAY_FACTOR, DECAY_INTERVAL_SECONDS, rescaled, weight
@@ -36,9 +37,10 @@ from prefixdex.operators.events import tick_of
 from prefixdex.operators.frequency import FREQUENCY_COLUMNS
 from prefixdex.operators.prefix import LONG_COLUMNS, affected_prefixes, build_index_long, refresh_lists
 from prefixdex.plans.session import broadcast_if_small
-from prefixdex.sources import store
+from prefixdex.sources import store, tiers
 
 COMPACT_EVERY = 50
+TRENDING_LIMIT = 50
 
 
 def accepted(events: DataFrame, query: str = "query") -> DataFrame:
@@ -222,10 +224,13 @@ def apply_batch(
     factor: float = DECAY_FACTOR,
     decay_interval_seconds: float = DECAY_INTERVAL_SECONDS,
     compact_every: int = COMPACT_EVERY,
+    trending_root: str | None = None,
 ) -> bool:
     """One flush. Returns False when the batch was already applied. A compaction
     that a crash has left out is made up for on the replay."""
     applied = _apply(spark, batch, batch_id, freq_root, index_root, anchor, factor, decay_interval_seconds)
+    if trending_root:
+        refresh_trending(spark, freq_root, trending_root, batch_id, factor)
     if compact_every and (batch_id + 1) % compact_every == 0:
         compact(spark, freq_root, index_root, batch_id + 1, factor)
     return applied
@@ -262,6 +267,47 @@ def _apply(spark, batch, batch_id, freq_root, index_root, anchor, factor, decay_
     return True
 
 
+def seed_trending(spark: SparkSession, freq_root: str, trending_root: str, limit: int = TRENDING_LIMIT) -> None:
+    """Version 0: the ``limit`` best rows under each ranking (O16) of base version 0."""
+    at = newest_landmark(spark, freq_root)
+    best = _best(_ranked(read_frequency(spark, freq_root, at=at)), limit)
+    store.write_version(_marked(best, at), trending_root, 0, sort_col="rank", num_partitions=1)
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rank", F.explode(F.array(*[F.lit(r) for r in RANKS])))
+
+
+def _best(rows: DataFrame, limit: int) -> DataFrame:
+    w = Window.partitionBy("rank").orderBy(rank_metric("rank").desc(), F.col("display").asc())
+    return rows.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit).select("rank", "pos", *FREQUENCY_COLUMNS)
+
+
+def refresh_trending(spark: SparkSession, freq_root: str, trending_root: str, batch_id: int, factor: float = DECAY_FACTOR, limit: int = TRENDING_LIMIT) -> bool:
+    """The best rows after a batch, as version ``batch_id + 1``: counts only grow and scores
+    are compared at one tick, so they are the best of the old list and the batch's own
+    queries; the table is read for those queries only."""
+    if store.is_committed(spark, trending_root, batch_id + 1):
+        return False
+    changed = store.read_version(spark, _delta(freq_root), batch_id).select("query")
+    at = newest_landmark(spark, freq_root, batch_id + 1)
+    new = read_frequency(spark, freq_root, batch_id + 1, only=changed, at=at, factor=factor)
+    old = store.read_version(spark, trending_root, batch_id)
+    old = old.withColumn("score", rescaled(F.col("score"), F.col("landmark"), F.lit(at), factor))
+    kept = old.select("rank", *FREQUENCY_COLUMNS).join(changed, "query", "left_anti")
+    best = _best(kept.unionByName(_ranked(new).select("rank", "query", "display", "count", "score")), limit)
+    store.write_version(_marked(best, at), trending_root, batch_id + 1, sort_col="rank", num_partitions=1)
+    store.remove_versions(spark, trending_root, batch_id)
+    return True
+
+
+def read_trending(spark: SparkSession, trending_root: str, rank: str, limit: int, at: int, factor: float = DECAY_FACTOR) -> DataFrame:
+    """``pos`` (from 0), ``query, count, score``, as :func:`trending` gives them for the table."""
+    rows = store.read_version(spark, trending_root).filter((F.col("rank") == rank) & (F.col("pos") <= limit))
+    score = rescaled(F.col("score"), F.col("landmark"), F.lit(at), factor).alias("score")
+    return rows.select((F.col("pos") - 1).alias("pos"), F.col("display").alias("query"), "count", score)
+
+
 def run_search_stream(
     spark: SparkSession,
     events: DataFrame,
@@ -273,6 +319,7 @@ def run_search_stream(
     decay_interval_seconds: float = DECAY_INTERVAL_SECONDS,
     processing_time: str | None = None,
     compact_every: int = COMPACT_EVERY,
+    trending_root: str | None = None,
 ):
     """Start the stream (``availableNow`` unless ``processing_time`` such
     as ``"2 seconds"`` is given). ``events`` is a streaming DataFrame with
@@ -280,7 +327,7 @@ def run_search_stream(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         apply_batch(
-            spark, batch, batch_id, freq_root, index_root, anchor, factor, decay_interval_seconds, compact_every
+            spark, batch, batch_id, freq_root, index_root, anchor, factor, decay_interval_seconds, compact_every, trending_root
         )
 
     w = accepted(events).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
@@ -322,26 +369,40 @@ def scores_at(updates: DataFrame, now_tick: int, factor: float = DECAY_FACTOR, s
     return newest.groupBy("query").agg(F.sum("u.events").alias("events"), F.sum(score).alias("score"))
 
 
-def write_updates(updates: DataFrame, root: str, checkpoint: str):
-    """Start an update-mode query whose batch b becomes version b of ``root``: a
-    replayed batch replaces its own version, so nothing is counted twice."""
+def newest_of(updates: DataFrame, *keys: str) -> DataFrame:
+    """The newest row (by ``batch``, which stays) of every key."""
+    rest = [c for c in updates.columns if c not in keys]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_u"))
+    return newest.select(*keys, "_u.*")
+
+
+def update_sink(root: str, keys: tuple[str, ...]):
+    """A ``foreachBatch`` function: batch b of an update-mode query becomes version b of
+    ``root``, and versions are merged in tiers, where only the newest row of each of ``keys``
+    is kept. A replayed batch changes nothing."""
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        store.write_version(df.withColumn("batch", F.lit(batch_id).cast("bigint")), root, batch_id, sort_col=df.columns[0])
+        spark = df.sparkSession
+        if not tiers.holds(spark, root, batch_id):
+            store.write_version(df.withColumn("batch", F.lit(batch_id).cast("bigint")), root, batch_id, sort_col=keys[0])
+        tiers.merge(spark, root, batch_id, lambda rows: newest_of(rows, *keys), keys[0])
+
+    return sink
+
 
-    w = updates.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+def write_updates(updates: DataFrame, root: str, checkpoint: str, keys: tuple[str, ...]):
+    """Start an update-mode query into :func:`update_sink`; ``keys`` are its grouping keys."""
+    w = updates.writeStream.outputMode("update").foreachBatch(update_sink(root, keys)).option("checkpointLocation", checkpoint)
     return w.trigger(availableNow=True).start()
 
 
 def read_updates(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(*[store.version_path(root, v) for v in store.committed_versions(spark, root)])
+    return tiers.read(spark, root)
 
 
 def newest_updates(updates: DataFrame, *keys: str) -> DataFrame:
     """The newest update of every key: windows still open as they stand now."""
-    rest = [c for c in updates.columns if c not in (*keys, "batch")]
-    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_u"))
-    return newest.select(*keys, "_u.*")
+    return newest_of(updates, *keys).drop("batch")
 
 
 def window_queries(events: DataFrame, window: str = "6 hours", lateness: str = "6 hours") -> DataFrame:

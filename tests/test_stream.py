@@ -68,7 +68,7 @@ def test_recency_stream_update_mode(spark, tmp_path):
     stream = spark.readStream.schema("event_id bigint, ts timestamp, query string").parquet(src + "/*")
     agg = ss.recency_stream(stream, ANCHOR, 0.9, 86400, span_ticks=2)
     out = str(tmp_path / "out")
-    ss.write_updates(agg, out, str(tmp_path / "cp")).awaitTermination()
+    ss.write_updates(agg, out, str(tmp_path / "cp"), ("query", "span")).awaitTermination()
     read = lambda: {r.query: r for r in ss.scores_at(ss.read_updates(spark, out), 2, span_ticks=2).collect()}
     got = read()
     want_a = sum(0.9 ** (2 - (i % 3)) for i in range(9) if i % 2)
@@ -140,7 +140,7 @@ def test_window_activity_late_data(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(src + "/*")
     out = ss.window_queries(stream, "1 hour", "1 hour")
     cp, path = str(tmp_path / "cp"), str(tmp_path / "out")
-    run = lambda: ss.write_updates(out, path, cp).awaitTermination()
+    run = lambda: ss.write_updates(out, path, cp, ("window", "query")).awaitTermination()
     h = lambda x: t0 + dt.timedelta(hours=x)
     one_file = lambda path, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
     one_file(src + "/p1", [(1, h(0.1), "a"), (2, h(0.2), "A"), (3, h(1.5), "b"), (4, h(2.5), "c")])
@@ -161,7 +161,7 @@ def test_pending_stream(spark, tmp_path):
     rows = [(i, t0 + dt.timedelta(seconds=3600 * i), q) for i, q in enumerate(["a", "b", "A ", "b", " "])]
     spark.createDataFrame(rows, "event_id bigint, ts timestamp, query string").write.parquet(src + "/p1")
     stream = spark.readStream.schema("event_id bigint, ts timestamp, query string").parquet(src + "/*")
-    ss.write_updates(ss.pending_stream(stream, ANCHOR, 7200), out, str(tmp_path / "cp")).awaitTermination()
+    ss.write_updates(ss.pending_stream(stream, ANCHOR, 7200), out, str(tmp_path / "cp"), ("tick", "q")).awaitTermination()
     updates = ss.read_updates(spark, out)
     assert {(r.q, r.n) for r in ss.pending_at(updates, 1).collect()} == {("a", 1), ("b", 1)}
     assert ss.pending_at(updates, 2).count() == 0
