@@ -14,8 +14,9 @@ first (a bucket that is not on it is only compared as it is). In a bucket, nodes
 whose sketches agree, with a margin of four standard errors, are linked, and only
 one star for each group of linked nodes is passed on. Runs are repeated, a round at
 a time, until the estimated recall is reached: from the nodes linked in one run only
-and in two runs, Chao's estimate tells how many no run has linked yet (nodes, not
-pairs; pairs of the similarity whose sketches agree below the margin are in no estimate).
+and in two runs, Chao's estimate tells how many no run has linked yet. It is of nodes, not
+of pairs, and only of those with a partner whose sketch agrees in ``STRONG`` places: the
+many that agree less are mostly below the similarity and are met by chance, one by one.
 
 A bucket that stays large is dealt into blocks of nodes. In each, nodes that nearly
 agree with a leader are folded into it, and leaders are compared with each other, also
@@ -56,9 +57,10 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 HASHES = 64
 LOOSE = 38  # of 64 places, four standard errors below 0.8
+STRONG = 45  # two standard errors below 0.8: links that the recall is estimated of
 TIGHT = 58  # places shared with a leader by the nodes folded into it
 LIMIT = 256
-DEPTH = 3
+DEPTH = 7
 SPLITS = 1_000_000  # paths that are split, or dealt into blocks: 16 MB for each task
 BLOCK = 4096  # nodes of a block, where a bucket stays large
 TILE = 512  # sets compared by one matrix product
@@ -257,20 +259,23 @@ class _Stars:
         return local(self.n, np.concatenate(self.a), np.concatenate(self.b))
 
 
-def _alike(path: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
-    """Smallest member of the group of each node (in the order of ``path``); all pairs of
-    a bucket are compared."""
-    stars, d = _Stars(len(path), most), 1
+def _alike(path: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest member of the group of each node (in the order of ``path``), and whether it has
+    a strong link; all pairs of a bucket are compared."""
+    stars, strong, d = _Stars(len(path), most), np.zeros(len(path), bool), 1
     at = np.arange(len(path) - 1)
     while len(at):
         at = at[at + d < len(path)]
         at = at[path[at] == path[at + d]]
         for lo in range(0, len(at), 1 << 14):
             x = at[lo : lo + (1 << 14)]
-            x = x[(sketch[x] == sketch[x + d]).sum(1) >= LOOSE]
+            same = (sketch[x] == sketch[x + d]).sum(1)
+            y = x[same >= STRONG]
+            strong[y] = strong[y + d] = True
+            x = x[same >= LOOSE]
             stars.add(x, x + d)
         d += 1
-    return stars.roots()
+    return stars.roots(), strong
 
 
 def _between(stars: _Stars, a: np.ndarray, b: np.ndarray, sketch: np.ndarray, radius: np.ndarray, later: bool) -> None:
@@ -283,35 +288,39 @@ def _between(stars: _Stars, a: np.ndarray, b: np.ndarray, sketch: np.ndarray, ra
         stars.add(np.full(len(near), x), near)
 
 
-def _folded(sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaders of a block, the differing places of their furthest node, and the root of
-    every node of the block."""
+def _folded(sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaders of a block, the differing places of their furthest node, the root of every
+    node of the block, and whether it has a strong link to a leader, or is one's."""
     stars, left = _Stars(len(sketch), most), np.arange(len(sketch))
-    leaders, radius = [], np.zeros(len(sketch), np.int64)
+    leaders, radius, strong = [], np.zeros(len(sketch), np.int64), np.zeros(len(sketch), bool)
     while len(left):
         same = (sketch[left] == sketch[left[0]]).sum(1)
         near = same >= TIGHT
+        if (linked := left[same >= STRONG]).size > 1:
+            strong[linked] = True
         leaders.append(left[0])
         radius[left[0]] = HASHES - int(same[near].min())
         stars.add(left[near], np.full(int(near.sum()), left[0]))
         left = left[~near]
     leaders = np.array(leaders)
     _between(stars, leaders, leaders, sketch, radius, True)
-    return leaders, radius, stars.roots()
+    return leaders, radius, stars.roots(), strong
 
 
-_FOUND = "run int, a long, b long, path long, block int, blocks int, sketch binary, radius int"
+_FOUND = "run int, a long, b long, strong_a boolean, strong_b boolean, path long, block int, blocks int, sketch binary, radius int"
+_STARS = ["run", "a", "b", "strong_a", "strong_b"]
 
 
 def _round(nodes: DataFrame, runs: range) -> DataFrame:
-    """(run, a, b): stars found by some runs of the chosen-path tree."""
+    """(run, a, b, strong_a, strong_b): stars found by some runs of the chosen-path tree."""
     rows, cells, most = _buckets(nodes, runs), 1 + 5 * len(runs) * nodes.count() // (4 * CELL_ROWS), FOLD
 
-    def stars(turn, node, root, **more):
+    def stars(turn, node, root, strong):
         other = np.flatnonzero(root != np.arange(len(root)))
-        none = pa.nulls(len(other))
+        none, hub = pa.nulls(len(other)), root[other]
         kinds = {"path": pa.int64(), "block": pa.int32(), "blocks": pa.int32(), "sketch": pa.binary(), "radius": pa.int32()}
-        return pa.table({"run": turn[other], "a": node[other], "b": node[root[other]], **{c: none.cast(k) for c, k in kinds.items()}})
+        ends = {"run": turn[other], "a": node[other], "b": node[hub], "strong_a": strong[other], "strong_b": strong[hub]}
+        return pa.table({**ends, **{c: none.cast(k) for c, k in kinds.items()}})
 
     def link(rows):
         path, node, turn, block, blocks = (rows[c].to_numpy() for c in ("path", "node", "run", "block", "blocks"))
@@ -319,17 +328,17 @@ def _round(nodes: DataFrame, runs: range) -> DataFrame:
         path, node, turn, block, blocks = path[order], node[order], turn[order], block[order], blocks[order]
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)[order]
         whole = np.flatnonzero(blocks == 0)
-        out = [stars(turn[whole], node[whole], _alike(path[whole], sketch[whole], most))]
+        out = [stars(turn[whole], node[whole], *_alike(path[whole], sketch[whole], most))]
         rest = np.flatnonzero(blocks > 0)
         for at in np.split(rest, np.flatnonzero((np.diff(path[rest]) != 0) | (np.diff(block[rest]) != 0)) + 1):
             if not len(at):
                 continue
-            leaders, radius, root = _folded(sketch[at], most)
-            out.append(stars(turn[at], node[at], root))
+            leaders, radius, root, strong = _folded(sketch[at], most)
+            out.append(stars(turn[at], node[at], root, strong))
             if blocks[at[0]] > 1:
                 of = at[leaders]
                 out.append(pa.table({
-                    "run": turn[of], "a": node[of], "b": node[of], "path": path[of], "block": block[of], "blocks": blocks[of],
+                    "run": turn[of], "a": node[of], "b": node[of], "strong_a": strong[leaders], "strong_b": strong[leaders], "path": path[of], "block": block[of], "blocks": blocks[of],
                     "sketch": _fixed(sketch[of]), "radius": radius[leaders].astype(np.int32),
                 }))
         return pa.concat_tables(out)
@@ -341,26 +350,30 @@ def _round(nodes: DataFrame, runs: range) -> DataFrame:
         first = block == block.min()
         if not first.all():
             _between(found, np.flatnonzero(first), np.flatnonzero(~first), sketch, radius, False)
-        return stars(turn, node, found.roots()).select(["run", "a", "b"])
+        return stars(turn, node, found.roots(), np.zeros(len(node), bool)).select(_STARS)
 
     crowded = F.col("blocks") > 0
     cell = F.when(crowded, -1 - F.pmod(F.xxhash64("path", "block"), F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("path"), F.lit(cells)))
     found = tables.save(rows.withColumn("cell", cell).groupBy("cell").applyInArrow(link, _FOUND), "linked")
-    out = found.where("sketch is null").select("run", "a", "b")
+    out = found.where("sketch is null").select(*_STARS)
     leaders = found.where("sketch is not null")
     if leaders.isEmpty():
         return out
     pairs = leaders.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
     pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return out.unionByName(pairs.groupBy("path", "low", "high").applyInArrow(across, "run int, a long, b long"))
+    return out.unionByName(pairs.groupBy("path", "low", "high").applyInArrow(across, "run int, a long, b long, strong_a boolean, strong_b boolean"))
 
 
-def estimated_recall(stars: DataFrame) -> float:
-    """Share of the nodes with a link that some run has linked, by Chao's estimate
+def runs_of_nodes(stars: DataFrame) -> DataFrame:
+    """(node, runs): in how many runs each node has a strong link."""
+    ends = stars.where("strong_a").select("run", F.col("a").alias("node")).unionByName(stars.where("strong_b").select("run", F.col("b").alias("node")))
+    return ends.distinct().groupBy("node").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def estimated_recall(tally: DataFrame) -> float:
+    """Share of the nodes with a strong link that some run has linked, by Chao's estimate
     of those that none has: ``f1^2 / (2 f2)``, ``f1`` and ``f2`` linked in one and two."""
-    ends = stars.select("run", F.explode(F.array("a", "b")).alias("node"))
-    times = ends.groupBy("node").agg(F.count_distinct("run").alias("runs"))
-    r = times.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("runs") == 1).alias("f1"), F.count_if(F.col("runs") == 2).alias("f2")).first()
+    r = tally.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("runs") == 1).alias("f1"), F.count_if(F.col("runs") == 2).alias("f2")).first()
     unseen = r["f1"] ** 2 / (2 * r["f2"]) if r["f2"] else r["f1"] * (r["f1"] - 1) / 2
     return r["n"] / (r["n"] + unseen) if r["n"] else 1.0
 
@@ -368,10 +381,14 @@ def estimated_recall(stars: DataFrame) -> float:
 def groups(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """(node, label): groups that contain every linked pair, by rounds of runs until
     the estimated recall is reached."""
-    done, stars = 0, None
-    while stars is None or (done < RUNS * ROUNDS and estimated_recall(stars) < recall):
+    done, stars, tally = 0, None, None
+    while done < RUNS * ROUNDS and (tally is None or estimated_recall(tally) < recall):
         found = tables.save(_round(nodes, range(done, done + RUNS)), "stars")
         stars, done = found if stars is None else stars.unionByName(found), done + RUNS
+        new = runs_of_nodes(found)
+        if tally is not None:
+            new = tally.unionByName(new).groupBy("node").agg(F.sum("runs").alias("runs"))
+        tally = tables.save(new, "runs")
     return tables.save(components(stars.select("a", "b")), "labels")
 
 

@@ -126,6 +126,7 @@ def test_folded_nodes_lose_no_link():
         sketch.append(row)
     sketch = np.array(sketch, np.uint8)
     root = J._folded(sketch, 50)[2]
+    assert (np.unique(J._folded(sketch, 50)[0]) < 120).all()
     a, b = np.nonzero((sketch[:, None] == sketch[None]).sum(2) >= J.LOOSE)
     assert (root[a] == root[b]).all() and len(J._folded(sketch, 50)[0]) < 120
     together = J.local(120, a, b)
