@@ -183,17 +183,17 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _crowded(nodes: DataFrame, runs: range, split: np.ndarray) -> DataFrame:
-    """(path, members, depth) of the buckets of more than ``LIMIT`` nodes."""
+def _crowded(nodes: DataFrame, runs: range, split: np.ndarray, level: int) -> DataFrame:
+    """(path, members) of the buckets of more than ``LIMIT`` nodes that end at one level."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 _, _, path, depth = walk(_sketches(batch.column(0)), runs, split)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(depth.astype(np.int32))], ["path", "depth"])
+                yield pa.RecordBatch.from_arrays([pa.array(path[depth == level].view(np.int64))], ["path"])
 
-    found = nodes.select("sketch").mapInArrow(run, "path long, depth int").groupBy("path")
-    return found.agg(F.count(F.lit(1)).alias("members"), F.max("depth").alias("depth")).where(F.col("members") > LIMIT)
+    found = nodes.select("sketch").mapInArrow(run, "path long").groupBy("path")
+    return found.agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LIMIT)
 
 
 def _listed(crowded: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,14 +205,19 @@ def _listed(crowded: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tree(nodes: DataFrame, runs: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The paths to split, and those that stay crowded all the same with their members."""
-    split = np.zeros(0, np.uint64)
-    while True:
-        crowded = tables.save(_crowded(nodes, runs, split), "crowded")
-        more, _ = _listed(crowded.where(F.col("depth") < DEPTH), SPLITS - len(split))
-        if not len(more):
-            return split, *_listed(crowded, SPLITS)
-        split = np.sort(np.concatenate([split, more]))
+    """The paths to split, and those that stay crowded all the same with their members:
+    level by level, each counting what the splits of the one before lead to."""
+    split, stay, members = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for level in range(DEPTH + 1):
+        path, n = _listed(_crowded(nodes, runs, split, level), SPLITS)
+        order = np.argsort(-n, kind="stable")
+        room = SPLITS - len(split) if level < DEPTH else 0
+        split = np.sort(np.concatenate([split, path[order[:room]]]))
+        stay, members = np.concatenate([stay, path[order[room:]]]), np.concatenate([members, n[order[room:]]])
+        if not len(order[:room]):
+            break
+    order = np.argsort(stay)
+    return split, stay[order], members[order]
 
 
 def _buckets(nodes: DataFrame, runs: range) -> DataFrame:
