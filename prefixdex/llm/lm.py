@@ -2,18 +2,27 @@
 
 Tokens are the words, A-Z in lower case, and one end for each text. Training
 counts every token of the training documents: each task counts its texts,
-counts are dealt by hash into buckets and added up there. The ``VOCAB`` most
-frequent words, ``CLASSES`` classes of all other words (by their last two letters)
-and the end make up the model's symbols. The model predicts a symbol from the two before it: the context's
-vector is ``C1 r(w1) + C2 r(w2)``, its score with a symbol ``q . r(w) + b(w)``.
+counts are dealt by hash into buckets and added up there. The vocabulary is every
+word that occurs at least ``max(LEAST, sqrt(N) / SCALE)`` times among the N training
+tokens: it grows with the corpus and has at most ``SCALE * sqrt(N)`` words, which the
+driver and every task hold.
+
+The model has two levels. A symbol is one of the ``HEAD`` most frequent words, a run
+of the vocabulary's other words (about as many runs as words in a run), one of
+``CLASSES`` classes of the words outside the vocabulary (by their last two letters) or
+the end. The symbol is predicted from the two tokens before it, then the word within
+its run from the same: the context's vector is ``q = C1 r(w1) + C2 r(w2)``, the score of
+a symbol or word with it ``q . r(w) + b(w)``. Every word of the vocabulary has a vector
+of its own, as a context and as a target.
 
 Every task trains a copy on all its training texts by noise-contrastive
-estimation (shared noise symbols for each minibatch, drawn by frequency) and
-the copies are averaged by their tokens, chunk of parameters by chunk.
+estimation (noise symbols shared by a minibatch, noise words drawn for each token in
+its run, both by frequency). A copy passes on what it has changed; the changes of a
+vector are averaged over the copies that met it, by how often they did, in a tree of
+groups of ``_FAN`` copies.
 
-Scoring normalises exactly: one matrix product of the distinct contexts of a
-part with all symbols gives their log-normalisers. A word outside the
-vocabulary has the probability of its class times its share of the class's
+Scoring normalises exactly, over all symbols and over the words of a run. A word
+outside the vocabulary has the probability of its class times its share of the class's
 counts, smoothed as in the unigram base, with one unknown word for each class;
 all words together have the probability 1. Counts of such words are not
 brought to the documents; the documents' (word, text) pairs are sent to the
@@ -21,8 +30,11 @@ counts, which return a sum for each text.
 
 Defined cases: null is the empty text, which is only the end; a null doc_id is
 written as the empty text for the split; rows are documents of their own, so
-repeated rows all count and score alike; an empty table, or one without
-training documents, gives counts of zero (N = V = 0) and equal probabilities.
+repeated rows all count and score alike; words equally frequent come in order of
+their hash; texts of any length are scored whole, in slices of tokens; only ``doc_id``
+and ``text`` are read, so further columns of any name make no difference; an empty
+table, or one without training documents, gives counts of zero (N = V = 0) and equal
+probabilities.
 """
 
 from __future__ import annotations
@@ -35,17 +47,21 @@ from pyspark.sql import functions as F
 
 from prefixdex.llm import tables, words
 
-VOCAB = 510
+LEAST = 5
+SCALE = 64
+HEAD = 254
 CLASSES = 64
 DIM = 24
 NOISE = 64
+NOISE_WITHIN = 4
 BATCH = 4096
 RATE = 0.15
 PART_BYTES = 8 << 20  # texts scored together: the more, the fewer distinct contexts
 BUCKET_BYTES = 16 << 20  # text for each bucket of words
 _FLUSH = 2_000_000  # distinct words a task holds before it passes counts on
-_CHUNKS = 16
-_SPREAD = 32
+_SLICE = 1 << 18  # tokens whose contexts are held at a time
+_ROWS = 4096  # vectors in a chunk of changes
+_FAN = 64
 
 
 def _train(column: str = "doc_id"):
@@ -93,8 +109,8 @@ def _added(hashed: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, words (sorted keys), counts, tokens and distinct words of each class,
-    and the bucket's most frequent words: exact counts over all training documents."""
+    """bucket, words (sorted keys), counts, tokens and distinct words of each class:
+    exact counts over all training documents."""
 
     def run(batches):
         held: tuple[list, list] = ([], [])
@@ -117,7 +133,6 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
 
     def total(key, rows):
         keys, n = _added([np.frombuffer(x, np.uint64) for x in rows["words"].to_pylist()], [np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist()])
-        top = np.lexsort((keys, -n))[:VOCAB]
         return pa.table(
             {
                 "bucket": pa.array([key[0].as_py()], pa.int32()),
@@ -125,183 +140,315 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
                 "counts": pa.array([n.tobytes()], pa.binary()),
                 "n_tokens": pa.array([np.bincount(_class(keys), n, CLASSES).astype(np.int64).tolist()], pa.list_(pa.int64())),
                 "n_words": pa.array([np.bincount(_class(keys), minlength=CLASSES).tolist()], pa.list_(pa.int64())),
-                "top": pa.array([[{"word": int(w), "n": int(c)} for w, c in zip(keys[top].astype(np.int64), n[top], strict=True)]], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))),
             }
         )
 
     rows = _rows(docs).where("train").mapInArrow(run, "bucket int, words binary, counts binary")
-    schema = "bucket int, words binary, counts binary, n_tokens array<long>, n_words array<long>, top array<struct<word:long,n:long>>"
+    schema = "bucket int, words binary, counts binary, n_tokens array<long>, n_words array<long>"
     return rows.groupBy("bucket").applyInArrow(total, schema)
 
 
+def frequent_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the words that occur ``least`` times or more: at most as many
+    as the training tokens divided by ``least``."""
+
+    def run(batches):
+        for rows in batches:
+            for a, b in zip(rows.column(0), rows.column(1), strict=True):
+                keys, n = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.int64)
+                at = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array([keys[at].tobytes()], pa.binary()), pa.array([n[at].tobytes()], pa.binary())], ["words", "counts"])
+
+    rows = counts.select("words", "counts").mapInArrow(run, "words binary, counts binary").collect()
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["words"], np.uint64) for r in rows)])
+    return keys, np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in rows)])
+
+
 class Symbols:
-    """The model's symbols: the vocabulary in order of key, the classes of other words,
-    the end; as a context also the beginning. ``n_tokens`` and ``n_words`` are the
+    """The model's units, one vector each: the ``head`` most frequent words, the classes of
+    words outside the vocabulary, the runs of its other words, the end (these are the
+    symbols), the beginning, the words in runs. ``n_tokens`` and ``n_words`` are the
     training tokens and distinct words of each class, with the vocabulary's."""
 
-    def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, n_ends: int, n_tokens: np.ndarray, n_words: np.ndarray):
-        order = np.argsort(vocabulary)
-        self.words, self.counts, self.n_ends = vocabulary[order], counts[order], n_ends
+    def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, n_ends: int, n_tokens: np.ndarray, n_words: np.ndarray, head: int = HEAD):
+        self.n_ends = n_ends
         self.n_tokens, self.n_distinct = int(n_tokens.sum()) + n_ends, int(n_words.sum()) + (n_ends > 0)
-        own = _class(self.words)
-        self.n_other = n_tokens - np.bincount(own, self.counts, CLASSES).astype(np.int64)
+        own = _class(vocabulary)
+        self.n_other = n_tokens - np.bincount(own, counts, CLASSES).astype(np.int64)
         self.v_other = n_words - np.bincount(own, minlength=CLASSES)
-        self.other = len(self.words)
-        self.end = self.other + CLASSES
+        first = np.lexsort((vocabulary, -counts))
+        top, rest = first[:head], first[head:]
+        rest = rest[np.argsort(own[rest], kind="stable")]  # words of a run end alike
+        runs = int(np.ceil(np.sqrt(len(rest))))
+        self.starts = np.linspace(0, len(rest), runs + 1).astype(np.int64)
+        self.other = len(top)
+        self.run = self.other + CLASSES
+        self.end = self.run + runs
         self.begin = self.size = self.end + 1
+        unit = np.empty(len(vocabulary), np.int32)
+        unit[top] = np.arange(len(top))
+        unit[rest] = self.size + 1 + np.arange(len(rest))
+        self.head_counts, self.within = counts[top], counts[rest]
+        order = np.argsort(vocabulary)
+        self.words, self.units = vocabulary[order], unit[order]
 
     def frequencies(self) -> np.ndarray:
-        n = np.concatenate([self.counts, self.n_other, [self.n_ends]]).astype(np.float64) + 0.1
+        each = np.add.reduceat(self.within, self.starts[:-1]) if len(self.within) else self.within
+        n = np.concatenate([self.head_counts, self.n_other, each, [self.n_ends]]).astype(np.float64) + 0.1
         return n / n.sum()
 
+    def known_counts(self) -> np.ndarray:
+        """Training count of every unit that is a token (0 for the others)."""
+        n = np.zeros(self.size + 1 + len(self.within))
+        n[: self.other], n[self.end], n[self.size + 1 :] = self.head_counts, self.n_ends, self.within
+        return n
+
     def sequence(self, hashed: np.ndarray, doc: np.ndarray, n_docs: int):
-        """Symbol, its two predecessors and its row, for all texts with their ends;
-        and the symbol of every word."""
+        """Unit, its two predecessors and its row, for all texts with their ends;
+        and the unit of every word."""
         own = self.other + _class(hashed)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
-            own = np.where(self.words[at] == hashed, at, own)
+            own = np.where(self.words[at] == hashed, self.units[at], own)
         length = np.bincount(doc, minlength=n_docs) + 1
         last = np.cumsum(length) - 1
-        symbol = np.full(len(hashed) + n_docs, self.end, np.int32)
-        symbol[np.arange(len(hashed)) + doc] = own
-        one = np.concatenate([[self.begin], symbol[:-1]]).astype(np.int32)
+        unit = np.full(len(hashed) + n_docs, self.end, np.int32)
+        unit[np.arange(len(hashed)) + doc] = own
+        one = np.concatenate([[self.begin], unit[:-1]]).astype(np.int32)
         first = last - length + 1
         one[first] = self.begin
         two = np.concatenate([[self.begin], one[:-1]]).astype(np.int32)
         two[first] = self.begin
-        return symbol, one, two, np.repeat(np.arange(n_docs), length), own
+        return unit, one, two, np.repeat(np.arange(n_docs), length), own
 
 
 class LogBilinear:
-    """Parameters as one flat float32 array: r (symbols and the beginning), the
-    context matrices C1 and C2, the biases."""
+    """Parameters as one flat float32 array: r with the biases as its last column (symbols,
+    the beginning, the words in runs), the context matrices C1 and C2. ``starts`` are
+    the bounds of the runs; the runs are the symbols before the last one."""
 
-    def __init__(self, flat: np.ndarray, size: int, dim: int = DIM):
+    def __init__(self, flat: np.ndarray, size: int, dim: int = DIM, starts: np.ndarray | None = None):
+        self.starts = np.zeros(1, np.int64) if starts is None else starts
         self.flat, self.size, self.dim = flat, size, dim
-        a, b = (size + 1) * dim, dim * dim
-        self.r = flat[:a].reshape(size + 1, dim)
+        self.first_run = size - len(self.starts)
+        a, b = (size + 1 + int(self.starts[-1])) * (dim + 1), dim * dim
+        self.rows = flat[:a].reshape(-1, dim + 1)
+        self.r, self.bias = self.rows[:, :dim], self.rows[:, dim]
         self.c1 = flat[a : a + b].reshape(dim, dim)
         self.c2 = flat[a + b : a + 2 * b].reshape(dim, dim)
-        self.bias = flat[a + 2 * b :]
 
     @classmethod
-    def start(cls, frequencies: np.ndarray, dim: int = DIM, seed: int = 5) -> LogBilinear:
-        size = len(frequencies)
-        rng = np.random.default_rng(seed)
-        flat = np.zeros((size + 1) * dim + 2 * dim * dim + size, np.float32)
-        made = cls(flat, size, dim)
-        made.r[:] = rng.normal(0, 0.1, made.r.shape)
+    def start(cls, frequencies: np.ndarray, dim: int = DIM, seed: int = 5, starts: np.ndarray | None = None, within: np.ndarray | None = None) -> LogBilinear:
+        size, tails = len(frequencies), 0 if starts is None else int(starts[-1])
+        made = cls(np.zeros((size + 1 + tails) * (dim + 1) + 2 * dim * dim, np.float32), size, dim, starts)
+        made.r[:] = np.random.default_rng(seed).normal(0, 0.1, made.r.shape)
         made.c1[:] = np.eye(dim)
         made.c2[:] = np.eye(dim) * 0.5
-        made.bias[:] = np.log(frequencies)
+        made.bias[:size] = np.log(frequencies)
+        if tails:
+            made.bias[size + 1 :] = log_shares(starts, within)
         return made
 
+    def symbols(self, unit: np.ndarray) -> np.ndarray:
+        """The symbol of every unit: a word in a run has its run."""
+        run = np.searchsorted(self.starts, unit.astype(np.int64) - self.size - 1, "right") - 1
+        return np.where(unit > self.size, self.first_run + run, unit)
+
     def contexts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.r[one] @ self.c1 + self.r[two] @ self.c2
 
-    def log_normalisers(self, context: np.ndarray) -> np.ndarray:
+    def log_normalisers(self, context: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Over the units lo to hi (all symbols)."""
+        hi = self.size if hi is None else hi
         out = np.empty(len(context))
-        for lo in range(0, len(context), 2048):
-            score = context[lo : lo + 2048] @ self.r[: self.size].T + self.bias
+        targets, bias = np.ascontiguousarray(self.r[lo:hi].T), np.ascontiguousarray(self.bias[lo:hi])
+        for a in range(0, len(context), 2048):
+            score = context[a : a + 2048] @ targets
+            score += bias
             top = score.max(1, keepdims=True)
-            out[lo : lo + 2048] = np.log(np.exp(score - top).sum(1)) + top[:, 0]
+            score -= top
+            np.exp(score, out=score)
+            out[a : a + 2048] = np.log(score.sum(1)) + top[:, 0]
+        return out
+
+    def _slice(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        wide = len(self.rows)
+        pairs, back = np.unique(one.astype(np.int64) * wide + two, return_inverse=True)
+        context = self.contexts(pairs // wide, pairs % wide)
+        symbol = self.symbols(unit)
+        out = np.einsum("ij,ij->i", context[back], self.r[symbol]) + self.bias[symbol] - self.log_normalisers(context)[back]
+        inside = np.flatnonzero(unit > self.size)
+        inside = inside[np.argsort(symbol[inside], kind="stable")]
+        cuts = np.searchsorted(symbol[inside], self.first_run + np.arange(len(self.starts)))
+        for k in np.flatnonzero(np.diff(cuts)):
+            at = inside[cuts[k] : cuts[k + 1]]
+            q = context[back[at]]
+            lo, hi = self.size + 1 + self.starts[k], self.size + 1 + self.starts[k + 1]
+            out[at] += np.einsum("ij,ij->i", q, self.r[unit[at]]) + self.bias[unit[at]] - self.log_normalisers(q, lo, hi)
         return out
 
-    def log_probabilities(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities."""
-        if not len(symbol):
+        if not len(unit):
             return np.zeros(0)
-        pairs, back = np.unique(one.astype(np.int64) * (self.size + 1) + two, return_inverse=True)
-        context = self.contexts(pairs // (self.size + 1), pairs % (self.size + 1))
-        norm = self.log_normalisers(context)
-        out = np.empty(len(symbol))
-        for lo in range(0, len(symbol), 1 << 16):
-            s, c = symbol[lo : lo + (1 << 16)], back[lo : lo + (1 << 16)]
-            out[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", context[c], self.r[s]) + self.bias[s] - norm[c]
-        return out
+        return np.concatenate([self._slice(unit[a : a + _SLICE], one[a : a + _SLICE], two[a : a + _SLICE]) for a in range(0, len(unit), _SLICE)])
+
 
+def log_shares(starts: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Logarithm of every word's share of its run."""
+    whole = np.add.reduceat(within, starts[:-1])
+    return np.log(within / np.repeat(whole, np.diff(starts)))
 
-def _sum_rows(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+
+def _sum_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(ids, kind="stable")
     keys, first = np.unique(ids[order], return_index=True)
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    out[keys] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    return keys, np.add.reduceat(rows[order], first, axis=0)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad over minibatches."""
+    """Noise-contrastive estimation with AdaGrad over minibatches. ``within`` are the counts
+    of the words in runs, of which each run's noise is drawn. ``met``: minibatches that
+    have changed a vector."""
 
-    def __init__(self, model: LogBilinear, frequencies: np.ndarray, seed: int):
+    def __init__(self, model: LogBilinear, frequencies: np.ndarray, seed: int, within: np.ndarray | None = None):
         self.model, self.log_noise = model, np.log(frequencies * NOISE).astype(np.float32)
         self.rising = np.cumsum(frequencies)
         self.rng = np.random.default_rng(seed)
-        self.squares = np.full(len(model.flat), 1e-2, np.float32)
+        self.squares = LogBilinear(np.full(len(model.flat), 1e-2, np.float32), model.size, model.dim, model.starts)
+        self.met = np.zeros(len(model.rows), np.float32)
         self.tokens = 0
-
-    def step(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        m, n = self.model, len(symbol)
+        if model.starts[-1]:
+            self.risen = np.concatenate([[0], np.cumsum(within)]).astype(np.float64)
+            self.log_within = (log_shares(model.starts, within) + np.log(NOISE_WITHIN)).astype(np.float32)
+
+    def _within(self, q: np.ndarray, unit: np.ndarray, symbol: np.ndarray):
+        """Gradients of the words in runs: the tokens and what their contexts get, ids and rows."""
+        m, base = self.model, self.model.size + 1
+        at = np.flatnonzero(unit > m.size)
+        run, word = symbol[at] - m.first_run, unit[at]
+        lo, hi = m.starts[run], m.starts[run + 1]
+        drawn = self.risen[lo][:, None] + self.rng.random((len(at), NOISE_WITHIN)) * (self.risen[hi] - self.risen[lo])[:, None]
+        noise = np.clip(np.searchsorted(self.risen, drawn, "right") - 1, lo[:, None], hi[:, None] - 1)
+        qw, rw, rn = q[at], m.r[word], m.r[base + noise]
+        up = _sigmoid(-(np.einsum("ij,ij->i", qw, rw) + m.bias[word] - self.log_within[word - base]))
+        down = _sigmoid(np.einsum("ij,ikj->ik", qw, rn) + m.bias[base + noise] - self.log_within[noise])
+        dq = up[:, None] * rw - np.einsum("ik,ikj->ij", down, rn)
+        with_bias = np.concatenate([qw, np.ones((len(at), 1), np.float32)], 1)
+        false = -(down[:, :, None] * with_bias[:, None, :]).reshape(-1, m.dim + 1)
+        return at, dq, [word, (base + noise).ravel()], [up[:, None] * with_bias, false]
+
+    def step(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        m, n = self.model, len(unit)
+        symbol = m.symbols(unit)
         noise = np.minimum(np.searchsorted(self.rising, self.rng.random(NOISE)), m.size - 1)
         r1, r2, rw, rn = m.r[one], m.r[two], m.r[symbol], m.r[noise]
         q = r1 @ m.c1 + r2 @ m.c2
-        true = np.einsum("ij,ij->i", q, rw) + m.bias[symbol] - self.log_noise[symbol]
-        false = q @ rn.T + (m.bias[noise] - self.log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
+        up = _sigmoid(-(np.einsum("ij,ij->i", q, rw) + m.bias[symbol] - self.log_noise[symbol]))
+        down = _sigmoid(q @ rn.T + (m.bias[noise] - self.log_noise[noise]))
         dq = up[:, None] * rw - down @ rn
-        grad = LogBilinear(np.zeros_like(m.flat), m.size, m.dim)
-        grad.r[:] = _sum_rows(
-            np.concatenate([symbol, one, two, noise]),
-            np.concatenate([up[:, None] * q, dq @ m.c1.T, dq @ m.c2.T, -down.T @ q]).astype(np.float32),
-            m.size + 1,
-        )
-        grad.c1[:], grad.c2[:] = r1.T @ dq, r2.T @ dq
-        grad.bias[:] = np.bincount(symbol, up, m.size) - np.bincount(noise, down.sum(0), m.size)
-        grad.flat /= n
-        self.squares += grad.flat**2
-        m.flat += RATE * grad.flat / np.sqrt(self.squares)
+        with_bias = np.concatenate([q, np.ones((n, 1), np.float32)], 1)
+        ids, rows = [symbol, noise], [up[:, None] * with_bias, -down.T @ with_bias]
+        if m.starts[-1]:
+            at, more, more_ids, more_rows = self._within(q, unit, symbol)
+            dq[at] += more
+            ids, rows = ids + more_ids, rows + more_rows
+        none = np.zeros((n, 1), np.float32)  # contexts have no bias
+        ids += [one, two]
+        rows += [np.concatenate([dq @ m.c1.T, none], 1), np.concatenate([dq @ m.c2.T, none], 1)]
+        keys, grad = _sum_rows(np.concatenate(ids), np.concatenate(rows).astype(np.float32))
+        for old, seen, g in ((m.c1, self.squares.c1, r1.T @ dq / n), (m.c2, self.squares.c2, r2.T @ dq / n)):
+            seen += g**2
+            old += RATE * g / np.sqrt(seen)
+        grad /= n
+        seen = self.squares.rows[keys] + grad**2
+        self.squares.rows[keys] = seen
+        m.rows[keys] += RATE * grad / np.sqrt(seen)
+        self.met[keys] += 1
         self.tokens += n
 
 
+def _changes(task: int, start: LogBilinear, trainer: Trainer) -> pa.RecordBatch:
+    """What a copy has changed: the matrices (chunk -1), and in chunks the ids, changes and
+    weights of the vectors that it has met; changes times their weights."""
+    m, ids = trainer.model, np.flatnonzero(trainer.met)
+    at = len(m.rows) * (m.dim + 1)
+    matrices = (m.flat[at:] - start.flat[at:]) * np.float32(trainer.tokens)
+    out = [(-1, task, b"", matrices.tobytes(), np.float32(trainer.tokens).tobytes())]
+    cuts = np.flatnonzero(np.diff(ids // _ROWS, prepend=-1, append=-1)) if len(ids) else np.zeros(1, int)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = ids[a:b]
+        body = (m.rows[own] - start.rows[own]) * trainer.met[own, None]
+        out.append((int(own[0] // _ROWS), task, own.tobytes(), body.tobytes(), trainer.met[own].tobytes()))
+    cols = list(zip(*out, strict=True))
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["chunk", "part", "ids", "body", "weight"])
+
+
+def _added_changes(key, rows):
+    """The changes of a group of copies, added up: at most ``_FAN`` times a chunk."""
+    columns = [rows[c].to_pylist() for c in ("ids", "body", "weight")]
+    ids, body, weight = np.zeros(0, np.int64), None, np.zeros(0, np.float32)
+    for x, y, z in zip(*columns, strict=True):
+        x, y, z = np.frombuffer(x, np.int64), np.frombuffer(y, np.float32), np.frombuffer(z, np.float32)
+        if len(x):
+            y = y.reshape(len(x), -1)
+        if body is None:
+            ids, body, weight = x, y, z
+        elif not len(x):  # the matrices
+            body, weight = body + y, weight + z
+        else:
+            merged, back = np.unique(np.concatenate([ids, x]), return_inverse=True)
+            total, heavy = np.zeros((len(merged), y.shape[1]), np.float32), np.zeros(len(merged), np.float32)
+            for at, b, w in ((back[: len(ids)], body, weight), (back[len(ids) :], y, z)):
+                total[at] += b
+                heavy[at] += w
+            ids, body, weight = merged, total, heavy
+    cols = [pa.array([k.as_py()], pa.int32()) for k in key]
+    return pa.table([*cols, *(pa.array([v.tobytes()], pa.binary()) for v in (ids, body, weight))], ["chunk", "part", "ids", "body", "weight"])
+
+
 def train(docs: DataFrame, symbols: Symbols, dim: int = DIM) -> LogBilinear:
-    """One pass over all training documents, a copy of the model in each task;
-    the result is the average of the copies, weighted by their tokens."""
-    start = LogBilinear.start(symbols.frequencies(), dim)
-    size = len(start.flat)
-    cuts = np.linspace(0, size, _CHUNKS + 1).astype(int)
-    shared = docs.sparkSession.sparkContext.broadcast((symbols, start.flat))
+    """One pass over all training documents, a copy of the model in each task; the changes
+    of the copies are averaged."""
+    shared = docs.sparkSession.sparkContext.broadcast(symbols)
+    schema = "chunk int, part int, ids binary, body binary, weight binary"
 
     def run(batches):
-        known, flat = shared.value
+        known = shared.value
+        start = LogBilinear.start(known.frequencies(), dim, starts=known.starts, within=known.within)
         task = TaskContext.get().partitionId()
-        trainer = Trainer(LogBilinear(flat.copy(), known.size, dim), known.frequencies(), task)
+        copy = LogBilinear(start.flat.copy(), known.size, dim, known.starts)
+        trainer = Trainer(copy, known.frequencies(), task, known.within)
         for rows, data, offsets in words.parts(batches, size=PART_BYTES):
-            symbol, one, two, _, _ = known.sequence(*_scan(data, offsets), rows.num_rows)
-            order = trainer.rng.permutation(len(symbol))
-            for lo in range(0, len(symbol), BATCH):
+            unit, one, two, _, _ = known.sequence(*_scan(data, offsets), rows.num_rows)
+            order = trainer.rng.permutation(len(unit))
+            for lo in range(0, len(unit), BATCH):
                 at = order[lo : lo + BATCH]
-                trainer.step(symbol[at], one[at], two[at])
+                trainer.step(unit[at], one[at], two[at])
         if trainer.tokens:
-            scaled = trainer.model.flat.astype(np.float64) * trainer.tokens
-            pieces = [scaled[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(_CHUNKS), pa.int32()), pa.array([task % _SPREAD] * _CHUNKS, pa.int32()), pa.array([trainer.tokens] * _CHUNKS, pa.int64()), pa.array(pieces, pa.binary())],
-                ["chunk", "salt", "tokens", "body"],
-            )
-
-    def add(key, rows):
-        whole = sum(np.frombuffer(x, np.float64) for x in rows["body"].to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "tokens": pa.array([sum(rows["tokens"].to_pylist())], pa.int64()), "body": pa.array([whole.tobytes()], pa.binary())})
-
-    copies = _rows(docs).where("train").mapInArrow(run, "chunk int, salt int, tokens long, body binary")
-    schema = "chunk int, tokens long, body binary"
-    partly = copies.groupBy("chunk", "salt").applyInArrow(add, schema)
-    summed = {r["chunk"]: r for r in partly.groupBy("chunk").applyInArrow(add, schema).collect()}  # one model
-    if summed:
-        flat = np.concatenate([np.frombuffer(summed[k]["body"], np.float64) / summed[k]["tokens"] for k in range(_CHUNKS)])
-        start = LogBilinear(flat.astype(np.float32), symbols.size, dim)
-    return start
+            yield _changes(task, start, trainer)
+
+    rows = _rows(docs).where("train")
+    parts = rows.rdd.getNumPartitions()
+    summed = rows.mapInArrow(run, schema)
+    while parts > 1:
+        parts = -(-parts // _FAN)
+        grouped = summed.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("chunk", "part")
+        summed = grouped.applyInArrow(_added_changes, schema)
+    model = LogBilinear.start(symbols.frequencies(), dim, starts=symbols.starts, within=symbols.within)
+    at = len(model.rows) * (dim + 1)
+    for r in summed.toLocalIterator():  # one model
+        weight, body = np.frombuffer(r["weight"], np.float32), np.frombuffer(r["body"], np.float32)
+        if r["chunk"] < 0:
+            model.flat[at:] += body / weight
+        else:
+            model.rows[np.frombuffer(r["ids"], np.int64)] += body.reshape(len(weight), -1) / weight[:, None]
+    return model
 
 
 def _requests(docs: DataFrame, symbols: Symbols, model: LogBilinear, buckets: int) -> DataFrame:
@@ -312,30 +459,30 @@ def _requests(docs: DataFrame, symbols: Symbols, model: LogBilinear, buckets: in
 
     def run(batches):
         known, flat, dim = shared.value
-        net = LogBilinear(flat, known.size, dim)
+        net = LogBilinear(flat, known.size, dim, known.starts)
         task, k = TaskContext.get().partitionId(), 0
-        base = np.log10(np.concatenate([known.counts, np.zeros(CLASSES), [known.n_ends]]) + 0.1)
+        base = np.log10(known.known_counts() + 0.1)
         # What the model's score subtracts for a word within its class.
-        share = np.zeros(known.size)
-        share[known.other : known.end] = np.log10(known.n_other + 0.1 * (known.v_other + 1))
+        share = np.zeros(len(base))
+        share[known.other : known.run] = np.log10(known.n_other + 0.1 * (known.v_other + 1))
         for rows, data, offsets in words.parts(batches, size=PART_BYTES):
             hashed, doc = _scan(data, offsets)
             n = rows.num_rows
-            symbol, one, two, of, own = known.sequence(hashed, doc, n)
-            logs = net.log_probabilities(symbol, one, two) / np.log(10)
-            usual = (symbol < known.other) | (symbol == known.end)
+            unit, one, two, of, own = known.sequence(hashed, doc, n)
+            logs = net.log_probabilities(unit, one, two) / np.log(10)
+            usual = (unit < known.other) | (unit >= known.end)
             part = f"{task}-{k}"
             k += 1
             sums = np.stack([
-                np.bincount(of, minlength=n), np.bincount(of, logs - share[symbol], n),
-                np.bincount(of, np.where(usual, base[symbol], 0), n),
-                np.bincount(of, usual & ((symbol != known.end) | (known.n_ends > 0)), n),
+                np.bincount(of, minlength=n), np.bincount(of, logs - share[unit], n),
+                np.bincount(of, np.where(usual, base[unit], 0), n),
+                np.bincount(of, usual & ((unit != known.end) | (known.n_ends > 0)), n),
             ]).astype(np.float64)
             ids = rows.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             absent = rows.column(0).is_null().to_numpy(zero_copy_only=False)
             train = np.array(rows.column(2).to_pylist(), bool)
             out = [(part, -1, ids.tobytes(), sums.tobytes(), absent.tobytes(), train.tobytes())]
-            rare = own >= known.other
+            rare = (own >= known.other) & (own < known.run)
             keys, back = np.unique(hashed[rare], return_inverse=True)
             both, times = np.unique(back.astype(np.int64) * n + doc[rare], return_counts=True)
             word, text = both // n, both % n
@@ -370,10 +517,9 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     n_class, v_class = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in by_class:
         n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
-    top = counts.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "word").limit(VOCAB).collect()
-    vocabulary = np.array([r["word"] for r in top], np.int64).astype(np.uint64)
-    frequent = np.array([r["n"] for r in top], np.int64)
-    symbols = Symbols(vocabulary, frequent, int(size["ends"]), n_class, v_class)
+    n_tokens = int(n_class.sum()) + int(size["ends"])
+    least = max(LEAST, int(np.ceil(np.sqrt(n_tokens) / SCALE)))
+    symbols = Symbols(*frequent_words(counts, least), int(size["ends"]), n_class, v_class)
     model = train(docs, symbols)
     requests = tables.save(_requests(docs, symbols, model, buckets), "requests")
 

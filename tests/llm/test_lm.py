@@ -59,6 +59,88 @@ def test_probabilities_are_normalised():
     assert np.exp(net.log_probabilities(symbol, one, two)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def _symbols(n_words=3000, head=40, seed=3):
+    """Words with counts, some of each class outside the vocabulary."""
+    rng = np.random.default_rng(seed)
+    keys = np.unique(rng.integers(0, 1 << 63, n_words, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+    counts = (5 + 5000 / np.arange(1, len(keys) + 1)).astype(np.int64)
+    known = rng.random(len(keys)) < 0.8
+    by_class = np.bincount(lm._class(keys), counts, lm.CLASSES).astype(np.int64), np.bincount(lm._class(keys), minlength=lm.CLASSES)
+    return lm.Symbols(keys[known], counts[known], 70, *by_class, head=head), keys, counts, known
+
+
+def test_probabilities_over_all_words_sum_to_one():
+    symbols, keys, counts, known = _symbols()
+    net = lm.LogBilinear.start(symbols.frequencies(), 6, starts=symbols.starts, within=symbols.within)
+    net.flat[:] = np.random.default_rng(1).normal(0, 0.5, len(net.flat))
+    assert len(symbols.within) > 2000 and len(symbols.starts) > 40
+    unit, one, two, _, own = symbols.sequence(keys, np.zeros(len(keys), int), 1)
+    for a, b in ((3, symbols.begin), (int(own[7]), int(own[-5])), (symbols.begin, symbols.begin)):
+        p = np.exp(net.log_probabilities(unit, np.full(len(unit), a), np.full(len(unit), b)))
+        of = lm._class(keys)
+        inside = (counts + 0.1) / (symbols.n_other[of] + 0.1 * (symbols.v_other[of] + 1))
+        unseen = np.exp(net.log_probabilities(symbols.other + np.arange(lm.CLASSES), np.full(lm.CLASSES, a), np.full(lm.CLASSES, b)))
+        unseen = (unseen * 0.1 / (symbols.n_other + 0.1 * (symbols.v_other + 1))).sum()
+        assert np.where(known, p[:-1], p[:-1] * inside).sum() + p[-1] + unseen == pytest.approx(1, abs=1e-4)
+
+
+def test_vocabulary_holds_every_word_above_a_count(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = lm.count_words(docs, 3).checkpoint()
+    got = {least: lm.frequent_words(counts, least) for least in (5, 40)}
+    whole = [(w, n) for r in counts.collect() for w, n in zip(np.frombuffer(r.words, np.uint64), np.frombuffer(r.counts, np.int64), strict=True)]
+    for least, (keys, n) in got.items():
+        assert sorted(zip(keys, n, strict=True)) == sorted(x for x in whole if x[1] >= least)
+    assert len(got[5][0]) > 9 * len(got[40][0]) > 5000
+
+
+def test_words_in_runs_are_learned():
+    """Each word follows one other: within a run too, the model tells which."""
+    rng = np.random.default_rng(4)
+    keys = np.arange(1, 61, dtype=np.uint64)
+    follows = rng.permutation(60)
+    seq = [0]
+    for _ in range(40_000):
+        seq.append(int(follows[seq[-1]]) if rng.random() < 0.9 else int(rng.integers(60)))
+    n = np.bincount(seq, minlength=60)
+    by_class = np.bincount(lm._class(keys), n, lm.CLASSES).astype(np.int64), np.bincount(lm._class(keys), minlength=lm.CLASSES)
+    symbols = lm.Symbols(keys, n, 1, *by_class, head=4)
+    unit, one, two, _, _ = symbols.sequence(keys[seq], np.zeros(len(seq), int), 1)
+    net = lm.LogBilinear.start(symbols.frequencies(), 12, starts=symbols.starts, within=symbols.within)
+    trainer = lm.Trainer(net, symbols.frequencies(), 0, symbols.within)
+    before = net.log_probabilities(unit, one, two).mean()
+    for _ in range(40):
+        for lo in range(0, len(unit), 1024):
+            trainer.step(unit[lo : lo + 1024], one[lo : lo + 1024], two[lo : lo + 1024])
+    best = 0.9 * np.log(0.9) + 0.1 * np.log(0.1 / 60)
+    assert net.log_probabilities(unit, one, two).mean() - before > 0.6 * (best - before)
+
+
+def test_changes_of_copies_are_averaged_by_how_often_they_met_a_word(monkeypatch):
+    monkeypatch.setattr(lm, "_ROWS", 16)
+    symbols, keys, _, _ = _symbols(300)
+    start = lm.LogBilinear.start(symbols.frequencies(), 4, starts=symbols.starts, within=symbols.within)
+    tables, copies = {}, []
+    for task in range(3):
+        copy = lm.LogBilinear(start.flat.copy(), symbols.size, 4, symbols.starts)
+        trainer = lm.Trainer(copy, symbols.frequencies(), task, symbols.within)
+        unit, one, two, _, _ = symbols.sequence(np.random.default_rng(task).choice(keys, 90), np.zeros(90, int), 1)
+        for lo in range(0, 90, 30):
+            trainer.step(unit[lo : lo + 30], one[lo : lo + 30], two[lo : lo + 30])
+        copies.append(trainer)
+        for r in lm._changes(task, start, trainer).to_pylist():
+            tables.setdefault(r["chunk"], []).append(r)
+    weight = sum(t.met for t in copies)
+    want = sum((t.model.rows - start.rows) * t.met[:, None] for t in copies) / np.maximum(weight, 1)[:, None]
+    got = np.zeros_like(want)
+    for chunk, rows in tables.items():
+        out = lm._added_changes((lm.pa.scalar(chunk), lm.pa.scalar(0)), lm.pa.Table.from_pylist(rows)).to_pylist()[0]
+        w, body = np.frombuffer(out["weight"], np.float32), np.frombuffer(out["body"], np.float32)
+        if chunk >= 0:
+            got[np.frombuffer(out["ids"], np.int64)] = body.reshape(len(w), -1) / w[:, None]
+    assert len(tables) > 5 and np.allclose(got, want, atol=1e-5)
+
+
 def test_training_approaches_the_data():
     rng = np.random.default_rng(2)
     follows = rng.dirichlet(np.ones(8) * 0.3, 8)
