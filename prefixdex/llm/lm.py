@@ -53,9 +53,10 @@ HEAD = 254
 CLASSES = 64
 DIM = 24
 NOISE = 64
-NOISE_WITHIN = 4
+NOISE_WITHIN = 2
 BATCH = 4096
 RATE = 0.15
+SQUARES = 1e-4  # what AdaGrad starts from
 PART_BYTES = 8 << 20  # texts scored together: the more, the fewer distinct contexts
 BUCKET_BYTES = 16 << 20  # text for each bucket of words
 _FLUSH = 2_000_000  # distinct words a task holds before it passes counts on
@@ -241,7 +242,7 @@ class LogBilinear:
     def start(cls, frequencies: np.ndarray, dim: int = DIM, seed: int = 5, starts: np.ndarray | None = None, within: np.ndarray | None = None) -> LogBilinear:
         size, tails = len(frequencies), 0 if starts is None else int(starts[-1])
         made = cls(np.zeros((size + 1 + tails) * (dim + 1) + 2 * dim * dim, np.float32), size, dim, starts)
-        made.r[:] = np.random.default_rng(seed).normal(0, 0.1, made.r.shape)
+        made.r[: size + 1] = np.random.default_rng(seed).normal(0, 0.1, (size + 1, dim))
         made.c1[:] = np.eye(dim)
         made.c2[:] = np.eye(dim) * 0.5
         made.bias[:size] = np.log(frequencies)
@@ -254,8 +255,15 @@ class LogBilinear:
         run = np.searchsorted(self.starts, unit.astype(np.int64) - self.size - 1, "right") - 1
         return np.where(unit > self.size, self.first_run + run, unit)
 
+    def vectors(self, unit: np.ndarray) -> np.ndarray:
+        """Vectors of the units as contexts: a word in a run has its run's and its own."""
+        inside = np.flatnonzero(unit > self.size)
+        out = self.r[unit]
+        out[inside] += self.r[self.symbols(unit[inside])]
+        return out
+
     def contexts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.r[one] @ self.c1 + self.r[two] @ self.c2
+        return self.vectors(one) @ self.c1 + self.vectors(two) @ self.c2
 
     def log_normalisers(self, context: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
         """Over the units lo to hi (all symbols)."""
@@ -301,9 +309,12 @@ def log_shares(starts: np.ndarray, within: np.ndarray) -> np.ndarray:
 
 
 def _sum_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if ids.max() < 1 << 16:
+        ids = ids.astype(np.uint16)  # numpy sorts these by radix
     order = np.argsort(ids, kind="stable")
-    keys, first = np.unique(ids[order], return_index=True)
-    return keys, np.add.reduceat(rows[order], first, axis=0)
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[first].astype(np.int64), np.add.reduceat(rows[order], first, axis=0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -319,7 +330,7 @@ class Trainer:
         self.model, self.log_noise = model, np.log(frequencies * NOISE).astype(np.float32)
         self.rising = np.cumsum(frequencies)
         self.rng = np.random.default_rng(seed)
-        self.squares = LogBilinear(np.full(len(model.flat), 1e-2, np.float32), model.size, model.dim, model.starts)
+        self.squares = LogBilinear(np.full(len(model.flat), SQUARES, np.float32), model.size, model.dim, model.starts)
         self.met = np.zeros(len(model.rows), np.float32)
         self.tokens = 0
         if model.starts[-1]:
@@ -346,7 +357,7 @@ class Trainer:
         m, n = self.model, len(unit)
         symbol = m.symbols(unit)
         noise = np.minimum(np.searchsorted(self.rising, self.rng.random(NOISE)), m.size - 1)
-        r1, r2, rw, rn = m.r[one], m.r[two], m.r[symbol], m.r[noise]
+        r1, r2, rw, rn = m.vectors(one), m.vectors(two), m.r[symbol], m.r[noise]
         q = r1 @ m.c1 + r2 @ m.c2
         up = _sigmoid(-(np.einsum("ij,ij->i", q, rw) + m.bias[symbol] - self.log_noise[symbol]))
         down = _sigmoid(q @ rn.T + (m.bias[noise] - self.log_noise[noise]))
@@ -357,10 +368,13 @@ class Trainer:
             at, more, more_ids, more_rows = self._within(q, unit, symbol)
             dq[at] += more
             ids, rows = ids + more_ids, rows + more_rows
-        none = np.zeros((n, 1), np.float32)  # contexts have no bias
-        ids += [one, two]
-        rows += [np.concatenate([dq @ m.c1.T, none], 1), np.concatenate([dq @ m.c2.T, none], 1)]
-        keys, grad = _sum_rows(np.concatenate(ids), np.concatenate(rows).astype(np.float32))
+        # A context in a run changes its own vector and its run's; contexts have no bias.
+        held, grad = _sum_rows(np.concatenate([one, two]), np.concatenate([dq @ m.c1.T, dq @ m.c2.T]))
+        grad = np.concatenate([grad, np.zeros((len(held), 1), np.float32)], 1)
+        inside = np.flatnonzero(held > m.size)
+        ids += [held, m.symbols(held[inside])]
+        rows += [grad, grad[inside]]
+        keys, grad = _sum_rows(np.concatenate(ids), np.concatenate(rows).astype(np.float32, copy=False))
         for old, seen, g in ((m.c1, self.squares.c1, r1.T @ dq / n), (m.c2, self.squares.c2, r2.T @ dq / n)):
             seen += g**2
             old += RATE * g / np.sqrt(seen)
