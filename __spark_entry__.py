@@ -664,6 +664,22 @@ daily AS (SELECT *, {_tick("ts", 86400)} AS day FROM logged)
                CAST(row_number() OVER (PARTITION BY p.prefix ORDER BY f.count DESC, f.display) AS INTEGER) AS pos
         FROM (VALUES {asked}) AS p(prefix, norm) JOIN freq f ON starts_with(f.query, p.norm))
       WHERE pos <= 10"""
+    q["prefix_index_radix"] = q["prefix_index_documents"]
+    q["radix_nodes_documents"] = _with(*_DOCS_FREQ) + """
+      SELECT n_queries, count(*) AS n_nodes, CAST(sum(label_chars) AS BIGINT) AS label_chars FROM (
+        SELECT n_queries, first_query, max(length(prefix)) AS label_chars FROM (
+          SELECT substr(f.query, 1, l.plen) AS prefix, count(*) AS n_queries, min(f.query) AS first_query
+          FROM freq f, unnest(range(1, least(length(f.query), 40) + 1)) AS l(plen)
+          WHERE NOT suffix(substr(f.query, 1, l.plen), ' ') GROUP BY 1)
+        GROUP BY n_queries, first_query)
+      GROUP BY n_queries"""
+    q["radix_lookup_lines"] = _with(
+        *_LINES_FREQ, _LINE_EVENTS, _TYPED.format(src="search_events"), line_keys, _direct_answers("freq", "asked", "ans")
+    ) + " SELECT prefix, rank, pos, query, count, score FROM ans WHERE length(prefix) <= 40"
+    q["rebalance_documents"] = q["remap_add_node_documents"]
+    q["placement_documents"] = _with(
+        *_DOCS_FREQ, doc_keys, _ring(("redis-1", "redis-2", "redis-3"), "ring"), _owner("doc_keys", "key", "ring", "owned")
+    ) + " SELECT key, node FROM owned"
     q["flush_stream"] = q["flush_assignment"]
     q["pending_flush_stream"] = q["pending_view"]
     q["history_stream"] = q["user_history"]

@@ -332,6 +332,56 @@ def _with_reason(keys: DataFrame) -> DataFrame:
     return keys if "reason" in keys.columns else keys.withColumn("reason", F.lit(None).cast("string"))
 
 
+def _with_chains(live: DataFrame) -> DataFrame:
+    """``prefix, _chain``: the distinct asked prefixes and the lengths of those among them
+    that each begins with, its own included. Keys are cut, never queries."""
+    asked = live.select("prefix").distinct().checkpoint(eager=True)  # joined with its own prefixes
+    cut = explode_prefixes(asked.withColumnRenamed("prefix", "_p"), "_p", 1 << 30)
+    return cut.join(asked, "prefix", "left_semi").groupBy(F.col("_p").alias("prefix")).agg(F.collect_list(F.length("prefix")).alias("_chain"))
+
+
+def _deepest_asked(numbered: DataFrame, chains: DataFrame) -> DataFrame:
+    """``_ord, count, score, prefix, _chain``: every query with the longest asked prefix that it
+    begins with, if it has one.
+
+    Keys and queries are sorted together, in ranges. All texts between a query and a key that
+    it begins with begin with that key too; so the query's longest key is one of those that
+    its nearest key before it begins with, which may stand in an earlier range."""
+    queries = numbered.select(F.col("query").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("array<int>").alias("_chain"), "_ord", "count", "score")
+    keys = chains.select(
+        F.col("prefix").alias("_t"), F.lit(0).alias("_kind"), "_chain",
+        *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in ("_ord", "count", "score")],
+    )
+    both = queries.unionByName(keys).repartitionByRange("_t", "_kind").sortWithinPartitions("_t", "_kind")
+    both = both.withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    key = F.when(F.col("_kind") == 0, F.struct("_t", "_chain"))
+    before = Window.partitionBy("_range").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("_near", F.last(key, ignorenulls=True).over(before)).filter(F.col("_kind") == 1)
+    last = both.groupBy("_range").agg(F.max(key).alias("_last"))  # one row a range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_range", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    near = here.join(broadcast_if_small(carried), "_range").withColumn("_near", F.coalesce("_near", "_carried"))
+    begins = F.filter("_near._chain", lambda n: F.col("_t").substr(F.lit(1), n) == F.col("_near._t").substr(F.lit(1), n))
+    near = near.withColumn("_chain", begins).filter(F.size("_chain") > 0)
+    return near.select("_ord", "count", "score", F.col("_t").substr(F.lit(1), F.array_max("_chain")).alias("prefix"), "_chain")
+
+
+def _top_by_deepest(numbered: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """``prefix, rank, pos, _ord`` of the asked keys, when they are too many for a broadcast:
+    each query is a candidate once, of its longest asked prefix; that prefix's k best are
+    candidates of the shorter ones."""
+    deepest = _deepest_asked(numbered, _with_chains(live))
+    entries = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), _metric(r).alias("m")) for r in RANKS])).alias("e")
+    rows = deepest.select("prefix", "_chain", "_ord", entries).select("prefix", "_chain", "_ord", F.col("e.rank").alias("rank"), F.col("e.m").alias("_m"))
+    best = [F.col("_m").desc(), F.col("_ord").asc()]
+    w = Window.partitionBy("prefix", "rank").orderBy(*best)
+    own = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
+    up = own.withColumn("_len", F.explode("_chain")).withColumn("prefix", F.col("prefix").substr(F.lit(1), F.col("_len"))).drop("_len", "_chain")
+    short = F.length("prefix") <= SHORT_PREFIX
+    up = up.join(live.select("prefix", "rank"), ["prefix", "rank"], "left_semi")
+    return _top_numbers(up.filter(short), up.filter(~short), k)
+
+
 def bulk_suggest(
     freq: DataFrame,
     keys: DataFrame,
@@ -346,8 +396,9 @@ def bulk_suggest(
     request validation), then joined on the prefix. When the keys are few
     (rows and bytes checked) they are broadcast and the top-k window sees candidates
     without a shuffle first, so its partial limit applies on the map side.
-    Otherwise the top-k is computed for every prefix at those lengths and
-    joined to the keys afterwards, so no prefix's candidates meet in one task.
+    Otherwise keys and queries are sorted together and each query meets the longest
+    key that it begins with; lists then go up to the shorter keys (see
+    :func:`_top_by_deepest`), so no query is cut at lengths that nobody asked for.
 
     Returns ``prefix, rank, n_requests, status, suggestions, reason`` with status
     ``skip`` (empty prefix), ``error`` (rejected, with the reason) or ``miss``
@@ -367,12 +418,12 @@ def bulk_suggest(
     if not lengths:  # only blank or rejected requests
         return _without_list(keys)
     numbered = _numbered(freq)
-    short, long = _cut(_narrow(numbered, RANKS), 1 << 30, lengths)
     if n_keys <= broadcast_max_rows and key_bytes <= BROADCAST_MAX_BYTES:
+        short, long = _cut(_narrow(numbered, RANKS), 1 << 30, lengths)
         wanted = F.broadcast(live.select("prefix", "rank"))
         top = _top_numbers(*(c.join(wanted, ["prefix", "rank"], "left_semi") for c in (short, long)), k)
     else:
-        top = _top_numbers(short, long, k).join(live.select("prefix", "rank"), ["prefix", "rank"], "left_semi")
+        top = _top_by_deepest(numbered, live, k)
     answers = to_index(_with_text(top, numbered)).drop("computed_at")
     answered = live.join(answers, ["prefix", "rank"], "left").select(
         "prefix",

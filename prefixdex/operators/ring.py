@@ -45,9 +45,9 @@ def bucket_shift(virtual_nodes: int) -> int:
     return 32 - min(24, max(8, (virtual_nodes - 1).bit_length()))
 
 
-def ring_buckets(ring: DataFrame, shift: int = 24) -> DataFrame:
-    """Owner intervals ``(lo, hi]`` split on the hash without its ``shift`` low bits:
-    ``bucket, lo, hi, node``. Equal hashes keep the earliest-added entry."""
+def owner_intervals(ring: DataFrame) -> DataFrame:
+    """``lo, hi, node``: who owns the hashes in ``(lo, hi]``. Equal hashes keep the
+    earliest-added entry."""
     first = ring.groupBy("hash").agg(F.min_by("node", "ord").alias("node"))
     w = Window.orderBy("hash")  # the ring is small (nodes × vnodes rows)
     iv = first.select(
@@ -61,15 +61,18 @@ def ring_buckets(ring: DataFrame, shift: int = 24) -> DataFrame:
         "node", F.lit(HASH_SPACE - 1).cast("bigint").alias("hi"), F.col("_last").alias("lo")
     )
     head = iv.select("node", "hi", F.coalesce(F.col("lo"), F.lit(-1).cast("bigint")).alias("lo"))
-    pieces = head.unionByName(wrap).filter(F.col("hi") > F.col("lo"))
-    return pieces.select(
-        "lo",
-        "hi",
-        "node",
-        F.explode(
-            F.sequence(F.shiftright(F.col("lo") + 1, shift), F.shiftright(F.col("hi"), shift))
-        ).alias("bucket"),
-    )
+    return head.unionByName(wrap).filter(F.col("hi") > F.col("lo")).select("lo", "hi", "node")
+
+
+def in_buckets(intervals: DataFrame, shift: int = 24) -> DataFrame:
+    """Intervals split on the hash without its ``shift`` low bits (``bucket``)."""
+    buckets = F.sequence(F.shiftright(F.col("lo") + 1, shift), F.shiftright(F.col("hi"), shift))
+    return intervals.withColumn("bucket", F.explode(buckets))
+
+
+def ring_buckets(ring: DataFrame, shift: int = 24) -> DataFrame:
+    """Owner intervals ``(lo, hi]`` by bucket: ``lo, hi, node, bucket``."""
+    return in_buckets(owner_intervals(ring), shift)
 
 
 def assign_owner(keys: DataFrame, key: str, ring: DataFrame, out: str = "node") -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from prefixdex.functions.keys import cache_key
 from prefixdex.functions.text import normalize, short_name
-from prefixdex.operators import decay, events, frequency, history, prefix, reports, ring
+from prefixdex.operators import decay, events, frequency, history, prefix, radix, reports, ring
+from prefixdex.plans import placement
 from prefixdex.plans.session import work_dir
 from prefixdex.sources import catalog, store, tables
 
@@ -641,6 +642,47 @@ def q_index_store_lines(spark, d):
     return stored.read_index(spark, _stored_lines(spark, d))
 
 
+def q_prefix_index_radix(spark, d):
+    """O13 path-compressed, expanded to the lists of every prefix again."""
+    return radix.expand(radix.build_radix(freq_documents(spark, d)))
+
+
+def q_radix_nodes_documents(spark, d):
+    """The nodes of the tree by the number of queries in them, and the prefixes they stand for."""
+    tree = radix.nodes(freq_documents(spark, d))
+    return tree.groupBy("n_queries").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(F.length("label")).alias("label_chars"))
+
+
+def q_radix_lookup_lines(spark, d):
+    """Lookups by longest matching node: the lists of the asked prefixes of at most 40 characters."""
+    keys = prefix.request_keys(tables.typed_requests(tables.line_events(spark, d)), "typed", "rank")
+    asked = keys.filter((F.col("prefix") != "") & F.col("reason").isNull() & (F.length("prefix") <= prefix.MAX_INDEXED_PREFIX))
+    return radix.lookup_radix(radix.build_radix(freq_lines(spark, d)), asked)
+
+
+def _placed(spark, d) -> str:
+    """The document keys on three nodes, in the shared folder."""
+    root = work_dir(spark, "placement")
+    placement.create(_document_keys(spark, d), root, _ring(spark))
+    return root
+
+
+def q_rebalance_documents(spark, d):
+    """O35 from the stored keys in changed intervals alone."""
+    root = _placed(spark, d)
+    n_keys = placement.read(spark, root).count()
+    moved, _ = placement.moves(spark, root, _ring(spark, (*NODES, NEW_NODE)))
+    return placement.rebalance_report(moved, n_keys, new_nodes=(NEW_NODE,))
+
+
+def q_placement_documents(spark, d):
+    """The stored keys and their nodes after a node has joined and another one has left."""
+    root = _placed(spark, d)
+    placement.rebalance(spark, root, _ring(spark, (*NODES, NEW_NODE)), 1)
+    placement.rebalance(spark, root, _ring(spark, (*NODES[1:], NEW_NODE)), 2)
+    return placement.read(spark, root).select("key", "node")
+
+
 def q_routing_lines(spark, d):
     from prefixdex.functions.predicates import is_fresh
 
@@ -658,6 +700,11 @@ def q_personalized_merge_lines(spark, d):
 
 
 QUERIES = {
+    "prefix_index_radix": q_prefix_index_radix,
+    "radix_nodes_documents": q_radix_nodes_documents,
+    "radix_lookup_lines": q_radix_lookup_lines,
+    "rebalance_documents": q_rebalance_documents,
+    "placement_documents": q_placement_documents,
     "catalog_rejects_lines": q_catalog_rejects_lines,
     "search_validation_lines": q_search_validation_lines,
     "upsert_lines": q_upsert_lines,
