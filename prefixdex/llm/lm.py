@@ -237,6 +237,8 @@ class LogBilinear:
         self.r, self.bias = self.rows[:, :dim], self.rows[:, dim]
         self.c1 = flat[a : a + b].reshape(dim, dim)
         self.c2 = flat[a + b : a + 2 * b].reshape(dim, dim)
+        self.of = np.arange(len(self.rows), dtype=np.int32)  # the symbol of every unit
+        self.of[size + 1 :] = np.repeat(np.arange(self.first_run, size - 1), np.diff(self.starts))
 
     @classmethod
     def start(cls, frequencies: np.ndarray, dim: int = DIM, seed: int = 5, starts: np.ndarray | None = None, within: np.ndarray | None = None) -> LogBilinear:
@@ -252,14 +254,13 @@ class LogBilinear:
 
     def symbols(self, unit: np.ndarray) -> np.ndarray:
         """The symbol of every unit: a word in a run has its run."""
-        run = np.searchsorted(self.starts, unit.astype(np.int64) - self.size - 1, "right") - 1
-        return np.where(unit > self.size, self.first_run + run, unit)
+        return self.of[unit]
 
     def vectors(self, unit: np.ndarray) -> np.ndarray:
         """Vectors of the units as contexts: a word in a run has its run's and its own."""
         inside = np.flatnonzero(unit > self.size)
-        out = self.r[unit]
-        out[inside] += self.r[self.symbols(unit[inside])]
+        out = self.rows.take(unit, 0)[:, : self.dim]
+        out[inside] += self.rows.take(self.symbols(unit[inside]), 0)[:, : self.dim]
         return out
 
     def contexts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -269,14 +270,19 @@ class LogBilinear:
         """Over the units lo to hi (all symbols)."""
         hi = self.size if hi is None else hi
         out = np.empty(len(context))
-        targets, bias = np.ascontiguousarray(self.r[lo:hi].T), np.ascontiguousarray(self.bias[lo:hi])
-        for a in range(0, len(context), 2048):
-            score = context[a : a + 2048] @ targets
-            score += bias
-            top = score.max(1, keepdims=True)
-            score -= top
+        if not len(context):
+            return out
+        targets, one = np.ascontiguousarray(self.rows[lo:hi].T), np.ones(hi - lo, np.float32)
+        longest = np.sqrt(np.square(context).sum(1).max() * np.square(self.r[lo:hi]).sum(1).max())
+        shifted = not longest + np.abs(self.bias[lo:hi]).max() < 60  # else no score overflows or vanishes
+        for a in range(0, len(context), 512):
+            q = context[a : a + 512]
+            score = np.concatenate([q, np.ones((len(q), 1), np.float32)], 1) @ targets
+            if shifted:
+                top = score.max(1, keepdims=True)
+                score -= top
             np.exp(score, out=score)
-            out[a : a + 2048] = np.log(score.sum(1)) + top[:, 0]
+            out[a : a + 512] = np.log(score @ one) + (top[:, 0] if shifted else 0)
         return out
 
     def _slice(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -313,12 +319,21 @@ def _sum_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
         ids = ids.astype(np.uint16)  # numpy sorts these by radix
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[first].astype(np.int64), np.add.reduceat(rows[order], first, axis=0)
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+    back = np.empty(len(ids), np.int64)
+    back[order] = np.cumsum(new) - 1
+    keys = ids[new].astype(np.int64)
+    out = np.empty((len(keys), rows.shape[1]), np.float32)
+    for k, column in enumerate(rows.T.astype(np.float64, order="C")):
+        out[:, k] = np.bincount(back, column)
+    return keys, out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+    x = np.tanh(x * np.float32(0.5))
+    x += 1
+    x *= 0.5
+    return x
 
 
 class Trainer:
@@ -357,13 +372,14 @@ class Trainer:
         m, n = self.model, len(unit)
         symbol = m.symbols(unit)
         noise = np.minimum(np.searchsorted(self.rising, self.rng.random(NOISE)), m.size - 1)
-        r1, r2, rw, rn = m.vectors(one), m.vectors(two), m.r[symbol], m.r[noise]
+        r1, r2, target, rn = m.vectors(one), m.vectors(two), m.rows.take(symbol, 0), m.r[noise]
+        rw = target[:, :-1]
         q = r1 @ m.c1 + r2 @ m.c2
-        up = _sigmoid(-(np.einsum("ij,ij->i", q, rw) + m.bias[symbol] - self.log_noise[symbol]))
+        up = _sigmoid(-(np.einsum("ij,ij->i", q, rw) + target[:, -1] - self.log_noise[symbol]))
         down = _sigmoid(q @ rn.T + (m.bias[noise] - self.log_noise[noise]))
         dq = up[:, None] * rw - down @ rn
         with_bias = np.concatenate([q, np.ones((n, 1), np.float32)], 1)
-        ids, rows = [symbol, noise], [up[:, None] * with_bias, -down.T @ with_bias]
+        ids, rows = [symbol, noise], [up[:, None] * with_bias, -(down.T @ with_bias)]
         if m.starts[-1]:
             at, more, more_ids, more_rows = self._within(q, unit, symbol)
             dq[at] += more
@@ -379,9 +395,13 @@ class Trainer:
             seen += g**2
             old += RATE * g / np.sqrt(seen)
         grad /= n
-        seen = self.squares.rows[keys] + grad**2
+        seen = self.squares.rows.take(keys, 0)
+        seen += np.square(grad)
         self.squares.rows[keys] = seen
-        m.rows[keys] += RATE * grad / np.sqrt(seen)
+        grad *= RATE
+        grad /= np.sqrt(seen, out=seen)
+        grad += m.rows.take(keys, 0)
+        m.rows[keys] = grad
         self.met[keys] += 1
         self.tokens += n
 
