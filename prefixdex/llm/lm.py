@@ -60,9 +60,11 @@ SQUARES = 1e-4  # what AdaGrad starts from
 PART_BYTES = 8 << 20  # texts scored together: the more, the fewer distinct contexts
 BUCKET_BYTES = 16 << 20  # text for each bucket of words
 _FLUSH = 2_000_000  # distinct words a task holds before it passes counts on
-_SLICE = 1 << 18  # tokens whose contexts are held at a time
+_SLICE = 1 << 20  # tokens whose contexts are held at a time
+_BLOCK = 1 << 13  # vectors worked on at a time
 _ROWS = 4096  # vectors in a chunk of changes
 _FAN = 64
+_CLASS_OF = (words.mix(np.arange(1 << 16)) % np.uint64(CLASSES)) << np.uint64(58)  # of the last two bytes
 
 
 def _train(column: str = "doc_id"):
@@ -85,8 +87,10 @@ def _scan(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hashed = words.hashes(lowered, starts, ends)
     last = ends - 1
     last = last - ((last > starts) & (lowered[last] < 0x30))
-    tail = lowered[last].astype(np.uint64) << np.uint64(8) | lowered[np.maximum(last - 1, starts)]
-    return (words.mix(tail) % np.uint64(CLASSES)) << np.uint64(58) | hashed >> np.uint64(6), words.owners(offsets, starts)
+    tail = lowered[last].astype(np.uint16) << np.uint16(8) | lowered[np.maximum(last - 1, starts)]
+    hashed >>= np.uint64(6)
+    hashed |= _CLASS_OF[tail]
+    return hashed, words.owners(offsets, starts)
 
 
 def _class(keys: np.ndarray) -> np.ndarray:
@@ -264,7 +268,11 @@ class LogBilinear:
         return out
 
     def contexts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.vectors(one) @ self.c1 + self.vectors(two) @ self.c2
+        out = np.empty((len(one), self.dim), np.float32)
+        for a in range(0, len(one), _BLOCK):
+            at = slice(a, a + _BLOCK)
+            out[at] = self.vectors(one[at]) @ self.c1 + self.vectors(two[at]) @ self.c2
+        return out
 
     def log_normalisers(self, context: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
         """Over the units lo to hi (all symbols)."""
@@ -273,7 +281,7 @@ class LogBilinear:
         if not len(context):
             return out
         targets, one = np.ascontiguousarray(self.rows[lo:hi].T), np.ones(hi - lo, np.float32)
-        longest = np.sqrt(np.square(context).sum(1).max() * np.square(self.r[lo:hi]).sum(1).max())
+        longest = np.sqrt(np.einsum("ij,ij->i", context, context).max() * np.square(self.r[lo:hi]).sum(1).max())
         shifted = not longest + np.abs(self.bias[lo:hi]).max() < 60  # else no score overflows or vanishes
         for a in range(0, len(context), 512):
             q = context[a : a + 512]
@@ -290,17 +298,25 @@ class LogBilinear:
         pairs, back = np.unique(one.astype(np.int64) * wide + two, return_inverse=True)
         context = self.contexts(pairs // wide, pairs % wide)
         symbol = self.symbols(unit)
-        out = np.einsum("ij,ij->i", context[back], self.r[symbol]) + self.bias[symbol] - self.log_normalisers(context)[back]
+        out = -self.log_normalisers(context)[back]
+        for a in range(0, len(unit), _BLOCK):
+            at = slice(a, a + _BLOCK)
+            out[at] += self._scores(context.take(back[at], 0), symbol[at])
         inside = np.flatnonzero(unit > self.size)
-        inside = inside[np.argsort(symbol[inside], kind="stable")]
-        cuts = np.searchsorted(symbol[inside], self.first_run + np.arange(len(self.starts)))
+        run = symbol[inside] - self.first_run
+        order = np.argsort(run.astype(np.uint16) if len(self.starts) < 1 << 16 else run, kind="stable")
+        inside, cuts = inside[order], np.searchsorted(run[order], np.arange(len(self.starts)))
         for k in np.flatnonzero(np.diff(cuts)):
             at = inside[cuts[k] : cuts[k + 1]]
-            q = context[back[at]]
+            q = context.take(back[at], 0)
             lo, hi = self.size + 1 + self.starts[k], self.size + 1 + self.starts[k + 1]
-            out[at] += np.einsum("ij,ij->i", q, self.r[unit[at]]) + self.bias[unit[at]] - self.log_normalisers(q, lo, hi)
+            out[at] += self._scores(q, unit[at]) - self.log_normalisers(q, lo, hi)
         return out
 
+    def _scores(self, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        to = self.rows.take(unit, 0)
+        return np.einsum("ij,ij->i", context, to[:, :-1]) + to[:, -1]
+
     def log_probabilities(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities."""
         if not len(unit):
@@ -314,7 +330,8 @@ def log_shares(starts: np.ndarray, within: np.ndarray) -> np.ndarray:
     return np.log(within / np.repeat(whole, np.diff(starts)))
 
 
-def _sum_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, and the place of each id among them."""
     if ids.max() < 1 << 16:
         ids = ids.astype(np.uint16)  # numpy sorts these by radix
     order = np.argsort(ids, kind="stable")
@@ -322,11 +339,12 @@ def _sum_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.concatenate([[True], ids[1:] != ids[:-1]])
     back = np.empty(len(ids), np.int64)
     back[order] = np.cumsum(new) - 1
-    keys = ids[new].astype(np.int64)
-    out = np.empty((len(keys), rows.shape[1]), np.float32)
-    for k, column in enumerate(rows.T.astype(np.float64, order="C")):
-        out[:, k] = np.bincount(back, column)
-    return keys, out
+    return ids[new].astype(np.int64), back
+
+
+def _sums(back: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
+    """Of each row of ``columns`` the sums of the values with one place."""
+    return np.stack([np.bincount(back, c, size) for c in columns]).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -352,48 +370,58 @@ class Trainer:
             self.risen = np.concatenate([[0], np.cumsum(within)]).astype(np.float64)
             self.log_within = (log_shares(model.starts, within) + np.log(NOISE_WITHIN)).astype(np.float32)
 
-    def _within(self, q: np.ndarray, unit: np.ndarray, symbol: np.ndarray):
-        """Gradients of the words in runs: the tokens and what their contexts get, ids and rows."""
+    def _within(self, q: np.ndarray, columns: np.ndarray, unit: np.ndarray, symbol: np.ndarray):
+        """Gradients of the words in runs: the tokens and what their contexts get, ids and columns."""
         m, base = self.model, self.model.size + 1
         at = np.flatnonzero(unit > m.size)
         run, word = symbol[at] - m.first_run, unit[at]
         lo, hi = m.starts[run], m.starts[run + 1]
-        drawn = self.risen[lo][:, None] + self.rng.random((len(at), NOISE_WITHIN)) * (self.risen[hi] - self.risen[lo])[:, None]
-        noise = np.clip(np.searchsorted(self.risen, drawn, "right") - 1, lo[:, None], hi[:, None] - 1)
-        qw, rw, rn = q[at], m.r[word], m.r[base + noise]
-        up = _sigmoid(-(np.einsum("ij,ij->i", qw, rw) + m.bias[word] - self.log_within[word - base]))
-        down = _sigmoid(np.einsum("ij,ikj->ik", qw, rn) + m.bias[base + noise] - self.log_within[noise])
-        dq = up[:, None] * rw - np.einsum("ik,ikj->ij", down, rn)
-        with_bias = np.concatenate([qw, np.ones((len(at), 1), np.float32)], 1)
-        false = -(down[:, :, None] * with_bias[:, None, :]).reshape(-1, m.dim + 1)
-        return at, dq, [word, (base + noise).ravel()], [up[:, None] * with_bias, false]
+        floor, ceiling = self.risen[lo], self.risen[hi]
+        qw, own, to = q.take(at, 0), columns.take(at, 1), m.rows.take(word, 0)
+        up = _sigmoid(self.log_within[word - base] - to[:, -1] - np.einsum("ij,ij->i", qw, to[:, :-1]))
+        dq, ids, rows = up[:, None] * to[:, :-1], [word], [up * own]
+        for _ in range(NOISE_WITHIN):
+            drawn = floor + self.rng.random(len(at)) * (ceiling - floor)
+            noise = np.clip(np.searchsorted(self.risen, drawn, "right") - 1, lo, hi - 1)
+            to = m.rows.take(base + noise, 0)
+            down = _sigmoid(np.einsum("ij,ij->i", qw, to[:, :-1]) + to[:, -1] - self.log_within[noise])
+            dq -= down[:, None] * to[:, :-1]
+            ids.append(base + noise), rows.append(-down * own)
+        return at, dq, ids, rows
 
     def step(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m, n = self.model, len(unit)
         symbol = m.symbols(unit)
         noise = np.minimum(np.searchsorted(self.rising, self.rng.random(NOISE)), m.size - 1)
-        r1, r2, target, rn = m.vectors(one), m.vectors(two), m.rows.take(symbol, 0), m.r[noise]
-        rw = target[:, :-1]
-        q = r1 @ m.c1 + r2 @ m.c2
-        up = _sigmoid(-(np.einsum("ij,ij->i", q, rw) + target[:, -1] - self.log_noise[symbol]))
-        down = _sigmoid(q @ rn.T + (m.bias[noise] - self.log_noise[noise]))
-        dq = up[:, None] * rw - down @ rn
-        with_bias = np.concatenate([q, np.ones((n, 1), np.float32)], 1)
-        ids, rows = [symbol, noise], [up[:, None] * with_bias, -(down.T @ with_bias)]
+        to, false = m.rows.take(symbol, 0), m.rows.take(noise, 0)
+        held, back = _distinct(np.concatenate([one, two]))
+        context, near, far = m.vectors(held), back[:n], back[n:]
+        q = (context @ m.c1).take(near, 0)
+        q += (context @ m.c2).take(far, 0)
+        columns = np.ones((m.dim + 1, n), np.float32)  # of the contexts, and of what the bias is multiplied by
+        columns[:-1] = q.T
+        up = _sigmoid(self.log_noise[symbol] - to[:, -1] - np.einsum("ij,ij->i", q, to[:, :-1]))
+        false[:, -1] -= self.log_noise[noise]
+        down = _sigmoid(false @ columns)
+        dq = up[:, None] * to[:, :-1] - down.T @ false[:, :-1]
+        ids, rows = [symbol, noise], [up * columns, -(columns @ down.T)]
         if m.starts[-1]:
-            at, more, more_ids, more_rows = self._within(q, unit, symbol)
+            at, more, more_ids, more_rows = self._within(q, columns, unit, symbol)
             dq[at] += more
             ids, rows = ids + more_ids, rows + more_rows
         # A context in a run changes its own vector and its run's; contexts have no bias.
-        held, grad = _sum_rows(np.concatenate([one, two]), np.concatenate([dq @ m.c1.T, dq @ m.c2.T]))
-        grad = np.concatenate([grad, np.zeros((len(held), 1), np.float32)], 1)
+        dq = np.ascontiguousarray(dq.T)
+        g1, g2 = _sums(near, dq, len(held)), _sums(far, dq, len(held))
+        grad = np.concatenate([m.c1 @ g1 + m.c2 @ g2, np.zeros((1, len(held)), np.float32)])
         inside = np.flatnonzero(held > m.size)
         ids += [held, m.symbols(held[inside])]
-        rows += [grad, grad[inside]]
-        keys, grad = _sum_rows(np.concatenate(ids), np.concatenate(rows).astype(np.float32, copy=False))
-        for old, seen, g in ((m.c1, self.squares.c1, r1.T @ dq / n), (m.c2, self.squares.c2, r2.T @ dq / n)):
+        rows += [grad, grad.take(inside, 1)]
+        keys, back = _distinct(np.concatenate(ids))
+        grad = _sums(back, np.concatenate(rows, 1), len(keys))
+        for old, seen, g in ((m.c1, self.squares.c1, context.T @ g1.T / n), (m.c2, self.squares.c2, context.T @ g2.T / n)):
             seen += g**2
             old += RATE * g / np.sqrt(seen)
+        grad = np.ascontiguousarray(grad.T)
         grad /= n
         seen = self.squares.rows.take(keys, 0)
         seen += np.square(grad)
