@@ -562,9 +562,11 @@ def _line_lookup(spark, d):
     f = freq_lines(spark, d).checkpoint(eager=True)
     now = F.lit(NOW).cast("timestamp")
     age = F.when(F.length("prefix") % 5 == 0, F.lit(3600)).otherwise(F.lit(60))
-    index = prefix.build_index(f).withColumn("computed_at", now - F.make_interval(secs=age))
+    root = work_dir(spark, "line-index")
+    store.write_index(prefix.build_runs(f), root)
+    index = store.read_index(spark, root).withColumn("computed_at", now - F.make_interval(secs=age))
     req = tables.typed_requests(tables.line_events(spark, d))
-    return index.checkpoint(eager=True), f, prefix.request_keys(req, "typed", "rank").checkpoint(eager=True), now
+    return index, f, prefix.request_keys(req, "typed", "rank").checkpoint(eager=True), now
 
 
 def _served(ans):

@@ -79,3 +79,19 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
 def dataset_size(freq: DataFrame) -> DataFrame:
     """Number of rows in the frequency table, as a one-row DataFrame."""
     return freq.agg(F.count(F.lit(1)).alias("dataset_size"))
+
+
+def write_index(runs: DataFrame, root: str, version: int = 0) -> None:
+    """The prefix index as its runs (``prefix.build_runs``), each with a number."""
+    runs.withColumn("_run", F.monotonically_increasing_id()).write.mode("overwrite").parquet(version_path(root, version))
+
+
+def read_index(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """``prefix, rank, suggestions`` of every prefix. The lists stand beside the prefixes and
+    are joined by the run's number, so that a join with some keys (left semi or anti), which
+    Spark makes below that join, shuffles prefixes without lists."""
+    from prefixdex.operators.prefix import expand_runs
+
+    stored = read_version(spark, root, version)
+    entries = expand_runs(stored.select("prefix", "lo", "ranks", "_run"))
+    return entries.join(stored.select("_run", "suggestions"), "_run").select("prefix", "rank", "suggestions")
