@@ -72,7 +72,9 @@ def personalized_merge(
     and numbers from there.
 
     Both lists are bounded (≤ 50 entries of a user, ≤ k of a prefix), so they are
-    joined as arrays, one row per user and one per prefix: a request stays one
+    joined as arrays, one row per user and one per prefix: the user's entries first, of
+    which a request keeps only those that match it, so that it meets its global list
+    without the others and is not shuffled with that list. A request stays one
     row until its merged list is done, a much-asked prefix or user is a skewed
     join key with one row on the other side (which AQE splits), and no text is
     cut into its prefixes."""
@@ -81,8 +83,8 @@ def personalized_merge(
     req = req.filter(F.col("_p") != "")  # blank input shows the recent view instead
     listed = global_long.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("pos", "query", "count", "score"))).alias("_g"))
     own = history.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("_h"))
-    both = req.join(listed, "prefix", "left").join(own, "user_id", "left")
-    both = both.withColumn("_h", F.filter("_h", lambda x: F.lower(x["q"]).startswith(F.col("_p"))))
+    both = req.join(own, "user_id", "left")
+    both = both.withColumn("_h", F.filter("_h", lambda x: F.lower(x["q"]).startswith(F.col("_p")))).join(listed, "prefix", "left")
 
     def from_list(x):
         """The history entry, with the text and numbers of its twin in the list."""

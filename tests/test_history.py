@@ -34,3 +34,16 @@ def test_personalized_merge(spark):
     assert [q for q, p, _ in u1[2:]] == ["red hat", "red box", "red a", "red b", "red c", "red d", "red e", "red f"]
     assert len(u1) == 10
     assert [r for r in got if r.user_id == 2] == []
+
+
+def test_history_is_narrowed_before_the_global_list_is_joined(spark):
+    """A request is not shuffled with its global list and all of the user's entries."""
+    req = spark.createDataFrame([(1, "ab"), (2, "x")], "user_id long, typed string")
+    own = spark.createDataFrame([(1, 1, "Abba"), (1, 2, "zeta")], "user_id long, pos int, q string")
+    glob = spark.createDataFrame([("ab", 1, "abacus", 5, 5.0), ("ab", 2, "abba", 3, 3.0)], "prefix string, pos int, query string, count long, score double")
+    out = history.personalized_merge(req, own, glob)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    by_prefix, by_user = plan.index("Join LeftOuter, (prefix"), plan.index("Join LeftOuter, (user_id")
+    assert "filter(_h#" in plan[by_prefix:by_user]
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(1, "ab", 1, "abba", 3, 3.0, True), (1, "ab", 2, "abacus", 5, 5.0, False)]
