@@ -162,9 +162,20 @@ def in_ranges(freq: DataFrame, max_len: int = MAX_INDEXED_PREFIX) -> DataFrame:
     shares with others are those that it shares with one of its neighbours (up to
     ``_shared`` characters), and those that go on in another range are shared with the
     last query before the range or the first one after it (up to ``_open``)."""
-    order = F.monotonically_increasing_id()  # partition and, in the low 33 bits, position
     rows = freq.filter(F.length("query") >= 1).repartitionByRange("query").sortWithinPartitions("query")
-    rows = rows.select(order.alias("_ord"), F.col("query").substr(1, max_len).alias("_key"), F.col("display").alias("query"), "count", "score")
+    rows = rows.select(F.col("query").substr(1, max_len).alias("_key"), F.col("display").alias("query"), "count", "score")
+    dealt, key = _dealt(rows), F.col("_key")
+    dealt = dealt.withColumn("_open", F.greatest(*[_lcp(key, F.col(c), max_len) for c in ("_before", "_after")]))
+    inside = F.greatest(*[_lcp(key, F.col(c), max_len) for c in ("_prev", "_next")])
+    return dealt.withColumn("_shared", F.greatest("_open", inside)).drop("_before", "_after", "_prev", "_next")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows that are sorted by ``_key``, in ranges of at most ``NEIGHBOUR_CHUNK`` of them, each in
+    one task: ``_range``, the row's number ``_ord``, its neighbours ``_prev`` and ``_next`` in the
+    range, the last key before the range and the first one after it."""
+    order = F.monotonically_increasing_id()  # partition and, in the low 33 bits, position
+    rows = rows.select(order.alias("_ord"), "*")
     position = F.col("_ord").bitwiseAND(F.lit((1 << 33) - 1))
     rows = rows.withColumn("_range", F.col("_ord") - position + F.floor(position / NEIGHBOUR_CHUNK)).checkpoint(eager=True)
     w = Window.orderBy("_range")  # one row a range
@@ -172,10 +183,7 @@ def in_ranges(freq: DataFrame, max_len: int = MAX_INDEXED_PREFIX) -> DataFrame:
     ends = ends.select("_range", F.lag("_last").over(w).alias("_before"), F.lead("_first").over(w).alias("_after")).checkpoint(eager=True)
     dealt = rows.join(broadcast_if_small(ends), "_range").repartitionByRange(max(1, ends.count()), "_range")
     key, near = F.col("_key"), Window.partitionBy("_range").orderBy("_key")
-    dealt = dealt.withColumn("_prev", F.lag(key).over(near)).withColumn("_next", F.lead(key).over(near))
-    dealt = dealt.withColumn("_open", F.greatest(*[_lcp(key, F.col(c), max_len) for c in ("_before", "_after")]))
-    inside = F.greatest(*[_lcp(key, F.col(c), max_len) for c in ("_prev", "_next")])
-    return dealt.withColumn("_shared", F.greatest("_open", inside)).drop("_before", "_after", "_prev", "_next")
+    return dealt.withColumn("_prev", F.lag(key).over(near)).withColumn("_next", F.lead(key).over(near))
 
 
 def with_ranks(rows: DataFrame, ranks: Sequence[str] = RANKS) -> DataFrame:
@@ -556,8 +564,15 @@ def affected_prefixes(
 ) -> DataFrame:
     """Distinct ``prefix, rank, key`` whose lists a change to the given
     queries can alter: prefixes of length 1..min(len, max_len) not ending in a
-    space, under every rank."""
-    p = explode_prefixes(changed.select(F.col(query).alias("query")), "query", max_len).select("prefix").distinct()
+    space, under every rank.
+
+    Queries with a common prefix are contiguous in sorted order: each gives those of its
+    prefixes that the query before it lacks, so the queries are shuffled, not the prefixes."""
+    key = F.col(query).substr(1, max_len).alias("_key")
+    rows = changed.select(key).filter(F.length("_key") >= 1).repartitionByRange("_key").sortWithinPartitions("_key")
+    known = _lcp(F.col("_key"), F.coalesce("_prev", "_before"), max_len)
+    new = _dealt(rows).select("_key", (known + 1).alias("_lo")).checkpoint(eager=True)  # compared once
+    p = cut_key(new, F.col("_lo"), F.length("_key")).select("prefix")
     return p.select(
         "prefix", F.explode(F.array(*[F.lit(r) for r in ranks])).alias("rank")
     ).withColumn("key", cache_key("prefix", "rank"))

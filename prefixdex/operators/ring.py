@@ -75,15 +75,16 @@ def ring_buckets(ring: DataFrame, shift: int = 24) -> DataFrame:
     return in_buckets(owner_intervals(ring), shift)
 
 
-def assign_owner(keys: DataFrame, key: str, ring: DataFrame, out: str = "node") -> DataFrame:
-    """Add ``out`` = owning node of ``key``."""
+def assign_owner(keys: DataFrame, key: str, ring: DataFrame, out: str = "node", hashed: str | None = None) -> DataFrame:
+    """Add ``out`` = owning node of ``key``, and its hash as ``hashed`` if named."""
     from prefixdex.plans.session import broadcast_if_small
 
     shift = bucket_shift(ring.count())
     b = broadcast_if_small(ring_buckets(ring, shift).withColumnRenamed("node", out))
     h = keys.withColumn("_h", hash32(F.col(key))).withColumn("_b", F.shiftright(F.col("_h"), shift))
     cond = (F.col("_b") == F.col("bucket")) & (F.col("_h") > F.col("lo")) & (F.col("_h") <= F.col("hi"))
-    return h.join(b, cond, "inner").drop("_h", "_b", "bucket", "lo", "hi")
+    owned = h.join(b, cond, "inner").drop("_b", "bucket", "lo", "hi")
+    return owned.withColumnRenamed("_h", hashed) if hashed else owned.drop("_h")
 
 
 def node_balance(owned: DataFrame, node: str = "node") -> DataFrame:
@@ -121,19 +122,24 @@ def remap_report(
     return out.withColumn("moved_pct", F.round(F.col("moved") * 100.0 / F.col("keys"), 2))
 
 
-def delete_batches(owned: DataFrame, key: str = "key", node: str = "node", batch_size: int = 1000) -> DataFrame:
+def delete_batches(owned: DataFrame, key: str = "key", node: str = "node", batch_size: int = 1000, unique: bool = False, hashed: str | None = None) -> DataFrame:
     """Distinct keys grouped by owner into delete batches of about
     ``batch_size`` keys: ``node, batch, n_keys, keys``.
 
     A node owns about 1/n of all keys, so one list per node would be an
     unbounded group; the keys of a node are spread over
-    ``ceil(keys/batch_size)`` batches by their hash. The owned keys are made
-    once, in the shared folder, and read for the counts and for the batches."""
-    d = owned.select(F.col(key).alias("key"), F.col(node).alias("node")).distinct().checkpoint(eager=True)
+    ``ceil(keys/batch_size)`` batches by their hash (``hashed``: the column that has
+    it). The distinct owned keys are made once, in the shared folder, and read for the
+    counts and for the batches. Keys that are ``unique`` already (the caller's word) are
+    derived twice instead. Keys are shuffled one by one: a task has few of a batch."""
+    h = F.col(hashed) if hashed else hash32(key)
+    d = owned.select(F.col(key).alias("key"), F.col(node).alias("node"), h.alias("_h"))
+    if not unique:
+        d = d.distinct().checkpoint(eager=True)
     per = d.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(batch_size)).alias("_nb"))
     # one row per node: bounded by the ring size
-    d = d.join(F.broadcast(per), "node").withColumn("batch", F.pmod(hash32("key"), F.col("_nb")))
-    return d.groupBy("node", "batch").agg(
+    d = d.join(F.broadcast(per), "node").select("node", F.pmod("_h", F.col("_nb")).alias("batch"), "key")
+    return d.repartition("node", "batch").groupBy("node", "batch").agg(
         F.count(F.lit(1)).alias("n_keys"), F.sort_array(F.collect_list("key")).alias("keys")
     )
 

@@ -257,8 +257,8 @@ def q_remap_remove_node_documents(spark, d):
 
 def q_delete_batches_documents(spark, d):
     keys = prefix.affected_prefixes(freq_documents(spark, d))
-    owned = ring.assign_owner(keys, "key", _ring(spark))
-    b = ring.delete_batches(owned, "key", "node", DELETE_BATCH)
+    owned = ring.assign_owner(keys, "key", _ring(spark), hashed="hash")
+    b = ring.delete_batches(owned, "key", "node", DELETE_BATCH, unique=True, hashed="hash")  # affected prefixes are distinct
     return b.select("node", "batch", "n_keys", F.element_at("keys", 1).alias("first_key"), F.element_at("keys", -1).alias("last_key"))
 
 

@@ -83,6 +83,27 @@ def test_delete_batches_cover_all_keys(spark):
     assert all(r.n_keys == len(r["keys"]) for r in b)
 
 
+def test_unique_keys_are_shuffled_once_into_their_batches(spark):
+    """The affected prefixes of queries are distinct as they are cut, so neither they nor their
+    keys pass a shuffle that looks for twins."""
+    from prefixdex.operators import prefix
+
+    words = [f"{a}{b} {c}é" for a in ("x", "xy", "ab") for b in ("q", "qq", "") for c in ("r", "rs", "t" * 45)]
+    changed = spark.createDataFrame([(w,) for w in [*words, *words, "", None]], "query string")
+    keys = prefix.affected_prefixes(changed)
+    owned = ring.assign_owner(keys, "key", ring.ring_table(spark, ["a", "b"]), hashed="hash")
+    made = ring.delete_batches(owned, "key", "node", 10, unique=True, hashed="hash")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [prefix#" not in plan and "Aggregate [key#" not in plan
+    want = {f"sug:{r}:{w[:n]}" for w in words for n in range(1, min(len(w), 40) + 1) if w[n - 1] != " " for r in ("count", "recent")}
+    got = [k for r in made.collect() for k in r["keys"]]
+    assert sorted(got) == sorted(want)
+    again = ring.delete_batches(owned.drop("hash"), "key", "node", 10)
+    assert sorted(map(tuple, ((r.node, r.batch, r.n_keys, tuple(r["keys"])) for r in again.collect()))) == sorted(
+        (r.node, r.batch, r.n_keys, tuple(r["keys"])) for r in made.collect()
+    )
+
+
 def test_routing_report_hit_and_miss(spark):
     from conftest import seed_freq
     from prefixdex.operators import prefix
