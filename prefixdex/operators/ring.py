@@ -81,7 +81,8 @@ def assign_owner(keys: DataFrame, key: str, ring: DataFrame, out: str = "node",
 
     shift = bucket_shift(ring.count())
     b = broadcast_if_small(ring_buckets(ring, shift).withColumnRenamed("node", out))
-    h = keys.withColumn("_h", hash32(F.col(key))).withColumn("_b", F.shiftright(F.col("_h"), shift))
+    # Never null (a null key has no bucket): no filter before the join hashes the key again.
+    h = keys.withColumn("_h", F.coalesce(hash32(F.col(key)), F.lit(-1))).withColumn("_b", F.shiftright(F.col("_h"), shift))
     cond = (F.col("_b") == F.col("bucket")) & (F.col("_h") > F.col("lo")) & (F.col("_h") <= F.col("hi"))
     owned = h.join(b, cond, "inner").drop("_b", "bucket", "lo", "hi")
     return owned.withColumnRenamed("_h", hashed) if hashed else owned.drop("_h")

@@ -3,6 +3,8 @@ import hashlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from prefixdex.operators import ring
 
 
@@ -104,6 +106,14 @@ def test_unique_keys_are_shuffled_once_into_their_batches(spark):
     )
 
 
+def test_a_key_is_hashed_once_for_its_owner(spark):
+    keys = spark.createDataFrame([("k1",), (None,)], "key string").filter(F.col("key").isNull() | (F.col("key") != "x"))
+    owned = ring.assign_owner(keys, "key", ring.ring_table(spark, ["a", "b"]))
+    filters = [x for x in owned._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x]
+    assert not any("md5" in x for x in filters)
+    assert [r.key for r in owned.collect()] == ["k1"]
+
+
 def test_routing_report_hit_and_miss(spark):
     from conftest import seed_freq
     from prefixdex.operators import prefix
