@@ -81,29 +81,32 @@ def personalized_merge(
     req = requests.select("user_id", "typed").distinct()
     req = req.withColumn("_p", history_key(F.col("typed"))).withColumn("prefix", normalize(F.col("typed")))
     req = req.filter(F.col("_p") != "")  # blank input shows the recent view instead
-    listed = global_long.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("pos", "query", "count", "score"))).alias("_g"))
-    own = history.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("_h"))
+    # The compared texts are lower-cased once for a prefix and once for a user, not for each
+    # request; entries beyond ``limit`` cannot be listed, nor can the suggestions behind them.
+    key = F.lower("query").alias("k")
+    listed = global_long.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("pos", "query", "count", "score", key))).alias("_g"))
+    own = history.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", "q", F.lower("q").alias("k")))).alias("_h"))
     both = req.join(own, "user_id", "left")
-    both = both.withColumn("_h", F.filter("_h", lambda x: F.lower(x["q"]).startswith(F.col("_p")))).join(listed, "prefix", "left")
+    matching = F.slice(F.filter("_h", lambda x: x["k"].startswith(F.col("_p"))), 1, limit)
+    both = both.withColumn("_h", matching).join(listed, "prefix", "left")
 
     def from_list(x):
         """The history entry, with the text and numbers of its twin in the list."""
-        twin = F.get(F.filter("_g", lambda y: F.lower(y["query"]) == F.lower(x["q"])), F.lit(0))
+        twin = F.get("_g", F.array_position("_g.k", x["k"]).cast("int") - 1)
         return F.struct(
             F.coalesce(twin["query"], x["q"]).alias("query"), twin["count"].alias("count"), twin["score"].alias("score"),
             F.lit(True).alias("personalized"),
         )
 
     mine = F.transform("_h", from_list)
-    named = F.coalesce(F.transform("_h", lambda x: F.lower(x["q"])), F.array().cast("array<string>"))
+    named = F.coalesce("_h.k", F.array().cast("array<string>"))
     rest = F.transform(
-        F.filter("_g", lambda y: ~F.array_contains(F.col("_named"), F.lower(y["query"]))),
+        F.filter("_g", lambda y: ~F.array_contains(named, y["k"])),
         lambda y: F.struct(y["query"].alias("query"), y["count"].alias("count"), y["score"].alias("score"), F.lit(False).alias("personalized")),
     )
     none = F.array().cast("array<struct<query:string,count:bigint,score:double,personalized:boolean>>")
     merged = F.slice(F.concat(F.coalesce(mine, none), F.coalesce(rest, none)), 1, limit)
     return (
-        both.withColumn("_named", named)
-        .select("user_id", "typed", F.posexplode(merged).alias("_i", "_e"))
+        both.select("user_id", "typed", F.posexplode(merged).alias("_i", "_e"))
         .select("user_id", "typed", (F.col("_i") + 1).alias("pos"), "_e.query", "_e.count", "_e.score", "_e.personalized")
     )

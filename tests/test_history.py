@@ -47,3 +47,20 @@ def test_history_is_narrowed_before_the_global_list_is_joined(spark):
     assert "filter(_h#" in plan[by_prefix:by_user]
     got = sorted(tuple(r) for r in out.collect())
     assert got == [(1, "ab", 1, "abba", 3, 3.0, True), (1, "ab", 2, "abacus", 5, 5.0, False)]
+
+
+def test_texts_are_lower_cased_once_for_a_user_and_a_prefix(spark):
+    """Not in the functions that go over a request's entries and suggestions."""
+    req = spark.createDataFrame([(1, "A"), (1, "ab"), (2, "x"), (3, "q")], "user_id long, typed string")
+    own = spark.createDataFrame([(1, n, f"ABc{n}") for n in range(1, 13)] + [(3, 1, "Q")], "user_id long, pos int, q string")
+    glob = spark.createDataFrame(
+        [("ab", 1, "abC3", 5, 5.0), ("ab", 2, "abd", 3, 3.0), ("x", 1, "X1", 2, 2.0), ("q", 1, None, 1, 1.0)],
+        "prefix string, pos int, query string, count long, score double",
+    )
+    out = history.personalized_merge(req, own, glob)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(lower(" not in plan and "lower(lambda" not in plan
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    abc = [(1, "ab", n, "abC3" if n == 3 else f"ABc{n}", 5 if n == 3 else None, 5.0 if n == 3 else None, True) for n in range(1, 11)]
+    a = [(1, "A", n, f"ABc{n}", None, None, True) for n in range(1, 11)]
+    assert got == sorted([*abc, *a, (2, "x", 1, "X1", 2, 2.0, False), (3, "q", 1, "Q", None, None, True)], key=str)
