@@ -410,6 +410,7 @@ def _files_by_time(spark, d, root: str, batches: int) -> str:
 
 def _user_event_stream(spark, d, source: str):
     raw = spark.readStream.schema(tables.load(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    raw = raw.repartition("event_id")  # a batch is one file, which one task reads
     part = tables.load(spark, d, "part").select("p_partkey", "p_name")
     n_parts = part.count()  # a literal: a micro-batch plan has no scalar subqueries
     return raw.join(part, (raw.event_id % n_parts) == part.p_partkey).select(

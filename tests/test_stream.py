@@ -208,3 +208,17 @@ def test_replay_after_partial_failure(spark, tmp_path):
     cols = list(prefix.LONG_COLUMNS)
     rebuilt = prefix.build_index_long(ss.read_frequency(spark, f_root))
     assert _sorted(ss.read_index(spark, i_root).select(*cols)) == _sorted(rebuilt.select(*cols))
+
+
+def test_a_batch_of_one_file_is_spread_before_its_texts_are_read(spark, tmp_path):
+    import datetime as dt
+
+    from prefixdex.plans import registry
+
+    d = str(tmp_path)
+    rows = [(i, dt.datetime(2024, 1, 1), i % 3, "view") for i in range(20)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{d}/events.parquet")
+    spark.createDataFrame([(0, "pen"), (1, "cup")], "p_partkey long, p_name string").write.parquet(f"{d}/part.parquet")
+    stream = registry._user_event_stream(spark, d, f"{d}/events.parquet")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Join") < plan.index("RepartitionByExpression")
