@@ -194,8 +194,12 @@ class Symbols:
         unit[top] = np.arange(len(top))
         unit[rest] = self.size + 1 + np.arange(len(rest))
         self.head_counts, self.within = counts[top], counts[rest]
-        order = np.argsort(vocabulary)
+        # Words by the low bits of their keys: those of slot s are slots[s] to slots[s + 1].
+        self.mask = np.uint64((1 << (2 * len(vocabulary)).bit_length()) - 1)
+        slot = vocabulary & self.mask
+        order = np.argsort(slot, kind="stable")
         self.words, self.units = vocabulary[order], unit[order]
+        self.slots = np.searchsorted(slot[order], np.arange(int(self.mask) + 2, dtype=np.uint64)).astype(np.int32)
 
     def frequencies(self) -> np.ndarray:
         each = np.add.reduceat(self.within, self.starts[:-1]) if len(self.within) else self.within
@@ -208,13 +212,24 @@ class Symbols:
         n[: self.other], n[self.end], n[self.size + 1 :] = self.head_counts, self.n_ends, self.within
         return n
 
+    def known(self, hashed: np.ndarray, default: np.ndarray) -> np.ndarray:
+        """The unit of every word of the vocabulary, ``default`` for the other words."""
+        slot, out = (hashed & self.mask).astype(np.int64), default.astype(np.int32)
+        at, end = self.slots.take(slot), self.slots.take(slot + 1)
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            here = self.words.take(at) == hashed[left]
+            out[left[here]] = self.units.take(at[here])
+            at += 1
+            more = ~here & (at < end)
+            left, at, end = left[more], at[more], end[more]
+        return out
+
     def sequence(self, hashed: np.ndarray, doc: np.ndarray, n_docs: int):
         """Unit, its two predecessors and its row, for all texts with their ends;
         and the unit of every word."""
-        own = self.other + _class(hashed)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
-            own = np.where(self.words[at] == hashed, self.units[at], own)
+        own = self.known(hashed, self.other + _class(hashed))
         length = np.bincount(doc, minlength=n_docs) + 1
         last = np.cumsum(length) - 1
         unit = np.full(len(hashed) + n_docs, self.end, np.int32)
@@ -283,14 +298,17 @@ class LogBilinear:
         targets, one = np.ascontiguousarray(self.rows[lo:hi].T), np.ones(hi - lo, np.float32)
         longest = np.sqrt(np.einsum("ij,ij->i", context, context).max() * np.square(self.r[lo:hi]).sum(1).max())
         shifted = not longest + np.abs(self.bias[lo:hi]).max() < 60  # else no score overflows or vanishes
-        for a in range(0, len(context), 512):
-            q = context[a : a + 512]
-            score = np.concatenate([q, np.ones((len(q), 1), np.float32)], 1) @ targets
+        rows = min(len(context), 512)
+        q, scores = np.ones((rows, self.dim + 1), np.float32), np.empty((rows, hi - lo), np.float32)
+        for a in range(0, len(context), rows):
+            n = min(rows, len(context) - a)
+            q[:n, :-1] = context[a : a + n]
+            score = np.matmul(q[:n], targets, out=scores[:n])
             if shifted:
                 top = score.max(1, keepdims=True)
                 score -= top
             np.exp(score, out=score)
-            out[a : a + 512] = np.log(score @ one) + (top[:, 0] if shifted else 0)
+            out[a : a + n] = np.log(score @ one) + (top[:, 0] if shifted else 0)
         return out
 
     def _slice(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -330,21 +348,46 @@ def log_shares(starts: np.ndarray, within: np.ndarray) -> np.ndarray:
     return np.log(within / np.repeat(whole, np.diff(starts)))
 
 
-def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids, and the place of each id among them."""
-    if ids.max() < 1 << 16:
-        ids = ids.astype(np.uint16)  # numpy sorts these by radix
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    new = np.concatenate([[True], ids[1:] != ids[:-1]])
-    back = np.empty(len(ids), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return ids[new].astype(np.int64), back
+class _Steps:
+    """Where values fall among ascending numbers that start at 0, as ``searchsorted`` to the
+    right of equal ones; the steps of a table lead to the place, or near it."""
+
+    def __init__(self, bounds: np.ndarray):
+        self.bounds, steps = bounds, 2 * len(bounds)
+        self.rate = steps / bounds[-1]
+        self.first = np.searchsorted((bounds * self.rate).astype(np.int64), np.arange(steps + 2))
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        at = self.first.take((values * self.rate).astype(np.int64))
+        left = np.flatnonzero(self.bounds.take(at) <= values)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] < len(self.bounds)]
+            left = left[self.bounds.take(at[left]) <= values[left]]
+        return at
+
+
+class _Places:
+    """Tells the ids below ``size`` apart without sorting them."""
+
+    def __init__(self, size: int):
+        self.met, self.place = np.zeros(size, bool), np.empty(size, np.int64)
+
+    def distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct ids, ascending, and the place of each id among them."""
+        self.met[ids] = True
+        found = np.flatnonzero(self.met)
+        self.met[found] = False
+        self.place[found] = np.arange(len(found))
+        return found, self.place.take(ids)
 
 
 def _sums(back: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
     """Of each row of ``columns`` the sums of the values with one place."""
-    return np.stack([np.bincount(back, c, size) for c in columns]).astype(np.float32)
+    out = np.empty((len(columns), size), np.float32)
+    for sums, column in zip(out, columns, strict=True):
+        sums[:] = np.bincount(back, column, size)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -365,9 +408,11 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
         self.squares = LogBilinear(np.full(len(model.flat), SQUARES, np.float32), model.size, model.dim, model.starts)
         self.met = np.zeros(len(model.rows), np.float32)
+        self.places = _Places(len(model.rows))
         self.tokens = 0
         if model.starts[-1]:
             self.risen = np.concatenate([[0], np.cumsum(within)]).astype(np.float64)
+            self.steps = _Steps(self.risen)
             self.log_within = (log_shares(model.starts, within) + np.log(NOISE_WITHIN)).astype(np.float32)
 
     def _within(self, q: np.ndarray, columns: np.ndarray, unit: np.ndarray, symbol: np.ndarray):
@@ -382,7 +427,7 @@ class Trainer:
         dq, ids, rows = up[:, None] * to[:, :-1], [word], [up * own]
         for _ in range(NOISE_WITHIN):
             drawn = floor + self.rng.random(len(at)) * (ceiling - floor)
-            noise = np.clip(np.searchsorted(self.risen, drawn, "right") - 1, lo, hi - 1)
+            noise = np.clip(self.steps.places(drawn) - 1, lo, hi - 1)
             to = m.rows.take(base + noise, 0)
             down = _sigmoid(np.einsum("ij,ij->i", qw, to[:, :-1]) + to[:, -1] - self.log_within[noise])
             dq -= down[:, None] * to[:, :-1]
@@ -394,7 +439,7 @@ class Trainer:
         symbol = m.symbols(unit)
         noise = np.minimum(np.searchsorted(self.rising, self.rng.random(NOISE)), m.size - 1)
         to, false = m.rows.take(symbol, 0), m.rows.take(noise, 0)
-        held, back = _distinct(np.concatenate([one, two]))
+        held, back = self.places.distinct(np.concatenate([one, two]))
         context, near, far = m.vectors(held), back[:n], back[n:]
         q = (context @ m.c1).take(near, 0)
         q += (context @ m.c2).take(far, 0)
@@ -416,7 +461,7 @@ class Trainer:
         inside = np.flatnonzero(held > m.size)
         ids += [held, m.symbols(held[inside])]
         rows += [grad, grad.take(inside, 1)]
-        keys, back = _distinct(np.concatenate(ids))
+        keys, back = self.places.distinct(np.concatenate(ids))
         grad = _sums(back, np.concatenate(rows, 1), len(keys))
         for old, seen, g in ((m.c1, self.squares.c1, context.T @ g1.T / n), (m.c2, self.squares.c2, context.T @ g2.T / n)):
             seen += g**2
@@ -504,7 +549,7 @@ def train(docs: DataFrame, symbols: Symbols, dim: int = DIM) -> LogBilinear:
         summed = grouped.applyInArrow(_added_changes, schema)
     model = LogBilinear.start(symbols.frequencies(), dim, starts=symbols.starts, within=symbols.within)
     at = len(model.rows) * (dim + 1)
-    for r in summed.toLocalIterator():  # one model
+    for r in tables.save(summed, "model").toLocalIterator():  # one model
         weight, body = np.frombuffer(r["weight"], np.float32), np.frombuffer(r["body"], np.float32)
         if r["chunk"] < 0:
             model.flat[at:] += body / weight
@@ -527,19 +572,20 @@ def _requests(docs: DataFrame, symbols: Symbols, model: LogBilinear, buckets: in
         # What the model's score subtracts for a word within its class.
         share = np.zeros(len(base))
         share[known.other : known.run] = np.log10(known.n_other + 0.1 * (known.v_other + 1))
-        for rows, data, offsets in words.parts(batches, size=PART_BYTES):
+
+        def asked(part: str, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
             hashed, doc = _scan(data, offsets)
             n = rows.num_rows
             unit, one, two, of, own = known.sequence(hashed, doc, n)
             logs = net.log_probabilities(unit, one, two) / np.log(10)
+            del one, two
             usual = (unit < known.other) | (unit >= known.end)
-            part = f"{task}-{k}"
-            k += 1
             sums = np.stack([
                 np.bincount(of, minlength=n), np.bincount(of, logs - share[unit], n),
                 np.bincount(of, np.where(usual, base[unit], 0), n),
                 np.bincount(of, usual & ((unit != known.end) | (known.n_ends > 0)), n),
             ]).astype(np.float64)
+            del unit, of, logs, usual
             ids = rows.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             absent = rows.column(0).is_null().to_numpy(zero_copy_only=False)
             train = np.array(rows.column(2).to_pylist(), bool)
@@ -561,11 +607,15 @@ def _requests(docs: DataFrame, symbols: Symbols, model: LogBilinear, buckets: in
                         out.append((part, b, keys[word[x] : word[x] + 1].tobytes(), np.array([1], np.uint32).tobytes(), np.array([text[x]], np.uint32).tobytes(), np.array([now], np.uint16).tobytes()))
                         left -= now
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
                 ["part", "bucket", "a", "b", "c", "d"],
             )
 
+        for rows, data, offsets in words.parts(batches, size=PART_BYTES):
+            yield asked(f"{task}-{k}", rows, data, offsets)
+            k += 1
+
     return _rows(docs).mapInArrow(run, schema)
 
 

@@ -158,3 +158,33 @@ def test_training_approaches_the_data():
     after = trainer.model.log_probabilities(symbol, one, two).mean()
     best = np.log(follows[one, symbol]).mean()
     assert after - before > 0.8 * (best - before)
+
+
+def test_tables_of_steps_and_slots_find_what_a_search_finds():
+    rng = np.random.default_rng(6)
+    for counts in ([1], [5, 1, 1, 900_000, 3], rng.integers(1, 9, 3000), rng.zipf(1.3, 20_000).clip(1, 10**7)):
+        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(float)
+        values = np.concatenate([bounds, np.nextafter(bounds[1:], 0), rng.random(5000) * bounds[-1]])
+        assert (lm._Steps(bounds).places(values) == np.searchsorted(bounds, values, "right")).all()
+    places = lm._Places(500)
+    for _ in range(3):
+        ids = rng.integers(0, 500, 200)
+        for got, want in zip(places.distinct(ids), np.unique(ids, return_inverse=True), strict=True):
+            assert (got == want).all()
+    symbols, keys, _, known = _symbols()
+    units = symbols.known(keys, np.full(len(keys), -1))
+    assert (np.flatnonzero(units >= 0) == np.flatnonzero(known)).all() and len(np.unique(units[known])) == known.sum()
+    none = lm.Symbols(keys[:0], np.zeros(0, np.int64), 1, np.zeros(lm.CLASSES, np.int64), np.zeros(lm.CLASSES, np.int64))
+    assert (none.known(keys, np.full(len(keys), -1)) == -1).all()
+
+
+def test_training_gets_texts_in_bounded_batches(spark, make_docs, monkeypatch):
+    saved, save = {}, lm.tables.save
+
+    def spy(df, name):
+        saved[name] = df.columns
+        return save(df, name)
+
+    monkeypatch.setattr(lm.tables, "save", spy)  # it limits what Python is handed at a time
+    assert lm.score(make_docs([(i, f"word{i % 7} a b") for i in range(60)])).count() == 60
+    assert saved["model"] == ["chunk", "part", "ids", "body", "weight"]
