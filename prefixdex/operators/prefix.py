@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -374,10 +375,32 @@ def _with_reason(keys: DataFrame) -> DataFrame:
 
 def _with_chains(live: DataFrame) -> DataFrame:
     """``prefix, _chain``: the distinct asked prefixes and the lengths of those among them
-    that each begins with, its own included. Keys are cut, never queries."""
-    asked = live.select("prefix").distinct().checkpoint(eager=True)  # joined with its own prefixes
-    cut = explode_prefixes(asked.withColumnRenamed("prefix", "_p"), "_p", 1 << 30)
-    return cut.join(asked, "prefix", "left_semi").groupBy(F.col("_p").alias("prefix")).agg(F.collect_list(F.length("prefix")).alias("_chain"))
+    that each begins with, its own included.
+
+    Sorted, all keys between one and a longer one that begins with it begin with it too. So a
+    key's chain is what it shares of the chain of the key before it; only the first key
+    of each range is cut, for those that stand in earlier ranges (``held``, shortest first)."""
+    asked = live.select("prefix").filter(~F.col("prefix").endswith(" ")).distinct()
+    asked = asked.repartitionByRange("prefix").sortWithinPartitions("prefix").withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    first = asked.groupBy("_range").agg(F.min("prefix").alias("_p"))  # one row a range
+    cut = explode_prefixes(first, "_p", 1 << 30).filter(F.col("prefix") != F.col("_p")).select("_p", "prefix")
+    key = [F.length("prefix").alias("n"), F.col("prefix").cast("binary").alias("bytes")]
+    held = asked.join(F.broadcast(cut), "prefix").groupBy("_p").agg(F.sort_array(F.collect_list(F.struct(*key))).alias("held"))
+    rows = asked.join(F.broadcast(held), F.col("prefix") == F.col("_p"), "left").select("prefix", *key, "held")
+
+    def run(batches):
+        above = []
+        for batch in batches:
+            chains = []
+            for n, text, held in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                above.extend((x["bytes"], x["n"]) for x in held or ())
+                while above and not text.startswith(above[-1][0]):
+                    above.pop()
+                above.append((text, n))
+                chains.append([x[1] for x in above])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chains, pa.list_(pa.int32()))], ["prefix", "_chain"])
+
+    return rows.mapInArrow(run, "prefix string, _chain array<int>").checkpoint(eager=True)  # sampled and sorted
 
 
 def _deepest_asked(numbered: DataFrame, chains: DataFrame) -> DataFrame:

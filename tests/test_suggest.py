@@ -196,3 +196,16 @@ def test_array_and_long_index_round_trip(spark):
     back = prefix.index_to_long(prefix.to_index(long))
     cols = list(prefix.LONG_COLUMNS)
     assert sorted(back.select(*cols).collect()) == sorted(long.select(*cols).collect())
+
+
+def test_chains_of_keys_come_from_the_keys_before_them(spark):
+    """Keys are sorted, not cut into all their prefixes: only the first of each range is."""
+    rng = random.Random(5)
+    keys = {"".join(rng.choice("aé 😀b") for _ in range(rng.randint(1, 9))).strip(" ") for _ in range(900)} - {""}
+    live = spark.createDataFrame([(k, r) for k in keys for r in ("count", "recent")], "prefix string, rank string")
+    cut, explode_prefixes = [], prefix.explode_prefixes
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(prefix, "explode_prefixes", lambda df, *a, **b: cut.append(df) or explode_prefixes(df, *a, **b))
+        got = {r.prefix: sorted(r._chain) for r in prefix._with_chains(live).collect()}
+    assert got == {k: [n for n in range(1, len(k) + 1) if k[:n] in keys] for k in keys}
+    assert max(map(len, got.values())) > 3 and sum(d.count() for d in cut) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
