@@ -55,6 +55,41 @@ def test_lookup_by_the_node_a_prefix_ends_in(spark):
     assert _rows(radix.lookup_radix(radix.build_radix(freq), keys)) == _rows(want)
 
 
+def test_keys_and_labels_meet_in_sorted_order(spark, monkeypatch):
+    """Keys are not cut: a checkpointed tree is joined without an explode."""
+    monkeypatch.setattr(prefix, "NEIGHBOUR_CHUNK", 7)
+    freq = _random_freq(spark, 6)
+    tree = radix.build_radix(freq).checkpoint()
+    queries = [r[0] for r in freq.select("query").collect()]
+    asked = {q[:n] for q in queries for n in range(1, len(q) + 1, 3)} | {"", "  ", "zzz", "a ", "iphone ", "iphone 15 pro maxi", "é" * 50, None}
+    keys = spark.createDataFrame([(p, r) for p in asked for r in ("count", "recent", None)], "prefix string, rank string")
+    found = radix.lookup_radix(tree, keys)
+    want = radix.expand(tree).join(keys, ["prefix", "rank"], "left_semi")
+    ending = [(r.prefix, r.rank, r.pos, r.query, r["count"], r.score) for r in found.filter(F.col("prefix").endswith(" ")).collect()]
+    assert _rows(found.filter(~F.col("prefix").endswith(" "))) == _rows(want) and want.count() > 500
+    nodes = tree.collect()  # a key with a space at its end lies within a node or nowhere
+    whole = [(p, n.rank, n.pos, n.query, n["count"], n.score) for n in nodes for p in asked if p and p.endswith(" ") and p.startswith(n.head) and n.label.startswith(p)]
+    assert sorted(ending) == sorted(whole) and len(whole) > 0
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_branches_are_where_sorted_texts_part(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 60):
+        texts = sorted("".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(n))
+        want = [sorted({len(os.path.commonprefix([t, o])) for j, o in enumerate(texts) if i != j} - {0}) for i, t in enumerate(texts)]
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, _key string").coalesce(1)
+        assert [r["_ends"] for r in sorted(prefix._with_branches(rows).collect(), key=lambda r: r["i"])] == want
+
+
+def test_a_query_is_a_candidate_once_a_node(spark):
+    freq = _random_freq(spark, 9)
+    rows, _ = prefix.in_branches(freq)
+    cut = radix._nodes_within(rows)
+    assert cut.count() == cut.select("label", "query").distinct().count()
+    assert cut.count() < prefix.cut_key(rows, F.col("_open") + 1, F.col("_shared")).count()
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_bulk_suggest_by_sorted_keys_equals_the_broadcast_form(spark, seed):
     freq = _random_freq(spark, seed)
