@@ -282,12 +282,10 @@ class LogBilinear:
         out[inside] += self.rows.take(self.symbols(unit[inside]), 0)[:, : self.dim]
         return out
 
-    def contexts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        out = np.empty((len(one), self.dim), np.float32)
-        for a in range(0, len(one), _BLOCK):
-            at = slice(a, a + _BLOCK)
-            out[at] = self.vectors(one[at]) @ self.c1 + self.vectors(two[at]) @ self.c2
-        return out
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """What every unit gives to a context, as the word before and as the one before that."""
+        r = self.vectors(np.arange(len(self.rows)))
+        return r @ self.c1, r @ self.c2
 
     def log_normalisers(self, context: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
         """Over the units lo to hi (all symbols)."""
@@ -311,10 +309,13 @@ class LogBilinear:
             out[a : a + n] = np.log(score @ one) + (top[:, 0] if shifted else 0)
         return out
 
-    def _slice(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    def _slice(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         wide = len(self.rows)
         pairs, back = np.unique(one.astype(np.int64) * wide + two, return_inverse=True)
-        context = self.contexts(pairs // wide, pairs % wide)
+        before, pairs = np.divmod(pairs, wide)
+        context = first.take(before, 0)
+        for a in range(0, len(pairs), _BLOCK):
+            context[a : a + _BLOCK] += second.take(pairs[a : a + _BLOCK], 0)
         symbol = self.symbols(unit)
         out = -self.log_normalisers(context)[back]
         for a in range(0, len(unit), _BLOCK):
@@ -339,7 +340,8 @@ class LogBilinear:
         """Natural logarithms of the normalised probabilities."""
         if not len(unit):
             return np.zeros(0)
-        return np.concatenate([self._slice(unit[a : a + _SLICE], one[a : a + _SLICE], two[a : a + _SLICE]) for a in range(0, len(unit), _SLICE)])
+        cuts, parts = [slice(a, a + _SLICE) for a in range(0, len(unit), _SLICE)], self.parts()
+        return np.concatenate([self._slice(unit[at], one[at], two[at], *parts) for at in cuts])
 
 
 def log_shares(starts: np.ndarray, within: np.ndarray) -> np.ndarray:
@@ -382,16 +384,23 @@ class _Places:
         return found, self.place.take(ids)
 
 
-def _sums(back: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
-    """Of each row of ``columns`` the sums of the values with one place."""
-    out = np.empty((len(columns), size), np.float32)
-    for sums, column in zip(out, columns, strict=True):
-        sums[:] = np.bincount(back, column, size)
+def _sums(back: np.ndarray, pieces: list, size: int) -> np.ndarray:
+    """Of each row of the pieces, side by side, the sums of the values with one place: added
+    up as doubles, a row at a time."""
+    out = np.empty((len(pieces[0]), size), np.float32)
+    values, sums = np.empty(len(back)), np.empty(size)
+    for k, row in enumerate(out):
+        np.concatenate([x[k] for x in pieces], out=values)
+        sums[:] = 0
+        np.add.at(sums, back, values)
+        row[:] = sums
     return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(x * np.float32(0.5))
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
     x += 1
     x *= 0.5
     return x
@@ -440,7 +449,10 @@ class Trainer:
         noise = np.minimum(np.searchsorted(self.rising, self.rng.random(NOISE)), m.size - 1)
         to, false = m.rows.take(symbol, 0), m.rows.take(noise, 0)
         held, back = self.places.distinct(np.concatenate([one, two]))
-        context, near, far = m.vectors(held), back[:n], back[n:]
+        own = int(np.searchsorted(held, m.size, "right"))  # from here on words in runs
+        runs, near, far = m.symbols(held[own:]), back[:n], back[n:]
+        context = m.rows.take(held, 0)[:, :-1]
+        context[own:] += m.rows.take(runs, 0)[:, :-1]
         q = (context @ m.c1).take(near, 0)
         q += (context @ m.c2).take(far, 0)
         columns = np.ones((m.dim + 1, n), np.float32)  # of the contexts, and of what the bias is multiplied by
@@ -448,7 +460,8 @@ class Trainer:
         up = _sigmoid(self.log_noise[symbol] - to[:, -1] - np.einsum("ij,ij->i", q, to[:, :-1]))
         false[:, -1] -= self.log_noise[noise]
         down = _sigmoid(false @ columns)
-        dq = up[:, None] * to[:, :-1] - down.T @ false[:, :-1]
+        dq = up[:, None] * to[:, :-1]
+        dq -= down.T @ false[:, :-1]
         ids, rows = [symbol, noise], [up * columns, -(columns @ down.T)]
         if m.starts[-1]:
             at, more, more_ids, more_rows = self._within(q, columns, unit, symbol)
@@ -456,13 +469,12 @@ class Trainer:
             ids, rows = ids + more_ids, rows + more_rows
         # A context in a run changes its own vector and its run's; contexts have no bias.
         dq = np.ascontiguousarray(dq.T)
-        g1, g2 = _sums(near, dq, len(held)), _sums(far, dq, len(held))
+        g1, g2 = _sums(near, [dq], len(held)), _sums(far, [dq], len(held))
         grad = np.concatenate([m.c1 @ g1 + m.c2 @ g2, np.zeros((1, len(held)), np.float32)])
-        inside = np.flatnonzero(held > m.size)
-        ids += [held, m.symbols(held[inside])]
-        rows += [grad, grad.take(inside, 1)]
+        ids += [held, runs]
+        rows += [grad, grad[:, own:]]
         keys, back = self.places.distinct(np.concatenate(ids))
-        grad = _sums(back, np.concatenate(rows, 1), len(keys))
+        grad = _sums(back, rows, len(keys))
         for old, seen, g in ((m.c1, self.squares.c1, context.T @ g1.T / n), (m.c2, self.squares.c2, context.T @ g2.T / n)):
             seen += g**2
             old += RATE * g / np.sqrt(seen)

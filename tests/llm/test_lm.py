@@ -178,6 +178,25 @@ def test_tables_of_steps_and_slots_find_what_a_search_finds():
     assert (none.known(keys, np.full(len(keys), -1)) == -1).all()
 
 
+def test_sums_of_pieces_are_those_of_the_whole():
+    rng = np.random.default_rng(9)
+    pieces = [rng.normal(size=(4, n)).astype(np.float32) for n in (5, 0, 400, 31)]
+    back = rng.integers(0, 20, 436)
+    got, whole = lm._sums(back, pieces, 21), np.concatenate(pieces, 1)
+    assert got.dtype == np.float32 and (got == [np.bincount(back, row, 21).astype(np.float32) for row in whole]).all()
+
+
+def test_contexts_are_made_of_what_each_unit_gives():
+    symbols, keys, _, _ = _symbols(400)
+    net = lm.LogBilinear.start(symbols.frequencies(), 6, starts=symbols.starts, within=symbols.within)
+    net.flat[:] = np.random.default_rng(2).normal(0, 0.5, len(net.flat))
+    before, far = net.parts()
+    inside = net.size + 1 + np.arange(len(symbols.within))
+    whole = net.r.copy()
+    whole[inside] += net.r[net.symbols(inside)]
+    assert np.allclose(before, whole @ net.c1, atol=1e-5) and np.allclose(far, whole @ net.c2, atol=1e-5)
+
+
 def test_training_gets_texts_in_bounded_batches(spark, make_docs, monkeypatch):
     saved, save = {}, lm.tables.save
 
