@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import seed_freq
 from prefixdex.operators import prefix, radix
 from prefixdex.plans import stored
-from prefixdex.sources import store
+from prefixdex.sources import bucketed, store
 
 
 def _freq(spark, n=300, seed=7):
@@ -85,3 +85,35 @@ def test_a_flush_takes_long_prefixes_from_the_frequency_buckets(spark, tmp_path)
     lists, _ = stored.refreshed(spark, root, deltas.select("query"), 1)
     filters = re.findall(r"Filter .*length\(prefix#\d+\) < 4", lists._jdf.queryExecution().optimizedPlan().toString())
     assert len(filters) >= 2
+
+
+def test_the_stored_index_has_a_list_once_for_its_prefixes(spark, tmp_path):
+    """One row for nested prefixes of the same queries and for ranks with the same list."""
+    freq = seed_freq(spark, [("abcdef one", 3), ("abcdef two", 2), ("abxyz", 1), ("éé é", 1)])
+    stored.create(freq, str(tmp_path), buckets=4)
+    deltas = freq.limit(1).select("query", "display", F.lit(3).cast("bigint").alias("delta"))
+    for version in (0, 1):
+        if version:
+            stored.apply_deltas(spark, str(tmp_path), deltas, 1)
+        want = _brute(stored.read_frequency(spark, str(tmp_path)))
+        assert _rows(stored.read_index(spark, str(tmp_path))) == want
+        runs = bucketed.read(spark, stored.index_root(str(tmp_path)))
+        assert runs.count() < len({r[:2] for r in want}) / 2
+        long = [(r.prefix, r.lo, sorted(r.ranks)) for r in runs.filter("length(prefix) >= 4").collect()]
+        both = ["count", "recent"]
+        assert sorted(long) == [("abcdef", 4, both), ("abcdef one", 8, both), ("abcdef two", 8, both), ("abxyz", 4, both), ("éé é", 4, both)]
+
+
+def test_buckets_are_written_in_one_pass(spark, tmp_path):
+    """What makes the rows runs once: no sample of them is taken first."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            passes.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(f"{c}{i}", i) for c in ("hot", "warm", "é") for i in range(100)], "k string, n int")
+    bucketed.create(rows.mapInArrow(seen, rows.schema), str(tmp_path), "k", 4)
+    assert passes.value == 300
+    assert sorted(tuple(r) for r in bucketed.read(spark, str(tmp_path)).collect()) == sorted(tuple(r) for r in rows.collect())
