@@ -48,3 +48,27 @@ def test_validate_modes(spark):
     raw = [r.e for r in df.select(validate("s", "raw").alias("e")).collect()]
     assert trimmed == [None, "required", "exceeds 512 chars", "required"]
     assert raw == [None, None, "exceeds 512 chars", None]
+
+
+def test_quick_forms_equal_the_patterns(spark):
+    """Trim, normalize and validation of odd texts as by the patterns alone."""
+    import random
+
+    from prefixdex.functions.predicates import validate
+    from prefixdex.functions.text import WHITESPACE_CLASS as ws
+    from prefixdex.functions.text import normalize, ws_trim
+
+    rng = random.Random(3)
+    odd = "\t\n\r  \u00a0\u1680\u2003\u2028\u3000\ufeffab\u0085\u200b\u00e9\u0130\U0001f600\x00~"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [" " + "x" * n + "\n" for n in (511, 512, 513)] + [" " * 600, None]
+    df = spark.createDataFrame([(t,) for t in texts], "q string")
+    trim = lambda c: F.regexp_replace(c, f"^{ws}+|{ws}+$", "")
+    n = F.length(trim(F.coalesce("q", F.lit(""))))
+    for got, want in (
+        (ws_trim("q"), trim("q")),
+        (normalize("q"), F.trim(F.regexp_replace(F.lower("q"), ws + "+", " "))),
+        (validate("q"), F.when(n == 0, F.lit("required")).when(n > 512, F.lit("exceeds 512 chars"))),
+    ):
+        assert df.filter(~got.eqNullSafe(want)).count() == 0
+    plan = df.select(validate("q"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(coalesce" not in plan.split("> 512")[0]  # the length is looked at first
