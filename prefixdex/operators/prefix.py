@@ -14,7 +14,7 @@ are in a list.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import accumulate
 
 import pyarrow as pa
@@ -358,6 +358,50 @@ def expand_runs(runs: DataFrame) -> DataFrame:
     return cut_key(rows, F.col("lo"), F.length("_key")).drop("_key", "lo", "ranks")
 
 
+def find_runs(runs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``prefix, rank, _run`` of those of the distinct ``prefix, rank`` keys that a run (``prefix, lo,
+    ranks, _run``) stands for.
+
+    All queries that begin with a key begin with its run's prefix, and so do all longer
+    prefixes of runs that begin with the key; so it is the first one from the key on in
+    sorted order. Runs and keys are sorted together, from the last to the first, and
+    neither are cut into prefixes; a key whose run stands in an earlier range gets the
+    last one that those have (``_near`` of ``_lo`` characters at least)."""
+    order = [F.col("_t").desc(), F.col("_lo").desc_nulls_last()]
+    rows = runs.select(F.col("prefix").cast("binary").alias("_t"), F.length("prefix").alias("_n"), F.col("lo").alias("_lo"), "ranks", F.lit(None).cast("string").alias("rank"), "_run")
+    rows = rows.unionByName(keys.select(F.col("prefix").cast("binary").alias("_t"), F.length("prefix").alias("_n"), "rank"), allowMissingColumns=True)
+    rows = rows.filter(F.col("_t").isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    out = T.StructType.fromDDL("_t binary, _n int, rank string, _run long, _near binary, _lo int, _range int")
+
+    def run(batches):
+        near, place, schema = {}, None, ["_t", "_n", "rank", "_run", "_near", "_lo", "_range"]
+        types = [pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema)
+        for batch in batches:
+            found = []
+            for t, n, lo, ranks, rank, run, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lo is not None:
+                    near.update((r, (t, lo, run)) for r in ranks)
+                elif rank not in near:
+                    found.append((t, n, rank, None, None, None, place))
+                elif near[rank][0].startswith(t) and n >= near[rank][1]:
+                    found.append((t, n, rank, near[rank][2], None, None, place))
+            if found:
+                yield made(found)
+        if place is not None:
+            yield made([(None, None, r, *((near[r][2], near[r][0], near[r][1]) if r in near else (None,) * 3), place) for r in RANKS])
+
+    met = rows.mapInArrow(run, out).checkpoint(eager=True)  # sampled and sorted
+    earlier = Window.partitionBy("rank").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range and rank
+    last = F.last(F.when(F.col("_near").isNotNull(), F.struct("_near", "_lo", "_run")), ignorenulls=True).over(earlier)
+    carried = broadcast_if_small(met.filter(F.col("_t").isNull()).select("_range", "rank", last.alias("_e")))
+    rest = met.filter(F.col("_t").isNotNull() & F.col("_run").isNull()).select("_t", "_n", "rank", "_range").join(carried, ["_range", "rank"])
+    rest = rest.filter(F.startswith(F.col("_e._near"), F.col("_t")) & (F.col("_n") >= F.col("_e._lo"))).select("_t", "rank", F.col("_e._run").alias("_run"))
+    here = met.filter(F.col("_t").isNotNull() & F.col("_run").isNotNull()).select("_t", "rank", "_run")
+    found = here.unionByName(rest).select(F.col("_t").cast("string").alias("prefix"), "rank", "_run")
+    return found.filter(~F.col("prefix").endswith(" "))
+
+
 def build_index(freq: DataFrame, k: int = SUGGEST_LIMIT, max_len: int = MAX_INDEXED_PREFIX) -> DataFrame:
     """The materialized prefix index ``prefix, rank, suggestions, computed_at``."""
     index = expand_runs(build_runs(freq, k, max_len))
@@ -577,8 +621,33 @@ def bulk_suggest(
     return answered.unionByName(_without_list(keys))
 
 
+# An index: all its rows ``prefix, rank, suggestions, computed_at``, or what gives those of
+# distinct ``prefix, rank`` keys, as a store does that finds them (``store.read_index``).
+Index = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def rows_of(index: Index, keys: DataFrame) -> DataFrame:
+    """The index rows of the keys (a frame is filtered, map side when the key set is small)."""
+    return index(keys) if callable(index) else index.join(broadcast_if_small(keys), ["prefix", "rank"], "left_semi")
+
+
+def _laid_over(index: Index, newer: DataFrame) -> Index:
+    """The index with the rows ``newer`` instead of its own of the same keys."""
+    columns = ["prefix", "rank", "suggestions", "computed_at"]
+    if callable(index):
+        own = newer.select("prefix", "rank")
+
+        def rows(keys: DataFrame) -> DataFrame:
+            old = index(keys.join(own, ["prefix", "rank"], "left_anti"))
+            return old.select(*columns).unionByName(newer.join(keys, ["prefix", "rank"], "left_semi").select(*columns))
+
+        return rows
+    own = broadcast_if_small(newer.select("prefix", "rank"))
+    return index.select(*columns).join(own, ["prefix", "rank"], "left_anti").unionByName(newer)
+
+
 def lookup(
-    index: DataFrame,
+    index: Index,
     freq: DataFrame,
     keys: DataFrame,
     ttl_seconds: int = 300,
@@ -595,19 +664,16 @@ def lookup(
     Keys and index rows are both unique per (prefix, rank), so the joins have
     no skewed key."""
     keys = _with_reason(keys).checkpoint(eager=True)  # measured, probed and passed on: derive once
-    fresh = index.filter(is_fresh("computed_at", ttl_seconds, now)).select("prefix", "rank", "suggestions")
-    # The index is filtered to the requested keys first (map side when the
-    # key set is small), then joined; the result (≤ one row per key) is
-    # reused twice, so it is materialized once.
-    wanted = broadcast_if_small(keys.filter(F.col("reason").isNull()).select("prefix", "rank"))
-    fresh = fresh.join(wanted, ["prefix", "rank"], "left_semi")
-    probed = keys.join(fresh, ["prefix", "rank"], "left").checkpoint(eager=True)
-    hit = F.col("suggestions").isNotNull() & (F.col("prefix") != "") & F.col("reason").isNull()
-    hits = probed.filter(hit).select(
+    asked = F.col("reason").isNull() & (F.col("prefix") != "")
+    live = keys.filter(asked)
+    fresh = rows_of(index, live.select("prefix", "rank")).filter(is_fresh("computed_at", ttl_seconds, now)).select("prefix", "rank", "suggestions")
+    if not callable(index):  # (≤ one row per key) used twice; a store has met the keys, and its lists are needed once
+        fresh = fresh.filter(F.col("suggestions").isNotNull()).checkpoint(eager=True)
+    hits = live.join(fresh, ["prefix", "rank"]).select(
         "prefix", "rank", "n_requests", F.lit("hit").alias("status"), "suggestions", "reason"
     )
-    missing = probed.filter(~hit).select("prefix", "rank", "n_requests", "reason")
-    out = hits.unionByName(bulk_suggest(freq, missing, k))
+    missing = live.join(fresh.select("prefix", "rank"), ["prefix", "rank"], "left_anti").unionByName(keys.filter(~asked))
+    out = hits.unionByName(bulk_suggest(freq, missing.select("prefix", "rank", "n_requests", "reason"), k))
     if ring is None:
         return out
     from prefixdex.operators.ring import assign_owner
@@ -616,15 +682,13 @@ def lookup(
     return owned.withColumn("node", F.when(F.col("status").isin("hit", "miss"), F.col("node")))
 
 
-def write_back(index: DataFrame, answers: DataFrame, now: Column | None = None) -> DataFrame:
+def write_back(index: Index, answers: DataFrame, now: Column | None = None) -> Index:
     """The index after the misses of :func:`lookup` are stored: one row for each
     computed list (empty lists too, so that a prefix without a match is a hit
     the next time), stamped ``now``, instead of a stale row of the same key."""
     now = F.current_timestamp() if now is None else now
     computed = answers.filter(F.col("status") == "miss").select("prefix", "rank", "suggestions", now.alias("computed_at"))
-    computed = computed.checkpoint(eager=True)  # read twice; the misses are not computed again
-    kept = index.select("prefix", "rank", "suggestions", "computed_at").join(computed, ["prefix", "rank"], "left_anti")
-    return kept.unionByName(computed)
+    return _laid_over(index, computed.checkpoint(eager=True))  # read twice; the misses are not computed again
 
 
 def overlay_rows(answers: DataFrame, now: Column | None = None) -> DataFrame:
@@ -634,14 +698,12 @@ def overlay_rows(answers: DataFrame, now: Column | None = None) -> DataFrame:
     return answers.filter(F.col("status") == "miss").select("prefix", "rank", "suggestions", now.alias("computed_at"))
 
 
-def overlaid(index: DataFrame, overlay: DataFrame) -> DataFrame:
+def overlaid(index: Index, overlay: DataFrame) -> Index:
     """The index with the newest overlay row of each key instead of its own (overlays are
     written after the index they lie on; a new index begins without). The index is only
     filtered, map side while the overlay's keys are measured small."""
     newest = overlay.groupBy("prefix", "rank").agg(F.max_by(F.struct("suggestions", "computed_at"), "computed_at").alias("_u"))
-    newest = newest.select("prefix", "rank", "_u.suggestions", "_u.computed_at")
-    keys = broadcast_if_small(newest.select("prefix", "rank"))
-    return index.select("prefix", "rank", "suggestions", "computed_at").join(keys, ["prefix", "rank"], "left_anti").unionByName(newest)
+    return _laid_over(index, newest.select("prefix", "rank", "_u.suggestions", "_u.computed_at"))
 
 
 def answers_long(answers: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ check, broadcast when the measured ring is small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -155,18 +155,16 @@ def invalidation_counts(owned: DataFrame, index: DataFrame, fresh: Column | None
     )
 
 
-def routing_report(keys: DataFrame, ring: DataFrame, index: DataFrame, fresh: Column | None = None) -> DataFrame:
+def routing_report(keys: DataFrame, ring: DataFrame, index: DataFrame | Callable[[DataFrame], DataFrame], fresh: Column | None = None) -> DataFrame:
     """``prefix, rank, key, node, status`` with HIT when the index holds a
     (fresh) list for the key, MISS otherwise."""
     from prefixdex.functions.keys import cache_key
-
-    from prefixdex.plans.session import broadcast_if_small
+    from prefixdex.operators.prefix import rows_of
 
     k = keys.select("prefix", "rank").distinct().checkpoint(eager=True)
     owned = assign_owner(k.withColumn("key", cache_key("prefix", "rank")), "key", ring)
-    idx = index if fresh is None else index.filter(fresh)
-    # only the index rows of the asked keys (map side when the key set is small)
-    idx = idx.join(broadcast_if_small(k), ["prefix", "rank"], "left_semi")
+    idx = rows_of(index, k)
+    idx = idx if fresh is None else idx.filter(fresh)
     present = idx.select("prefix", "rank").withColumn("_present", F.lit(True))
     return owned.join(present, ["prefix", "rank"], "left").select(
         "prefix",

@@ -560,14 +560,17 @@ def q_upsert_lines(spark, d):
 
 def _line_lookup(spark, d):
     """(index, table, keys, now): the index of the stored table, part of it stale."""
-    f = freq_lines(spark, d).checkpoint(eager=True)
+    f = kept(freq_lines(spark, d), "lines")
     now = F.lit(NOW).cast("timestamp")
     age = F.when(F.length("prefix") % 5 == 0, F.lit(3600)).otherwise(F.lit(60))
     root = work_dir(spark, "line-index")
     store.write_index(prefix.build_runs(f), root)
-    index = store.read_index(spark, root).withColumn("computed_at", now - F.make_interval(secs=age))
+
+    def index(keys):
+        return store.read_index(spark, root, keys=keys).withColumn("computed_at", now - F.make_interval(secs=age))
+
     req = tables.typed_requests(tables.line_events(spark, d))
-    return index, f, prefix.request_keys(req, "typed", "rank").checkpoint(eager=True), now
+    return index, f, kept(prefix.request_keys(req, "typed", "rank"), "asked"), now
 
 
 def _served(ans):

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefixdex.plans.session import shuffles_dropped
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -83,15 +85,18 @@ def dataset_size(freq: DataFrame) -> DataFrame:
 
 def write_index(runs: DataFrame, root: str, version: int = 0) -> None:
     """The prefix index as its runs (``prefix.build_runs``), each with a number."""
-    runs.withColumn("_run", F.monotonically_increasing_id()).write.mode("overwrite").parquet(version_path(root, version))
+    with shuffles_dropped(runs.sparkSession):
+        runs.withColumn("_run", F.monotonically_increasing_id()).write.mode("overwrite").parquet(version_path(root, version))
 
 
-def read_index(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """``prefix, rank, suggestions`` of every prefix. The lists stand beside the prefixes and
-    are joined by the run's number, so that a join with some keys (left semi or anti), which
-    Spark makes below that join, shuffles prefixes without lists."""
-    from prefixdex.operators.prefix import expand_runs
+def read_index(spark: SparkSession, root: str, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """``prefix, rank, suggestions`` of every prefix, or of distinct ``prefix, rank`` keys: those are
+    sorted with the runs' prefixes, and no run is cut into its prefixes. The lists stand
+    beside the prefixes and are joined by the run's number, so that a join with some keys
+    (left semi or anti), which Spark makes below that join, shuffles prefixes without lists."""
+    from prefixdex.operators.prefix import expand_runs, find_runs
 
     stored = read_version(spark, root, version)
-    entries = expand_runs(stored.select("prefix", "lo", "ranks", "_run"))
+    runs = stored.select("prefix", "lo", "ranks", "_run")
+    entries = expand_runs(runs) if keys is None else find_runs(runs, keys)
     return entries.join(stored.select("_run", "suggestions"), "_run").select("prefix", "rank", "suggestions")

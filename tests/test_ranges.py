@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import seed_freq
-from prefixdex.operators import prefix, radix
+from prefixdex.operators import prefix, radix, ring
 from prefixdex.plans import stored
 from prefixdex.sources import bucketed, store
 
@@ -117,3 +117,43 @@ def test_buckets_are_written_in_one_pass(spark, tmp_path):
     bucketed.create(rows.mapInArrow(seen, rows.schema), str(tmp_path), "k", 4)
     assert passes.value == 300
     assert sorted(tuple(r) for r in bucketed.read(spark, str(tmp_path)).collect()) == sorted(tuple(r) for r in rows.collect())
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_keys_find_their_runs_without_cutting_them(spark, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(prefix, "NEIGHBOUR_CHUNK", chunk)
+    freq = _freq(spark, 80)
+    want = _brute(freq)
+    store.write_index(prefix.build_runs(freq), str(tmp_path))
+    texts = {r[0] for r in want if len(r[0]) % 3 == 1}
+    texts |= {"", "zz", "a" * 60, *(t + "z" for t in texts), *(t + " " for t in texts), *(t[:-1] for t in texts)}
+    keys = spark.createDataFrame([(t, r) for t in sorted(texts) for r in ("count", "recent")] + [(None, "count")], "prefix string, rank string")
+    got = store.read_index(spark, str(tmp_path), keys=keys.repartition(3))
+    assert _rows(prefix.index_to_long(got)) == [r for r in want if r[0] in texts]
+    assert "Generate" not in _plan(got)
+
+
+def test_a_lookup_asks_the_store_for_its_keys_alone(spark, tmp_path):
+    freq, now, asked = _freq(spark, 80), F.lit("2024-03-01 00:00:00").cast("timestamp"), []
+    store.write_index(prefix.build_runs(freq), str(tmp_path))
+    stamp = now - F.make_interval(secs=F.when(F.length("prefix") % 2 == 0, 3600).otherwise(60))
+    whole = store.read_index(spark, str(tmp_path)).withColumn("computed_at", stamp)
+
+    def index(keys):
+        asked.append(keys.count())
+        return store.read_index(spark, str(tmp_path), keys=keys).withColumn("computed_at", stamp)
+
+    typed = [q[:n] for q in sorted(r.query for r in freq.collect()) for n in (1, 2, 5, 30, 60)] + ["  ", "zz", "x" * 600]
+    req = spark.createDataFrame([(t, "recent" if i % 3 else "count") for i, t in enumerate(typed)], "typed string, rank string")
+    keys = prefix.request_keys(req, "typed", "rank")
+    plain = lambda df: sorted(map(str, df.collect()))
+    first = [prefix.lookup(i, freq, keys, 300, now).checkpoint() for i in (whole, index)]
+    assert plain(first[0]) == plain(first[1]) and {r.status for r in first[0].collect()} == {"hit", "miss", "skip", "error"}
+    for keep in (prefix.write_back, lambda i, a, t: prefix.overlaid(i, prefix.overlay_rows(a, t))):
+        second = [prefix.lookup(keep(i, a, now), freq, keys, 300, now) for i, a in zip((whole, index), first, strict=True)]
+        assert plain(second[0]) == plain(second[1]) and "miss" not in {r.status for r in second[0].collect()}
+    live = keys.filter("prefix != '' and reason is null").count()
+    assert asked[0] == live and 0 < asked[1] < live  # what an overlay has is not asked again
+    nodes = ring.ring_table(spark, ["n1", "n2"])
+    reports = [ring.routing_report(keys.filter("reason is null"), nodes, i, F.col("computed_at") > now - F.expr("interval 1 minute 1 second")) for i in (whole, index)]
+    assert plain(reports[0]) == plain(reports[1])
